@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitlake.llm import langid, packing, quality, simhash
+from pitlake.llm import langid, line_dedup, packing, quality, simhash
 from pitlake.llm.common import holdout, table
 from pyspark.sql import functions as F
 
@@ -31,6 +31,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", holdout(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "n_lines", F.size("cut").cast("long").alias("n_cut"), F.array_join(F.col("cut").cast("array<string>"), ",").alias("cut"))
+
+
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -41,3 +47,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = quality.classify(docs, table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
+
+
+#: Minimal repeated windows of 50 words or more, forward and back from each line, first copies kept.
+ORACLE_SQL["op6_line_dedup"] = r"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+flat AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS p FROM docs),
+kept AS (SELECT doc_id, p, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w,
+           row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS i
+         FROM flat WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+sums AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM kept),
+ahead AS (SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 49 AND b.upto - a.upto + a.w >= 50 GROUP BY ALL),
+back AS (SELECT a.doc_id, max(b.i) AS s, a.i AS e FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i - 49 AND a.i AND a.upto - b.upto + b.w >= 50 GROUP BY a.doc_id, a.i),
+spans AS (SELECT * FROM ahead UNION SELECT * FROM back),
+texts AS (SELECT x.doc_id, x.s, x.e, string_agg(k.line, chr(10) ORDER BY k.i) AS body FROM spans x JOIN kept k ON k.doc_id = x.doc_id AND k.i BETWEEN x.s AND x.e GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS n FROM texts),
+gone AS (SELECT DISTINCT k.doc_id, k.p FROM ranked r JOIN kept k ON k.doc_id = r.doc_id AND k.i BETWEEN r.s AND r.e WHERE r.n > 1)
+SELECT f.doc_id,
+  coalesce(string_agg(f.line, chr(10) ORDER BY f.p) FILTER (WHERE g.p IS NULL), '') AS text,
+  CAST(count(*) AS INTEGER) AS n_lines, count(g.p) AS n_cut,
+  coalesce(string_agg(CAST(g.p AS VARCHAR), ',' ORDER BY g.p), '') AS cut
+FROM flat f LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.p = g.p GROUP BY f.doc_id
+"""
