@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitlake.llm import langid, line_dedup, packing, quality, simhash
+from pitlake.llm import langid, line_dedup, media, packing, quality, simhash
 from pitlake.llm.common import holdout, table
 from pyspark.sql import functions as F
 
@@ -24,6 +24,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.store(table(spark, sf_dir, "documents")))
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
