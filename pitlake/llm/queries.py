@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitlake.llm import langid, line_dedup, media, packing, quality, simhash
+from pitlake.llm import langid, line_dedup, media, packing, quality, sentencepiece_codec, simhash
 from pitlake.llm.common import holdout, table
 from pyspark.sql import functions as F
 
@@ -24,6 +25,17 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+#: The path of a public SentencePiece model on every node.
+MODEL = os.environ.get("PITLAKE_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), MODEL)
+    back = sentencepiece_codec.decode(coded, MODEL)
+    return back.select("doc_id", "ids", "n_tokens", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 @query
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store(table(spark, sf_dir, "documents")))
