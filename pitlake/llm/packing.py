@@ -11,14 +11,14 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitlake.llm.common import WORD
 
+_ARROW = pa.schema([("bin_id", pa.int64()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32())])
 SCHEMA = "bin_id long, slot int, doc_id long, piece int, start long, length int"
 
 
@@ -86,22 +86,22 @@ def pack(docs: DataFrame, capacity: int = 2048, length: Column | None = None, so
     # without an id, and for repeated rows of one id, the rest of the row deals
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "n", "c"), F.lit(chunks)))
 
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "n", "c", "s"], kind="stable")
-        first = int(pdf["chunk"].iloc[0]) << 32
+    def packed(table: pa.Table) -> pa.Table:
+        docs = zip(*[table.column(c).to_pylist() for c in ("doc_id", "n", "c", "s", "chunk")])
+        docs = sorted(docs, key=lambda r: tuple((x is not None, x) for x in r))
         items, rows = [], []
-        for doc, n, s, c in zip(pdf["doc_id"], pdf["n"], pdf["s"], pdf["c"]):
+        for doc, n, c, s, _ in docs:
             for piece, start in enumerate(range(0, n, capacity)):
                 m = min(capacity, n - start)
-                items.append((m, s if isinstance(s, str) else None, c if isinstance(c, str) else None))
+                items.append((m, s, c))
                 rows.append((doc, piece, start, m))
             if n <= 0:
-                rows.append((doc, 0, 0, 0))
                 items.append(None)
+                rows.append((doc, 0, 0, 0))
+        first = docs[0][4] << 32
         full = [i for i, x in enumerate(items) if x]
         placed = dict(zip(full, best_fit([items[i] for i in full], capacity)))
         out = [(first + placed[i][0], placed[i][1], *r) if i in placed else (None, None, *r) for i, r in enumerate(rows)]
-        frame = pd.DataFrame(out, columns=["bin_id", "slot", "doc_id", "piece", "start", "length"])
-        return frame.astype({"bin_id": "Int64", "slot": "Int32", "doc_id": "Int64"})
+        return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
 
-    return rows.groupBy("chunk").applyInPandas(packed, SCHEMA)
+    return rows.groupBy("chunk").applyInArrow(packed, SCHEMA)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitlake.llm import langid, line_dedup, media, packing, quality, sentencepiece_codec, simhash
+from pitlake.llm import ann, chat, langid, line_dedup, media, packing, quality, sentencepiece_codec, simhash, url_filter
 from pitlake.llm.common import holdout, table
 from pyspark.sql import functions as F
 
@@ -36,6 +36,26 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "ids", "n_tokens", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A dated list made from the hosts and first path segments that occur: each pattern gets up to three entries, by its MD5."""
+    host, path = url_filter.host(F.col("url")), url_filter.path(F.col("url"))
+    segment = F.regexp_extract(path, "^/[^/]+/", 0)
+    names = pages.select(host.alias("h"), segment.alias("s")).where("h is not null")
+    patterns = names.select(F.explode(F.array("h", F.regexp_replace("h", r"^[^.]+\.", ""), F.concat("h", "s"))).alias("pattern")).where(r"pattern rlike '\\.'").distinct()
+    digits = F.md5("pattern")
+    entry = lambda k, verdict: F.struct(F.lit(verdict).alias("verdict"), F.date_add(F.lit("2024-01-01").cast("date"), (F.conv(F.substring(digits, 4 * k + 1, 3), 16, 10).cast("int") % 120) + 90 * k).alias("listed_at"), F.substring(digits, 4 * k + 4, 1).alias("d"))
+    entries = patterns.select("pattern", F.explode(F.array(entry(0, "block"), entry(1, "allow"), entry(2, "block"))).alias("e")).select("pattern", "e.*")
+    return entries.where(F.col("d") < "8").drop("d")
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int"))
+    found = url_filter.judge(pages.withColumn("fetched_at", fetched), dated_list(pages))
+    return found.select("page_id", "fetched_at", "verdict", "pattern", "since")
+
+
 @query
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store(table(spark, sf_dir, "documents")))
@@ -54,11 +74,21 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_lines", F.size("cut").cast("long").alias("n_cut"), F.array_join(F.col("cut").cast("array<string>"), ",").alias("cut"))
 
 
+@query
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -86,3 +116,24 @@ SELECT f.doc_id,
   coalesce(string_agg(CAST(g.p AS VARCHAR), ',' ORDER BY g.p), '') AS cut
 FROM flat f LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.p = g.p GROUP BY f.doc_id
 """
+
+#: Intervals by lead() over each pattern's dates; of the active patterns of a capture the most specific.
+ORACLE_SQL["op3_url_filter"] = r"""
+WITH p AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS fetched_at,
+    nullif(regexp_replace(lower(regexp_extract(url, '^(?i:https?)://(?:[^/?#@]*@)?([^/:?#@]+)', 1)), '\.$', ''), '') AS h,
+    coalesce(nullif(regexp_extract(url, '^(?i:https?)://[^/?#]+(/[^?#]*)', 1), ''), '/') AS path FROM pages),
+names AS (SELECT DISTINCT unnest([h, regexp_replace(h, '^[^.]+\.', ''), h || regexp_extract(path, '^/[^/]+/')]) AS pattern FROM p WHERE h IS NOT NULL),
+dated AS (
+  SELECT pattern, verdict, DATE '2024-01-01' + CAST(CAST('0x' || substr(md5(pattern), 4 * k + 1, 3) AS INTEGER) % 120 + 90 * k AS INTEGER) AS since, substr(md5(pattern), 4 * k + 4, 1) AS d
+  FROM names, (VALUES (0, 'block'), (1, 'allow'), (2, 'block')) AS t(k, verdict) WHERE contains(pattern, '.')),
+best AS (SELECT pattern, since, min_by(verdict, verdict <> 'block') AS verdict FROM dated WHERE d < '8' GROUP BY ALL),
+spans AS (SELECT *, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM best),
+keyed AS (
+  SELECT page_id, fetched_at, h || '/' || array_to_string(list_filter(string_split(path, '/'), lambda x: x <> '')[1:n], '/') || '/' AS pattern, 10 + n AS level
+  FROM p, range(1, 4) AS r(n) WHERE len(string_split(path, '/')) - 2 >= n
+  UNION ALL SELECT page_id, fetched_at, h || '/', 10 FROM p
+  UNION ALL SELECT page_id, fetched_at, array_to_string(string_split(h, '.')[n + 1:], '.'), 9 - n FROM p, range(0, 6) AS r(n) WHERE len(string_split(h, '.')) - n >= least(2, n + 1)),
+hits AS (SELECT k.page_id, arg_max({'v': s.verdict, 'p': s.pattern, 's': s.since}, k.level) AS f FROM keyed k JOIN spans s ON s.pattern = k.pattern AND k.fetched_at >= s.since AND (s.until IS NULL OR k.fetched_at < s.until) GROUP BY 1)
+SELECT p.page_id, p.fetched_at, f.v AS verdict, f.p AS pattern, f.s AS since FROM p LEFT JOIN hits USING (page_id)
+"""
