@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,12 +77,12 @@ class Bayes:
 def fit(docs: DataFrame, max_docs_per_lang: int = 2000, buckets: int = 1 << 15, alpha: float = 0.5) -> Bayes:
     """Learn from text and non-null lang of documents outside the hold-out.
 
-    max_docs_per_lang bounds the sample: those with the smallest hash of their id. Rows without an id are not
-    learned from. The counts that tasks return are one row of `buckets` numbers for each language and task."""
+    max_docs_per_lang bounds the sample: of a language with more documents, each is taken with the chance that gives
+    as many, by a hash of its id. Rows without an id are not learned from. The counts that tasks return are one row of `buckets` numbers for each language and task."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~holdout(F.col("doc_id")))
-    order = Window.partitionBy("l").orderBy(F.xxhash64("id"), "id")
-    chosen = known.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_docs_per_lang)
-    rows = known.join(F.broadcast(chosen.select("id", "l").distinct()), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).select("text", F.col("l").alias("lang"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).cast("double") / (1 << 32)
+    rows = known.select("doc_id", "text", "lang").join(sizes, "lang").where(spread < max_docs_per_lang / F.col("n")).select("text", "lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
