@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitlake.session import table
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -25,4 +23,10 @@ def register(name: str, sql: str | None = None):
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").count()
+    """The policy leaderboard."""
+    return QUERIES["policy_leaderboard"](spark, sf_dir)
+
+
+def load() -> None:
+    """Import the modules of queries; importing is what registers them."""
+    from pitlake.plans import leaderboard  # noqa: F401
