@@ -98,7 +98,8 @@ def dedup_lines(docs: DataFrame, words: int = 50) -> DataFrame:
     keyed = docs.drop("n_lines", "cut").withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(least))).withColumn("__t", F.xxhash64("text"))
     found = later_copies(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc_id"), F.col("text").cast("string").alias("text")), words)
     found = cut(found.select(F.col("d").alias("__d"), F.col("t").alias("__t"), "cut"), "cut")
-    both = keyed.join(found, ["__d", "__t"], "left").drop("__d", "__t")
+    # by merge at every size: a small table of deletions would be broadcast, and the plan and its disk then jump as it grows
+    both = keyed.join(found.hint("merge"), ["__d", "__t"], "left").drop("__d", "__t")
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(lines, lambda x, p: ~F.array_contains("cut", p)), "\n")
     out = both.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("text", F.when(F.col("cut").isNull(), F.col("text")).otherwise(left))
