@@ -19,6 +19,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitlake.llm.common import cut
+
 #: Scores of one block that differ by less are scored anew, summing each pair in one fixed order.
 SLACK = 1e-9
 
@@ -201,26 +203,26 @@ def search(vectors: DataFrame, is_query: Column, top: int = 5, parts: int = 16,
             yield pa.record_batch([b.column("vec_id"), b.column("v"), b.column("ask"), pa.array(list(order), pa.list_(pa.int32()))], ["vec_id", "v", "ask", "p"])
 
     placed = rows.where(F.size("v") == dim).mapInArrow(routed, "vec_id long, v array<double>, ask boolean, p array<int>")
+    placed = cut(placed, "routed")
     index = placed.select("vec_id", "v", F.element_at("p", 1).alias("p"))
-    asks = placed.where("ask").select("vec_id", "v", F.explode("p").alias("p"))
+    asks = placed.where("ask").select(F.col("vec_id").alias("q"), F.col("v").alias("w"), F.explode("p").alias("r"))
     # a row for each partition: how many blocks of vectors and of queries it makes
-    sizes = index.groupBy("p").agg(F.count("*").alias("n")).join(asks.groupBy("p").agg(F.count("*").alias("m")), "p").select("p", F.ceil(F.col("n") / rows_a_block).cast("int").alias("vs"), F.ceil(F.col("m") / queries_a_block).cast("int").alias("qs"))
+    sizes = index.groupBy("p").agg(F.count("*").alias("n")).join(asks.groupBy(F.col("r").alias("p")).agg(F.count("*").alias("m")), "p").select("p", F.ceil(F.col("n") / rows_a_block).cast("int").alias("vs"), F.ceil(F.col("m") / queries_a_block).cast("int").alias("qs"))
     sizes = F.broadcast(spark.createDataFrame([tuple(r) for r in sizes.collect()], "p int, vs int, qs int"))  # at most `parts` rows
     left = index.join(sizes, "p").select("p", F.pmod(F.xxhash64("vec_id"), "vs").cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"), "vec_id", "v")
-    right = asks.join(sizes, "p").select("p", F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("vb"), F.pmod(F.xxhash64("vec_id"), "qs").cast("int").alias("qb"), "vec_id", "v")
+    right = asks.join(sizes, F.col("r") == F.col("p")).select("r", F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("rv"), F.pmod(F.xxhash64("q"), "qs").cast("int").alias("rq"), "q", "w")
 
     def scored(here: pa.Table, asked: pa.Table) -> pa.Table:
         found = []
         if here.num_rows and asked.num_rows:
-            found = list(best(here.column("vec_id").to_numpy(), _matrix(here.column("v"), dim), asked.column("vec_id").to_numpy(), _matrix(asked.column("v"), dim), top))
+            found = list(best(here.column("vec_id").to_numpy(), _matrix(here.column("v"), dim), asked.column("q").to_numpy(), _matrix(asked.column("w"), dim), top))
         return pa.table({
             "query_id": pa.array([q for q, i, _ in found for _ in i], pa.int64()),
             "vec_id": pa.array(np.concatenate([i for _, i, _ in found]) if found else [], pa.int64()),
             "score": pa.array(np.concatenate([s for _, _, s in found]) if found else [], pa.float64()),
         })
 
-    keys = ("p", "vb", "qb")
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scored, "query_id long, vec_id long, score double")
+    near = left.groupBy("p", "vb", "qb").cogroup(right.groupBy("r", "rv", "rq")).applyInArrow(scored, "query_id long, vec_id long, score double")
     once = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

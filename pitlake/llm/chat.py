@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: States of the automaton: what was written last.
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ("", "system", "user", "assistant")
-#: Costs of a merge, an empty turn and another role.
+#: Costs of a merge, an empty turn and another role; to become the system turn costs one more.
 MERGE, INSERT, RELABEL = 2, 3, 4
 #: What may be written next without an insertion.
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
@@ -58,7 +58,7 @@ def role_number(role: str | None) -> int:
 def _moves(s: int, x: int) -> Iterator[tuple[int, int]]:
     for y in (SYSTEM, USER, ASSISTANT):
         if (s, y) in STEPS:
-            yield y, STEPS[s, y][0] + (RELABEL if y != x else 0)
+            yield y, STEPS[s, y][0] + (0 if y == x else RELABEL + (y == SYSTEM))
 
 
 def matrix(turns: list[int]) -> list[int]:
