@@ -80,9 +80,11 @@ def fit(docs: DataFrame, max_docs_per_lang: int = 2000, buckets: int = 1 << 15,
     max_docs_per_lang bounds the sample: of a language with more documents, each is taken with the chance that gives
     as many, by a hash of its id. Rows without an id are not learned from. The counts that tasks return are one row of `buckets` numbers for each language and task."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~holdout(F.col("doc_id")))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # one row a language, as the model has one column a language
+    shares = {r["lang"]: min(1.0, max_docs_per_lang / r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).cast("double") / (1 << 32)
-    rows = known.select("doc_id", "text", "lang").join(sizes, "lang").where(spread < max_docs_per_lang / F.col("n")).select("text", "lang")
+    share = F.try_element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang")) if shares else F.lit(0.0)
+    rows = known.where(spread < share).select("text", "lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
