@@ -30,7 +30,8 @@ def _place() -> Column:
 def _classes(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The first place of each class that has two places, by partial aggregates; a hot class is one row."""
     found = rows.groupBy(*keys).agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"))
-    return found.where(F.col("first") < F.col("last")).drop("last")
+    # written, so that the join to the rows has an exchange on both sides and Spark can split a hot class
+    return cut(found.where(F.col("first") < F.col("last")).drop("last"), "classes")
 
 
 def _sequences(docs: DataFrame) -> DataFrame:
