@@ -87,7 +87,8 @@ def neighbour_metric(edges: DataFrame, metric: DataFrame) -> DataFrame:
     """For each b the weighted mean of the metric over its suppliers a; 0 and missing where no weight is."""
     joined = edges.join(metric, edges["a"] == metric["entity"], "left")
     w = F.when(F.col("value").isNotNull(), F.col("weight"))
-    mean = F.try_divide(F.sum(F.col("value") * w), F.sum(w))
+    # sums of decimals are exact in any order
+    mean = F.try_divide(F.sum(F.col("value") * w).cast("double"), F.sum(w).cast("double"))
     return joined.groupBy("b").agg(F.coalesce(mean, F.lit(0.0)).alias("mean"), mean.isNull().alias("missing"), F.count("*").alias("n_edges"))
 
 

@@ -63,12 +63,12 @@ def edge_snapshot(spark, sf):
     return bt.edge_snapshot(edges(spark, sf).withColumn("revision", F.lit(1)), T0).select("id", "a", "b", "weight")
 
 
-@register("neighbour_metric", with_views("edges", f"SELECT b, count(*) AS n_edges, round(coalesce(sum(weight * s_acctbal) / nullif(sum(weight), 0), 0), 4) + 0.0 AS mean, sum(weight * s_acctbal) / nullif(sum(weight), 0) IS NULL AS missing FROM edges JOIN supplier ON a = s_suppkey WHERE known <= {T0} AND active AND since <= {T0} AND until > {T0} GROUP BY b"))
+@register("neighbour_metric", with_views("edges", f"SELECT b, count(*) AS n_edges, coalesce(CAST(sum(CAST(weight * s_acctbal AS DECIMAL(28, 2))) AS DOUBLE) / nullif(sum(weight), 0), 0) AS mean, sum(weight) IS NULL AS missing FROM edges JOIN supplier ON a = s_suppkey WHERE known <= {T0} AND active AND since <= {T0} AND until > {T0} GROUP BY b"))
 def neighbour_metric(spark, sf):
     """Mean balance of a part's suppliers, weighted by quantity."""
-    live = bt.edge_snapshot(edges(spark, sf).withColumn("revision", F.lit(1)), T0)
-    metric = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_acctbal").alias("value"))
-    return bt.neighbour_metric(live, metric).select("b", "n_edges", (F.round("mean", 4) + F.lit(0.0)).alias("mean"), "missing")
+    live = bt.edge_snapshot(edges(spark, sf).withColumn("revision", F.lit(1)), T0).withColumn("weight", F.col("weight").cast("decimal(12,0)"))
+    metric = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_acctbal").cast("decimal(12,2)").alias("value"))
+    return bt.neighbour_metric(live, metric).select("b", "n_edges", "mean", "missing")
 
 
 @register("latest_metric", with_views("versions", "SELECT entity, metric, period, count(DISTINCT id) AS keys, min(value) AS value, count(DISTINCT id) > 1 AS ambiguous FROM (SELECT key % 100 AS entity, status AS metric, period, id, value, rank() OVER (PARTITION BY key % 100, status ORDER BY period DESC) AS r FROM versions) WHERE r = 1 GROUP BY ALL"))

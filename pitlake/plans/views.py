@@ -56,7 +56,7 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
     qty = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
     return l.select(
         F.col("l_suppkey").alias("account"), (F.col("l_partkey") % 20).alias("symbol"), micros("l_shipdate").alias("t"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("part"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("px"), qty.alias("qty"), F.round(F.col("l_extendedprice") * F.col("l_tax") / 100, 4).alias("fee"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), qty.alias("qty"), (F.col("l_extendedprice") * F.col("l_tax")).alias("fee"),
     )
 
 
@@ -95,8 +95,8 @@ SQL = {
       CASE WHEN o_orderkey % 11 <> 0 THEN epoch_us(o_orderdate) END AS published, epoch_us(o_orderdate) + o_orderkey % 30 * {DAY} AS observed,
       CASE WHEN o_orderkey % 7 <> 0 THEN epoch_us(o_orderdate) + 60000000 END AS reconstructed, o_orderkey // 1000 AS generation,
       o_totalprice AS value, o_orderstatus AS status, epoch_us(o_orderdate) // {90 * DAY} AS period FROM orders""",
-    "ledger": """SELECT l_suppkey AS account, l_partkey % 20 AS symbol, epoch_us(l_shipdate) AS t, l_orderkey AS o, l_linenumber AS ln, l_partkey AS part, round(l_extendedprice / l_quantity, 4) AS px,
-      CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS qty, round(l_extendedprice * l_tax / 100, 4) AS fee FROM lineitem""",
+    "ledger": """SELECT l_suppkey AS account, l_partkey % 20 AS symbol, epoch_us(l_shipdate) AS t, l_orderkey AS o, l_linenumber AS ln, l_partkey AS part, l_extendedprice / l_quantity AS px,
+      CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS qty, l_extendedprice * l_tax AS fee FROM lineitem""",
     "monthly": "SELECT c_nationkey AS series, CAST((year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1 AS INTEGER) AS m, CAST(sum(CAST(o_totalprice AS DECIMAL(20, 2))) AS DOUBLE) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",
     "scores": "SELECT doc_id AS id, lang AS part, round((n_chars * 7919 % 1000) / 1000, 3) AS p, quality AS label FROM documents JOIN labels USING (doc_id)",
     "edges": f"""SELECT a || '-' || b AS id, a, b, weight, since, until + {400 * DAY} AS until, since + (a + b) % 90 * {DAY} AS known, n, (a + b) % 13 <> 0 AS active FROM (
