@@ -39,7 +39,7 @@ class Codec:
         self.special = special
         self._fits: dict[int, bool] = {}
         self._known: dict[str, Sequence[int]] = {}
-        self._automaton()
+        self.ways: list[dict[str, int]] = []  # the automaton, made when a first text is encoded
         self.floor = min((scores[i] for i in self.ids.values()), default=0.0) - 10.0
 
     @classmethod
@@ -59,7 +59,7 @@ class Codec:
 
     def _automaton(self) -> None:
         """Nodes of the trie of all pieces: their ways on, the node of the longest proper suffix, and the pieces that end there."""
-        self.ways: list[dict[str, int]] = [{}]
+        self.ways = [{}]
         ends = [-1]
         for piece, i in self.ids.items():
             node = 0
@@ -137,6 +137,8 @@ class Codec:
 
     def encode_words(self, words: list[str]) -> list[Sequence[int]]:
         """Ids of each of the sorted distinct marked words."""
+        if not self.ways:
+            self._automaton()
         out, before, move, ending = [], "", self.move, self.ending
         step = self._bpe_step if self.bpe else self._unigram_step
         # of each prefix: the automaton's node, and where the last piece begins, its id (-1: a letter without piece), its
@@ -201,7 +203,7 @@ class Codec:
         words = lists.flatten()
         coded = words.dictionary_encode()
         place, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        if len(self._known) > 1 << 18:  # words of earlier batches; a bound on memory, not on what is encoded
+        if len(self._known) > 1 << 17:  # words of earlier batches; a bound on memory, not on what is encoded
             self._known.clear()
         known = self._known
         fresh = sorted(w for w in distinct if w not in known)
@@ -241,7 +243,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text", 6 << 20):
             flat, sizes = c.encode(b.column("text"))
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes)], ["doc_id", "ids", "n_tokens"])
