@@ -132,22 +132,28 @@ def format_chats(turns: DataFrame, block: int = 512, opening: str = "<|{role}|>\
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([(*key, matrix([role_number(r[2]) for r in group])) for key, group in stream(batches, ["conv_id", "b", "role"])], _MATRIX)
 
-    def chained(blocks: pa.Table) -> pa.Table:
-        rows = sorted(blocks.select(["b", "conv_id", "m"]).to_pylist(), key=lambda r: r["b"])
-        forth = [{START: 0}]
-        for r in rows:
-            after = {y: min(c + r["m"][4 * s + y] for s, c in forth[-1].items()) for y in range(4)}
-            forth.append({y: c for y, c in after.items() if c < _FAR})
-        at = min(sorted(forth[-1]), key=forth[-1].__getitem__)
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (r for b in batches for r in zip(*[b.column(c).to_pylist() for c in ("conv_id", "b", "m")]))
         out = []
-        for k, (r, cost) in enumerate(zip(reversed(rows), reversed(forth[:-1]))):
-            start = min(sorted(cost), key=lambda s: cost[s] + r["m"][4 * s + at])
-            out.append((r["conv_id"], r["b"], start, at, k == 0))
-            at = start
-        return pa.Table.from_batches([_batch(out, _BORDERS)])
+        for _, group in groupby(every, key=lambda r: r[0]):
+            rows, forth = list(group), [{START: 0}]
+            for _, _, m in rows:
+                after = {y: min(c + m[4 * s + y] for s, c in forth[-1].items()) for y in range(4)}
+                forth.append({y: c for y, c in after.items() if c < _FAR})
+            at = min(sorted(forth[-1]), key=forth[-1].__getitem__)
+            for k, ((conv, b, m), cost) in enumerate(zip(reversed(rows), reversed(forth[:-1]))):
+                start = min(sorted(cost), key=lambda s: cost[s] + m[4 * s + at])
+                out.append((conv, b, start, at, k == 0))
+                at = start
+            if len(out) >= 10_000:
+                yield _batch(out, _BORDERS)
+                out = []
+        yield _batch(out, _BORDERS)
 
     roles = dealt.select("conv_id", "b", "turn", "role").mapInArrow(summed, "conv_id long, b long, m array<long>")
-    borders = roles.groupBy("conv_id").applyInArrow(chained, "conv_id long, b long, s int, e int, last boolean")
+    # one short row a block: a conversation's blocks are chained where they meet
+    met = roles.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "b")
+    borders = met.mapInArrow(chained, "conv_id long, b long, s int, e int, last boolean")
     borders = borders.select(F.col("conv_id").alias("c"), F.col("b").alias("k"), "s", "e", "last")
     fixed = rows.join(borders, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("b") == F.col("k"))).drop("c", "k")
     fixed = fixed.repartition("conv_id", "b").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
