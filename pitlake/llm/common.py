@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
     for batch in batches:
         n, start, held = batch.num_rows, 0, 0
         sizes = batch.column(column)
-        lengths = pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(sizes), 0).to_numpy(zero_copy_only=False)
         for i in range(n):
             if held and held + lengths[i] > most_bytes:
                 yield batch.slice(start, i - start)
