@@ -25,18 +25,22 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     seen = seen.withColumn("__l", F.lit(None).cast(rows.schema["__l"].dataType))
     # at equal times right rows come first, unless they are not to be seen
     both = rows.unionByName(seen).withColumn("__s", F.col("__r").isNull() if not strict else F.col("__r").isNotNull())
-    both = both.withColumn("__b", F.floor(F.col("__t") / width).cast("long") if width else F.lit(0).cast("long"))
+    both = both.withColumn("__b", F.coalesce(F.floor(F.col("__t") / width).cast("long"), F.lit(-(1 << 63))) if width else F.lit(0).cast("long"))
     up = (lambda c: F.col(c).desc_nulls_last()) if forward else (lambda c: F.col(c).asc_nulls_first())
     order = [up("__t"), F.col("__s").asc(), up("__k")]
     near = F.last("__r", ignorenulls=True).over(Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("__n", near)
     if width:
-        pick = F.min_by if forward else F.max_by
-        ends = both.where(F.col("__r").isNotNull()).groupBy(*by, "__b").agg(pick("__r", F.struct("__t", "__k")).alias("__e"))
-        grid = both.select(*by, "__b").distinct().join(ends, [*by, "__b"], "left")
+        pick, keys = F.min_by if forward else F.max_by, [*by, "__b"]
+        # one row for each key and bucket, with its own last right row, then with that of the buckets before
+        ends = both.groupBy(*keys).agg(pick("__r", F.when(F.col("__r").isNotNull(), F.struct("__t", "__k"))).alias("__e"))
         step = F.col("__b").desc() if forward else F.col("__b").asc()
         carry = F.last("__e", ignorenulls=True).over(Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1))
-        found = found.join(grid.select(*by, "__b", carry.alias("__c")), [*by, "__b"]).withColumn("__n", F.coalesce("__n", "__c"))
+        carried = ends.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], carry.alias("__c"))
+        on = F.lit(True)
+        for i, c in enumerate(keys):
+            on &= F.col(c).eqNullSafe(F.col(f"__k{i}"))
+        found = found.join(carried, on).withColumn("__n", F.coalesce("__n", "__c"))
     found = found.where(F.col("__l").isNotNull()).withColumn("__n", F.when(F.col("__t").isNotNull(), F.col("__n")))
     return found.select("__l.*", *[F.col(f"__n.__{i}").alias(prefix + c) for i, c in enumerate(take)])
 

@@ -127,7 +127,7 @@ def next_minute(arrivals: DataFrame, sessions: DataFrame, by: list[str], minute:
     sessions: open, close (by). The bar itself is an exact join on what this returns: a missing bar is not replaced by a later one."""
     due = arrivals.withColumn("__m", (F.floor(F.col("t") / minute) + 1) * minute).withColumn("__m1", F.col("__m") + 1)
     j = asof_join(due, sessions, by, "__m1", "close", ["open", "close"], forward=True, width=width, prefix="s_")
-    return j.withColumn("minute", F.greatest("__m", "s_open")).drop("__m", "__m1")
+    return j.withColumn("minute", F.when(F.col("s_open").isNotNull(), F.greatest("__m", "s_open"))).drop("__m", "__m1")
 
 
 def total_return(spans: DataFrame, actions: DataFrame) -> DataFrame:

@@ -16,7 +16,12 @@ def correlation(x: Column, y: Column, least: int = 3) -> Column:
     a, b = F.when(both, x), F.when(both, y)
     spread = F.stddev_pop(a) * F.stddev_pop(b)
     r = F.try_divide(F.covar_pop(a, b), F.when(spread > 0, spread))
-    return F.when(F.count(a) >= least, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return F.when(F.count(a) >= least, clamped(r))
+
+
+def clamped(r: Column) -> Column:
+    """Within [-1, 1]; null stays null, which greatest() and least() alone would skip."""
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def average_rank(value: str, by: list[str]) -> Column:
@@ -105,7 +110,7 @@ def exponential(paired: DataFrame, order: list[str], alpha: float) -> DataFrame:
     dx, dy, w = F.col("x") - F.col("mx"), F.col("y") - F.col("my"), F.col("w")
     spread = F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy))
     r = F.try_divide(F.sum(w * dx * dy), F.when(spread > 0, spread))
-    return rows.groupBy("a", "b").agg(F.when(F.count("*") >= 3, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("ew_correlation"))
+    return rows.groupBy("a", "b").agg(F.when(F.count("*") >= 3, clamped(r)).alias("ew_correlation"))
 
 
 def distance_correlation(paired: DataFrame, most: int = 2000) -> DataFrame:

@@ -101,7 +101,7 @@ def funding_accrual(spark, sf):
     return lg.funding(pos, t, rates, 8 * HOUR, ["seq"], DAY).select("symbol", "due", r6("payment").alias("payment"), "no_rate")
 
 
-@register("next_minute", with_views("trades", f"""WITH s AS (SELECT DISTINCT symbol, t // {DAY} * {DAY} + {9 * HOUR} AS open, t // {DAY} * {DAY} + {16 * HOUR} AS close FROM trades), d AS (SELECT seq, symbol, (t // 60000000 + 1) * 60000000 AS m FROM trades) SELECT d.seq, greatest(d.m, s.open) AS minute FROM d ASOF LEFT JOIN s ON d.symbol = s.symbol AND d.m + 1 <= s.close""").replace("greatest(d.m, s.open) AS minute", "CASE WHEN s.open IS NULL THEN d.m ELSE greatest(d.m, s.open) END AS minute"))
+@register("next_minute", with_views("trades", f"""WITH s AS (SELECT DISTINCT symbol, t // {DAY} * {DAY} + {9 * HOUR} AS open, t // {DAY} * {DAY} + {16 * HOUR} AS close FROM trades), d AS (SELECT seq, symbol, (t // 60000000 + 1) * 60000000 AS m FROM trades) SELECT d.seq, greatest(d.m, s.open) AS minute FROM d ASOF LEFT JOIN s ON d.symbol = s.symbol AND d.m + 1 <= s.close""").replace("greatest(d.m, s.open) AS minute", "CASE WHEN s.open IS NOT NULL THEN greatest(d.m, s.open) END AS minute"))
 def next_minute(spark, sf):
     """The next minute of a session after each trade."""
     t = trades(spark, sf)
