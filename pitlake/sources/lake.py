@@ -127,13 +127,13 @@ def verify_hashes(files: DataFrame, manifest: DataFrame) -> DataFrame:
 def requested_dates(spec: Column) -> Column:
     """Dates (YYYYMMDD) of a list of days and inclusive ranges a..b, as an array without repeats."""
     one = lambda s: F.sequence(F.to_date(F.split(s, r"\.\.")[0], "yyyyMMdd"), F.to_date(F.element_at(F.split(s, r"\.\."), -1), "yyyyMMdd"))
-    days = F.flatten(F.transform(F.filter(F.transform(F.split(spec, ","), F.trim), lambda s: s != ""), one))
+    days = F.flatten(F.transform(F.filter(F.transform(F.split(spec, ","), lambda s: F.trim(s)), lambda s: s != ""), one))
     return F.array_distinct(F.transform(days, lambda d: F.date_format(d, "yyyyMMdd")))
 
 
 def requested_symbols(spec: Column) -> Column:
     """Markets of a list of coins: upper case, -PERP added where no market is named, first mention kept."""
-    names = F.transform(F.filter(F.transform(F.split(spec, ","), F.trim), lambda s: s != ""), lambda s: F.replace(F.upper(s), F.lit("/"), F.lit("-")))
+    names = F.transform(F.filter(F.transform(F.split(spec, ","), lambda s: F.trim(s)), lambda s: s != ""), lambda s: F.replace(F.upper(s), F.lit("/"), F.lit("-")))
     return F.array_distinct(F.transform(names, lambda s: F.when(s.contains("-"), s).otherwise(F.concat(s, F.lit("-PERP")))))
 
 
