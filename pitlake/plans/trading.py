@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pitlake.operators import bars as br
 from pitlake.operators import ledger as lg
 from pitlake.operators import models as md
 from pitlake.plans.registry import register
@@ -202,3 +203,65 @@ def factor_filter(spark, sf):
     rel = z.select(F.col("series").alias("panel"), (F.col("step") + 1).alias("released"), F.col("step").alias("first"), F.col("step").alias("last"), F.col("z").alias("value"), F.lit("mean").alias("how"), F.lit(0.5).alias("noise"))
     steps = rel.groupBy("panel").agg((F.max("released") + 1).alias("steps"))
     return md.factor_filter(rel, steps, 0.8, 0.36, 1.0, 4).select("panel", "step", r6("mean").alias("mean"), r6("variance").alias("variance"), "used")
+
+
+BARS = f"bars AS (SELECT symbol, t // {HOUR} * {HOUR} AS start, arg_min(px, (t, seq)) AS open, max(px) AS high, min(px) AS low, arg_max(px, (t, seq)) AS close, sum(qty) AS volume, t // {HOUR} * {HOUR} + {HOUR} AS \"end\", t // {HOUR} * {HOUR} + {HOUR} + symbol % 3 * 600000000 AS available FROM trades GROUP BY ALL)"
+
+
+def hourly(spark, sf):
+    return br.from_prints(trades(spark, sf), HOUR, F.col("symbol") % 3 * 600_000_000)
+
+
+@register("bars_visible", with_views("trades", f"WITH {BARS}, s AS (SELECT *, greatest(\"end\", available + 60000000) AS seen FROM bars) SELECT t.seq, s.start, s.close FROM trades t ASOF LEFT JOIN s ON t.symbol = s.symbol AND t.t >= s.seen"))
+def bars_visible(spark, sf):
+    """The last hourly bar that a trade's time could see."""
+    out = br.last_visible(trades(spark, sf), hourly(spark, sf), 60_000_000, DAY)
+    return out.select("seq", F.col("bar_start").alias("start"), F.col("bar_close").alias("close"))
+
+
+@register("bar_momentum", with_views("trades", f"WITH {BARS}, r AS (SELECT *, (close - lag(close) OVER w) / lag(close) OVER w AS r FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY start)), m AS (SELECT symbol, start, \"end\", count(*) OVER n AS k, first(start) OVER n AS f, close / first(close) OVER n - 1 AS mom, stddev_pop(r) OVER p AS vol FROM r WINDOW n AS (PARTITION BY symbol ORDER BY start ROWS 30 PRECEDING), p AS (PARTITION BY symbol ORDER BY start ROWS 29 PRECEDING)) SELECT symbol, start, CASE WHEN k = 31 AND \"end\" - f <= {5 * DAY} THEN round(mom, 6) + 0.0 END AS momentum, CASE WHEN k = 31 AND \"end\" - f <= {5 * DAY} THEN round(vol, 6) END AS volatility FROM m"))
+def bar_momentum(spark, sf):
+    """Momentum and volatility over 31 bars that span at most five days."""
+    return br.momentum(hourly(spark, sf), 31, 5 * DAY).select("symbol", "start", r6("momentum").alias("momentum"), r6("volatility").alias("volatility"))
+
+
+@register("relative_labels", with_views("trades", f"WITH {BARS}, d AS (SELECT DISTINCT symbol, t // {DAY} * {DAY} + {10 * HOUR} AS decision FROM trades), e AS (SELECT *, lead(decision, 2) OVER (PARTITION BY symbol ORDER BY decision) AS x FROM d), b AS (SELECT symbol, decision, ((decision + 60000000) // {HOUR} + 1) * {HOUR} AS entry, ((x + 60000000) // {HOUR} + 1) * {HOUR} AS exit FROM e WHERE x IS NOT NULL) SELECT b.symbol, decision, round(p1.open / p0.open - b1.open / b0.open, 6) + 0.0 AS label, greatest(p1.available, b1.available) + 5000000 AS label_ready FROM b JOIN bars p0 ON p0.symbol = b.symbol AND p0.start = entry JOIN bars p1 ON p1.symbol = b.symbol AND p1.start = exit JOIN bars b0 ON b0.symbol = 0 AND b0.start = entry JOIN bars b1 ON b1.symbol = 0 AND b1.start = exit"))
+def relative_labels(spark, sf):
+    """Two-session returns against a benchmark symbol, where all four bars exist."""
+    d = trades(spark, sf).select("symbol", (F.floor(F.col("t") / DAY) * DAY + 10 * HOUR).alias("decision")).distinct()
+    out = br.relative_labels(d, hourly(spark, sf), 0, 60_000_000, 2, HOUR, 5_000_000)
+    return out.select("symbol", "decision", r6("label").alias("label"), "label_ready")
+
+
+@register("release_forecast")
+def release_forecast(spark, sf):
+    """Gain of a second series in forecasting releases; a test holds the fits against direct ones."""
+    v = versions(spark, sf).where("reconstructed is not null").select((F.col("key") % 10).alias("key"), F.floor(F.col("published") / (30 * DAY)).alias("period"), "id", "value", F.col("reconstructed").alias("ready")).where("period is not null")
+    out = md.release_forecast(md.vintage_pairs(v.where("id % 2 = 0"), v.where("id % 2 = 1")))
+    return out.select("key", "scores", F.round("gain", 0).alias("gain"), "state")
+
+
+@register("dataset_listing", "SELECT c_custkey AS dataset_id, n_name AS source, coalesce(n, 0) AS distributions FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE contains(lower(c_name), '13')")
+def dataset_listing(spark, sf):
+    """Datasets by a part of their title, with source and distributions."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("dataset_id"), F.col("c_name").alias("title"), F.col("c_nationkey").alias("source_id"))
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("source_id"), F.col("n_name").alias("source"))
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("dataset_id"))
+    return br.dataset_listing(c, n, o, "13").select("dataset_id", "source", "distributions")
+
+
+@register("distribution_detail", "SELECT o_orderkey AS distribution_id, p.profile_rows, coalesce(n, 0) AS observations FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_quantity, l_shipdate) AS profile_rows FROM (SELECT l_orderkey, l_shipdate, max(l_quantity) AS l_quantity FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL) GROUP BY 1) p ON p.l_orderkey = o_orderkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) k ON k.l_orderkey = o_orderkey")
+def distribution_detail(spark, sf):
+    """Orders as distributions, with the latest of some lines as profile and all lines as observations."""
+    l = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "distribution_id")
+    p = l.where("l_linenumber = 1").groupBy("distribution_id", F.col("l_shipdate").alias("profiled_at")).agg(F.max("l_quantity").alias("rows"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("distribution_id"))
+    return br.distribution_detail(o, p, l).select("distribution_id", "profile_rows", "observations")
+
+
+@register("event_dispatch", "SELECT event_type, count(*) AS n, sum(CASE WHEN event_type IN ('click', 'view') THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END) AS browse, sum(CASE WHEN event_type = 'purchase' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END) AS buys FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1")
+def event_dispatch(spark, sf):
+    """Typed payloads by kind of event; other kinds are set aside."""
+    e = table(spark, sf, "events").withColumnRenamed("props", "payload")
+    good, _ = br.dispatch(e, {"click": "k long", "view": "k long", "purchase": "k long"})
+    return good.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.coalesce("as_click.k", "as_view.k")).alias("browse"), F.sum("as_purchase.k").alias("buys"))
