@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,22 +28,41 @@ def equity(positions: DataFrame, mark: Column) -> Column:
 def realised_pnl(fills: DataFrame, order: list[str]) -> DataFrame:
     """Average-cost profit of each (account, symbol): entry price weighted on adds, realised on reductions, reset on a flip.
 
-    An ordered fold over the fills of one account and symbol, as an array aggregate in the JVM."""
-    seq = F.array_sort(F.collect_list(F.struct(*order, F.col("px").alias("__px"), F.col("qty").alias("__q"))))
-    zero = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("avg"), F.lit(0.0).alias("pnl"))
-
-    def step(s, f):
-        q, px = f["__q"], f["__px"]
-        adds = (s["q"] == 0) | (F.signum(s["q"]) == F.signum(q))
-        after = s["q"] + q
-        closed = F.least(F.abs(s["q"]), F.abs(q))
-        mixed = F.try_divide(F.abs(s["q"]) * s["avg"] + F.abs(q) * px, F.abs(s["q"]) + F.abs(q))
-        avg = F.when(adds, F.coalesce(mixed, F.lit(0.0))).when(after == 0, 0.0).when(F.signum(after) == F.signum(s["q"]), s["avg"]).otherwise(px)
-        pnl = s["pnl"] + F.when(adds, 0.0).otherwise(closed * (px - s["avg"]) * F.signum(s["q"]))
-        return F.struct(after.alias("q"), avg.alias("avg"), pnl.alias("pnl"))
-
-    folded = fills.groupBy("account", "symbol").agg(F.aggregate(seq, zero, step).alias("s"), F.count("*").alias("fills"))
-    return folded.select("account", "symbol", "fills", F.col("s.q").alias("position"), F.col("s.avg").alias("average_price"), F.col("s.pnl").alias("realised"))
+    A fold in order over rows that Spark has sorted by key and order: a task holds one state, not the fills of a key."""
+    keys = ["account", "symbol"]
+    rows = fills.select(*keys, *order, F.col("px").alias("__px"), F.col("qty").alias("__q"))
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, "__px", "__q")
+    kinds = dict(fills.dtypes)
+    schema = f"account {kinds['account']}, symbol {kinds['symbol']}, fills long, position double, average_price double, realised double"
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in range(6)]
+        types: list = []
+        key, n, q, avg, pnl = None, 0, 0.0, 0.0, 0.0
+
+        def close() -> None:
+            for column, value in zip(out, (*key, n, q, avg, pnl)):
+                column.append(value)
+
+        for b in batches:
+            types = types or [b.schema.types[0], b.schema.types[1], pa.int64(), *[pa.float64()] * 3]
+            for *own, px, dq in zip(*[c.to_pylist() for c in b.columns]):
+                if own != key:
+                    if key is not None:
+                        close()
+                    key, n, q, avg, pnl = own, 0, 0.0, 0.0, 0.0
+                n, after = n + 1, q + dq
+                if q == 0 or (q > 0) == (dq > 0):
+                    avg = (abs(q) * avg + abs(dq) * px) / (abs(q) + abs(dq)) if after else 0.0
+                else:
+                    pnl += min(abs(q), abs(dq)) * (px - avg) * (1 if q > 0 else -1)
+                    avg = 0.0 if after == 0 else avg if (after > 0) == (q > 0) else px
+                q = after
+        if key is not None:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["account", "symbol", "fills", "position", "average_price", "realised"])
+
+    return dealt.mapInArrow(folded, schema)
 
 
 def entitlements(positions: DataFrame, actions: DataFrame, order: list[str]) -> DataFrame:

@@ -106,9 +106,20 @@ def reconcile(computed: DataFrame, expected: DataFrame, key: str, value: str, to
     return computed.join(e, key, "left").select(key, delta.alias("delta"), status.alias("status"))
 
 
-def content_hash(rows: DataFrame, order: list[Column], bucket: Column) -> DataFrame:
-    """One hash of all rows in order: a hash of each bucket's rows, then of the buckets in order. Buckets follow the order."""
+def _tree(rows: DataFrame, by: Column, order: str) -> DataFrame:
+    """One level: the hash of each group's hashes in order, with its count."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("h").alias("h")))), lambda s: s["h"]), "")
+    return rows.groupBy(by.alias("g")).agg(F.sha2(joined, 256).alias("h"), F.sum("n").alias("n"))
+
+
+def content_hash(rows: DataFrame, order: list[Column], bucket: Column, fan: int = 4096) -> DataFrame:
+    """One hash of all rows in order: of each bucket's rows, then of `fan` buckets at a time, twice, then of what is left.
+
+    bucket is a whole number that does not fall along the order; no level gathers more than a bucket or fan hashes while
+    there are fewer than fan cubed buckets."""
     line = F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256)
-    keyed = rows.select(bucket.alias("__b"), F.struct(*order).alias("__o"), line.alias("__h"))
-    parts = keyed.groupBy("__b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__o", "__h"))), lambda s: s["__h"]), ""), 256).alias("__h"), F.count("*").alias("__n"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__h"))), lambda s: s["__h"]), ""), 256).alias("hash"), F.sum("__n").alias("rows"))
+    leaf = rows.select(F.struct(*order).alias("o"), bucket.cast("long").alias("b"), line.alias("h"), F.lit(1).alias("n"))
+    level = _tree(leaf, F.col("b"), "o")
+    for _ in range(2):
+        level = _tree(level, F.floor(F.col("g") / fan), "g")
+    return _tree(level, F.lit(0), "g").select(F.col("h").alias("hash"), F.col("n").alias("rows"))
