@@ -126,7 +126,7 @@ def train(x: np.ndarray, share: np.ndarray, hidden: int = 128, epochs: int = 40,
     return Router(*p)
 
 
-def fit(x: np.ndarray, parts: int = 16, k: int = 10, wanted: float = 0.94, top: int = 5) -> Router:
+def fit(x: np.ndarray, parts: int = 16, k: int = 10, wanted: float = 0.95, top: int = 5) -> Router:
     """Learn a router from sampled vectors; probes reach the wanted recall on a fifth that is kept back from the fit.
 
     A sample too small for parts of 64 vectors gets fewer parts, one in the end."""
@@ -177,7 +177,7 @@ def best(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np.ndarray, top:
             yield int(asked[i]), ids[at][order], exact[order]
 
 
-def search(vectors: DataFrame, is_query: Column, top: int = 5, parts: int = 16, sample: int = 4096, wanted: float = 0.94, rows_a_block: int = 8192, queries_a_block: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, top: int = 5, parts: int = 16, sample: int = 4096, wanted: float = 0.95, rows_a_block: int = 8192, queries_a_block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows of each query by cosine, nearest first, ties to the smaller vec_id.
 
     vectors has vec_id and embedding; other columns are ignored. Queries are the rows where is_query holds. Rows
