@@ -21,14 +21,17 @@ def sql(body: str) -> str:
     return with_views("monthly", "WITH z AS (SELECT 1)" + body)
 
 
-def chosen(spark, sf, most: int = 25):
-    return st.pairs(monthly(spark, sf).where(F.col("series") < most), ["m"])
+def chosen(spark, sf):
+    return st.pairs(monthly(spark, sf), ["m"])
 
 
-@register("align_series", sql(" SELECT m, round(max(CASE WHEN series = 0 THEN value END), 2) AS s_0, round(max(CASE WHEN series = 1 THEN value END), 2) AS s_1, round(max(CASE WHEN series = 2 THEN value END), 2) AS s_2 FROM monthly WHERE series IN (0, 1, 2) GROUP BY m HAVING count(DISTINCT series) = 3"))
+SERIES = range(25)  # nation keys
+
+
+@register("align_series", sql(" SELECT m, " + ", ".join(f"round(max(CASE WHEN series = {k} THEN value END), 2) AS s_{k}" for k in SERIES) + " FROM monthly GROUP BY m HAVING count(DISTINCT series) = 25"))
 def align_series(spark, sf):
-    """Months that three series share."""
-    return st.align(monthly(spark, sf), [0, 1, 2], ["m"]).select("m", *[F.round(f"s_{k}", 2).alias(f"s_{k}") for k in range(3)])
+    """Months that all series share, one column each."""
+    return st.align(monthly(spark, sf), list(SERIES), ["m"]).select("m", *[F.round(f"s_{k}", 2).alias(f"s_{k}") for k in SERIES])
 
 
 @register("period_transform", sql(" SELECT series, m, round(value - lag(value) OVER w, 2) + 0.0 AS change, CASE WHEN value > 0 AND lag(value) OVER w > 0 THEN round(ln(value / lag(value) OVER w), 6) + 0.0 END AS log_return FROM monthly WINDOW w AS (PARTITION BY series ORDER BY m)"))
@@ -46,19 +49,19 @@ def pair_correlations(spark, sf):
     return st.pair_table(chosen(spark, sf)).select("a", "b", "n", r6("pearson").alias("pearson"), r6("spearman").alias("spearman"))
 
 
-@register("lagged_xcorr", sql(P + f""", i AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY m) AS i FROM pr WHERE b < 4)
+@register("lagged_xcorr", sql(P + f""", i AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY m) AS i FROM pr)
   SELECT l.a, l.b, CAST(k AS INTEGER) AS lag, count(*) AS n, {cor('l.x', 'r.y', 6)} AS pearson FROM i l CROSS JOIN range(-6, 7) AS g(k) JOIN i r ON l.a = r.a AND l.b = r.b AND l.i + k = r.i GROUP BY ALL"""))
 def lagged_xcorr(spark, sf):
     """Correlation at lags of up to six months."""
-    return st.lagged(chosen(spark, sf, 4), ["m"], 6).select("a", "b", "lag", "n", r6("pearson").alias("pearson"))
+    return st.lagged(chosen(spark, sf), ["m"], 6).select("a", "b", "lag", "n", r6("pearson").alias("pearson"))
 
 
-@register("rolling_corr", sql(P + f""", i AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY m) AS i FROM pr WHERE b < 4), w AS (SELECT l.a, l.b, l.i AS "end", r.x, r.y FROM i l JOIN i r ON l.a = r.a AND l.b = r.b AND r.i BETWEEN l.i - 11 AND l.i WHERE l.i >= 12),
+@register("rolling_corr", sql(P + f""", i AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY m) AS i FROM pr), w AS (SELECT l.a, l.b, l.i AS "end", r.x, r.y FROM i l JOIN i r ON l.a = r.a AND l.b = r.b AND r.i BETWEEN l.i - 11 AND l.i WHERE l.i >= 12),
   rk AS (SELECT *, rank() OVER (PARTITION BY a, b, "end" ORDER BY x) + (count(*) OVER (PARTITION BY a, b, "end", x) - 1) / 2 AS rx, rank() OVER (PARTITION BY a, b, "end" ORDER BY y) + (count(*) OVER (PARTITION BY a, b, "end", y) - 1) / 2 AS ry FROM w)
   SELECT a, b, CAST("end" AS INTEGER) AS "end", {cor()} AS pearson, {cor('rx', 'ry')} AS spearman FROM rk GROUP BY ALL"""))
 def rolling_corr(spark, sf):
     """Correlations over trailing windows of twelve months."""
-    return st.rolling(chosen(spark, sf, 4), ["m"], 12).select("a", "b", "end", r6("pearson").alias("pearson"), r6("spearman").alias("spearman"))
+    return st.rolling(chosen(spark, sf), ["m"], 12).select("a", "b", "end", r6("pearson").alias("pearson"), r6("spearman").alias("spearman"))
 
 
 @register("ew_corr", sql(P + """, w AS (SELECT *, pow(0.9, row_number() OVER (PARTITION BY a, b ORDER BY m DESC) - 1) AS w FROM pr), c AS (SELECT *, sum(w * x) OVER p / sum(w) OVER p AS mx, sum(w * y) OVER p / sum(w) OVER p AS my FROM w WINDOW p AS (PARTITION BY a, b))
@@ -68,19 +71,19 @@ def ew_corr(spark, sf):
     return st.exponential(chosen(spark, sf), ["m"], 0.1).select("a", "b", r6("ew_correlation").alias("ew_correlation"))
 
 
-@register("distance_corr", sql(P + """, i AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY x, y) AS i FROM pr WHERE b < 4), g AS (SELECT l.a, l.b, l.i, r.i AS j, abs(l.x - r.x) AS p, abs(l.y - r.y) AS q FROM i l JOIN i r ON l.a = r.a AND l.b = r.b),
+@register("distance_corr", sql(P + """, i AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY x, y) AS i FROM pr), g AS (SELECT l.a, l.b, l.i, r.i AS j, abs(l.x - r.x) AS p, abs(l.y - r.y) AS q FROM i l JOIN i r ON l.a = r.a AND l.b = r.b),
   c AS (SELECT a, b, p - avg(p) OVER (PARTITION BY a, b, i) - avg(p) OVER (PARTITION BY a, b, j) + avg(p) OVER (PARTITION BY a, b) AS cp, q - avg(q) OVER (PARTITION BY a, b, i) - avg(q) OVER (PARTITION BY a, b, j) + avg(q) OVER (PARTITION BY a, b) AS cq FROM g)
   SELECT a, b, round(least(1, sqrt(greatest(0, sum(cp * cq) / sqrt(sum(cp * cp) * sum(cq * cq))))), 6) AS distance_correlation FROM c GROUP BY a, b"""))
 def distance_corr(spark, sf):
-    """Distance correlation of a few pairs."""
-    return st.distance_correlation(chosen(spark, sf, 4)).select("a", "b", r6("distance_correlation").alias("distance_correlation"))
+    """Distance correlation of every pair."""
+    return st.distance_correlation(chosen(spark, sf)).select("a", "b", r6("distance_correlation").alias("distance_correlation"))
 
 
-@register("shift_null", sql(P + """, i AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY a, b) AS n FROM pr WHERE b < 3), t AS (SELECT l.a, l.b, k AS shift, abs(covar_pop(l.x, r.y) / (stddev_pop(l.x) * stddev_pop(r.y))) AS r FROM i l CROSS JOIN LATERAL (SELECT unnest(range(l.n)) AS k) JOIN i r ON l.a = r.a AND l.b = r.b AND r.i = (l.i + k) % l.n GROUP BY ALL),
+@register("shift_null", sql(P + """, i AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY a, b) AS n FROM pr), t AS (SELECT l.a, l.b, k AS shift, abs(covar_pop(l.x, r.y) / (stddev_pop(l.x) * stddev_pop(r.y))) AS r FROM i l CROSS JOIN LATERAL (SELECT unnest(range(l.n)) AS k) JOIN i r ON l.a = r.a AND l.b = r.b AND r.i = (l.i + k) % l.n GROUP BY ALL),
   s AS (SELECT *, max(CASE WHEN shift = 0 THEN r END) OVER (PARTITION BY a, b) AS own FROM t) SELECT a, b, round(max(own), 6) AS statistic, count(*) AS shifts, round(count(*) FILTER (WHERE r >= own - 1e-14) / count(*), 6) AS p_value FROM s GROUP BY a, b"""))
 def shift_null(spark, sf):
     """Correlation against all rotations of one side."""
-    return st.shift_null(chosen(spark, sf, 3), ["m"]).select("a", "b", r6("statistic").alias("statistic"), "shifts", r6("p_value").alias("p_value"))
+    return st.shift_null(chosen(spark, sf), ["m"]).select("a", "b", r6("statistic").alias("statistic"), "shifts", r6("p_value").alias("p_value"))
 
 
 def family(spark, sf):
@@ -102,7 +105,7 @@ def by_adjust(spark, sf):
     return st.adjust(family(spark, sf), "BY", "id").select("id", r6("adjusted").alias("adjusted"))
 
 
-DIMS = 4
+DIMS = 8
 LW = "WITH " + "e AS (SELECT " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS x{k}" for k in range(DIMS)) + " FROM embeddings), " + "mu AS (SELECT count(*) AS n, " + ", ".join(f"avg(x{k}) AS m{k}" for k in range(DIMS)) + " FROM e), " + "z AS (SELECT n, " + ", ".join(f"x{k} - m{k} AS z{k}" for k in range(DIMS)) + " FROM e, mu), s AS (SELECT n, avg(pow(" + " + ".join(f"z{k} * z{k}" for k in range(DIMS)) + ", 2)) AS f, " + ", ".join(f"avg(z{i} * z{j}) AS s{i}{j}" for i in range(DIMS) for j in range(DIMS)) + " FROM z GROUP BY n), " + f"t AS (SELECT *, ({' + '.join(f's{i}{i}' for i in range(DIMS))}) / {DIMS} AS tr, {' + '.join(f's{i}{j} * s{i}{j}' for i in range(DIMS) for j in range(DIMS))} AS ns FROM s), u AS (SELECT *, (ns - {DIMS} * tr * tr) / {DIMS} AS delta FROM t), v AS (SELECT *, least(greatest((f - ns) / ({DIMS} * n), 0), delta) / delta AS h FROM u) " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round((1 - h) * s{i}{j} + {'h * tr' if i == j else '0'}, 6) + 0.0 AS covariance, round(h, 6) AS shrinkage FROM v" for i in range(DIMS) for j in range(DIMS))
 
 
@@ -120,16 +123,16 @@ def partial_correlations(spark, sf):
     return st.ledoit_wolf(e, [f"x{k}" for k in range(8)]).select("i", "j", r6("partial").alias("partial"))
 
 
-@register("block_bootstrap", with_views("monthly", """WITH g AS (SELECT row_number() OVER (ORDER BY m) - 1 AS i, value AS gain FROM monthly WHERE series = 0), n AS (SELECT count(*) AS n FROM g),
+@register("block_bootstrap", with_views("monthly", """WITH g AS (SELECT row_number() OVER (ORDER BY m) - 1 AS i, gain FROM (SELECT m, CAST(sum(CAST(value AS DECIMAL(20, 2))) AS DOUBLE) AS gain FROM monthly GROUP BY m)), n AS (SELECT count(*) AS n FROM g),
   d AS (SELECT rep, CAST('0x' || substr(md5(rep || '-' || k), 1, 8) AS BIGINT) % (n - 2) + o AS i FROM n, range(0, 200) AS a(rep), range(0, 100) AS b(k), range(0, 3) AS c(o) WHERE k * 3 + o < n),
   r AS (SELECT rep, avg(gain) AS m FROM d JOIN g USING (i) GROUP BY 1), q AS (SELECT m, row_number() OVER (ORDER BY m, rep) - 1 AS k FROM r)
   SELECT round((SELECT avg(gain) FROM g), 2) AS mean, round(max(CASE WHEN k = 5 THEN m END), 2) AS low, round(max(CASE WHEN k = 195 THEN m END), 2) AS high FROM q"""))
 def block_bootstrap(spark, sf):
-    """Moving-block interval of a series' mean; block starts from a hash, so that SQL can draw the same."""
+    """Moving-block interval of the mean monthly total; block starts from a hash, so that SQL can draw the same."""
     from pyspark.sql import Window
 
-    rows = monthly(spark, sf).where("series = 0")
-    g = rows.select((F.row_number().over(Window.partitionBy("series").orderBy("m")) - 1).alias("i"), F.col("value").alias("gain"))
+    rows = monthly(spark, sf).groupBy("m").agg(F.sum(F.col("value").cast("decimal(20,2)")).cast("double").alias("gain"))
+    g = rows.select((F.row_number().over(Window.orderBy("m")) - 1).alias("i"), "gain")  # one row a month
     n = g.count()
     draws = spark.range(200).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n // 3) - 1)))).alias("k"))
     starts = draws.withColumn("start", F.conv(F.substring(F.md5(F.concat_ws("-", "rep", "k")), 1, 8), 16, 10).cast("long") % (n - 2))
@@ -173,10 +176,10 @@ def nearest_rank(spark, sf):
     return st.nearest_rank(table(spark, sf, "orders"), "o_totalprice", [F.col("o_totalprice"), F.col("o_orderkey")], F.floor(F.col("o_totalprice") / 1000))
 
 
-@register("batch_scoring", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(1 / (1 + exp(-(0.5 * l_discount - 0.1 * l_tax + 0.01 * l_quantity))), 6) AS probability FROM lineitem WHERE l_quantity > 45")
+@register("batch_scoring", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(1 / (1 + exp(-(0.5 * l_discount - 0.1 * l_tax + 0.01 * l_quantity))), 6) AS probability FROM lineitem")
 def batch_scoring(spark, sf):
     """A predictor applied to batches of feature vectors."""
-    rows = table(spark, sf, "lineitem").where("l_quantity > 45")
+    rows = table(spark, sf, "lineitem")
 
     def load():
         import numpy as np

@@ -79,12 +79,12 @@ def market_fill_price(spark, sf):
     return out.select(F.col("seq").alias("id"), F.col("q_seq").alias("quote"), r6("fill_px").alias("fill_px"), r6("fill_fee").alias("fill_fee"))
 
 
-@register("limit_fill", with_views("trades", f"""WITH o AS (SELECT seq AS id, symbol, side, t, t + {6 * HOUR} AS until, px AS "limit", qty * 2 AS qty FROM trades WHERE seq % 5 = 0), m AS (SELECT o.*, p.seq AS ps, p.t AS pt, p.qty * 0.25 AS offered FROM o JOIN trades p ON p.symbol = o.symbol AND p.t > o.t AND p.t <= o.until AND ((o.side = 1 AND p.px <= o."limit") OR (o.side = -1 AND p.px >= o."limit"))),
+@register("limit_fill", with_views("trades", f"""WITH o AS (SELECT seq AS id, symbol, side, t, t + {6 * HOUR} AS until, px AS "limit", qty * 2 AS qty FROM trades), m AS (SELECT o.*, p.seq AS ps, p.t AS pt, p.qty * 0.25 AS offered FROM o JOIN trades p ON p.symbol = o.symbol AND p.t > o.t AND p.t <= o.until AND ((o.side = 1 AND p.px <= o."limit") OR (o.side = -1 AND p.px >= o."limit"))),
   b AS (SELECT *, coalesce(sum(offered) OVER (PARTITION BY id ORDER BY pt, ps ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m) SELECT id, ps AS print_seq, round(greatest(0, least(offered, qty - before)), 6) AS filled FROM b WHERE least(offered, qty - before) > 0"""))
 def limit_fill(spark, sf):
     """Passive orders filled by a quarter of each print at or through their limit within six hours."""
     t = trades(spark, sf)
-    o = t.where("seq % 5 = 0").select(F.col("seq").alias("id"), "symbol", "side", "t", (F.col("t") + 6 * HOUR).alias("until"), F.col("px").alias("limit"), (F.col("qty") * 2).alias("qty"))
+    o = t.select(F.col("seq").alias("id"), "symbol", "side", "t", (F.col("t") + 6 * HOUR).alias("until"), F.col("px").alias("limit"), (F.col("qty") * 2).alias("qty"))
     return lg.limit_fills(o, t, 0.25, 6 * HOUR).select("id", "print_seq", r6("filled").alias("filled"))
 
 
