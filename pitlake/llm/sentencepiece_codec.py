@@ -38,6 +38,7 @@ class Codec:
         self.longest = max(map(len, self.ids), default=1)
         self.special = special
         self._fits: dict[int, bool] = {}
+        self._spelled: pa.Array | None = None
         self._known: dict[str, Sequence[int]] = {}
         self.ways: list[dict[str, int]] = []  # the automaton, made when a first text is encoded
         self.floor = min((scores[i] for i in self.ids.values()), default=0.0) - 10.0
@@ -227,6 +228,20 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
+    def decode_all(self, lists: pa.ListArray) -> pa.Array:
+        """decode() of each list; a null list is empty. Pieces are looked up and joined for the whole batch at once."""
+        if self._spelled is None:
+            spelled = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.special else p.encode("utf-8", "surrogatepass") for i, p in enumerate(self.pieces)]
+            self._spelled = pa.array(spelled, pa.binary())
+        lists = pc.fill_null(lists, pa.scalar([], lists.type)) if lists.null_count else lists
+        raw = pc.binary_join(pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy() - lists.offsets[0].as_py()), self._spelled.take(lists.flatten())), b"")
+        try:
+            text = pc.replace_substring(raw.cast(pa.string()), MARK, " ")
+        except pa.ArrowInvalid:  # byte pieces that make up no UTF-8
+            text = pa.array([b.decode("utf-8", "replace").replace(MARK, " ") for b in raw.to_pylist()], pa.string())
+        return pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
+
+
 _LOADED: dict[str, Codec] = {}
 
 
@@ -261,7 +276,6 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                texts = [c.decode(x or []) for x in part.column("ids").to_pylist()]
-                yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "text"])
+                yield pa.record_batch([*part.columns, c.decode_all(part.column("ids"))], [*part.schema.names, "text"])
 
     return kept.mapInArrow(decoded, T.StructType([*kept.schema.fields, T.StructField("text", T.StringType())]))

@@ -54,6 +54,15 @@ def test_unigram_is_the_best_path():
         assert abs(sum(scores[i] for i in ids) - best(word)) < 1e-9
 
 
+@needs_model
+def test_decoding_of_whole_batches():
+    codec = sc.Codec.load(MODEL)
+    lists = [*ids_of(codec, ODD), [], [198], [3, 258, 1], [codec.byte_ids[0xE2], 28705]]
+    both = pa.array([*lists, None], pa.list_(pa.int32()))
+    assert codec.decode_all(both).to_pylist() == [*map(codec.decode, lists), ""]
+    assert codec.decode_all(both.slice(3, 5)).to_pylist() == [codec.decode(x) for x in lists[3:8]]
+
+
 @needs_model
 def test_columns(spark):
     docs = spark.createDataFrame([(1, "a b", 1), (None, None, 2), (2, "", 3), (2, "", 3), (3, "c" * 3000, 4)], "doc_id long, text string, ids int")
