@@ -18,8 +18,7 @@ from pitlake.session import table
 def overlap_leak(spark, sf):
     """Unpurged training rows whose label runs into the test block."""
     f = lb.folds(spark, sf).where("role = 'test'").select("fold", "role", "pos", "start", "end")
-    rec, _ = ev.policy_masks(lb.records(spark, sf))
-    spans = ev.label_intervals(rec, "t", HOUR, F.floor(F.col("t") / DAY), "seq")
+    spans = lb.intervals(spark, sf)
     first = f.groupBy("fold").agg(F.min("pos").alias("tp"))
     naive = spans.join(F.broadcast(first), (F.col("pos") < F.col("tp")) & (F.col("pos") >= F.col("tp") - 50)).select("fold", F.lit("train").alias("role"), "pos", "start", "end")
     return pr.overlap_leak(f.unionByName(naive), "pos", HOUR).select("probe", "item")
@@ -106,8 +105,8 @@ def mutation_invariance(spark, sf):
 @register("leaky_vs_purged")
 def leaky_vs_purged(spark, sf):
     """Ranks of the policies on random folds, where a leaky one wins, and on purged folds, where it is blocked."""
-    rec, masks = ev.policy_masks(lb.records(spark, sf))
-    spans = ev.label_intervals(rec, "t", HOUR, F.floor(F.col("t") / DAY), "seq")
+    _, masks = ev.policy_masks(lb.records(spark, sf))
+    spans = lb.intervals(spark, sf)
     _, test = ev.fold_sizes(spans.count(), lb.FOLDS)
     mixed = ev.naive_folds(spans, lb.FOLDS, test, 7, F.floor(F.col("t") / DAY), "seq")
     naive = ev.policy_summary(ev.leaderboard(mixed, masks | {"leaky_future": F.col("markout") > 0}, "markout"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +25,14 @@ def records(spark: SparkSession, sf: str, horizon: int = HORIZON) -> DataFrame:
     return j.withColumn("markout", ev.markout_bps(F.col("side"), F.col("mid"), F.col("px"))).where("markout is not null")
 
 
-def folds(spark: SparkSession, sf: str) -> DataFrame:
+def intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Records with their label interval and position, kept, as folds read them several times; lost parts are computed again."""
     rec, _ = ev.policy_masks(records(spark, sf))
-    spans = ev.label_intervals(rec, "t", HORIZON, F.floor(F.col("t") / DAY), "seq")
+    return ev.label_intervals(rec, "t", HORIZON, F.floor(F.col("t") / DAY), "seq").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def folds(spark: SparkSession, sf: str) -> DataFrame:
+    spans = intervals(spark, sf)
     train, test = ev.fold_sizes(spans.count(), FOLDS)
     return ev.walk_forward(spans, FOLDS, train, test, HORIZON, HORIZON)
 
