@@ -27,14 +27,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Paths that cut() has written in this process.
+_WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as a table in the shared folder and read it back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pitlake-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that cut() wrote in this process, once results that read them are stored; returns their number."""
+    jvm, done = spark._jvm, 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done
+
+
 def holdout(doc_id: Column) -> Column:
     """True for the documents that no model learns from: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))

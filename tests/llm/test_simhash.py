@@ -81,3 +81,4 @@ def test_near_duplicates(spark, sf):
 def test_cut_survives_reading_twice(spark):
     df = common.cut(spark.range(10).withColumn("a", F.array("id")), "t")
     assert df.count() == df.count() == 10
+    assert common.release(spark) >= 1 and common.release(spark) == 0
