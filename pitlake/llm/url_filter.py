@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitlake.llm.common import cut
+
 #: Labels of a host, and path segments, that a pattern may have at most.
 HOST_LABELS, PATH_PARTS = 6, 3
 
@@ -62,19 +64,21 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
         last = F.least(F.date_sub(F.coalesce("until", F.lit(span["z"])), F.when(F.col("until").isNull(), 0).otherwise(1)), F.lit(span["z"]))
         listed = listed.withColumn("__a", F.greatest("since", F.lit(span["a"]))).withColumn("__z", last)
         listed = listed.where(F.col("__a") <= F.col("__z")).withColumn("__m", F.explode(_months(F.col("__a"), F.col("__z")))).drop("__a", "__z")
+    listed = cut(listed, "intervals")  # read once for each level; its size then tells Spark how to join
     labels = F.split("__host", r"\.")
     parts = F.filter(F.split(path(F.col("url")), "/"), lambda x: x != "")
     # one more part than is there gives null, and joins nothing
     deep = F.regexp_count(path(F.col("url")), F.lit("/[^/]+(?=/)"))
-    out = kept.withColumn("__host", host(F.col("url"))).withColumn("__m", F.trunc("fetched_at", "month"))
     keys = [F.when(deep >= n, F.concat(F.col("__host"), F.lit("/"), F.concat_ws("/", F.slice(parts, 1, n)), F.lit("/"))) for n in range(PATH_PARTS, 0, -1)]
     keys += [F.concat(F.col("__host"), F.lit("/"))]
     # all of the host, then from its second label on, and so on down to two labels
     keys += [F.when(F.size(labels) - n >= min(2, n + 1), F.array_join(F.slice(labels, n + 1, HOST_LABELS + 8), ".")) for n in range(HOST_LABELS)]
-    found = []
-    for n, key in enumerate(keys):
-        side = listed.select(F.col("pattern").alias(f"__p{n}"), F.col("__m").alias(f"__m{n}"), F.col("since").alias(f"__s{n}"), F.col("until").alias(f"__u{n}"), F.col("verdict").alias(f"__v{n}"))
-        on = (F.col("__k") == F.col(f"__p{n}")) & (F.col("__m") == F.col(f"__m{n}")) & (F.col("fetched_at") >= F.col(f"__s{n}")) & (F.col(f"__u{n}").isNull() | (F.col("fetched_at") < F.col(f"__u{n}")))
-        out = out.withColumn("__k", key).join(side, on, "left").drop(f"__m{n}", f"__u{n}")
+    # all keys at once, then one join a level: the plan grows by a join, not by a projection too
+    named = kept.withColumn("__host", host(F.col("url"))).select(*kept.columns, F.trunc("fetched_at", "month").alias("__m"), *[k.alias(f"__k{n}") for n, k in enumerate(keys)])
+    out, found = named, []
+    for n in range(len(keys)):
+        side = listed.select(*[F.col(c).alias(f"__{a}{n}") for a, c in (("p", "pattern"), ("m", "__m"), ("s", "since"), ("u", "until"), ("v", "verdict"))])
+        on = (F.col(f"__k{n}") == F.col(f"__p{n}")) & (F.col("__m") == F.col(f"__m{n}")) & (F.col("fetched_at") >= F.col(f"__s{n}")) & (F.col(f"__u{n}").isNull() | (F.col("fetched_at") < F.col(f"__u{n}")))
+        out = out.join(side, on, "left")
         found.append(F.when(F.col(f"__v{n}").isNotNull(), F.struct(F.col(f"__v{n}").alias("verdict"), F.col(f"__p{n}").alias("pattern"), F.col(f"__s{n}").alias("since"))))
-    return out.withColumn("__f", F.coalesce(*found)).select(*kept.columns, "__f.verdict", "__f.pattern", "__f.since")
+    return out.select(*kept.columns, F.coalesce(*found).alias("__f")).select(*kept.columns, "__f.verdict", "__f.pattern", "__f.since")
