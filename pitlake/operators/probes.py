@@ -26,6 +26,13 @@ def normaliser_leak(folds: DataFrame, fitted: DataFrame, row: str) -> DataFrame:
     return _found(test.join(fitted.select(F.col(row).alias("__row")).distinct(), "__row", "left_semi"), "full_sample_normalization", F.concat_ws(":", "fold", "__row"))
 
 
+def unpurged(intervals: DataFrame, tests: DataFrame) -> DataFrame:
+    """As training rows of each fold, all rows before its test block that end at its first start or later; an earlier end meets no test row."""
+    bounds = tests.groupBy("fold").agg(F.min("pos").alias("__tp"), F.min("start").alias("__ts"))
+    naive = intervals.join(F.broadcast(bounds), (F.col("pos") < F.col("__tp")) & (F.col("end") >= F.col("__ts")))
+    return naive.select("fold", F.lit("train").alias("role"), "pos", "start", "end")
+
+
 def overlap_leak(folds: DataFrame, row: str, width: int) -> DataFrame:
     """Training rows whose closed label interval meets one of the fold's test rows."""
     columns = ["fold", row, "start", "end"]

@@ -19,8 +19,7 @@ def overlap_leak(spark, sf):
     """Unpurged training rows whose label runs into the test block."""
     f = lb.folds(spark, sf).where("role = 'test'").select("fold", "role", "pos", "start", "end")
     spans = lb.intervals(spark, sf)
-    first = f.groupBy("fold").agg(F.min("pos").alias("tp"))
-    naive = spans.join(F.broadcast(first), (F.col("pos") < F.col("tp")) & (F.col("pos") >= F.col("tp") - 50)).select("fold", F.lit("train").alias("role"), "pos", "start", "end")
+    naive = pr.unpurged(spans, f)
     return pr.overlap_leak(f.unionByName(naive), "pos", HOUR).select("probe", "item")
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitlake.operators import evaluate as ev
+from pitlake.operators import probes as pr
 from pitlake.operators.asof import asof_join
 from pitlake.operators.numbering import number, running_max, running_sum
 
@@ -94,3 +95,15 @@ def test_rank_shift_blocks_the_leaky_policy(spark):
     a = spark.createDataFrame([("leak", 1), ("x", 2)], "policy string, rank int")
     b = spark.createDataFrame([("x", 1)], "policy string, rank int")
     assert {r.policy: (r.delta, r.status) for r in ev.rank_shift(a, b).collect()} == {"leak": (None, "blocked"), "x": (1, "ranked")}
+
+
+def test_unpurged_rows_are_all_that_reach_the_test_block(spark):
+    rows = [(i, 25 * i, 25 * i + 3600 + (i % 5) * 100) for i in range(600)]  # some 150 rows an hour
+    spans = spark.createDataFrame(rows, "pos long, start long, end long")
+    tests = spans.where("pos >= 300").withColumn("fold", F.floor((F.col("pos") - 300) / 100).cast("int")).select("fold", F.lit("test").alias("role"), "pos", "start", "end")
+    got = {r.item for r in pr.overlap_leak(tests.unionByName(pr.unpurged(spans, tests)), "pos", 3600).collect()}
+    want = set()
+    for k in range(3):
+        block = [r for r in rows if 300 + 100 * k <= r[0] < 400 + 100 * k]
+        want |= {f"{k}:{p}" for p, s, e in rows[: 300 + 100 * k] if any(s <= z and a <= e for _, a, z in block)}
+    assert got == want and len(want) > 3 * 140
