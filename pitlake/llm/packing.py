@@ -5,6 +5,10 @@ source nor a large group of copies meets in one chunk; each chunk is packed by i
 open bins stand in order of what is left in them. Each bin carries a bitmap of the sources and one of the
 duplicate clusters in it. A piece goes to the tightest bin that holds it and shares no bit with it: the
 search starts at the successor of its length and goes on to larger bins until one is compatible.
+
+Only documents of one chunk can meet in a bin, so near copies are looked for within each chunk. A pair is near
+if its sets of five-word shingles have a Jaccard index of 0.8 or more; such pairs share one of their rarest
+shingles (prefix filtering), and each pair so met is verified, so that none is missed.
 """
 
 from __future__ import annotations
@@ -12,11 +16,16 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitlake.llm.common import WORD
+from pitlake.llm.simhash import hashes
+
+#: Near copies: words of a shingle.
+SHINGLE = 5
 
 _ARROW = pa.schema([("bin_id", pa.int64()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32())])
 SCHEMA = "bin_id long, slot int, doc_id long, piece int, start long, length int"
@@ -60,6 +69,42 @@ def best_fit(items: list[tuple], capacity: int) -> list[tuple[int, int]]:
     return out
 
 
+def near_groups(sets: list[np.ndarray]) -> list[int]:
+    """For each set of shingle hashes the first index of its group: sets of a Jaccard index of 0.8 or more, and all linked by such."""
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    if not sets or not (total := sum(map(len, sets))):
+        return root
+    found, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(found), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(found))  # rarest first
+    alone = int((counts == 1).sum())  # ranks below belong to one set
+    ends = np.cumsum([len(x) for x in sets])
+    ranks = [np.sort(x) for x in np.split(rank[at.reshape(total)], ends[:-1])]
+    postings: dict[int, list[int]] = {}
+    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        n, met = len(ranks[i]), set()
+        prefix = ranks[i][: n - (4 * n + 4) // 5 + 1] if n else ranks[i]
+        prefix = prefix[prefix >= alone].tolist()
+        for r in prefix:
+            met.update(postings.get(r, ()))
+        for j in met:
+            m = len(ranks[j])
+            if 5 * m >= 4 * n and find(i) != find(j):
+                both = len(np.intersect1d(ranks[i], ranks[j], assume_unique=True))
+                if 9 * both >= 4 * (n + m):
+                    a, b = sorted((find(i), find(j)))
+                    root[b] = a
+        for r in prefix:
+            postings.setdefault(r, []).append(i)
+    return [find(i) for i in range(len(sets))]
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -73,27 +118,35 @@ def pack(docs: DataFrame, capacity: int = 2048, length: Column | None = None, so
     """Pack every document of docs; returns one row for each piece: bin_id, slot, doc_id, piece, start, length.
 
     length: units of a document (words by default); source and cluster: what must not meet in a bin (the source
-    column and exact copies by default). A document longer than capacity is cut into pieces of capacity and a
+    column, and exact and near copies of the text, by default). A document longer than capacity is cut into pieces of capacity and a
     rest; start is a piece's first unit. chunk: documents packed together, which bounds a task's memory.
     A document of length 0 or null fills nothing: it has a row with null bin_id. Repeated rows and rows without
     an id are packed each by itself; null sources and clusters conflict with nothing. Columns of docs beyond
     doc_id and those read by the three expressions are ignored."""
     length = word_count(F.col("text")) if length is None else length
     source = F.col("source") if source is None else source
+    near = F.col("text") if cluster is None else F.lit(None)
     cluster = exact_cluster(F.col("text")) if cluster is None else cluster
     chunks = max(1, -(-docs.count() // chunk))
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(length.cast("long"), F.lit(0)).alias("n"), source.cast("string").alias("s"), cluster.cast("string").alias("c"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(length.cast("long"), F.lit(0)).alias("n"), source.cast("string").alias("s"), cluster.cast("string").alias("c"), near.cast("string").alias("t"))
     # without an id, and for repeated rows of one id, the rest of the row deals
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "n", "c"), F.lit(chunks)))
 
     def packed(table: pa.Table) -> pa.Table:
+        texts, first_of = table.column("t"), {}
+        for i, c in enumerate(table.column("c").to_pylist()):
+            if c is not None and texts[i].is_valid:
+                first_of.setdefault(c, i)
+        groups = near_groups([np.unique(hashes(texts[i].as_py(), SHINGLE)) for i in first_of.values()])
+        names = list(first_of)
+        group = {c: names[g] for c, g in zip(names, groups)}
         docs = zip(*[table.column(c).to_pylist() for c in ("doc_id", "n", "c", "s", "chunk")])
         docs = sorted(docs, key=lambda r: tuple((x is not None, x) for x in r))
         items, rows = [], []
         for doc, n, c, s, _ in docs:
             for piece, start in enumerate(range(0, n, capacity)):
                 m = min(capacity, n - start)
-                items.append((m, s, c))
+                items.append((m, s, group.get(c, c)))
                 rows.append((doc, piece, start, m))
             if n <= 0:
                 items.append(None)

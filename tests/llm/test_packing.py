@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pitlake.llm import packing
@@ -54,3 +55,43 @@ def test_copies_stay_apart_and_nothing_is_empty(spark):
     assert packing.pack(docs).select("bin_id").distinct().count() == 6
     assert packing.pack(docs.limit(0)).count() == 0
     assert packing.pack(docs, cluster=F.lit(None)).select("bin_id").distinct().count() == 1
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_near_groups_against_every_pair():
+    rng = random.Random(3)
+    for _ in range(40):
+        sets = []
+        for _ in range(60):
+            if sets and rng.random() < 0.6:
+                base = set(rng.choice(sets))
+                sets.append(set(sorted(base)[rng.randint(0, 3) :]) | {rng.randrange(200) for _ in range(rng.randint(0, 3))})
+            else:
+                sets.append({rng.randrange(200) for _ in range(rng.randint(0, 40))})
+        root = list(range(60))
+        for i in range(60):
+            for j in range(i):
+                if sets[i] and sets[j] and jaccard(sets[i], sets[j]) >= 0.8:
+                    a, b = sorted((root[i], root[j]))
+                    root = [a if r == b else r for r in root]
+        assert packing.near_groups([np.array(sorted(x), np.uint64) for x in sets]) == root
+    assert packing.near_groups([]) == []
+
+
+def test_near_copies_stay_apart(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(500)}" for _ in range(80)]
+        for k in range(4):
+            texts.append(" ".join([*words[k:], *[f"new{k}{i}" for i in range(k)]]))
+    docs = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    bins = {}
+    for r in packing.pack(docs).collect():
+        bins.setdefault(r.bin_id, []).append(r.doc_id)
+    assert len(bins) == 4
+    assert not [(i, j) for b in bins.values() for i in b for j in b if i < j and jaccard(shingles[i], shingles[j]) >= 0.8]
