@@ -3,9 +3,10 @@
 Dated list entries become validity intervals: an entry holds from its date until the next entry of the same
 pattern, or for good. A capture is judged by the entries active when it was fetched. Patterns are hosts
 with all below them ("example.org") or host and path prefix up to a slash ("example.org/blog/"); the most
-specific active entry decides. Each pattern level is one as-of join: an equality on (pattern, month) with the
+specific active entry decides. A capture has one row for each suffix of its host and each prefix of its path, as
+deep as any entry of the list goes; one as-of join takes them all: an equality on (pattern, month) with the
 interval as its condition. Intervals of a pattern do not overlap, so a capture meets at most one on each
-level, and no list is collected. Spark broadcasts a level's entries where their measured size allows it and else
+level, and no list is collected. Spark broadcasts the entries where their measured size allows it and else
 joins by shuffle, splitting a hot host's captures.
 """
 
@@ -16,9 +17,6 @@ from pyspark.sql import functions as F
 
 from pitlake.llm.common import cut
 
-#: Labels of a host, and path segments, that a pattern may have at most.
-HOST_LABELS, PATH_PARTS = 6, 3
-
 
 def host(url: Column) -> Column:
     """Lower-case host of an http(s) URL without user, port and final dot; null for anything else."""
@@ -37,9 +35,11 @@ def intervals(entries: DataFrame) -> DataFrame:
     """Validity intervals (pattern, verdict, since, until) of dated entries (pattern, verdict, listed_at).
 
     until is the date of the pattern's next entry, exclusive, or null. Of entries of one pattern and date the
-    verdict "block" wins over others, then the smallest. Entries with a null pattern, date or verdict do not count."""
+    verdict "block" wins over others, then the smallest. Entries with a null pattern, date or verdict do not count.
+    Case does not matter in the host of a pattern; it does in its path."""
     some = entries.where(F.col("pattern").isNotNull() & F.col("listed_at").isNotNull() & F.col("verdict").isNotNull())
-    best = some.groupBy(F.lower("pattern").alias("pattern"), F.col("listed_at").cast("date").alias("since")).agg(F.min(F.struct((F.col("verdict") != "block").alias("k"), "verdict")).alias("v"))
+    name = F.concat(F.lower(F.substring_index("pattern", "/", 1)), F.regexp_replace("pattern", "^[^/]*", ""))  # paths keep their case
+    best = some.groupBy(name.alias("pattern"), F.col("listed_at").cast("date").alias("since")).agg(F.min(F.struct((F.col("verdict") != "block").alias("k"), "verdict")).alias("v"))
     after = F.lead("since").over(Window.partitionBy("pattern").orderBy("since"))
     return best.select("pattern", F.col("v.verdict").alias("verdict"), "since", after.alias("until"))
 
@@ -64,21 +64,20 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
         last = F.least(F.date_sub(F.coalesce("until", F.lit(span["z"])), F.when(F.col("until").isNull(), 0).otherwise(1)), F.lit(span["z"]))
         listed = listed.withColumn("__a", F.greatest("since", F.lit(span["a"]))).withColumn("__z", last)
         listed = listed.where(F.col("__a") <= F.col("__z")).withColumn("__m", F.explode(_months(F.col("__a"), F.col("__z")))).drop("__a", "__z")
-    listed = cut(listed, "intervals")  # read once for each level; its size then tells Spark how to join
+    listed = cut(listed, "intervals")
+    most = listed.agg(F.max(F.size(F.split(F.substring_index("pattern", "/", 1), r"\."))).alias("labels"), F.max(F.regexp_count("pattern", F.lit("/"))).alias("slashes")).first()
+    most_labels, most_parts = most["labels"] or 1, max(0, (most["slashes"] or 0) - 1)
+    # what is judged: each URL and date once; captures take the answer back
+    judged = kept.select("url", "fetched_at", host(F.col("url")).alias("__host")).where("__host is not null and fetched_at is not null").distinct()
     labels = F.split("__host", r"\.")
     parts = F.filter(F.split(path(F.col("url")), "/"), lambda x: x != "")
-    # one more part than is there gives null, and joins nothing
     deep = F.regexp_count(path(F.col("url")), F.lit("/[^/]+(?=/)"))
-    keys = [F.when(deep >= n, F.concat(F.col("__host"), F.lit("/"), F.concat_ws("/", F.slice(parts, 1, n)), F.lit("/"))) for n in range(PATH_PARTS, 0, -1)]
-    keys += [F.concat(F.col("__host"), F.lit("/"))]
-    # all of the host, then from its second label on, and so on down to two labels
-    keys += [F.when(F.size(labels) - n >= min(2, n + 1), F.array_join(F.slice(labels, n + 1, HOST_LABELS + 8), ".")) for n in range(HOST_LABELS)]
-    # all keys at once, then one join a level: the plan grows by a join, not by a projection too
-    named = kept.withColumn("__host", host(F.col("url"))).select(*kept.columns, F.trunc("fetched_at", "month").alias("__m"), *[k.alias(f"__k{n}") for n, k in enumerate(keys)])
-    out, found = named, []
-    for n in range(len(keys)):
-        side = listed.select(*[F.col(c).alias(f"__{a}{n}") for a, c in (("p", "pattern"), ("m", "__m"), ("s", "since"), ("u", "until"), ("v", "verdict"))])
-        on = (F.col(f"__k{n}") == F.col(f"__p{n}")) & (F.col("__m") == F.col(f"__m{n}")) & (F.col("fetched_at") >= F.col(f"__s{n}")) & (F.col(f"__u{n}").isNull() | (F.col("fetched_at") < F.col(f"__u{n}")))
-        out = out.join(side, on, "left")
-        found.append(F.when(F.col(f"__v{n}").isNotNull(), F.struct(F.col(f"__v{n}").alias("verdict"), F.col(f"__p{n}").alias("pattern"), F.col(f"__s{n}").alias("since"))))
-    return out.select(*kept.columns, F.coalesce(*found).alias("__f")).select(*kept.columns, "__f.verdict", "__f.pattern", "__f.since")
+    # the host and its parents of two labels or more, then paths, each above all that is shorter
+    hosts = F.filter(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most_labels))), lambda n: (n >= 2) | (F.size(labels) == 1))
+    hosts = F.transform(hosts, lambda n: F.struct(n.alias("level"), F.array_join(F.slice(labels, -n, n), ".").alias("key")))
+    paths = F.sequence(F.lit(0), F.least(deep, F.lit(most_parts)))
+    paths = F.transform(paths, lambda n: F.struct((n + most_labels + 1).alias("level"), F.concat(F.col("__host"), F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/"), F.when(n > 0, "/").otherwise("")).alias("key")))
+    keyed = judged.select("url", "fetched_at", F.trunc("fetched_at", "month").alias("__month"), F.explode(F.concat(hosts, paths)).alias("__k"))
+    on = (F.col("__k.key") == F.col("pattern")) & (F.col("__month") == F.col("__m")) & (F.col("fetched_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))
+    found = keyed.join(listed, on).groupBy("url", "fetched_at").agg(F.max_by(F.struct("verdict", "pattern", "since"), "__k.level").alias("__f"))
+    return kept.join(found, ["url", "fetched_at"], "left").select(*kept.columns, "__f.verdict", "__f.pattern", "__f.since")

@@ -50,3 +50,22 @@ def test_empty(spark):
     none = spark.createDataFrame([], "pattern string, verdict string, listed_at date")
     assert [r.verdict for r in url_filter.judge(captures, none).collect()] == [None]
     assert url_filter.judge(captures.limit(0), none).count() == 0
+
+
+def test_deep_hosts_and_paths_and_the_case_of_paths(spark):
+    on = D(2024, 1, 1)
+    want = {
+        "https://a.b.c.d.e.f.g.example.org/": "example.org",
+        "https://h.net/1/2/3/4/5/x": "h.net/1/2/3/4/",
+        "https://h.net/1/2/3/4": None,
+        "https://Case.org/Blog/x": "case.org/Blog/",
+        "https://case.org/blog/x": None,
+        "https://p.l1.l2.l3.l4.l5.l6.l7.deep.net/": "l1.l2.l3.l4.l5.l6.l7.deep.net",
+        "https://q.deep.net/": None,
+    }
+    names = ["example.org", "h.net/1/2/3/4/", "CASE.org/Blog/", "l1.l2.l3.l4.l5.l6.l7.deep.net"]
+    entries = spark.createDataFrame([(n, "block", on) for n in names], "pattern string, verdict string, listed_at date")
+    captures = spark.createDataFrame([(u, on) for u in [*want, *want]], "url string, fetched_at date")
+    got = url_filter.judge(captures, entries).collect()
+    assert len(got) == 2 * len(want)
+    assert {r.url: r.pattern for r in got} == want
