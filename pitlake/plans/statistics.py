@@ -105,7 +105,8 @@ def by_adjust(spark, sf):
     return st.adjust(family(spark, sf), "BY", "id").select("id", r6("adjusted").alias("adjusted"))
 
 
-DIMS = 8
+COMPONENTS = 64  # of a vector
+DIMS = 8  # in the SQL of ledoit_wolf
 LW = "WITH " + "e AS (SELECT " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS x{k}" for k in range(DIMS)) + " FROM embeddings), " + "mu AS (SELECT count(*) AS n, " + ", ".join(f"avg(x{k}) AS m{k}" for k in range(DIMS)) + " FROM e), " + "z AS (SELECT n, " + ", ".join(f"x{k} - m{k} AS z{k}" for k in range(DIMS)) + " FROM e, mu), s AS (SELECT n, avg(pow(" + " + ".join(f"z{k} * z{k}" for k in range(DIMS)) + ", 2)) AS f, " + ", ".join(f"avg(z{i} * z{j}) AS s{i}{j}" for i in range(DIMS) for j in range(DIMS)) + " FROM z GROUP BY n), " + f"t AS (SELECT *, ({' + '.join(f's{i}{i}' for i in range(DIMS))}) / {DIMS} AS tr, {' + '.join(f's{i}{j} * s{i}{j}' for i in range(DIMS) for j in range(DIMS))} AS ns FROM s), u AS (SELECT *, (ns - {DIMS} * tr * tr) / {DIMS} AS delta FROM t), v AS (SELECT *, least(greatest((f - ns) / ({DIMS} * n), 0), delta) / delta AS h FROM u) " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round((1 - h) * s{i}{j} + {'h * tr' if i == j else '0'}, 6) + 0.0 AS covariance, round(h, 6) AS shrinkage FROM v" for i in range(DIMS) for j in range(DIMS))
 
 
@@ -118,9 +119,9 @@ def ledoit_wolf(spark, sf):
 
 @register("partial_correlations")
 def partial_correlations(spark, sf):
-    """Partial correlations from the inverse; a test holds it against numpy."""
-    e = table(spark, sf, "embeddings").select(*[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(8)])
-    return st.ledoit_wolf(e, [f"x{k}" for k in range(8)]).select("i", "j", r6("partial").alias("partial"))
+    """Partial correlations of all components from the inverse; a test holds it against numpy."""
+    e = table(spark, sf, "embeddings").select(*[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(COMPONENTS)])
+    return st.ledoit_wolf(e, [f"x{k}" for k in range(COMPONENTS)]).select("i", "j", r6("partial").alias("partial"))
 
 
 @register("block_bootstrap", with_views("monthly", """WITH g AS (SELECT row_number() OVER (ORDER BY m) - 1 AS i, gain FROM (SELECT m, CAST(sum(CAST(value AS DECIMAL(20, 2))) AS DOUBLE) AS gain FROM monthly GROUP BY m)), n AS (SELECT count(*) AS n FROM g),

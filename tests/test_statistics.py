@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pitlake.operators import ledger as lg
 from pitlake.operators import models as md
 from pitlake.operators import stats as st
+from pitlake.plans.statistics import partial_correlations
 
 RNG = np.random.default_rng(8)
 
@@ -146,3 +147,19 @@ def test_isotonic_and_batches(spark):
     got = [r[0] for r in df.select(st.isotonic(F.col("p"), knots)).collect()]
     assert np.allclose(got[:4], [0.2, 0.4, 0.6, 0.9]) and got[4] is None
     assert [r.probability for r in st.batch_score(df.dropna(), ["p"], lambda: lambda x: x[:, 0] / 2).collect()] == [0.0, 0.15, 0.25, 0.5]
+
+
+def test_partial_correlations_take_all_components(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(300, 64)) @ rng.normal(size=(64, 64))).astype(np.float32)
+    spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.i, r.j): r.partial for r in partial_correlations(spark, str(tmp_path)).collect()}
+    z = x.astype(float) - x.astype(float).mean(0)
+    s, n, p = z.T @ z / len(z), len(z), 64
+    mu = np.trace(s) / p
+    delta = ((s - mu * np.eye(p)) ** 2).sum() / p
+    beta = min(max((((z**2).sum(1) ** 2).mean() - (s**2).sum()) / (p * n), 0), delta)
+    prec = np.linalg.inv((1 - beta / delta) * s + beta / delta * mu * np.eye(p))
+    d = np.sqrt(np.diag(prec))
+    want = -prec / np.outer(d, d) + 2 * np.eye(p)
+    assert len(got) == 64 * 64 and all(abs(v - want[k]) < 2e-6 for k, v in got.items())
