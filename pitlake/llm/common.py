@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,16 +19,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary folder; a cluster is refused, since each machine would
+    write its part to its own disk."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.pitlake.shared.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-pitlake-")
-        spark.conf.set("spark.pitlake.shared.dir", spark.conf.get("spark.pitlake.shared.dir", path))
-        path = spark.conf.get("spark.pitlake.shared.dir")
+        spark.conf.set("spark.pitlake.shared.dir", path)
     return path
 
 
-#: Paths that cut() has written in this process.
+#: Paths that cut() has written in this process and release() has not deleted.
 _WRITTEN: list[str] = []
 
 
@@ -40,15 +45,33 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that cut() wrote in this process, once results that read them are stored; returns their number."""
+def written() -> list[str]:
+    """Paths of the tables that release() would delete."""
+    return list(_WRITTEN)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete tables that cut() wrote in this process (all, or those of paths), once what reads them is stored; returns their number."""
     jvm, done = spark._jvm, 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for name in written() if paths is None else paths:
+        _WRITTEN.remove(name)
+        path = jvm.org.apache.hadoop.fs.Path(name)
         done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return done
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores put before it until no column of df is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def holdout(doc_id: Column) -> Column:
     """True for the documents that no model learns from: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))

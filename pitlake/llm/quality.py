@@ -129,29 +129,31 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **how) -> Trees:
     """Learn labels.quality on documents outside the hold-out.
 
-    max_rows bounds the sample: the labelled rows with the smallest hash of their id. Rows without an id
-    or a label are not learned from; of several labels of one id the largest counts."""
+    max_rows bounds the sample: the labelled ids with the smallest hash. Rows without an id or a label are not
+    learned from; of several labels of one id the largest counts, and of several texts of one id the one with the
+    smallest statistics, so that the driver gets max_rows rows at most."""
     chosen = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~holdout(F.col("doc_id")))
         .groupBy(F.col("doc_id").alias("id")).agg((F.max("quality") > 0).cast("int").alias("y"))
         .orderBy(F.xxhash64("id"), "id").limit(max_rows)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")
-    found = sorted((r.doc_id, r.x, r.y) for r in rows.mapInArrow(_measured, "doc_id long, y int, x array<double>").collect())[: 2 * max_rows]
+    measured = rows.mapInArrow(_measured, "doc_id long, y int, x array<double>")
+    found = sorted(tuple(r) for r in measured.groupBy("doc_id").agg(F.min("x").alias("x"), F.max("y").alias("y")).collect())
     return grow(np.array([r[1] for r in found]), np.array([r[2] for r in found], float), **how)
 
 
-def score(docs: DataFrame, model: Trees, cut_at: float = 0.3) -> DataFrame:
-    """Add score (0 to 1, higher: likelier good) and predicted (score >= cut_at) to every row of docs.
+def score(docs: DataFrame, model: Trees, cut_at: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Add score (0 to 1, higher: likelier good) and predicted (score >= cut_at), or the given names, to every row of docs.
 
     Columns of docs named alike are replaced. A null text counts as empty; every row stays, repeated ones too."""
-    kept = docs.drop("score", "predicted")
-    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    kept = docs.drop(*names)
+    schema = T.StructType([*kept.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             s = model.score(np.array([statistics(t) for t in b.column("text").to_pylist()]))
-            yield pa.record_batch([*b.columns, pa.array(s), pa.array((s >= cut_at).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+            yield pa.record_batch([*b.columns, pa.array(s), pa.array((s >= cut_at).astype(np.int32))], [*b.schema.names, *names])
 
     return kept.mapInArrow(scored, schema)
 
