@@ -1,4 +1,4 @@
-"""Language ID: multinomial naive Bayes over hashed character n-grams.
+"""Language ID: multinomial naive Bayes over hashed character n-grams, all languages equally likely beforehand.
 
 Log probabilities are one matrix (buckets x languages), broadcast to the tasks. A batch of texts is hashed
 in one numpy pass; the rows of the matrix that its n-grams hit are summed for each text.
@@ -73,14 +73,16 @@ class Bayes:
         return [self.langs[k] if ok else UNDETERMINED for k, ok in zip(best, has)], np.where(has, share, 0.0)
 
 
-def fit(docs: DataFrame, max_docs_per_lang: int = 2000, buckets: int = 1 << 15, alpha: float = 0.5) -> Bayes:
+def fit(docs: DataFrame, max_docs_per_lang: int = 2000, max_langs: int = 256, buckets: int = 1 << 15, alpha: float = 0.5) -> Bayes:
     """Learn from text and non-null lang of documents outside the hold-out.
 
     max_docs_per_lang bounds the sample: of a language with more documents, each is taken with the chance that gives
-    as many, by a hash of its id. Rows without an id are not learned from. The counts that tasks return are one row of `buckets` numbers for each language and task."""
+    as many, by a hash of its id. max_langs bounds the model, 64 MB at most: of more languages, those with the most
+    documents are learned, ties by name. Rows without an id are not learned from. The counts that tasks return are one row
+    of `buckets` numbers for each language and task."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~holdout(F.col("doc_id")))
-    # one row a language, as the model has one column a language
-    shares = {r["lang"]: min(1.0, max_docs_per_lang / r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    shares = {r["lang"]: min(1.0, max_docs_per_lang / r["n"]) for r in sizes.collect()}
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).cast("double") / (1 << 32)
     share = F.try_element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang")) if shares else F.lit(0.0)
     rows = known.where(spread < share).select("text", "lang")
@@ -110,17 +112,17 @@ def fit(docs: DataFrame, max_docs_per_lang: int = 2000, buckets: int = 1 << 15,
     return Bayes(langs, np.log(smooth / smooth.sum(0, keepdims=True)) if langs else counts)
 
 
-def identify(docs: DataFrame, model: Bayes) -> DataFrame:
-    """Add lang_pred and score to every row of docs; columns named alike are replaced, repeated rows stay.
+def identify(docs: DataFrame, model: Bayes, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add lang_pred and score, or the given names, to every row of docs; columns named alike are replaced, repeated rows stay.
 
     A text that is null or has no letter gets UNDETERMINED and 0; equally likely languages go to the first name."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages doubles: 1 MB for four languages
-    kept = docs.drop("lang_pred", "score")
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages doubles: 1 MB for four languages, 64 MB at most
+    kept = docs.drop(*names)
+    schema = T.StructType([*kept.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
             langs, share = shared.value.predict(b.column("text").to_pylist())
-            yield pa.record_batch([*b.columns, pa.array(langs, pa.string()), pa.array(share)], [*b.schema.names, "lang_pred", "score"])
+            yield pa.record_batch([*b.columns, pa.array(langs, pa.string()), pa.array(share)], [*b.schema.names, *names])
 
     return kept.mapInArrow(named, schema)
