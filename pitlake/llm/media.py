@@ -193,6 +193,8 @@ def coefficients(images: list[Image]) -> list[np.ndarray]:
             img = images[i]
             h, v = (max(p[1] for p in img.parts), max(p[2] for p in img.parts)) if len(parts) > 1 else (1, 1)
             total = -(-img.width // (8 * h)) * -(-img.height // (8 * v))
+            if 2 * total * len(units) > 8 * len(img.data):  # a block takes two bits at least
+                raise ValueError("the scan ends early")
             each = restart or total
             if len(img.starts) != -(-total // each):
                 raise ValueError("the restart markers don't fit the size")
@@ -289,23 +291,68 @@ def read_back(img: Image, blocks: np.ndarray) -> bytes:
     return (blocks[: int.from_bytes(img.comment, "big")] - _SHIFT).astype(np.uint8).tobytes()
 
 
+NAMES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature", "error")
+_KINDS = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+
+
+def _decoded(raw: list[bytes | None]) -> list[tuple[Image, np.ndarray] | str | None]:
+    """Image and coefficients of each JPEG; for bytes that are none, what is wrong with them; None for null.
+
+    Images are decoded together; where one of them has a broken scan, each is decoded by itself."""
+    out: list = [None] * len(raw)
+    for i, x in enumerate(raw):
+        if x is not None:
+            try:
+                out[i] = parse(x)
+            except (ValueError, IndexError, StopIteration) as e:
+                out[i] = str(e) or "a segment is cut short"
+    good = [i for i, x in enumerate(out) if isinstance(x, Image)]
+
+    def read(some: list[int]) -> None:
+        try:
+            for i, blocks in zip(some, coefficients([out[i] for i in some])):
+                out[i] = out[i], blocks
+        except (ValueError, IndexError, TypeError, ZeroDivisionError) as e:
+            if len(some) == 1:
+                out[some[0]] = str(e) or "the scan cannot be decoded"
+            else:
+                for i in some:
+                    read([i])
+
+    if good:
+        read(good)
+    return out
+
+
+def _digest(raw: bytes | None, found: tuple[Image, np.ndarray] | str | None) -> tuple:
+    """The values of NAMES for one media value."""
+    if raw is None:
+        return (None,) * len(NAMES)
+    stored = len(raw), hashlib.sha256(raw).hexdigest()
+    if isinstance(found, str):
+        return (None, None, None, *stored, None, None, None, found)
+    img, blocks = found
+    try:
+        p, words = read_back(img, blocks), feature(img, thumbnail(img, blocks))
+    except (ValueError, IndexError, KeyError) as e:
+        return (None, None, None, *stored, img.width, img.height, None, f"no thumbnail: {e}")
+    return (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), *stored, img.width, img.height, words, None)
+
+
 def describe(stored: DataFrame) -> DataFrame:
     """Decode the media column and digest it: payload as read back, stored form, dimensions and thumbnail hashes.
 
-    The other columns but media pass through. Bytes that are no baseline JPEG make the task fail."""
-    rest = [f for f in stored.schema.fields if f.name != "media"]
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature"]
-    kinds = [T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.IntegerType(), T.IntegerType(), T.StringType()]
+    The other columns pass through, but for media and those named like a result, which are replaced. A null media
+    has null results; of bytes that are no baseline JPEG only the stored form is told, and error says what is
+    wrong (null for all others)."""
+    rest = [f for f in stored.schema.fields if f.name != "media" and f.name.lower() not in NAMES]
+    kinds = [T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.IntegerType(), T.IntegerType(), T.StringType(), T.StringType()]
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "media", 2 << 20):
             raw = b.column("media").to_pylist()
-            images = [parse(x) for x in raw]
-            rows = []
-            for x, img, blocks in zip(raw, images, coefficients(images)):
-                p = read_back(img, blocks)
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), len(x), hashlib.sha256(x).hexdigest(), img.width, img.height, feature(img, thumbnail(img, blocks))))
-            columns = [pa.array(list(c), k) for c, k in zip(zip(*rows), [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()])]
-            yield pa.record_batch([*[b.column(f.name) for f in rest], *columns], [*[f.name for f in rest], *names])
-
-    return stored.mapInArrow(described, T.StructType([*rest, *[T.StructField(n, k) for n, k in zip(names, kinds)]]))
+            rows = [_digest(x, found) for x, found in zip(raw, _decoded(raw))]
+            columns = [pa.array(list(c), k) for c, k in zip(zip(*rows), _KINDS)]
+            yield pa.record_batch([*[b.column(f.name) for f in rest], *columns], [*[f.name for f in rest], *NAMES])
+
+    return stored.select(*[f.name for f in rest], "media").mapInArrow(described, T.StructType([*rest, *[T.StructField(n, k) for n, k in zip(NAMES, kinds)]]))
