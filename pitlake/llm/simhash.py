@@ -1,28 +1,32 @@
 """SimHash near-duplicates by a byte-position inverted index.
 
 A fingerprint of 64 bits is eight positional bytes. Two fingerprints that differ in at most d bits share at
-least 8 - d of them. Postings are kept for positional bytes taken four at a time (two of the four 16-bit
-quarters), of which such a pair shares one at least for d = 2; a posting of single bytes would hold 1/256 of the corpus at any
-size. Each pair met in a posting has its shared positional bytes tallied, is dropped below the guaranteed
-minimum, and is then verified bit by bit. A posting with more than `dense` fingerprints emits no pairs:
-its members are linked through centres instead. Each emits itself and its 64 neighbours at one bit; two
-that meet in a centre are at most two bits apart, and all at most two bits apart meet in one, so linking
-each centre's members to their smallest loses no component. All of this works on distinct fingerprints.
+least 8 - d of them. The index has a posting for each choice of k positions and the bytes there, so a pair that shares
+s positional bytes meets in C(s, k) postings. How often each pair meets is tallied; a pair below the guaranteed minimum of
+C(8 - d, k) is dropped, and the rest is verified bit by bit. k is 1 for small inputs and grows with the logarithm of
+the number of fingerprints, so that postings stay short: with k = 1 each would hold 1/256 of the corpus at any size.
+
+A posting with more than `dense` fingerprints emits no pairs, since those would grow with its square: its members are linked
+through centres instead. Each emits itself and its 64 neighbours at one bit; two that meet in a centre are at most two
+bits apart, and all at most two bits apart meet in one, so linking each centre's members to their smallest
+loses no component. A pair's tally is short only where some of its postings are dense, and then both have
+centres. All of this works on distinct fingerprints.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitlake.llm.common import cut, slices
+from pitlake.llm.common import cut, free, slices
 
 BITS = 2
 
@@ -62,23 +66,26 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(marked, "doc_id long, fp long")
 
 
-def _close(a: Column, b: Column, bits: int) -> Column:
-    """Tally of shared positional bytes reaches the guaranteed minimum, then the bits are counted."""
-    x = a.bitwiseXOR(b)
-    shared = sum(((x.bitwiseAND(F.lit((255 << (8 * k)) - ((1 << 64) if k == 7 else 0)))) == 0).cast("int") for k in range(8))
-    return (shared >= 8 - bits) & (F.bit_count(x) <= bits)
+def posting_bytes(n: int, dense: int, bits: int = BITS) -> int:
+    """Positional bytes of a posting: the fewest with which n evenly spread fingerprints fill a posting to half of dense at most."""
+    return next((k for k in range(1, 8 - bits) if n <= dense // 2 << 8 * k), 8 - bits)
 
 
-def links(fps: DataFrame, dense: int = 32) -> DataFrame:
-    """Pairs (a, b), a > b, of the distinct fingerprints in column fp that connect all at most BITS bits apart."""
-    quarters = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
-    keys = F.array(*[F.struct(F.lit(n).alias("n"), (quarters[i] * 65536 + quarters[j]).alias("v")) for n, (i, j) in enumerate(combinations(range(4), 2))])
+def links(fps: DataFrame, dense: int = 32, k: int | None = None) -> DataFrame:
+    """Pairs (a, b), a > b, of the distinct fingerprints in column fp that connect all at most BITS bits apart.
+
+    k: positional bytes of a posting (posting_bytes() of their number by default)."""
+    k = posting_bytes(fps.count(), dense) if k is None else k
+    masks = [sum(255 << 8 * p for p in chosen) for chosen in combinations(range(8), k)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]  # as signed longs
+    keys = F.array(*[F.struct(F.lit(i).alias("n"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)])
     postings = fps.select("fp", F.explode(keys).alias("k")).select("fp", F.col("k.n").alias("n"), F.col("k.v").alias("v"))
     sizes = postings.groupBy("n", "v").agg(F.count("*").alias("m")).where(F.col("m") > 1)
     met = cut(postings.join(sizes, ["n", "v"]), "postings")
     few = met.where(F.col("m") <= dense)
     left, right = few.select("n", "v", F.col("fp").alias("a")), few.select("n", "v", F.col("fp").alias("b"))
-    pairs = left.join(right, ["n", "v"]).where((F.col("a") > F.col("b")) & _close(F.col("a"), F.col("b"), BITS)).select("a", "b")
+    tally = left.join(right, ["n", "v"]).where(F.col("a") > F.col("b")).groupBy("a", "b").agg(F.count("*").alias("m"))
+    pairs = tally.where((F.col("m") >= comb(8 - BITS, k)) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)).select("a", "b")
     flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     balls = met.where(F.col("m") > dense).select("fp").distinct().select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("centre"))
     centres = balls.groupBy("centre").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where(F.col("most") > F.col("b"))
@@ -110,6 +117,13 @@ def _sign(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def grouped(fps: DataFrame) -> DataFrame:
+    """fp, first (its smallest doc_id) and component (the smallest fingerprint it reaches) of the distinct fingerprints of (doc_id, fp)."""
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    roots = cut(components(links(classes.select("fp"))), "roots").select(F.col("node").alias("fp"), F.col("root").alias("component"))
+    return cut(classes.join(roots, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "components")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id of every row of docs.
 
@@ -117,11 +131,32 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     empty texts share fingerprint 0 and are linked like any other. A row without an id gets the component of
     its fingerprint; a component of such rows alone has a null component_id. Repeated rows stay repeated."""
     marked = cut(fingerprints(docs, words), "fingerprints")
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = cut(components(links(classes.select("fp"))), "roots")
-    member = classes.join(roots, classes["fp"] == roots["node"], "inner").select("fp", "root", "first")
-    lowest = member.groupBy("root").agg(F.min("first").alias("c"))
-    named = member.join(lowest, "root").select("fp", "c")
-    whole = cut(classes.join(named, "fp", "left").select("fp", F.coalesce("c", "first").alias("component_id")), "components")
-    out = marked.join(whole, "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    member = grouped(marked)
+    lowest = member.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = member.join(lowest, "component").select("fp", "component_id")
+    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
+    """docs with one row of each component of near_duplicates(), all columns as they are.
+
+    The row with the smallest id stays (rows without an id come last), of several such the one with the smallest hash of its
+    text, then of all its columns but maps; of rows equal in all of these, one. Rows without an id are grouped like others."""
+    row, fp, h, g = free(docs, "row", "fp", "h", "g")
+    names = docs.columns
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            fps = np.array([fingerprint(hashes(t, words)) for t in b.column("text").to_pylist()], np.uint64)
+            yield pa.record_batch([*b.columns, pa.array(fps.view(np.int64))], [*names, fp])
+
+    found = docs.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
+    # numbered and written: the numbers don't change when a task runs again
+    every = cut(found.withColumn(row, F.monotonically_increasing_id()).withColumn(h, F.xxhash64("text")).withColumn(g, F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])), "numbered")
+    ids = every.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"), F.col(h).alias("h"), F.col(g).alias("g"))
+    member = grouped(ids.select("doc_id", "fp")).select("fp", "component")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "g", "row")
+    # once by fingerprint with partial sums, so that a large group of equal texts is one row before the join
+    best = ids.groupBy("fp").agg(F.min(order).alias("o")).join(member, "fp").groupBy("component").agg(F.min("o").alias("o"))
+    chosen = best.select(F.col("o.row").alias(row))
+    return every.join(chosen, row, "left_semi").select(*names)
