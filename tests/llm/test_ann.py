@@ -55,3 +55,27 @@ def test_odd_vectors_ties_and_blocks(spark):
     assert [(r["rank"], r.vec_id) for r in sorted(few, key=lambda r: r["rank"])] == [(1, 51), (2, 1)]
     assert ann.search(v.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert ann.search(v, F.lit(False)).count() == 0
+
+
+def test_best_row_of_an_id_counts(spark):
+    rows = [(7, [0.0, 1.0]), (7, [1.0, 0.01]), (8, [1.0, 0.2]), (9, [1.0, 0.5]), (50, [1.0, 0.0]), (50, [0.0, 1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 50, top=3).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 5)) for r in got] == [(7, 1.0), (8, 0.98058), (9, 0.89443)]
+    ids, x = np.array([1] * 50 + [2, 3]), np.array([[1.0, k / 1e6] for k in range(50)] + [[1.0, 1.0], [1.0, 2.0]])
+    (_, found, _), = ann.best(ids, x, np.array([9]), np.array([[1.0, 0.0]]), 3)
+    assert found.tolist() == [1, 2, 3]
+
+
+def test_queries_with_too_few_candidates_ask_all_partitions(spark):
+    rng = np.random.default_rng(6)
+    x = np.repeat(np.eye(8), 60, axis=0) + 0.05 * rng.standard_normal((480, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, [-1.0] * 8), (1001, [-1.0, -1.1] * 4)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(1000, 3), top=100, parts=4, wanted=0.01).collect()
+    assert sorted(r["rank"] for r in got if r.query_id == 1000) == list(range(1, 101))
+
+
+def test_parts_grow_and_the_graph_is_the_same_in_tasks(spark):
+    assert [ann.default_parts(n) for n in (0, 10_000, 1_000_000, 10**9, 10**13)] == [16, 16, 64, 1024, 1024]
+    x = np.random.default_rng(1).standard_normal((300, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert (ann.sample_graph(spark, x, 5, block=50) == ann.graph(x, 5)).all()
