@@ -6,7 +6,8 @@ written under its role or, at a cost, another; it is merged into the turn before
 role; missing turns are inserted empty. The walk of least total cost is found by dynamic programming.
 
 Costs of a block of turns form a matrix (role before x role after) under (min, +), which is associative. So a
-conversation is cut into blocks of turn numbers, each block is summed up by its matrix in one task, the
+conversation is cut into blocks of turn numbers (one with many rows is cut further, by turn, role and a hash of the
+text), each block is summed up by its matrix in one task, the
 matrices of a conversation are chained forth and back to fix the roles at each block's borders, and each
 block then repairs its own turns between them. No task holds more than a block of texts.
 """
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitlake.llm.common import cut
+
 #: States of the automaton: what was written last.
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ("", "system", "user", "assistant")
@@ -118,19 +121,35 @@ def format_chats(turns: DataFrame, block: int = 512, opening: str = "<|{role}|>\
     rendered of all turns of a conversation, in order of (turn, n), is the formatted conversation. action is
     keep, merge, insert, relabel, or relabel with one of the former; inserted lists the roles of empty turns written
     before. Rows that agree in all of conv_id, turn, role and text count once. Rows with one turn number are
-    ordered by role and text; null turns come first; null texts are empty; null and unknown roles are
-    relabelled. Null conv_ids are one conversation. Other columns are ignored. A block of 512 turn
-    numbers is one task's unit, so memory follows the block, not the conversation."""
+    ordered by role, a hash of the text and the text; null turns come first; null texts are empty; null and unknown roles are
+    relabelled. Null conv_ids are one conversation. Other columns are ignored. A block of `block` turn numbers, or about
+    as many rows of one turn number, is one task's unit, so memory follows the block, not the conversation."""
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").distinct()
-    rows = rows.withColumn("b", F.floor(F.coalesce("turn", F.lit(-1)) / block).cast("long"))
-    order = ["conv_id", "b", "turn", "role", "text"]
-    dealt = rows.repartition("conv_id", "b").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
+    rows = rows.withColumn("b", F.floor(F.coalesce("turn", F.lit(-1)) / block).cast("long")).withColumn("h", F.xxhash64("text"))
+    rows = cut(rows, "turns")
+    # blocks with more rows than turn numbers: so many bits of the hash cut them into about `block` rows each
+    full = rows.groupBy(F.col("conv_id").alias("c"), F.col("b").alias("k")).agg(F.count("*").alias("m")).where(F.col("m") > 2 * block)
+    full = cut(full.select("c", "k", F.ceil(F.log2(F.col("m") / block)).cast("int").alias("bits")), "full")
+    if full.isEmpty():
+        rows = rows.withColumn("bits", F.lit(None).cast("int"))
+    else:
+        rows = rows.join(full, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("b") == F.col("k")), "left").drop("c", "k")
+    part = F.when(F.col("bits").isNotNull(), F.struct("turn", "role", F.expr("shiftright(h, 64 - bits)").alias("h")))
+    rows = rows.withColumn("b", F.struct("b", part.alias("part"))).drop("bits")
+    order = ["conv_id", "b", "turn", "role", "h", "text"]
+
+    def dealt(df: DataFrame, *names: str) -> DataFrame:
+        return df.repartition("conv_id", "b").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in names])
 
     def stream(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator:
         return groupby((r for b in batches for r in zip(*[b.column(c).to_pylist() for c in columns])), key=lambda r: r[:2])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield _batch([(*key, matrix([role_number(r[2]) for r in group])) for key, group in stream(batches, ["conv_id", "b", "role"])], _MATRIX)
+        out = []
+        for key, group in stream(batches, ["conv_id", "b", "role"]):
+            found = [role_number(r[2]) for r in group]
+            out.append((*key, [*matrix(found), len(found)]))
+        yield _batch(out, _MATRIX)
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = (r for b in batches for r in zip(*[b.column(c).to_pylist() for c in ("conv_id", "b", "m")]))
@@ -140,30 +159,36 @@ def format_chats(turns: DataFrame, block: int = 512, opening: str = "<|{role}|>\
             for _, _, m in rows:
                 after = {y: min(c + m[4 * s + y] for s, c in forth[-1].items()) for y in range(4)}
                 forth.append({y: c for y, c in after.items() if c < _FAR})
+            before = [0] * len(rows)  # rows of a block's turn number in the blocks before it
+            for k, ((_, a, m), (_, b, _)) in enumerate(zip(rows, rows[1:]), 1):
+                if a["part"] and b["part"] and (a["b"], a["part"]["turn"]) == (b["b"], b["part"]["turn"]):
+                    before[k] = before[k - 1] + m[16]
             at = min(sorted(forth[-1]), key=forth[-1].__getitem__)
-            for k, ((conv, b, m), cost) in enumerate(zip(reversed(rows), reversed(forth[:-1]))):
+            for k in range(len(rows) - 1, -1, -1):
+                (conv, b, m), cost = rows[k], forth[k]
                 start = min(sorted(cost), key=lambda s: cost[s] + m[4 * s + at])
-                out.append((conv, b, start, at, k == 0))
+                out.append((conv, b, start, at, k + 1 == len(rows), before[k]))
                 at = start
             if len(out) >= 10_000:
                 yield _batch(out, _BORDERS)
                 out = []
         yield _batch(out, _BORDERS)
 
-    roles = dealt.select("conv_id", "b", "turn", "role").mapInArrow(summed, "conv_id long, b long, m array<long>")
+    kind = rows.schema["b"].dataType.simpleString()
+    roles = dealt(rows.select("conv_id", "b", "turn", "role"), *order[:4]).mapInArrow(summed, f"conv_id long, b {kind}, m array<long>")
     # one short row a block: a conversation's blocks are chained where they meet
     met = roles.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "b")
-    borders = met.mapInArrow(chained, "conv_id long, b long, s int, e int, last boolean")
-    borders = borders.select(F.col("conv_id").alias("c"), F.col("b").alias("k"), "s", "e", "last")
+    borders = met.mapInArrow(chained, f"conv_id long, b {kind}, s int, e int, last boolean, n0 long")
+    borders = borders.select(F.col("conv_id").alias("c"), F.col("b").alias("k"), "s", "e", "last", "n0")
     fixed = rows.join(borders, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("b") == F.col("k"))).drop("c", "k")
-    fixed = fixed.repartition("conv_id", "b").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
+    fixed = dealt(fixed, *order)
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for (conv, _), group in stream(batches, ["conv_id", "b", "turn", "role", "text", "s", "e", "last"]):
+        for (conv, _), group in stream(batches, ["conv_id", "b", "turn", "role", "text", "s", "e", "last", "n0"]):
             group = list(group)
-            start, end, last = group[0][5:]
-            n, turn, before = 0, object(), start
+            start, end, last, n = group[0][5:]
+            n, turn, before = n - 1, group[0][2], start
             for i, (r, (role, action, chain)) in enumerate(zip(group, repair([role_number(r[3]) for r in group], start, end))):
                 n, turn = (n + 1 if r[2] == turn else 0), r[2]
                 text = render(role, action, chain, r[4], before, last and i + 1 == len(group), opening, closing, joint)
@@ -177,8 +202,9 @@ def format_chats(turns: DataFrame, block: int = 512, opening: str = "<|{role}|>\
     return fixed.mapInArrow(written, "conv_id long, turn long, n int, role string, action string, inserted array<string>, rendered string")
 
 
-_MATRIX = pa.schema([("conv_id", pa.int64()), ("b", pa.int64()), ("m", pa.list_(pa.int64()))])
-_BORDERS = pa.schema([("conv_id", pa.int64()), ("b", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("last", pa.bool_())])
+_BLOCK = pa.struct([("b", pa.int64()), ("part", pa.struct([("turn", pa.int64()), ("role", pa.string()), ("h", pa.int64())]))])
+_MATRIX = pa.schema([("conv_id", pa.int64()), ("b", _BLOCK), ("m", pa.list_(pa.int64()))])
+_BORDERS = pa.schema([("conv_id", pa.int64()), ("b", _BLOCK), ("s", pa.int32()), ("e", pa.int32()), ("last", pa.bool_()), ("n0", pa.int64())])
 _TURNS = pa.schema([
     ("conv_id", pa.int64()), ("turn", pa.int64()), ("n", pa.int32()), ("role", pa.string()), ("action", pa.string()),
     ("inserted", pa.list_(pa.string())), ("rendered", pa.string()),

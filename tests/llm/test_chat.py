@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import pytest
 
@@ -93,3 +94,25 @@ def test_odd_rows(spark):
     got = sorted(chat.format_chats(df).collect(), key=lambda r: (str(r.conv_id), r.turn or -1, r.n))
     assert [(r.conv_id, r.turn, r.n, r.role, r.action) for r in got] == [(1, None, 0, "user", "keep"), (1, 5, 0, "assistant", "keep"), (1, 5, 1, "assistant", "merge"), (None, None, 0, "user", "relabel")]
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_many_rows_of_one_turn_number_are_cut(spark):
+    rng = random.Random(4)
+    rows = [(None, None, rng.choice(["user", "assistant"]), f"t{i}") for i in range(300)] + [(1, i % 3, "user", f"u{i}") for i in range(100)] + [(2, 0, "user", "alone")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    role_of = {t: x for _, _, x, t in rows}
+
+    def check(found):
+        """Texts in order and the cost of each conversation."""
+        out = {}
+        for r in sorted(found, key=lambda r: (str(r.conv_id), -1 if r.turn is None else r.turn, r.n)):
+            out.setdefault(r.conv_id, []).append((re.search(r"\b[tu]\d+|alone", r.rendered)[0], r))
+        for conv, found in out.items():
+            plan = [(chat.ROLES.index(r.role), r.action, [chat.ROLES.index(x) for x in r.inserted]) for _, r in found]
+            assert legal(written(plan))
+            out[conv] = [t for t, _ in found], cost([chat.role_number(role_of[t]) for t, _ in found], plan)
+        return out
+
+    small, whole = chat.format_chats(df, block=8).collect(), chat.format_chats(df).collect()
+    assert sorted(r.n for r in small if r.conv_id is None) == list(range(300))
+    assert check(small) == check(whole)
