@@ -117,7 +117,8 @@ SELECT f.doc_id,
 FROM flat f LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.p = g.p GROUP BY f.doc_id
 """
 
-#: Intervals by lead() over each pattern's dates; of the active patterns of a capture the most specific.
+#: Intervals by lead() over each pattern's dates; of the active patterns of a capture the most specific: every parent
+#: of the host and every prefix of the path, however deep.
 ORACLE_SQL["op3_url_filter"] = r"""
 WITH p AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS fetched_at,
@@ -130,10 +131,10 @@ dated AS (
 best AS (SELECT pattern, since, min_by(verdict, verdict <> 'block') AS verdict FROM dated WHERE d < '8' GROUP BY ALL),
 spans AS (SELECT *, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM best),
 keyed AS (
-  SELECT page_id, fetched_at, h || '/' || array_to_string(list_filter(string_split(path, '/'), lambda x: x <> '')[1:n], '/') || '/' AS pattern, 10 + n AS level
-  FROM p, range(1, 4) AS r(n) WHERE len(string_split(path, '/')) - 2 >= n
-  UNION ALL SELECT page_id, fetched_at, h || '/', 10 FROM p
-  UNION ALL SELECT page_id, fetched_at, array_to_string(string_split(h, '.')[n + 1:], '.'), 9 - n FROM p, range(0, 6) AS r(n) WHERE len(string_split(h, '.')) - n >= least(2, n + 1)),
+  SELECT page_id, fetched_at, h || '/' || array_to_string(parts[1:n], '/') || CASE WHEN n > 0 THEN '/' ELSE '' END AS pattern, 1000000 + n AS level
+  FROM (SELECT *, unnest(range(0, len(parts) + 1)) AS n FROM (SELECT *, list_filter(string_split(regexp_replace(path, '[^/]*$', ''), '/'), lambda x: x <> '') AS parts FROM p))
+  UNION ALL SELECT page_id, fetched_at, array_to_string(labels[n + 1:], '.'), len(labels) - n
+  FROM (SELECT *, unnest(range(0, len(labels))) AS n FROM (SELECT *, string_split(h, '.') AS labels FROM p)) WHERE len(labels) - n >= least(2, len(labels))),
 hits AS (SELECT k.page_id, arg_max({'v': s.verdict, 'p': s.pattern, 's': s.since}, k.level) AS f FROM keyed k JOIN spans s ON s.pattern = k.pattern AND k.fetched_at >= s.since AND (s.until IS NULL OR k.fetched_at < s.until) GROUP BY 1)
 SELECT p.page_id, p.fetched_at, f.v AS verdict, f.p AS pattern, f.s AS since FROM p LEFT JOIN hits USING (page_id)
 """

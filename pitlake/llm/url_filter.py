@@ -44,11 +44,6 @@ def intervals(entries: DataFrame) -> DataFrame:
     return best.select("pattern", F.col("v.verdict").alias("verdict"), "since", after.alias("until"))
 
 
-def _months(since: Column, until: Column) -> Column:
-    """First days of the months that a closed range of dates touches."""
-    return F.sequence(F.trunc(since, "month"), F.trunc(until, "month"), F.expr("interval 1 month"))
-
-
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures with verdict, pattern and since of the most specific entry active at fetched_at (a date).
 
@@ -56,14 +51,12 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     before shorter ones, paths before hosts, longer hosts before their parents. Every capture stays once, repeated ones
     too. Columns of captures named verdict, pattern or since are replaced."""
     kept = captures.drop("verdict", "pattern", "since")
-    span = kept.agg(F.min("fetched_at").alias("a"), F.max("fetched_at").alias("z")).first()
-    listed = intervals(entries)
-    if span is None or span["a"] is None:
-        listed = listed.where(F.lit(False)).withColumn("__m", F.col("since"))
-    else:  # only the months in which something was fetched
-        last = F.least(F.date_sub(F.coalesce("until", F.lit(span["z"])), F.when(F.col("until").isNull(), 0).otherwise(1)), F.lit(span["z"]))
-        listed = listed.withColumn("__a", F.greatest("since", F.lit(span["a"]))).withColumn("__z", last)
-        listed = listed.where(F.col("__a") <= F.col("__z")).withColumn("__m", F.explode(_months(F.col("__a"), F.col("__z")))).drop("__a", "__z")
+    fetched = F.trunc(F.col("fetched_at"), "month")
+    # the months in which something was fetched: twelve a year at most, whatever the number of captures
+    months = sorted(r[0].isoformat() for r in kept.where("fetched_at is not null").select(fetched).distinct().collect())
+    every = F.transform(F.split(F.lit(",".join(months)), ","), lambda m: m.cast("date"))
+    valid = lambda m: (m >= F.trunc("since", "month")) & (F.col("until").isNull() | (m < F.col("until")))
+    listed = intervals(entries).withColumn("__m", F.explode(F.filter(every, valid) if months else F.array().cast("array<date>")))
     listed = cut(listed, "intervals")
     most = listed.agg(F.max(F.size(F.split(F.substring_index("pattern", "/", 1), r"\."))).alias("labels"), F.max(F.regexp_count("pattern", F.lit("/"))).alias("slashes")).first()
     most_labels, most_parts = most["labels"] or 1, max(0, (most["slashes"] or 0) - 1)
@@ -77,7 +70,7 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     hosts = F.transform(hosts, lambda n: F.struct(n.alias("level"), F.array_join(F.slice(labels, -n, n), ".").alias("key")))
     paths = F.sequence(F.lit(0), F.least(deep, F.lit(most_parts)))
     paths = F.transform(paths, lambda n: F.struct((n + most_labels + 1).alias("level"), F.concat(F.col("__host"), F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/"), F.when(n > 0, "/").otherwise("")).alias("key")))
-    keyed = judged.select("url", "fetched_at", F.trunc("fetched_at", "month").alias("__month"), F.explode(F.concat(hosts, paths)).alias("__k"))
+    keyed = judged.select("url", "fetched_at", fetched.alias("__month"), F.explode(F.concat(hosts, paths)).alias("__k"))
     on = (F.col("__k.key") == F.col("pattern")) & (F.col("__month") == F.col("__m")) & (F.col("fetched_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))
     found = keyed.join(listed, on).groupBy("url", "fetched_at").agg(F.max_by(F.struct("verdict", "pattern", "since"), "__k.level").alias("__f"))
     return kept.join(found, ["url", "fetched_at"], "left").select(*kept.columns, "__f.verdict", "__f.pattern", "__f.since")

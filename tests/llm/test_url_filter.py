@@ -14,7 +14,7 @@ def plain(url, day, entries):
     path = "/" + rest.split("?")[0].split("#")[0]
     host = host.split("?")[0].split("#")[0].rpartition("@")[2].split(":")[0].lower().rstrip(".")
     parts = path.split("/")[1:-1]
-    names = [host + "/" + "/".join(parts[:n]) + "/" for n in range(min(3, len(parts)), 0, -1)] + [host + "/"]
+    names = [host + "/" + "/".join(parts[:n]) + "/" for n in range(len(parts), 0, -1)] + [host + "/"]
     labels = host.split(".")
     names += [".".join(labels[n:]) for n in range(len(labels)) if n == 0 or len(labels) - n >= 2]
     for name in names:
@@ -58,14 +58,22 @@ def test_deep_hosts_and_paths_and_the_case_of_paths(spark):
         "https://a.b.c.d.e.f.g.example.org/": "example.org",
         "https://h.net/1/2/3/4/5/x": "h.net/1/2/3/4/",
         "https://h.net/1/2/3/4": None,
+        "https://h.net/a/b/c/d/e/f/g/h/i/j/k/l/m": "h.net/a/b/c/d/e/f/g/h/i/j/k/l/",
         "https://Case.org/Blog/x": "case.org/Blog/",
         "https://case.org/blog/x": None,
         "https://p.l1.l2.l3.l4.l5.l6.l7.deep.net/": "l1.l2.l3.l4.l5.l6.l7.deep.net",
         "https://q.deep.net/": None,
     }
-    names = ["example.org", "h.net/1/2/3/4/", "CASE.org/Blog/", "l1.l2.l3.l4.l5.l6.l7.deep.net"]
+    names = ["example.org", "h.net/1/2/3/4/", "h.net/a/b/c/d/e/f/g/h/i/j/k/l/", "CASE.org/Blog/", "l1.l2.l3.l4.l5.l6.l7.deep.net"]
     entries = spark.createDataFrame([(n, "block", on) for n in names], "pattern string, verdict string, listed_at date")
     captures = spark.createDataFrame([(u, on) for u in [*want, *want]], "url string, fetched_at date")
     got = url_filter.judge(captures, entries).collect()
     assert len(got) == 2 * len(want)
     assert {r.url: r.pattern for r in got} == want
+
+
+def test_odd_years(spark):
+    days = [D(1, 1, 1), D(1999, 12, 31), D(2024, 2, 29), D(9999, 12, 31)]
+    entries = spark.createDataFrame([("a.org", "block", D(2000, 1, 1)), ("a.org", "allow", D(2024, 3, 1))], "pattern string, verdict string, listed_at date")
+    captures = spark.createDataFrame([("http://a.org/", d) for d in days], "url string, fetched_at date")
+    assert [r.verdict for r in url_filter.judge(captures, entries).orderBy("fetched_at").collect()] == [None, None, "block", "allow"]
