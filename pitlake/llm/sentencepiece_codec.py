@@ -54,9 +54,7 @@ class Codec:
         pieces, scores = [sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)]
         if any(MARK in p.lstrip(MARK) for i, p in enumerate(pieces) if i not in special):
             raise ValueError("a piece goes on into another word")
-        # a merge model numbers its pieces by rank: its scores are whole numbers that fall by one
-        ranked = [scores[i] for i in range(n) if i not in special and i not in bytes_]
-        return cls(pieces, scores, special, bytes_, sp.unk_id(), bpe=all(float(s).is_integer() for s in ranked))
+        return cls(pieces, scores, special, bytes_, sp.unk_id(), bpe=_kind(path) == 2)
 
     def _automaton(self) -> None:
         """Nodes of the trie of all pieces: their ways on, the node of the longest proper suffix, and the pieces that end there."""
@@ -210,6 +208,9 @@ class Codec:
         fresh = sorted(w for w in distinct if w not in known)
         known.update(zip(fresh, self.encode_words(fresh)))
         ids = [known[w] for w in distinct]
+        for w in fresh:
+            if len(w) > 64:  # long words are hardly met again
+                del known[w]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
         begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
@@ -242,6 +243,42 @@ class Codec:
         return pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of the fields of a protocol buffer message; fixed-width values as bytes."""
+    at = 0
+
+    def whole() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        key = whole()
+        if key & 7 == 0:
+            yield key >> 3, whole()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or whole()
+            yield key >> 3, raw[at : at + size]
+            at += size
+
+
+def _kind(path: str) -> int:
+    """Type of a model file, 1 (unigram) or 2 (merges); ValueError for what encode() does not do.
+
+    That is: other types, text that is normalised or stripped first, no mark before the first word, marks behind words."""
+    with open(path, "rb") as f:
+        parts = {k: dict(_fields(v)) for k, v in _fields(f.read()) if k in (2, 3)}
+    trained, norm = parts.get(2, {}), parts.get(3, {})  # trainer and normaliser settings, defaults where a field is missing
+    kind = trained.get(3, 1)
+    if kind not in (1, 2) or norm.get(2) or not norm.get(3, 1) or norm.get(4, 1) or trained.get(24, 0):
+        raise ValueError("only unigram and merge models that take texts as they are")
+    return kind
+
+
 _LOADED: dict[str, Codec] = {}
 
 
