@@ -27,7 +27,7 @@ from pitlake.operators.numbering import running_sum
 #: A line occurrence: the document's id, a hash of its text (rows may share an id), the line's place among the non-blank.
 PLACE = ("d", "t", "i")
 #: Ranks of one bucket when the suffixes of one rank are put in order.
-BUCKET = 1 << 20
+BUCKET = 1 << 14
 
 
 def _place() -> Column:

@@ -161,3 +161,19 @@ def test_columns(spark):
         assert r.payload_sha256 == hashlib.sha256(p).hexdigest() and r.tail_crc32 == zlib.crc32(p[-64:])
     assert len({(r.media_sha256, r.feature) for r in got if r.n_bytes == 0}) == 1
     assert media.describe(media.store(docs.limit(0))).count() == 0
+
+
+def test_null_broken_and_clashing(spark):
+    good = media.encode([media.payload("some text")[1]])[0]
+    broken = [b"", b"no image", good[:40], good[:-30], good[:200] + bytes(20) + good[220:], colour(1, 16, 16, 0)[:-40], good.replace(b"\xff\xc4", b"\xff\xc2", 1), b"\xff\xd8\xff\xc0\x00\x02"]
+    huge = good.replace((8).to_bytes(2, "big") + (8).to_bytes(2, "big"), b"\xff\xf8\xff\xf8", 1)
+    rows = [(i, x, "kept", -1) for i, x in enumerate([None, good, *broken, huge, good])]
+    got = media.describe(spark.createDataFrame(rows, "doc_id long, media binary, feature string, Width int").coalesce(1)).orderBy("doc_id").collect()
+    assert len(got) == len(rows) and got[0].media_sha256 is None and got[0].error is None
+    want = media.describe(media.store(spark.createDataFrame([(1, "some text")], "doc_id long, text string"))).collect()[0]
+    for r in (got[1], got[-1]):
+        assert r.error is None and (r.payload_sha256, r.feature, r.media_sha256) == (want.payload_sha256, want.feature, want.media_sha256)
+    assert sum(r.error is not None for r in got[2:-1]) >= len(broken) - 1
+    for r in got[2:-1]:
+        assert r.media_bytes is not None and (r.error is None) == (r.feature is not None)
+    assert got[-2].error == "the scan ends early"
