@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from pitlake.llm import langid, line_dedup, packing, quality
 from pitlake.llm.common import cut
@@ -59,3 +61,33 @@ def test_registered():
     assert "pipeline" in got and all(any(n.startswith(f"op{k}_") for n in got) for k in range(1, 11))
     assert {"op3_url_filter", "op6_line_dedup"} <= entry.oracle_sql().keys()
     assert all(m.__doc__ for m in (langid, line_dedup, packing, quality))
+
+
+def test_further_columns_pass_through(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    extra = {"score": -7.0, "predicted": 5, "lang_pred": "x", "cut": "x", "n_lines": "y", "__d": 1, "fp": "z", "row": "w", "h": 1}
+    for k, v in extra.items():
+        docs = docs.withColumn(k, F.lit(v))
+    docs = cut(docs, "given")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf)
+        assert after.columns == docs.columns
+        assert all(r[k] == v for r in after.collect() for k, v in extra.items())
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(None, "a b c d e f", "x"), (None, "A b c d e f", "y"), (5, "a b c d e f", "z"), (5, "q r s t u v w", "z"), (5, "q r s t u v w", "z"), (None, "alone here", "z"), (4, None, "z"), (3, "", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.keep_one_of_a_group(spark, docs, "")
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [("3", ""), ("5", "a b c d e f"), ("5", "q r s t u v w"), ("None", "alone here")]
+    twice = docs.unionByName(docs).repartition(5)
+    assert got.exceptAll(corpus_pipeline.keep_one_of_a_group(spark, twice, "")).count() == 0
+
+
+def test_run_deletes_its_steps(spark):
+    from pitlake.llm.common import release, written
+
+    release(spark)
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert len(written()) <= 3 and out.count() > 0
