@@ -1,7 +1,8 @@
 """Conflict-constrained best-fit packing of documents into training sequences.
 
-Documents are dealt by a hash of their id into chunks of bounded expected size, so that neither a hot
-source nor a large group of copies meets in one chunk; each chunk is packed by itself. Within a chunk,
+Documents are dealt by a hash of their id and text into chunks of bounded expected size, so that neither a hot
+source nor a large group of copies meets in one chunk (rows that repeat an id and its text are dealt by their
+number too); each chunk is packed by itself. Within a chunk,
 open bins stand in order of what is left in them. Each bin carries a bitmap of the sources and one of the
 duplicate clusters in it. A piece goes to the tightest bin that holds it and shares no bit with it: the
 search starts at the successor of its length and goes on to larger bins until one is compatible.
@@ -21,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitlake.llm.common import WORD
-from pitlake.llm.simhash import hashes
+from pitlake.llm.common import WORD, cut
 
 #: Near copies: words of a shingle.
 SHINGLE = 5
@@ -69,6 +69,35 @@ def best_fit(items: list[tuple], capacity: int) -> list[tuple[int, int]]:
     return out
 
 
+class Shingles:
+    """Sets of 64-bit numbers for the shingles of texts, equal for equal words; one instance for all texts to compare.
+
+    Words (A-Z lower-cased) are numbered as they come, and the numbers of a shingle's words are mixed."""
+
+    def __init__(self, words: int = SHINGLE):
+        numbers: dict[bytes, int] = {}
+        self.words, self.number = words, lambda w: numbers.setdefault(w, len(numbers) + 1)
+
+    @staticmethod
+    def mix(x: np.ndarray) -> np.ndarray:
+        """A one-to-one map of 64-bit numbers that spreads each bit over all."""
+        x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(29))
+
+    def of(self, text: str) -> np.ndarray:
+        """The sorted distinct shingles of a text; of fewer words, the whole sequence."""
+        found = text.encode("utf-8", "surrogatepass").lower().split()
+        if not found:
+            return np.zeros(0, np.uint64)
+        n = self.mix(np.fromiter(map(self.number, found), np.uint64, len(found)))
+        size = min(self.words, len(n))
+        h = np.full(len(n) - size + 1, size, np.uint64)
+        for k in range(size):
+            h = self.mix(h ^ n[k : len(n) - size + 1 + k])
+        return np.unique(h)
+
+
 def near_groups(sets: list[np.ndarray]) -> list[int]:
     """For each set of shingle hashes the first index of its group: sets of a Jaccard index of 0.8 or more, and all linked by such."""
     root = list(range(len(sets)))
@@ -119,7 +148,7 @@ def pack(docs: DataFrame, capacity: int = 2048, length: Column | None = None, so
 
     length: units of a document (words by default); source and cluster: what must not meet in a bin (the source
     column, and exact and near copies of the text, by default). A document longer than capacity is cut into pieces of capacity and a
-    rest; start is a piece's first unit. chunk: documents packed together, which bounds a task's memory.
+    rest; start is a piece's first unit. chunk: documents packed together on average, which bounds a task's memory.
     A document of length 0 or null fills nothing: it has a row with null bin_id. Repeated rows and rows without
     an id are packed each by itself; null sources and clusters conflict with nothing. Columns of docs beyond
     doc_id and those read by the three expressions are ignored."""
@@ -128,16 +157,27 @@ def pack(docs: DataFrame, capacity: int = 2048, length: Column | None = None, so
     near = F.col("text") if cluster is None else F.lit(None)
     cluster = exact_cluster(F.col("text")) if cluster is None else cluster
     chunks = max(1, -(-docs.count() // chunk))
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(length.cast("long"), F.lit(0)).alias("n"), source.cast("string").alias("s"), cluster.cast("string").alias("c"), near.cast("string").alias("t"))
-    # without an id, and for repeated rows of one id, the rest of the row deals
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "n", "c"), F.lit(chunks)))
+    # bit for bit equal rows of an id and its text would all be dealt alike: many of them are told apart by number
+    deal = F.xxhash64("doc_id", F.col("text").cast("string")) if "text" in docs.columns else F.xxhash64("doc_id")
+    rows = docs.select(
+        F.col("doc_id").cast("long"), F.coalesce(length.cast("long"), F.lit(0)).alias("n"), source.cast("string").alias("s"), cluster.cast("string").alias("c"),
+        near.cast("string").alias("t"), deal.alias("h"), F.lit(0).cast("long").alias("copy"),
+    )
+    heavy = cut(docs.groupBy(deal.alias("h")).agg(F.count("*").alias("m")).where(F.col("m") > max(1, chunk // 64)).select("h"), "repeated")
+    if not heavy.isEmpty():
+        same = [c for c in rows.columns if c != "copy"]
+        counted = rows.join(heavy, "h", "left_semi").groupBy(*same).agg(F.count("*").alias("m"))
+        copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "m"))).select(*rows.columns)
+        rows = rows.join(heavy, "h", "left_anti").select(*rows.columns).unionByName(copies)
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("h", "n", "s", "copy"), F.lit(chunks))).drop("h", "copy")
 
     def packed(table: pa.Table) -> pa.Table:
         texts, first_of = table.column("t"), {}
         for i, c in enumerate(table.column("c").to_pylist()):
             if c is not None and texts[i].is_valid:
                 first_of.setdefault(c, i)
-        groups = near_groups([np.unique(hashes(texts[i].as_py(), SHINGLE)) for i in first_of.values()])
+        shingles = Shingles()
+        groups = near_groups([shingles.of(texts[i].as_py()) for i in first_of.values()])
         names = list(first_of)
         group = {c: names[g] for c, g in zip(names, groups)}
         docs = zip(*[table.column(c).to_pylist() for c in ("doc_id", "n", "c", "s", "chunk")])

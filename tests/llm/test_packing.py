@@ -95,3 +95,23 @@ def test_near_copies_stay_apart(spark):
         bins.setdefault(r.bin_id, []).append(r.doc_id)
     assert len(bins) == 4
     assert not [(i, j) for b in bins.values() for i in b for j in b if i < j and jaccard(shingles[i], shingles[j]) >= 0.8]
+
+
+def test_repeated_rows_are_dealt_to_many_chunks(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"), F.lit(None).cast("string").alias("source"))
+    got = packing.pack(docs, chunk=100, cluster=F.lit(None)).collect()
+    per = {}
+    for r in got:
+        per[r.bin_id >> 32] = per.get(r.bin_id >> 32, 0) + 1
+    assert len(got) == 3000 and len(per) == 30 and max(per.values()) < 250
+
+
+def test_shingles_against_sets_of_words():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("aBcDe") for _ in range(rng.randint(0, 9))) for _ in range(200)]
+    sets, own = packing.Shingles(), [t.lower().split() for t in texts]
+    got = [frozenset(sets.of(t).tolist()) for t in texts]
+    want = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in own]
+    for i in range(200):
+        for j in range(i):
+            assert len(got[i] & got[j]) == len(want[i] & want[j])
