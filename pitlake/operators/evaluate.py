@@ -32,16 +32,54 @@ def horizon_seconds(label: Column) -> Column:
     return F.when(n != "", n.try_cast("double") * scale)
 
 
-def policy_masks(records: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
-    """Records with the exact medians of size and price, and each policy as a boolean column."""
-    medians = records.agg(F.percentile("qty", 0.5).alias("qty_median"), F.percentile("px", 0.5).alias("px_median"))
-    with_medians = records.crossJoin(F.broadcast(medians))  # one row
-    masks = {
+def exact_medians(df: DataFrame, columns: list[str], bins: int = 4096) -> dict[str, float | None]:
+    """The exact median of each column of finite numbers; None without values.
+
+    Each pass counts the values of a range in equal bins and narrows the range to the bins that hold the middle, so tasks
+    return a row a bin and column, and no value but the middle ones is gathered or sorted. Nulls, NaN and infinities do not count."""
+    known = {c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")) for c in columns}
+    first = df.agg(*[f(v).alias(f"{n}_{c}") for c, v in known.items() for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    out: dict[str, float | None] = {}
+    # (column, place in the order) still sought: range of values and how many lie below it
+    open_: dict[tuple[str, int], tuple[float, float, int]] = {}
+    for c in columns:
+        n = first[f"n_{c}"]
+        for place in {(n - 1) // 2, n // 2} if n else ():
+            open_[c, place] = first[f"lo_{c}"], first[f"hi_{c}"], 0
+    found: dict[tuple[str, int], float] = {}
+    while open_:
+        for key in [k for k, (lo, hi, _) in open_.items() if lo == hi]:
+            found[key] = open_.pop(key)[0]
+        if not open_:
+            break
+        ranges = sorted({(c, lo, hi) for (c, _), (lo, hi, _) in open_.items()})
+        parts = []
+        for k, (c, lo, hi) in enumerate(ranges):
+            half = hi / 2 - lo / 2  # halves, as the difference may be too large
+            bin_ = F.floor((known[c] / 2 - F.lit(lo / 2)) / F.lit(half) * bins) if half > 0 else F.when(known[c] > lo, bins).otherwise(0)
+            bin_ = F.least(F.lit(bins - 1), bin_).cast("int")
+            parts.append(F.when(known[c].between(lo, hi), F.struct(F.lit(k).alias("k"), bin_.alias("bin"), known[c].alias("v"))))
+        counted = df.select(F.explode(F.array_compact(F.array(*parts))).alias("x")).groupBy("x.k", "x.bin").agg(F.count("*").alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi")).collect()
+        for key, (lo, hi, below) in list(open_.items()):
+            for r in sorted((r for r in counted if r.k == ranges.index((key[0], lo, hi))), key=lambda r: r.bin):
+                if below + r.n > key[1]:
+                    open_[key] = r.lo, r.hi, below
+                    break
+                below += r.n
+    for c in columns:
+        n = first[f"n_{c}"]
+        out[c] = (found[c, (n - 1) // 2] + found[c, n // 2]) / 2 if n else None
+    return out
+
+
+def policy_masks(records: DataFrame) -> dict[str, Column]:
+    """Each policy as a boolean column, by the exact medians of size and price over the records."""
+    medians = {c: F.lit(v).cast("double") for c, v in exact_medians(records, ["qty", "px"]).items()}
+    return {
         "quote_all": F.lit(True), "maker_side_filter": F.col("maker_side") > 0, "maker_side_negative": F.col("maker_side") < 0,
-        "buy_only": F.col("side") == 1, "sell_only": F.col("side") == -1, "large_trade_filter": F.col("qty") >= F.col("qty_median"),
-        "small_trade_filter": F.col("qty") < F.col("qty_median"), "price_above_median": F.col("px") >= F.col("px_median"),
+        "buy_only": F.col("side") == 1, "sell_only": F.col("side") == -1, "large_trade_filter": F.col("qty") >= medians["qty"],
+        "small_trade_filter": F.col("qty") < medians["qty"], "price_above_median": F.col("px") >= medians["px"],
     }
-    return with_medians, masks
 
 
 def label_intervals(records: DataFrame, time: str, horizon: int, bucket: Column, unique: str) -> DataFrame:
@@ -58,18 +96,40 @@ def fold_sizes(rows: int, folds: int, train_share: float = 0.4, test_share: floa
     return train, test
 
 
+def test_blocks(intervals: DataFrame, folds: int, train: int, test: int) -> DataFrame:
+    """The test rows of each fold, by position; boards need no more."""
+    rows = intervals.where((F.col("pos") >= train) & (F.col("pos") < train + folds * test))
+    return rows.withColumn("fold", F.floor((F.col("pos") - train) / test).cast("int")).withColumn("role", F.lit("test"))
+
+
 def walk_forward(intervals: DataFrame, folds: int, train: int, test: int, purge: int, embargo: int) -> DataFrame:
     """(fold, role, pos, ...) in long form: test rows by position, and the last `train` eligible rows before them.
 
-    A row is eligible if it ends before the test block by more than purge (or starts after it by more than embargo). Fold
-    bounds are one row a fold; a fold without a training row has test rows only, for fold_errors() to report."""
-    tests = intervals.where((F.col("pos") >= train) & (F.col("pos") < train + folds * test)).withColumn("fold", F.floor((F.col("pos") - train) / test).cast("int"))
-    bounds = tests.groupBy("fold").agg(F.min("start").alias("__ts"), F.max("end").alias("__te"), F.min("pos").alias("__tp"))
-    eligible = intervals.join(F.broadcast(bounds), (F.col("pos") < F.col("__tp")) & purged(F.col("start"), F.col("end"), F.col("__ts"), F.col("__te"), purge, embargo))
-    ranked = number(eligible, [F.col("pos").desc()], -F.floor(F.col("pos") / 65_536), "__r", ["fold"])
-    trains = ranked.where(F.col("__r") < train)
-    cols = [c for c in intervals.columns]
-    return tests.select("fold", F.lit("test").alias("role"), *cols).unionByName(trains.select("fold", F.lit("train").alias("role"), *cols))
+    A row is eligible if it ends before the test block by more than purge (or starts after it by more than embargo). Positions
+    are dense, so the training rows lie in a range of positions that is longer than `train` by the rows purged in it: counts of
+    one row a fold tell the range, and one pass over the intervals deals each row to its folds. intervals is read three times:
+    pass what is stored. A fold without a training row has test rows only, for fold_errors() to report."""
+    tests = test_blocks(intervals, folds, train, test)
+    bounds = tests.groupBy("fold").agg(F.min("start").alias("ts"), F.max("end").alias("te"), F.min("pos").alias("tp")).collect()  # one row a fold
+    if not bounds:
+        return tests.select("fold", "role", *intervals.columns)
+
+    def dealt(lowest: dict[int, int]) -> DataFrame:
+        """Eligible rows before each fold from a position on."""
+        each = [F.struct(F.lit(b.fold).alias("fold"), *[F.lit(v).cast("long").alias(n) for n, v in (("ts", b.ts), ("te", b.te), ("tp", b.tp), ("low", lowest.get(b.fold, 0)))]) for b in bounds]
+        own = F.filter(F.array(*each), lambda b: (F.col("pos") < b["tp"]) & (F.col("pos") >= b["low"]) & purged(F.col("start"), F.col("end"), b["ts"], b["te"], purge, embargo))
+        return intervals.withColumn("fold", F.explode(F.transform(own, lambda b: b["fold"])))
+
+    have = {r.fold: r.n for r in dealt({}).groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    # positions before the block, less the rows to skip if all that is purged were in the range
+    low = {b.fold: max(0, b.tp - (b.tp - have.get(b.fold, 0)) - train) for b in bounds}
+    trains = dealt(low)
+    more = {r.fold: r.n - train for r in trains.groupBy("fold").agg(F.count("*").alias("n")).where(F.col("n") > train).collect()}
+    if more:  # some rows were purged below the range: rank what is left of it
+        over = number(trains.where(F.col("fold").isin(list(more))), [F.col("pos").desc()], -F.floor(F.col("pos") / 65_536), "__r", ["fold"])
+        trains = trains.where(~F.col("fold").isin(list(more))).unionByName(over.where(F.col("__r") < train).drop("__r"))
+    cols = ["fold", "role", *intervals.columns]
+    return tests.select(*cols).unionByName(trains.withColumn("role", F.lit("train")).select(*cols))
 
 
 def fold_errors(folds: DataFrame) -> DataFrame:
@@ -141,10 +201,13 @@ def overfit_probability(board: DataFrame, score: str = "lift") -> DataFrame:
     The best is the first by name on ties. Split x fold x policy rows are numbers of the board, never of the records."""
     folds = board.select("fold").distinct()
     places = folds.select("fold", (F.row_number().over(Window.orderBy("fold")) - 1).alias("i"))  # one row a fold
-    count = F.broadcast(folds.agg(F.count("*").alias("f")).where("f >= 4 and f % 2 = 0"))
-    splits = count.select("f", F.explode(F.expr("sequence(0L, shiftleft(1L, f) - 1)")).alias("split")).where("bit_count(split) = f / 2")
+    n = folds.count()
+    if n > 40:
+        raise ValueError("more halvings of the folds than can be gone through")
+    ids = board.sparkSession.range(1 << n if n >= 4 and n % 2 == 0 else 0)  # in parts, not one row with all
+    splits = ids.select(F.col("id").alias("split")).where(F.bit_count("id") == n // 2)
     cells = board.select("policy", "fold", F.col(score).alias("s")).join(F.broadcast(places), "fold")
-    means = cells.crossJoin(F.broadcast(splits)).groupBy("split", "policy").agg(F.avg(F.expr("case when (shiftright(split, i) & 1) = 1 then s end")).alias("inside"), F.avg(F.expr("case when (shiftright(split, i) & 1) = 0 then s end")).alias("outside"))
+    means = splits.crossJoin(F.broadcast(cells)).groupBy("split", "policy").agg(F.avg(F.expr("case when (shiftright(split, i) & 1) = 1 then s end")).alias("inside"), F.avg(F.expr("case when (shiftright(split, i) & 1) = 0 then s end")).alias("outside"))
     per = means.groupBy("split").agg(F.min_by("outside", F.struct(-F.col("inside"), "policy")).alias("best"), F.collect_list("outside").alias("all"))
     rank = 1 + F.size(F.filter("all", lambda x: x < F.col("best")))
     return per.agg(F.count("*").alias("splits"), F.count_if(rank / (F.size("all") + 1) < 0.5).alias("overfit")).where("splits > 0").withColumn("pbo", F.col("overfit") / F.col("splits"))

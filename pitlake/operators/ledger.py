@@ -98,19 +98,26 @@ def trial_metrics(curve: DataFrame, by: list[str], order: list[str], start: floa
     return rows.groupBy(*by).agg(last.alias("final"), (last / start - 1).alias("net_return"), F.max("__d").alias("max_drawdown"))
 
 
-def slippage(price: Column, side: Column, bps: Column) -> Column:
-    """price x (1 + side x bps / 10,000)."""
-    return price * (1 + side * bps / 10_000)
+def slippage(price: Column, side: Column, qty: Column, bps: Column) -> Column:
+    """price x (1 + side x quantity x bps / 10,000): bps is the impact of one unit."""
+    return price * (1 + side * qty * bps / 10_000)
 
 
-def market_fills(orders: DataFrame, quotes: DataFrame, latency: int, slip_bps: float, taker_bps: float, width: int | None = None) -> DataFrame:
+def market_fills(orders: DataFrame, quotes: DataFrame, latency: int, slip_bps: float, taker_bps: float, width: int | None = None, bars: DataFrame | None = None) -> DataFrame:
     """Each order priced at the first quote at or after its time plus latency: ask for buys, bid for sells, with slippage and fee.
 
-    An order after the last quote has no fill (null price)."""
+    Where no quote follows, the close of the first bar (symbol, end, close) that ends then or later is taken, and fill_flag is
+    top_of_book_missing; without such a bar there is no fill (null price)."""
     due = orders.withColumn("due", F.col("t") + latency)
     j = asof_join(due, quotes, ["symbol"], "due", "t", ["seq", "bid", "ask"], forward=True, ties=["seq"], width=width, prefix="q_")
-    px = slippage(F.when(F.col("side") == 1, F.col("q_ask")).otherwise(F.col("q_bid")), F.col("side"), F.lit(slip_bps))
-    return j.withColumn("fill_px", px).withColumn("fill_fee", F.col("fill_px") * F.col("qty") * taker_bps / 10_000)
+    touch = F.when(F.col("side") == 1, F.col("q_ask")).otherwise(F.col("q_bid"))
+    flag = F.lit(None).cast("string")
+    if bars is not None:
+        j = asof_join(j, bars, ["symbol"], "due", "end", ["close"], forward=True, width=width, prefix="b_")
+        flag = F.when(touch.isNull() & F.col("b_close").isNotNull(), "top_of_book_missing")
+        touch = F.coalesce(touch, "b_close")
+    px = slippage(touch, F.col("side"), F.col("qty"), F.lit(slip_bps))
+    return j.withColumn("fill_px", px).withColumn("fill_flag", flag).withColumn("fill_fee", F.col("fill_px") * F.col("qty") * taker_bps / 10_000)
 
 
 def limit_fills(orders: DataFrame, prints: DataFrame, cap: float, width: int) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +10,15 @@ from pitlake.operators.asof import asof_join, lookahead_violations, trailing
 from pitlake.operators.numbering import number, running_max, running_sum
 from pitlake.plans.registry import register
 from pitlake.plans.views import DAY, HOUR, quotes, r6, trades, with_views
+from pitlake.session import kept
 
 HORIZON, FOLDS = HOUR, 8
+
+
 def by_day():
     return F.floor(F.col("t") / DAY)
 
 
-
 def records(spark: SparkSession, sf: str, horizon: int = HORIZON) -> DataFrame:
     """Trades with the mid a horizon later in their symbol and the markout; those without a later mid are left out."""
     t = trades(spark, sf).withColumn("due", F.col("t") + horizon)
@@ -26,9 +27,8 @@ def records(spark: SparkSession, sf: str, horizon: int = HORIZON) -> DataFrame:
 
 
 def intervals(spark: SparkSession, sf: str) -> DataFrame:
-    """Records with their label interval and position, kept, as folds read them several times; lost parts are computed again."""
-    rec, _ = ev.policy_masks(records(spark, sf))
-    return ev.label_intervals(rec, "t", HORIZON, F.floor(F.col("t") / DAY), "seq").persist(StorageLevel.MEMORY_AND_DISK)
+    """Records with their label interval and position, stored, as folds read them several times."""
+    return kept(ev.label_intervals(records(spark, sf), "t", HORIZON, F.floor(F.col("t") / DAY), "seq"))
 
 
 def folds(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,12 +38,14 @@ def folds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def board(spark: SparkSession, sf: str) -> DataFrame:
-    _, masks = ev.policy_masks(trades(spark, sf))
-    return ev.leaderboard(folds(spark, sf), masks, "markout")
+    """The leaderboard of the walk-forward folds; it reads their test rows only."""
+    spans = intervals(spark, sf)
+    tests = ev.test_blocks(spans, FOLDS, *ev.fold_sizes(spans.count(), FOLDS))
+    return ev.leaderboard(tests, ev.policy_masks(spans), "markout")
 
 
 #: SQL of records() and, from there, of the stacked policies and the board.
-REC = f"""WITH rec AS (SELECT t.*, q.mid, t.side * (q.mid - t.px) / t.px * 10000 AS markout FROM trades t ASOF JOIN quotes q ON t.symbol = q.symbol AND t.t + {HORIZON} <= q.t)"""
+REC = f"""WITH rec AS (SELECT t.*, q.mid, t.side * (q.mid - t.px) / t.px * 10000 AS markout FROM trades t ASOF JOIN quotes q ON t.symbol = q.symbol AND t.t + {HORIZON} <= q.t WHERE t.px > 0)"""
 FOLD = (
     REC
     + f""", med AS (SELECT median(qty) AS qm, median(px) AS pm, CAST(floor(count(*) * 0.4) AS BIGINT) AS tr, CAST(floor(count(*) * 0.05) AS BIGINT) AS te FROM rec),
@@ -165,7 +167,7 @@ LADDER = "".join(
 def markout_ladder(spark, sf):
     """Captured markout of each policy at three horizons."""
     wide = trades(spark, sf)
-    wide, masks = ev.policy_masks(wide)
+    masks = ev.policy_masks(wide)
     q = quotes(spark, sf)
     names = {"10m": HOUR // 6, "1h": HOUR, "1d": DAY}
     for h, us in names.items():
@@ -186,7 +188,8 @@ MED = REC + ", med AS (SELECT median(qty) AS qm, median(px) AS pm FROM rec)"
 )
 def cost_waterfall(spark, sf):
     """Gross edge of quoted rows less fees, slippage and funding over the horizon."""
-    rec, masks = ev.policy_masks(records(spark, sf))
+    rec = kept(records(spark, sf))
+    masks = ev.policy_masks(rec)
     out = ev.cost_waterfall(ev.stacked(rec, masks, "markout"), "markout", 1.5, 0.5, 1.0 * 3600 / (8 * 3600))
     return out.select("policy", r6("gross").alias("gross"), "step", "stage", "delta", r6("cumulative").alias("cumulative"))
 
@@ -198,10 +201,16 @@ def capacity_sweep(spark, sf):
     return out.select("policy", "cap", "fill", r6("realized_lift").alias("realized_lift"))
 
 
-@register("acceptance_gate", sql(BOARD, "SELECT count(DISTINCT policy) AS policies, count(DISTINCT fold) AS folds, count(*) AS cells, 1 AS numeric_pbo, '' AS failures, true AS accepted FROM board"))
+@register(
+    "acceptance_gate",
+    sql(BOARD, PBO + """, pbo AS (SELECT count(*) AS k FROM ranks HAVING count(*) > 0), c AS (SELECT count(DISTINCT policy) AS policies, count(DISTINCT fold) AS folds, count(*) AS cells, (SELECT count(k) FROM pbo) AS numeric_pbo,
+      (SELECT count(*) FROM (SELECT policy FROM board GROUP BY policy HAVING count(*) >= 3 AND stddev_samp(lift) > 0)) AS numeric_dsr FROM board),
+      f AS (SELECT *, list_filter([CASE WHEN policies < 8 THEN 'policies' END, CASE WHEN folds < 8 THEN 'folds' END, CASE WHEN cells < 64 THEN 'cells' END, CASE WHEN numeric_pbo < 1 THEN 'pbo' END, CASE WHEN numeric_dsr < 1 THEN 'dsr' END], lambda x: x IS NOT NULL) AS l FROM c)
+      SELECT policies, folds, cells, CAST(numeric_pbo AS INTEGER) AS numeric_pbo, array_to_string(l, ',') AS failures, len(l) = 0 AS accepted FROM f"""),
+)
 def acceptance_gate(spark, sf):
     """Whether the board is large enough and its statistics are numbers."""
-    b = board(spark, sf).cache()
+    b = kept(board(spark, sf))
     out = ev.acceptance(b, ev.deflated_sharpe_z(b), ev.overfit_probability(b))
     return out.select("policies", "folds", "cells", F.col("numeric_pbo").cast("int").alias("numeric_pbo"), "failures", "accepted")
 

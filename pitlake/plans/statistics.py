@@ -106,15 +106,19 @@ def by_adjust(spark, sf):
 
 
 COMPONENTS = 64  # of a vector
-DIMS = 8  # in the SQL of ledoit_wolf
-LW = "WITH " + "e AS (SELECT " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS x{k}" for k in range(DIMS)) + " FROM embeddings), " + "mu AS (SELECT count(*) AS n, " + ", ".join(f"avg(x{k}) AS m{k}" for k in range(DIMS)) + " FROM e), " + "z AS (SELECT n, " + ", ".join(f"x{k} - m{k} AS z{k}" for k in range(DIMS)) + " FROM e, mu), s AS (SELECT n, avg(pow(" + " + ".join(f"z{k} * z{k}" for k in range(DIMS)) + ", 2)) AS f, " + ", ".join(f"avg(z{i} * z{j}) AS s{i}{j}" for i in range(DIMS) for j in range(DIMS)) + " FROM z GROUP BY n), " + f"t AS (SELECT *, ({' + '.join(f's{i}{i}' for i in range(DIMS))}) / {DIMS} AS tr, {' + '.join(f's{i}{j} * s{i}{j}' for i in range(DIMS) for j in range(DIMS))} AS ns FROM s), u AS (SELECT *, (ns - {DIMS} * tr * tr) / {DIMS} AS delta FROM t), v AS (SELECT *, least(greatest((f - ns) / ({DIMS} * n), 0), delta) / delta AS h FROM u) " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round((1 - h) * s{i}{j} + {'h * tr' if i == j else '0'}, 6) + 0.0 AS covariance, round(h, 6) AS shrinkage FROM v" for i in range(DIMS) for j in range(DIMS))
+#: Centred products of all pairs of components by unnest; the shrinkage from traces and norms of the matrix.
+LW = f"""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), mu AS (SELECT i, avg(x) AS m FROM e GROUP BY i),
+  z AS (SELECT e.vec_id, e.i, x - m AS z FROM e JOIN mu USING (i)), n AS (SELECT count(*) AS n FROM embeddings), s AS (SELECT a.i, b.i AS j, sum(a.z * b.z) / max(n) AS s FROM z a JOIN z b USING (vec_id), n GROUP BY ALL),
+  f AS (SELECT avg(q * q) AS f FROM (SELECT vec_id, sum(z * z) AS q FROM z GROUP BY 1)), t AS (SELECT sum(CASE WHEN i = j THEN s END) / {COMPONENTS} AS tr, sum(s * s) AS ns FROM s),
+  h AS (SELECT tr, least(greatest((f - ns) / ({COMPONENTS} * n), 0), (ns - {COMPONENTS} * tr * tr) / {COMPONENTS}) / ((ns - {COMPONENTS} * tr * tr) / {COMPONENTS}) AS h FROM t, f, n)
+  SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round((1 - h) * s + CASE WHEN i = j THEN h * tr ELSE 0 END, 6) + 0.0 AS covariance, round(h, 6) AS shrinkage FROM s, h"""
 
 
 @register("ledoit_wolf", LW)
 def ledoit_wolf(spark, sf):
-    """Shrunk covariance of the first components of all vectors."""
-    e = table(spark, sf, "embeddings").select(*[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(DIMS)])
-    return st.ledoit_wolf(e, [f"x{k}" for k in range(DIMS)]).select("i", "j", r6("covariance").alias("covariance"), r6("shrinkage").alias("shrinkage"))
+    """Shrunk covariance of all components of all vectors."""
+    e = table(spark, sf, "embeddings").select(*[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(COMPONENTS)])
+    return st.ledoit_wolf(e, [f"x{k}" for k in range(COMPONENTS)]).select("i", "j", r6("covariance").alias("covariance"), r6("shrinkage").alias("shrinkage"))
 
 
 @register("partial_correlations")

@@ -41,13 +41,15 @@ def realised_pnl(spark, sf):
     return out.select("account", "symbol", "fills", (F.round("position", 4) + F.lit(0.0)).alias("position"), (F.round("average_price", 4) + F.lit(0.0)).alias("average_price"), (F.round("realised", 2) + F.lit(0.0)).alias("realised"))
 
 
-ACT = f"acts AS (SELECT p_partkey AS id, p_partkey % 20 AS symbol, 820000000000000 + p_partkey % 2000 * {DAY} AS effective, 1 + p_partkey % 3 AS split_num, 1 + p_partkey % 2 AS split_den, p_retailprice / 1000 AS dividend, 820000000000000 + (p_partkey % 2000 + 30) * {DAY} AS pay_at FROM part WHERE p_size = 7)"
+ACT = f"acts AS (SELECT p_partkey AS id, p_partkey % 20 AS symbol, 820000000000000 + p_partkey % 2000 * {DAY} AS effective, CASE WHEN p_size = 7 THEN 1 + p_partkey % 3 ELSE 1 END AS split_num, CASE WHEN p_size = 7 THEN 1 + p_partkey % 2 ELSE 1 END AS split_den, p_retailprice / 1000 AS dividend, 820000000000000 + (p_partkey % 2000 + 30) * {DAY} AS pay_at FROM part)"
 
 
 def actions(spark, sf):
-    p = table(spark, sf, "part").where("p_size = 7")
+    """A dividend for each part; parts of size 7 split too."""
+    p = table(spark, sf, "part")
+    split = lambda n: F.when(F.col("p_size") == 7, 1 + F.col("p_partkey") % n).otherwise(1)
     at = F.lit(820_000_000_000_000) + F.col("p_partkey") % 2000 * DAY
-    return p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 20).alias("symbol"), at.alias("effective"), (1 + F.col("p_partkey") % 3).alias("split_num"), (1 + F.col("p_partkey") % 2).alias("split_den"), (F.col("p_retailprice") / 1000).alias("dividend"), (at + 30 * DAY).alias("pay_at"))
+    return p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 20).alias("symbol"), at.alias("effective"), split(3).alias("split_num"), split(2).alias("split_den"), (F.col("p_retailprice") / 1000).alias("dividend"), (at + 30 * DAY).alias("pay_at"))
 
 
 @register("entitlements", with_views("ledger", f"""WITH {ACT}, pos AS ({CASH}), seen AS (SELECT account, symbol, t, arg_max(position, ({BY})) AS position FROM pos GROUP BY ALL), due AS (SELECT a.*, s.account FROM acts a JOIN (SELECT DISTINCT account, symbol FROM ledger) s USING (symbol)),
@@ -72,11 +74,15 @@ def total_return(spark, sf):
     return lg.total_return(spans, actions(spark, sf)).select("id", r6("total_return").alias("total_return"))
 
 
-@register("market_fill_price", with_views("trades quotes", "SELECT t.seq AS id, q.seq AS quote, round(CASE WHEN side = 1 THEN ask ELSE bid END * (1 + side * 2.0 / 10000), 6) AS fill_px, round(CASE WHEN side = 1 THEN ask ELSE bid END * (1 + side * 2.0 / 10000) * qty * 5.0 / 10000, 6) AS fill_fee FROM trades t ASOF LEFT JOIN quotes q ON t.symbol = q.symbol AND t.t + 5000000 <= q.t"))
+@register("market_fill_price", with_views("trades quotes", f"""WITH h AS (SELECT symbol, t // {HOUR} * {HOUR} + {HOUR} AS "end", arg_max(px, (t, seq)) AS close FROM trades GROUP BY ALL), o AS (SELECT seq, symbol, side, qty, t + 5000000 AS due FROM trades),
+  j AS (SELECT o.*, q.seq AS quote, CASE o.side WHEN 1 THEN q.ask ELSE q.bid END AS touch FROM o ASOF LEFT JOIN quotes q ON o.symbol = q.symbol AND o.due <= q.t), k AS (SELECT j.*, h.close FROM j ASOF LEFT JOIN h ON j.symbol = h.symbol AND j.due <= h."end"),
+  p AS (SELECT *, coalesce(touch, close) AS base FROM k), f AS (SELECT *, base * (1 + side * qty * 2.0 / 10000) AS px FROM p)
+  SELECT seq AS id, quote, round(px, 3) AS fill_px, round(px * qty * 5.0 / 10000, 3) AS fill_fee, CASE WHEN touch IS NULL AND close IS NOT NULL THEN 'top_of_book_missing' END AS fill_flag FROM f"""))
 def market_fill_price(spark, sf):
-    """Market orders priced at the first quote after their latency."""
-    out = lg.market_fills(trades(spark, sf), quotes(spark, sf), 5_000_000, 2.0, 5.0, DAY)
-    return out.select(F.col("seq").alias("id"), F.col("q_seq").alias("quote"), r6("fill_px").alias("fill_px"), r6("fill_fee").alias("fill_fee"))
+    """Market orders priced at the first quote after their latency, past the last quote at the hour's close."""
+    t = trades(spark, sf)
+    out = lg.market_fills(t, quotes(spark, sf), 5_000_000, 2.0, 5.0, DAY, br.from_prints(t, HOUR, F.lit(0)).select("symbol", "end", "close"))
+    return out.select(F.col("seq").alias("id"), F.col("q_seq").alias("quote"), F.round("fill_px", 3).alias("fill_px"), F.round("fill_fee", 3).alias("fill_fee"), "fill_flag")
 
 
 @register("limit_fill", with_views("trades", f"""WITH o AS (SELECT seq AS id, symbol, side, t, t + {6 * HOUR} AS until, px AS "limit", qty * 2 AS qty FROM trades), m AS (SELECT o.*, p.seq AS ps, p.t AS pt, p.qty * 0.25 AS offered FROM o JOIN trades p ON p.symbol = o.symbol AND p.t > o.t AND p.t <= o.until AND ((o.side = 1 AND p.px <= o."limit") OR (o.side = -1 AND p.px >= o."limit"))),
@@ -202,7 +208,7 @@ def factor_filter(spark, sf):
     z = m.withColumn("z", (F.col("value") - F.avg("value").over(w)) / F.stddev_pop("value").over(w)).withColumn("step", F.col("m") - F.min("m").over(w))
     rel = z.select(F.col("series").alias("panel"), (F.col("step") + 1).alias("released"), F.col("step").alias("first"), F.col("step").alias("last"), F.col("z").alias("value"), F.lit("mean").alias("how"), F.lit(0.5).alias("noise"))
     steps = rel.groupBy("panel").agg((F.max("released") + 1).alias("steps"))
-    return md.factor_filter(rel, steps, 0.8, 0.36, 1.0, 4).select("panel", "step", r6("mean").alias("mean"), r6("variance").alias("variance"), "used")
+    return md.factor_filter(rel, steps, 0.8, 0.36, 1.0, 4).select("panel", "step", r6("mean").alias("mean"), r6("variance").alias("variance"), "used", "refused")
 
 
 BARS = f"bars AS (SELECT symbol, t // {HOUR} * {HOUR} AS start, arg_min(px, (t, seq)) AS open, max(px) AS high, min(px) AS low, arg_max(px, (t, seq)) AS close, sum(qty) AS volume, t // {HOUR} * {HOUR} + {HOUR} AS \"end\", t // {HOUR} * {HOUR} + {HOUR} + symbol % 3 * 600000000 AS available FROM trades GROUP BY ALL)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,10 +17,26 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written once and read from there: in spark.checkpoint.dir, or, where that is unset in a local session, a temporary folder.
+
+    Lost executors cost no recomputation; Spark deletes the files with the frame if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            path = tempfile.mkdtemp(prefix="spark-pitlake-")
+        context.setCheckpointDir(path)
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,12 +1,15 @@
 """Labels, folds, board and overfit statistics against hand values and plain Python."""
 
 import math
+import random
+import statistics
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
 from pitlake.operators import evaluate as ev
+from pitlake.operators import ledger as lg
 from pitlake.operators import probes as pr
 from pitlake.operators.asof import asof_join
 from pitlake.operators.numbering import number, running_max, running_sum
@@ -107,3 +110,19 @@ def test_unpurged_rows_are_all_that_reach_the_test_block(spark):
         block = [r for r in rows if 300 + 100 * k <= r[0] < 400 + 100 * k]
         want |= {f"{k}:{p}" for p, s, e in rows[: 300 + 100 * k] if any(s <= z and a <= e for _, a, z in block)}
     assert got == want and len(want) > 3 * 140
+
+
+def test_exact_medians(spark):
+    rng = random.Random(2)
+    for values in ([3.0], [1.0, 2.0], [5.0] * 7 + [None], [rng.choice([rng.random(), -1e300, 1e300, 0.0, 1e-300]) for _ in range(101)], [float(rng.randrange(5)) for _ in range(60)]):
+        df = spark.createDataFrame([(v, float("nan")) for v in values] + [(None, float("inf"))], "a double, b double").repartition(3)
+        some = [v for v in values if v is not None]
+        assert ev.exact_medians(df, ["a", "b"], bins=5) == {"a": statistics.median(some), "b": None}
+
+
+def test_slippage_grows_with_the_quantity_and_bars_stand_in(spark):
+    orders = spark.createDataFrame([(1, "a", 1, 0, 10.0), (2, "a", -1, 0, 1.0), (3, "a", 1, 50, 2.0), (4, "a", 1, 500, 2.0)], "id long, symbol string, side int, t long, qty double")
+    quotes = spark.createDataFrame([(9, "a", 5, 99.0, 101.0)], "seq long, symbol string, t long, bid double, ask double")
+    bars = spark.createDataFrame([("a", 60, 80.0), ("a", 120, 90.0)], "symbol string, end long, close double")
+    got = {r.id: (r.fill_px and round(r.fill_px, 6), r.fill_flag) for r in lg.market_fills(orders, quotes, 5, 10.0, 5.0, None, bars).collect()}
+    assert got == {1: (101 * 1.01, None), 2: (99 * 0.999, None), 3: (80 * 1.002, "top_of_book_missing"), 4: (None, None)}

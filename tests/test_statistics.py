@@ -163,3 +163,18 @@ def test_partial_correlations_take_all_components(spark, tmp_path):
     d = np.sqrt(np.diag(prec))
     want = -prec / np.outer(d, d) + 2 * np.eye(p)
     assert len(got) == 64 * 64 and all(abs(v - want[k]) < 2e-6 for k, v in got.items())
+
+
+def test_a_variant_without_data_is_skipped(spark):
+    rows = [(0, t, t + 1, float(t % 5), None, float(t)) for t in range(30)]
+    df = spark.createDataFrame(rows, "s int, t int, ready int, a double, edge double, y double")
+    got = {r.variant: r for r in md.nested_comparison(df, ["s"], "t", "ready", {"A": ["a"], "D": ["a", "edge"]}, "y", 10, 5).collect()}
+    assert got["A"].rows > 0 and got["A"].gain == 0 and (got["D"].rows, got["D"].mse) == (0, None)
+
+
+def test_releases_that_do_not_fit_are_refused(spark):
+    rel = [(1, 1, 0, 0, 1.0, "mean", 0.5), (1, 0, 1, 1, 1.0, "mean", 0.5), (1, 2, 0, 2, 1.0, "median", 0.5), (1, 3, 3, 3, float("nan"), "sum", 0.5), (1, 9, 9, 9, 1.0, "sum", 0.5), (1, 3, 3, 3, 1.0, "sum", 0.0)]
+    df = spark.createDataFrame(rel, "panel int, released int, first int, last int, value double, how string, noise double")
+    got = md.factor_filter(df, spark.createDataFrame([(1, 4), (2, 2)], "panel int, steps int"), 0.5, 0.75, 1.0, 3).orderBy("panel", "step").collect()
+    assert [(r.panel, r.step, r.used, r.refused) for r in got] == [(1, 0, 0, 5), (1, 1, 1, 5), (1, 2, 0, 5), (1, 3, 0, 5), (2, 0, 0, 0), (2, 1, 0, 0)]
+    assert got[-1].mean == 0 and abs(got[-1].variance - 1) < 1e-12
