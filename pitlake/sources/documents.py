@@ -67,7 +67,7 @@ def filing_index(pages: DataFrame) -> DataFrame:
     zipped = F.arrays_zip(*[F.col(r + c).alias(c) for c in ("accessionNumber", "primaryDocument", "filingDate", "acceptanceDateTime")])
     flat = pages.select(body.alias("b")).select(F.col("b.cik").alias("cik"), F.inline(zipped))
     published = F.coalesce(F.try_to_timestamp("acceptanceDateTime"), publication_instant(F.col("filingDate").cast("date"), "America/New_York"))
-    path = F.concat_ws("/", F.lit("data"), F.regexp_replace("cik", "^0+", ""), F.replace(F.col("accessionNumber"), F.lit("-"), F.lit("")), "primaryDocument")
+    path = F.concat_ws("/", F.lit("data"), F.regexp_replace("cik", "^0+(?=.)", ""), F.replace(F.col("accessionNumber"), F.lit("-"), F.lit("")), "primaryDocument")
     return flat.select("cik", "accessionNumber", "filingDate", published.alias("published"), path.alias("path"))
 
 
