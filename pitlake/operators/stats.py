@@ -139,15 +139,22 @@ def shift_null(paired: DataFrame, order: list[str], least: int = 20, most: int =
     return tested.groupBy("a", "b").agg(F.max("statistic").alias("statistic"), F.count("*").alias("shifts"), (F.count_if(F.col("r") >= F.col("statistic") - 1e-14) / F.count("*")).alias("p_value"))
 
 
+def even_buckets(df: DataFrame, column: str, buckets: int = 64) -> Column:
+    """A bucket number that does not fall along the column, with about as many rows in each: by approximate quantiles of it."""
+    found = df.approxQuantile(column, [k / buckets for k in range(1, buckets)], 1 / (4 * buckets))
+    cuts = F.array(*[F.lit(float(c)) for c in sorted(set(found))]) if found else F.array().cast("array<double>")
+    return F.size(F.filter(cuts, lambda c: c < F.col(column).cast("double")))
+
+
 def adjust(p_values: DataFrame, method: str, unique: str, buckets: int = 64) -> DataFrame:
     """Benjamini-Hochberg or Benjamini-Yekutieli over the whole family, as adjusted. p outside [0, 1] raises.
 
-    Ranks and the running minimum from the largest p down go by buckets of p, so the family needs no single task."""
+    Ranks and the running minimum from the largest p down go by buckets of p with about as many rows each, so the family needs no single task."""
     if method not in ("BH", "BY"):
         raise ValueError(f"no such method: {method}")
     p = F.when((F.col("p") >= 0) & (F.col("p") <= 1), F.col("p")).otherwise(F.raise_error(F.lit("a p-value is outside 0 to 1")))
     rows = p_values.withColumn("p", p)
-    bucket = F.floor(F.col("p") * buckets)
+    bucket = even_buckets(p_values, "p", buckets)
     ranked = number(rows, [F.col("p"), F.col(unique)], bucket, "__k")
     n = rows.agg(F.count("*").alias("__n"))
     ranked = ranked.crossJoin(F.broadcast(n))
@@ -158,7 +165,7 @@ def adjust(p_values: DataFrame, method: str, unique: str, buckets: int = 64) ->
         total = rows.count()
         scale = F.lit(spark.range(1, total + 1).agg(F.sum(1.0 / F.col("id"))).first()[0] if total else 1.0)
     raw = F.col("p") * F.col("__n") * scale / (F.col("__k") + 1)
-    low = running_max(ranked.withColumn("__raw", raw), -F.col("__raw"), [F.col("p").desc(), F.col(unique).desc()], -F.floor(F.col("p") * buckets), "__m")
+    low = running_max(ranked.withColumn("__raw", raw), -F.col("__raw"), [F.col("p").desc(), F.col(unique).desc()], -bucket, "__m")
     return low.withColumn("adjusted", F.least(F.lit(1.0), -F.col("__m"))).drop("__k", "__n", "__raw", "__m")
 
 
@@ -195,15 +202,54 @@ def ledoit_wolf(matrix: DataFrame, columns: list[str]) -> DataFrame:
     return matrix.sparkSession.createDataFrame(out, "i int, j int, covariance double, partial double, shrinkage double")
 
 
+_MASK = (1 << 64) - 1
+
+
+def _xorshift(state: int) -> int:
+    """The next state of the 64-bit xorshift generator with shifts 13, 7 and 17."""
+    state ^= (state << 13) & _MASK
+    state ^= state >> 7
+    return state ^ (state << 17) & _MASK
+
+
+def _jump(columns: list[int], state: int) -> int:
+    """A linear map over bits, given by the images of the single bits, applied to a state."""
+    out = 0
+    while state:
+        low = state & -state
+        out ^= columns[low.bit_length() - 1]
+        state ^= low
+    return out
+
+
 def xorshift_starts(spark: SparkSession, n: int, block: int, repeats: int, seed: int) -> DataFrame:
-    """(rep, k, start): block starts of the moving-block bootstrap from a 64-bit xorshift generator; repeats x blocks numbers."""
-    mask, state, out = (1 << 64) - 1, max(1, seed), []
+    """(rep, k, start): block starts of the moving-block bootstrap from one stream of a 64-bit xorshift generator.
+
+    The generator is linear over bits, so the state with which each repeat begins is found by jumps on the driver (one
+    number a repeat); the repeats' blocks are then drawn in tasks."""
+    each = -(-n // block)
+    jump, power, left = [1 << k for k in range(64)], [_xorshift(1 << k) for k in range(64)], each
+    while left:  # jump = each steps at once, by squaring
+        if left & 1:
+            jump = [_jump(power, c) for c in jump]
+        power, left = [_jump(power, c) for c in power], left >> 1
+    states, state = [], max(1, seed)
     for rep in range(repeats):
-        for k in range(-(-n // block)):
-            for by, left in ((13, True), (7, False), (17, True)):
-                state ^= (state << by) & mask if left else state >> by
-            out.append((rep, k, state % (n - block + 1)))
-    return spark.createDataFrame(out, "rep int, k int, start long")
+        states.append((rep, state - (1 << 64) if state >> 63 else state))
+        state = _jump(jump, state)
+
+    def drawn(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for rep, first in zip(b.column("rep").to_pylist(), b.column("state").to_pylist()):
+                at, starts = first & _MASK, []
+                for _ in range(each):
+                    at = _xorshift(at)
+                    starts.append(at % (n - block + 1))
+                yield pa.record_batch([pa.array([rep] * each, pa.int32()), pa.array(range(each), pa.int32()), pa.array(starts, pa.int64())], ["rep", "k", "start"])
+
+    return spark.createDataFrame(states, "rep int, state long").mapInArrow(drawn, "rep int, k int, start long")
 
 
 def block_interval(gains: DataFrame, starts: DataFrame, n: int, block: int, repeats: int) -> DataFrame:
@@ -226,7 +272,7 @@ def average_precision(scored: DataFrame, by: list[str] = []) -> DataFrame:
 
     Scores are grouped first; the running counts then go over distinct scores, by buckets of the score."""
     groups = scored.groupBy(*by, "p").agg(F.sum(F.col("label").cast("long")).alias("tp"), F.count("*").alias("n"))
-    bucket, order = -F.floor(F.col("p") * 64), [F.col("p").desc()]
+    bucket, order = -even_buckets(scored, "p"), [F.col("p").desc()]
     run = running_sum(running_sum(groups, F.col("tp"), order, bucket, "ctp", by), F.col("n"), order, bucket, "cn", by)
     total = run.groupBy(*by).agg(F.sum("tp").alias("pos"), F.sum(F.col("tp") * F.col("ctp") / F.col("cn")).alias("s"), F.sum("n").alias("rows"))
     return total.select(*by, "rows", F.try_divide(F.col("s"), F.when(F.col("pos") > 0, F.col("pos"))).alias("pr_auc"))
@@ -243,13 +289,20 @@ def calibration_error(scored: DataFrame, by: list[str] = []) -> DataFrame:
     return bins.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("rate") - F.col("mean_p"))) / F.sum("n")).alias("ece"))
 
 
-def scorecard(scored: DataFrame, part: str, threshold: float) -> DataFrame:
-    """Rows, PR-AUC, Brier, ECE, positive and quote rate for each partition and overall (a null partition).
+def scorecard(scored: DataFrame, part: str, threshold: float, value: str = "value", time: str = "t") -> DataFrame:
+    """Rows, time span, PR-AUC, Brier, ECE, positive and quote rate, the mean value of quoting always (baseline), of
+    quoting below the threshold (policy, 0 where it does not quote) and the lift, for each partition and overall (a null partition).
 
     Every row counts in its partition and overall, so the grouped steps run once over both."""
-    both = scored.select(F.explode(F.array(F.struct(F.col(part).alias("part"), F.lit(0).alias("overall")), F.struct(F.lit(None).cast("string").alias("part"), F.lit(1).alias("overall")))).alias("g"), "p", "label").select("g.*", "p", "label")
+    every = F.array(F.struct(F.col(part).alias("part"), F.lit(0).alias("overall")), F.struct(F.lit(None).cast("string").alias("part"), F.lit(1).alias("overall")))
+    rest = ["p", "label", F.col(value).alias("value"), F.col(time).alias("t")]
+    both = scored.select(F.explode(every).alias("g"), *rest).select("g.*", "p", "label", "value", "t")
     keys = ["overall", "part"]
-    base = both.groupBy(*keys).agg(F.count("*").alias("rows"), brier(F.col("label"), F.col("p")).alias("brier"), F.avg(F.col("label").cast("double")).alias("positive_rate"), F.avg((F.col("p") < threshold).cast("double")).alias("quote_rate"))
+    quoted = F.when(F.col("p") < threshold, F.col("value")).otherwise(0.0)
+    base = both.groupBy(*keys).agg(
+        F.count("*").alias("rows"), F.min("t").alias("first"), F.max("t").alias("last"), brier(F.col("label"), F.col("p")).alias("brier"), F.avg(F.col("label").cast("double")).alias("positive_rate"),
+        F.avg((F.col("p") < threshold).cast("double")).alias("quote_rate"), F.avg("value").alias("baseline"), F.avg(quoted).alias("policy"), F.avg(quoted - F.col("value")).alias("lift"),
+    )
     out = base
     for extra in (average_precision(both, keys).drop("rows"), calibration_error(both, keys)):
         renamed = extra.withColumnsRenamed({k: f"__{k}" for k in keys})
@@ -258,11 +311,12 @@ def scorecard(scored: DataFrame, part: str, threshold: float) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, value: str, order: list[Column], bucket: Column) -> DataFrame:
-    """Min, p50 (index n/2), p95 (index floor((n-1) 0.95)) and max by position."""
+    """Min, p50 (index n/2), p95 (index floor((n-1) 0.95)) and max by position; r50, r95 and r99 by the rounded index (n-1) q."""
     rows = number(df.where(F.col(value).isNotNull()), order, bucket, "__i").crossJoin(F.broadcast(df.agg(F.count(value).alias("__n"))))
     pick = lambda at: F.max(F.when(F.col("__i") == at, F.col(value)))
     n = F.col("__n")
-    return rows.agg(F.min(value).alias("min"), pick(F.floor(n / 2)).alias("p50"), pick(F.floor((n - 1) * 0.95)).alias("p95"), F.max(value).alias("max"))
+    rounded = [pick(F.round((n - 1) * q).cast("long")).alias(f"r{round(100 * q)}") for q in (0.5, 0.95, 0.99)]
+    return rows.agg(F.min(value).alias("min"), pick(F.floor(n / 2)).alias("p50"), pick(F.floor((n - 1) * 0.95)).alias("p95"), F.max(value).alias("max"), *rounded)
 
 
 def isotonic(p: Column, knots: list[tuple[float, float]]) -> Column:

@@ -145,9 +145,13 @@ def leaky_vs_purged(spark, sf):
     return ev.rank_shift(naive, ev.policy_summary(lb.board(spark, sf)))
 
 
-@register("scenario_sweep", with_views("quotes trades", "".join(f"{' UNION ALL ' if k else ''}SELECT '{n}' AS scenario, count(*) AS rows, round(avg(t.side * (q.mid - t.px) / t.px * 10000) - {c}, 4) + 0.0 AS net FROM trades t ASOF JOIN quotes q ON t.symbol = q.symbol AND t.t + {HOUR} + {d} <= q.t" for k, (n, c, d) in enumerate((("base", 1, 0), ("delay_15m", 1, HOUR // 4), ("double_cost", 2, 0))))))
+#: Declared scenarios: name, cost, delay, a condition on trades, and how long before its time a quote is used (an invalid back-fill).
+SCENARIOS = (("base", 1, 0, "true", 0), ("delay_15m", 1, HOUR // 4, "true", 0), ("double_cost", 2, 0, "true", 0), ("no_buys", 1, 0, "side = -1", 0), ("small_only", 1, 0, "qty < 10", 0), ("backfilled", 1, 0, "true", HOUR))
+
+
+@register("scenario_sweep", with_views("quotes trades", " UNION ALL ".join(f"SELECT '{n}' AS scenario, count(*) AS rows, round(avg(t.side * (q.mid - t.px) / t.px * 10000) - {c}, 4) + 0.0 AS net FROM (SELECT * FROM trades WHERE {w} AND px > 0) t ASOF JOIN quotes q ON t.symbol = q.symbol AND t.t + {HOUR + d - early} <= q.t" for n, c, d, w, early in SCENARIOS)))
 def scenario_sweep(spark, sf):
-    """Mean markout net of cost as declared, with a delay, and at double cost."""
+    """Mean markout net of cost as declared, with a delay, at double cost, on two parts of the trades, and with quotes known too early."""
     from pitlake.operators.asof import asof_join
     from pitlake.plans.views import quotes
 
@@ -155,10 +159,11 @@ def scenario_sweep(spark, sf):
 
     def run(df):
         j = asof_join(df.withColumn("due", F.col("t") + HOUR + F.col("delay")), q, ["symbol"], "due", "t", ["mid"], forward=True, ties=["seq"], width=DAY)
-        return j.where("mid is not null").agg(F.count("*").alias("rows"), (F.round(F.avg(ev.markout_bps(F.col("side"), F.col("mid"), F.col("px"))) - F.max("cost"), 4) + F.lit(0.0)).alias("net"))
+        bps = ev.markout_bps(F.col("side"), F.col("mid"), F.col("px"))
+        return j.where("mid is not null and px > 0").agg(F.count("*").alias("rows"), (F.round(F.avg(bps) - F.max("cost"), 4) + F.lit(0.0)).alias("net"))
 
-    base = lambda df, delay=0, cost=1: df.withColumn("delay", F.lit(delay)).withColumn("cost", F.lit(cost))
-    return pr.scenarios(trades(spark, sf), {"base": base, "delay_15m": lambda df: base(df, HOUR // 4), "double_cost": lambda df: base(df, 0, 2)}, run)
+    variant = lambda cost, delay, where: lambda df: df.where(where).withColumn("delay", F.lit(delay)).withColumn("cost", F.lit(cost))
+    return pr.scenarios(trades(spark, sf), {n: variant(c, d - early, w) for n, c, d, w, early in SCENARIOS}, run)
 
 
 @register("quality_quarantine", "SELECT array_to_string(list_filter([CASE WHEN NOT l_quantity > 2 THEN 'quantity' END, CASE WHEN NOT l_extendedprice / l_quantity > 950 THEN 'price' END, CASE WHEN NOT l_linenumber <> 3 THEN 'line' END], lambda x: x IS NOT NULL), ',') AS violations, count(*) AS n FROM lineitem WHERE NOT (l_quantity > 2 AND l_extendedprice / l_quantity > 950 AND l_linenumber <> 3) GROUP BY 1")

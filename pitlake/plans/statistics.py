@@ -160,12 +160,13 @@ def brier_ece(spark, sf):
     return s.groupBy("part").agg(r6(st.brier(F.col("label"), F.col("p"))).alias("brier")).join(st.calibration_error(s, ["part"]), "part").select("part", "brier", r6("ece").alias("ece"))
 
 
-@register("scorecard", with_views("scores", """WITH x AS (SELECT 0 AS overall, part, p, label FROM scores UNION ALL SELECT 1, NULL, p, label FROM scores), g AS (SELECT overall, part, p, sum(label) AS tp, count(*) AS n FROM x GROUP BY ALL), c AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM g WINDOW w AS (PARTITION BY overall, part ORDER BY p DESC)),
+@register("scorecard", with_views("scores", """WITH y AS (SELECT *, id % 37 - 15.5 AS value, id * 1000 AS t FROM scores), x AS (SELECT 0 AS overall, part, p, label, value, t FROM y UNION ALL SELECT 1, NULL, p, label, value, t FROM y), g AS (SELECT overall, part, p, sum(label) AS tp, count(*) AS n FROM x GROUP BY ALL), c AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM g WINDOW w AS (PARTITION BY overall, part ORDER BY p DESC)),
   a AS (SELECT overall, part, CASE WHEN sum(tp) > 0 THEN sum(tp * ctp / cn) / sum(tp) END AS pr FROM c GROUP BY ALL), b AS (SELECT overall, part, least(9, CAST(floor(p * 10) AS INTEGER)) AS bin, count(*) AS n, avg(label) AS rate, avg(p) AS mp FROM x GROUP BY ALL), e AS (SELECT overall, part, sum(n * abs(rate - mp)) / sum(n) AS ece FROM b GROUP BY ALL)
-  SELECT x.overall, x.part, count(*) AS rows, round(avg((label - p) * (label - p)), 6) AS brier, round(max(pr), 6) AS pr_auc, round(max(ece), 6) AS ece, round(avg(label), 6) AS positive_rate, round(avg(CAST(p < 0.3 AS INTEGER)), 6) AS quote_rate FROM x JOIN a ON x.overall = a.overall AND x.part IS NOT DISTINCT FROM a.part JOIN e ON x.overall = e.overall AND x.part IS NOT DISTINCT FROM e.part GROUP BY 1, 2"""))
+  SELECT x.overall, x.part, count(*) AS rows, round(avg((label - p) * (label - p)), 6) AS brier, round(max(pr), 6) AS pr_auc, round(max(ece), 6) AS ece, round(avg(label), 6) AS positive_rate, round(avg(CAST(p < 0.3 AS INTEGER)), 6) AS quote_rate, min(t) AS first, max(t) AS last, round(avg(value), 6) + 0.0 AS baseline, round(sum(CASE WHEN p < 0.3 THEN value END) / count(*), 6) + 0.0 AS policy, round(-sum(CASE WHEN p >= 0.3 THEN value ELSE 0 END) / count(*), 6) + 0.0 AS lift FROM x JOIN a ON x.overall = a.overall AND x.part IS NOT DISTINCT FROM a.part JOIN e ON x.overall = e.overall AND x.part IS NOT DISTINCT FROM e.part GROUP BY 1, 2"""))
 def scorecard(spark, sf):
     """The model's scorecard by language and overall."""
-    return st.scorecard(scores(spark, sf), "part", 0.3).select("overall", "part", "rows", *[r6(c).alias(c) for c in ("brier", "pr_auc", "ece", "positive_rate", "quote_rate")])
+    rows = scores(spark, sf).withColumn("value", F.col("id") % 37 - 15.5).withColumn("t", F.col("id") * 1000)
+    return st.scorecard(rows, "part", 0.3).select("overall", "part", "rows", "first", "last", *[r6(c).alias(c) for c in ("brier", "pr_auc", "ece", "positive_rate", "quote_rate", "baseline", "policy", "lift")])
 
 
 @register("calibrate", with_views("scores", "SELECT id, round(CASE WHEN p <= 0.1 THEN 0.05 WHEN p <= 0.5 THEN 0.05 + (p - 0.1) * ((0.4 - 0.05) / (0.5 - 0.1)) WHEN p <= 0.9 THEN 0.4 + (p - 0.5) * ((0.95 - 0.4) / (0.9 - 0.5)) ELSE 0.95 END, 6) AS calibrated, CASE WHEN p <= 0.1 THEN 0.05 WHEN p <= 0.5 THEN 0.05 + (p - 0.1) * ((0.4 - 0.05) / (0.5 - 0.1)) WHEN p <= 0.9 THEN 0.4 + (p - 0.5) * ((0.95 - 0.4) / (0.9 - 0.5)) ELSE 0.95 END < 0.3 AS quote FROM scores"))
@@ -175,7 +176,7 @@ def calibrate(spark, sf):
     return scores(spark, sf).select("id", r6(c).alias("calibrated"), st.quote_below(c, 0.3).alias("quote"))
 
 
-@register("nearest_rank", "WITH v AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) SELECT min(v) AS min, max(CASE WHEN i = n // 2 THEN v END) AS p50, max(CASE WHEN i = CAST(floor((n - 1) * 0.95) AS BIGINT) THEN v END) AS p95, max(v) AS max FROM v")
+@register("nearest_rank", "WITH v AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) SELECT min(v) AS min, max(CASE WHEN i = n // 2 THEN v END) AS p50, max(CASE WHEN i = CAST(floor((n - 1) * 0.95) AS BIGINT) THEN v END) AS p95, max(v) AS max, max(CASE WHEN i = floor((n - 1) * 0.5 + 0.5) THEN v END) AS r50, max(CASE WHEN i = floor((n - 1) * 0.95 + 0.5) THEN v END) AS r95, max(CASE WHEN i = floor((n - 1) * 0.99 + 0.5) THEN v END) AS r99 FROM v")
 def nearest_rank(spark, sf):
     """Quantiles by position, with a distributed order."""
     return st.nearest_rank(table(spark, sf, "orders"), "o_totalprice", [F.col("o_totalprice"), F.col("o_orderkey")], F.floor(F.col("o_totalprice") / 1000))

@@ -117,15 +117,18 @@ def next_minute(spark, sf):
     return lg.next_minute(t, s, ["symbol"], 60_000_000).select("seq", "minute")
 
 
-@register("equity_metrics", with_views("trades", """WITH e AS (SELECT symbol, t, seq, 100000 + sum(CAST(side * qty AS DECIMAL(28, 4))) OVER (PARTITION BY symbol ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS equity FROM trades), p AS (SELECT *, greatest(100000, max(equity) OVER (PARTITION BY symbol ORDER BY t, seq ROWS UNBOUNDED PRECEDING)) AS peak FROM e)
-  SELECT symbol, CAST(arg_max(equity, (t, seq)) AS DOUBLE) AS final, round(CAST(arg_max(equity, (t, seq)) AS DOUBLE) / 100000 - 1, 6) + 0.0 AS net_return, round(max(CAST(peak - equity AS DOUBLE) / CAST(peak AS DOUBLE)), 6) + 0.0 AS max_drawdown FROM p GROUP BY 1"""))
+@register("equity_metrics", with_views("trades", """WITH e AS (SELECT symbol, t, seq, px, qty, 50 AS mid, sum(side * qty) OVER (PARTITION BY symbol ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS pos, 100000 + sum(CAST(side * qty AS DECIMAL(28, 4))) OVER (PARTITION BY symbol ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS equity FROM trades), p AS (SELECT *, greatest(100000, max(equity) OVER (PARTITION BY symbol ORDER BY t, seq ROWS UNBOUNDED PRECEDING)) AS peak FROM e)
+  SELECT symbol, CAST(arg_max(equity, (t, seq)) AS DOUBLE) AS final, round(CAST(arg_max(equity, (t, seq)) AS DOUBLE) / 100000 - 1, 6) + 0.0 AS net_return, round(max(CAST(peak - equity AS DOUBLE) / CAST(peak AS DOUBLE)), 6) + 0.0 AS max_drawdown,
+    round(avg(pos * px / CAST(equity AS DOUBLE)), 6) + 0.0 AS mean_exposure, round(sum(qty * px) / 100000, 6) + 0.0 AS turnover, round(avg((px - mid) * (px - mid)), 4) AS mse FROM p GROUP BY 1"""))
 def equity_metrics(spark, sf):
     """End, return and largest drawdown of a curve for each symbol."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("symbol").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    curve = trades(spark, sf).withColumn("equity", (100_000 + F.sum(F.col("side") * F.col("qty")).over(w)).cast("double"))
-    return lg.trial_metrics(curve, ["symbol"], ["t", "seq"], 100_000.0).select("symbol", "final", r6("net_return").alias("net_return"), r6("max_drawdown").alias("max_drawdown"))
+    position = F.sum(F.col("side") * F.col("qty")).over(w)
+    curve = trades(spark, sf).withColumn("equity", (100_000 + position).cast("double")).withColumn("exposure", position * F.col("px"))
+    curve = curve.withColumn("traded", F.col("qty") * F.col("px")).withColumn("squared_error", F.pow(F.col("px") - 50, 2))
+    return lg.trial_metrics(curve, ["symbol"], ["t", "seq"], 100_000.0).select("symbol", "final", r6("net_return").alias("net_return"), r6("max_drawdown").alias("max_drawdown"), r6("mean_exposure").alias("mean_exposure"), r6("turnover").alias("turnover"), F.round("mse", 4).alias("mse"))
 
 
 @register("step_returns", with_views("monthly", "SELECT series, m, round((value - lag(value) OVER w) / lag(value) OVER w, 6) + 0.0 AS r FROM monthly WINDOW w AS (PARTITION BY series ORDER BY m)"))

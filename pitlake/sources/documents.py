@@ -147,18 +147,41 @@ def release_figure(pages: DataFrame) -> DataFrame:
     return rows.select("url", "period_start", F.last_day("period_start").alias("period_end"), (clean_number(F.regexp_extract(said, pattern, 3)) * 1e6).alias("value"), publication_instant(F.col("day"), "Asia/Taipei").alias("published"))
 
 
+#: Attribute values in double quotes, single quotes or none.
+HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def plain_path(path: Column) -> Column:
+    """A path from its first slash without "." and ".." segments; ".." above the root is dropped."""
+    part = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(part, 2, F.greatest(F.lit(0), F.size(part) - 1)), F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))),
+    )
+    folder = F.element_at(part, -1).isin(".", "..") & (F.size(kept) > 0)  # what ends in a dot segment is a folder
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder, "/").otherwise(""))
+
+
 def links(pages: DataFrame, key: str) -> DataFrame:
-    """(key, link, same_host) of every a[href], made absolute against the page's URL, without fragment, each once."""
+    """(key, link, same_host) of every a[href], made absolute against the page's URL, without fragment, each once.
+
+    Values stand in double quotes, single quotes or none; "." and ".." segments are resolved; what has another scheme than http(s), and
+    fragments alone, are left out."""
     root = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
     folder = F.regexp_extract("url", r"^https?://[^/?#]+(/(?:[^?#]*/)?)", 1)
-    href = F.col("href")
+    href = F.trim("href")
     absolute = (
-        F.when(href.rlike("^https?://"), href).when(href.startswith("//"), F.concat(F.regexp_extract("url", "^(https?)://", 1), F.lit(":"), href)).when(href.startswith("/"), F.concat(root, href))
+        F.when(href.rlike("^(?i)https?://"), href).when(href.startswith("//"), F.concat(F.regexp_extract("url", "^(https?)://", 1), F.lit(":"), href)).when(href.startswith("/"), F.concat(root, href))
         .when(href.startswith("#") | href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:") | (href == ""), F.lit(None)).otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), href))
     )
-    flat = pages.select(key, "url", F.explode(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*?href="([^"]*)"'), 1)).alias("href"))
+    tags = F.regexp_extract_all("html", F.lit(HREF), 0)
+    value = F.coalesce(*[F.nullif(F.regexp_extract("tag", HREF, k), F.lit("")) for k in (1, 2, 3)])
+    flat = pages.select(key, "url", F.explode(tags).alias("tag")).withColumn("href", value)
     found = flat.select(key, root.alias("root"), F.regexp_replace(absolute, "#.*$", "").alias("link")).where("link is not null")
-    return found.select(key, "link", (F.regexp_extract("link", r"^(https?://[^/?#]+)", 1) == F.col("root")).alias("same_host")).distinct()
+    own, rest = F.regexp_extract("link", r"^((?i)https?://[^/?#]+)", 1), F.regexp_extract("link", r"^(?i)https?://[^/?#]+(/[^?#]*)", 1)
+    after = F.regexp_extract("link", r"^(?i)https?://[^/?#]+[^?#]*([?#].*)?$", 1)
+    resolved = F.when(rest.rlike(r"/\.\.?(/|$)"), F.concat(own, plain_path(rest), after)).otherwise(F.col("link"))
+    return found.select(key, resolved.alias("link"), (own == F.col("root")).alias("same_host")).distinct()
 
 
 #: For each catalogue protocol: where its list of entries is, and where an entry has id, title, description, landing and licence.

@@ -66,6 +66,14 @@ def markout_map(df: DataFrame) -> DataFrame:
     return df.withColumn("markouts", F.map_filter(pairs, lambda _, v: v.isNotNull()))
 
 
+def with_horizon(df: DataFrame, horizon: str) -> DataFrame:
+    """The records of markout_map() that have a value for the horizon; none left is an error."""
+    out = df.where(F.map_contains_key("markouts", F.lit(horizon)))
+    if out.isEmpty():
+        raise ValueError(f"no record has a markout at {horizon}")
+    return out
+
+
 def markout_long(df: DataFrame) -> DataFrame:
     """One row for each record and horizon with a value: columns horizon and bps instead of the wide ones."""
     found = markout_columns(df)

@@ -60,9 +60,9 @@ def test_pages(spark):
     p = spark.createDataFrame([("http://x/1", html), ("http://x/2", "<p>none</p>")], "url string, html string")
     got = dc.release_figure(p).withColumn("ms", F.unix_millis("published")).collect()
     assert [(str(r.period_end), r.value, r.ms) for r in got] == [("2026-03-31", 285_957e6, 1775836800000)]  # 16:00 UTC is midnight in Taipei
-    page = '<a href="/x">1</a><a class="b" href="y#f">2</a><a href="//o.org/z">3</a><a href="mailto:a@b">4</a><a href="#t">5</a><a href="https://a.org/x">6</a>'
+    page = """<a href="/x">1</a><a class="b" href="y#f">2</a><a href="//o.org/z">3</a><a href="mailto:a@b">4</a><a href="#t">5</a><a href="https://a.org/x">6</a><a id=x href='../up/./q?z=../w'>7</a><A href="no">-</A><a href=bare/..>8</a><a href="../../..">9</a><a data-href="/not">10</a>"""
     l = dc.links(spark.createDataFrame([(1, "https://a.org/d/e?q", page)], "page_id int, url string, html string"), "page_id")
-    assert sorted((r.link, r.same_host) for r in l.collect()) == [("https://a.org/d/y", True), ("https://a.org/x", True), ("https://o.org/z", False)]
+    assert sorted((r.link, r.same_host) for r in l.collect()) == [("https://a.org/", True), ("https://a.org/d/", True), ("https://a.org/d/no", True), ("https://a.org/d/y", True), ("https://a.org/up/q?z=../w", True), ("https://a.org/x", True), ("https://o.org/z", False)]
 
 
 def test_catalog_entries(spark):
@@ -179,3 +179,10 @@ def test_metadata_changes_and_totals(spark):
     assert {r.run: r.status for r in ingest.reconcile_totals(p).collect()} == {"a": "ok", "b": "cursor_repeats", "c": "rows_differ"}
     day = 86_400_000_000
     assert ingest.overlap(spark.range(10).select((F.col("id") * day).alias("t")), "t", 9 * day, 7).count() == 7
+
+
+def test_an_empty_horizon_is_an_error(spark):
+    df = lake.markout_map(spark.createDataFrame([(1, 2.0, None), (2, None, None)], "id int, markout_bps_1h double, markout_bps_1d double"))
+    assert [r.id for r in lake.with_horizon(df, "1h").collect()] == [1]
+    with pytest.raises(ValueError):
+        lake.with_horizon(df, "1d")
