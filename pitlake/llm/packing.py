@@ -107,25 +107,37 @@ def near_groups(sets: list[np.ndarray]) -> list[int]:
             root[i] = i = root[root[i]]
         return i
 
-    if not sets or not (total := sum(map(len, sets))):
+    lengths = [len(x) for x in sets]
+    if not sum(lengths):
         return root
-    found, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(found), np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(found))  # rarest first
-    alone = int((counts == 1).sum())  # ranks below belong to one set
-    ends = np.cumsum([len(x) for x in sets])
-    ranks = [np.sort(x) for x in np.split(rank[at.reshape(total)], ends[:-1])]
+    # a number for each distinct shingle, the rarest first
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    numbers = np.concatenate([[0], np.cumsum(every[1:] != every[:-1], dtype=np.int32)]).astype(np.int32)
+    counts = np.bincount(numbers)
+    rank = np.empty(len(counts), np.int32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
+    at = np.empty(len(order), np.int32)
+    at[order] = rank[numbers]
+    del every, order, numbers, rank
+    alone = int((counts == 1).sum())  # ranks below are of one set each and meet nothing: only their number is kept
+    shared, start = [], 0
+    for n in lengths:
+        own = at[start : start + n]
+        shared.append(np.sort(own[own >= alone]))
+        start += n
+    del at, counts
     postings: dict[int, list[int]] = {}
-    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
-        n, met = len(ranks[i]), set()
-        prefix = ranks[i][: n - (4 * n + 4) // 5 + 1] if n else ranks[i]
-        prefix = prefix[prefix >= alone].tolist()
+    for i in sorted(range(len(sets)), key=lengths.__getitem__):
+        n, met = lengths[i], set()
+        prefix = shared[i][: max(0, n - (4 * n + 4) // 5 + 1 - (n - len(shared[i])))].tolist()
         for r in prefix:
             met.update(postings.get(r, ()))
         for j in met:
-            m = len(ranks[j])
+            m = lengths[j]
             if 5 * m >= 4 * n and find(i) != find(j):
-                both = len(np.intersect1d(ranks[i], ranks[j], assume_unique=True))
+                both = len(np.intersect1d(shared[i], shared[j], assume_unique=True))
                 if 9 * both >= 4 * (n + m):
                     a, b = sorted((find(i), find(j)))
                     root[b] = a
