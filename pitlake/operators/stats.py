@@ -172,7 +172,7 @@ def adjust(p_values: DataFrame, method: str, unique: str, buckets: int = 64) ->
 def ledoit_wolf(matrix: DataFrame, columns: list[str]) -> DataFrame:
     """(i, j, covariance, partial, shrinkage) of at most 64 columns; rows with a null or non-finite value are left out.
 
-    Two passes of one aggregate each: means, then centred products and the mean of squared squared norms. The driver
+    Two passes: means, then centred products and the mean of squared squared norms, summed in numpy within each task. The driver
     finishes the columns x columns matrix only."""
     p = len(columns)
     if not 0 < p <= 64:
@@ -185,15 +185,27 @@ def ledoit_wolf(matrix: DataFrame, columns: list[str]) -> DataFrame:
     n = first["n"]
     if n < 3:
         raise ValueError("three rows at least")
-    z = [F.col(c) - F.lit(first[c]) for c in columns]
-    norm = sum((a * a for a in z[1:]), z[0] * z[0])
-    sums = rows.agg(F.avg(norm * norm).alias("f"), *[F.avg(z[i] * z[j]).alias(f"{i}_{j}") for i in range(p) for j in range(i + 1)]).first()
-    s = np.array([[sums[f"{max(i, j)}_{min(i, j)}"] for j in range(p)] for i in range(p)])
+    mean = np.array([first[c] for c in columns])
+
+    def summed(batches):
+        import pyarrow as pa
+
+        total = np.zeros(p * p + 1)
+        for batch in batches:
+            z = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]) - mean
+            total += np.append(z.T @ z, ((z * z).sum(1) ** 2).sum())
+        yield pa.record_batch([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["k", "v"])
+
+    # one matrix of sums a task; the products of thousands of pairs are beyond one generated aggregate
+    sums = np.zeros(p * p + 1)
+    for r in rows.mapInArrow(summed, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        sums[r.k] = r.v / n
+    s, fourth = sums[:-1].reshape(p, p), sums[-1]
     mu = np.trace(s) / p
     if mu <= 0:
         raise ValueError("no variance")
     delta = ((s - mu * np.eye(p)) ** 2).sum() / p
-    beta = min(max((sums["f"] - (s**2).sum()) / (p * n), 0.0), delta)
+    beta = min(max((fourth - (s**2).sum()) / (p * n), 0.0), delta)
     shrink = min(1.0, beta / delta) if delta > 0 else 0.0
     cov = (1 - shrink) * s + shrink * mu * np.eye(p)
     prec = np.linalg.inv(cov)
