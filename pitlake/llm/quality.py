@@ -7,7 +7,6 @@ and traversed for a whole batch at once, one array step for each level of each t
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,7 +41,7 @@ def statistics(text: str | None) -> list[float]:
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     if not words:
-        return [math.log1p(len(raw)), *[0.0] * (len(FEATURES) - 1)]
+        return [float(np.log1p(len(raw))), *[0.0] * (len(FEATURES) - 1)]
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     kinds = np.bincount(_KIND, weights=counts, minlength=8)
     letters, n, size = max(1.0, kinds[1] + kinds[2] + kinds[7]), len(words), len(raw)
@@ -51,7 +50,7 @@ def statistics(text: str | None) -> list[float]:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     p = counts[counts > 0] / size
     return [
-        math.log1p(size), math.log1p(n), float(lengths.mean()), float(lengths.std()), kinds[2] / letters, kinds[3] / size,
+        float(np.log1p(size)), float(np.log1p(n)), float(lengths.mean()), float(lengths.std()), kinds[2] / letters, kinds[3] / size,
         kinds[4] / size, kinds[5] / size, kinds[6] / size, kinds[7] / size, len(seen) / n, seen.most_common(1)[0][1] / n,
         sum(map(bytes.__eq__, words, words[1:])) / n, sum(map(bytes.isupper, words)) / n,
         sum(w[-1] in _SYMBOLS or w[0] in _SYMBOLS for w in words) / n,
