@@ -126,3 +126,11 @@ def evidence(ids: DataFrame, versions: DataFrame, captures: DataFrame, series: D
 def current_vintage(observations: DataFrame, mode: str, t: int) -> DataFrame:
     """Observed by t; a reconstructed view of a current vintage is empty."""
     return observations.where((F.col("observed") <= t) if mode == "observed" else F.lit(False))
+
+
+def fact_coverage(facts: DataFrame, precision: str, day: int, observed: str = "observed", published: str = "published", reconstructed: str = "reconstructed") -> DataFrame:
+    """For each precision its facts, those that each mode can time, and the distinct days of publication."""
+    known = ready_observed(F.col(published), F.col(observed)), ready_reconstructed(F.col(published), F.col(reconstructed))
+    counts = [F.count(c).alias(n) for c, n in zip(known, ("ready_observed", "ready_reconstructed"))]
+    days = F.count_distinct(F.floor(F.col(published) / day)).alias("release_days")
+    return facts.groupBy(F.col(precision).alias("precision")).agg(F.count("*").alias("facts"), *counts, days)

@@ -153,6 +153,13 @@ def data_coverage(spark, sf):
     return g.select("symbol", "bars", F.greatest(F.lit(0), F.col("w") - F.col("bars")).alias("missing"))
 
 
+@register("fact_coverage", with_views("versions", f"""SELECT status AS precision, count(*) AS facts, count(*) FILTER (WHERE published IS NOT NULL AND observed IS NOT NULL) AS ready_observed,
+  count(*) FILTER (WHERE published IS NOT NULL AND reconstructed IS NOT NULL) AS ready_reconstructed, count(DISTINCT published // {DAY}) AS release_days FROM versions GROUP BY 1"""))
+def fact_coverage(spark, sf):
+    """Facts by precision (here the order's status), those ready in each mode, and release days."""
+    return bt.fact_coverage(versions(spark, sf), "status", DAY)
+
+
 @register("lake_inventory", f"WITH p AS (SELECT user_id % 10 AS symbol, epoch_us(ts) // {DAY} AS date, count(*) AS rows FROM events WHERE event_type <> 'error' GROUP BY ALL), s AS (SELECT DISTINCT symbol FROM p), d AS (SELECT DISTINCT date FROM p) SELECT symbol, date, coalesce(rows, 0) AS rows, least(coalesce(rows, 0), 20) AS evaluated FROM s CROSS JOIN d LEFT JOIN p USING (symbol, date)")
 def lake_inventory(spark, sf):
     """Rows of each requested symbol and date, and those that a cap leaves."""

@@ -244,10 +244,10 @@ def relative_labels(spark, sf):
 
 @register("release_forecast")
 def release_forecast(spark, sf):
-    """Gain of a second series in forecasting releases; a test holds the fits against direct ones."""
+    """Gain of a second series in forecasting releases with its interval; tests hold fits and resamples against direct ones."""
     v = versions(spark, sf).where("reconstructed is not null").select((F.col("key") % 10).alias("key"), F.floor(F.col("published") / (30 * DAY)).alias("period"), "id", "value", F.col("reconstructed").alias("ready")).where("period is not null")
     out = md.release_forecast(md.vintage_pairs(v.where("id % 2 = 0"), v.where("id % 2 = 1")))
-    return out.select("key", "scores", F.round("gain", 0).alias("gain"), "state")
+    return out.select("key", "scores", *[F.round(c, 0).alias(c) for c in ("gain", "low", "high")], "state")
 
 
 @register("dataset_listing", "SELECT c_custkey AS dataset_id, n_name AS source, coalesce(n, 0) AS distributions FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE contains(lower(c_name), '13')")

@@ -85,6 +85,20 @@ def test_bootstrap(spark):
     assert st.block_interval(df, starts, 25, 13, 40).count() == 0
 
 
+def test_block_intervals_of_groups(spark):
+    gains = {"a": RNG.standard_normal(25), "b": RNG.standard_normal(8), "short": RNG.standard_normal(5), "none": [None] * 9}
+    df = spark.createDataFrame([(g, i, None if v is None else float(v)) for g, x in gains.items() for i, v in enumerate(x)], "g string, t int, gain double")
+    got = {r.g: (r.low, r.high) for r in st.block_intervals(df, ["g"], ["t"], 3, 40).collect()}
+    assert set(got) == {"a", "b"}
+    for g in got:
+        n = len(gains[g])
+        grid = spark.range(40).selectExpr("cast(id as int) as r", f"explode(sequence(0, {-(-n // 3) - 1})) as k")
+        starts = {(r.r, r.k): r.s for r in grid.selectExpr("r", "k", f"pmod(xxhash64(r, k), {n - 2}) as s").collect()}
+        means = sorted(np.concatenate([gains[g][starts[r, k] : starts[r, k] + 3] for k in range(-(-n // 3))])[:n].mean() for r in range(40))
+        assert np.allclose(got[g], (means[1], means[39]))
+    assert st.block_intervals(df.where("false"), ["g"], ["t"], 3, 40).count() == 0
+
+
 def direct(x, y, penalty=1.0):
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-12)
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
