@@ -75,7 +75,7 @@ def snapshot_many(decisions: DataFrame, versions: DataFrame, keys: list[str], or
     Decisions and versions of a key are put in order of time; the best so far is a running maximum."""
     # one row for each key and decision: keys that have a version by then
     first = versions.groupBy(*keys).agg(F.min("ready").alias("__f"))
-    grid = first.join(F.broadcast(decisions), F.col("__f") <= F.col("decision")).select(*keys, F.col("decision").alias("__t"), F.lit(1).alias("__s"), F.lit(None).alias("__v"))
+    grid = first.join(decisions, F.col("__f") <= F.col("decision")).select(*keys, F.col("decision").alias("__t"), F.lit(1).alias("__s"), F.lit(None).alias("__v"))
     payload = F.struct(order.alias("o"), F.col("id").alias("id"), F.col("value").alias("value"))
     rows = versions.select(*keys, F.col("ready").alias("__t"), F.lit(0).alias("__s"), payload.alias("__v"))
     both = rows.unionByName(grid.withColumn("__v", F.col("__v").cast(rows.schema["__v"].dataType)))
@@ -95,7 +95,7 @@ def neighbour_metric(edges: DataFrame, metric: DataFrame) -> DataFrame:
 def allowed(df: DataFrame, policies: DataFrame, purpose: str, t: int) -> DataFrame:
     """Rows whose provider's policy is enabled, allows the purpose and is not overdue for review; default deny."""
     ok = policies.where(F.col("enabled") & (F.col("review_due") > t) & F.coalesce(F.try_element_at("purposes", F.lit(purpose)), F.lit(False))).select("provider")
-    return df.join(F.broadcast(ok.distinct()), "provider", "left_semi")  # a policy table has one row a provider
+    return df.join(ok, "provider", "left_semi")
 
 
 def series_catalog(metadata: DataFrame, versions: DataFrame, mode: str, snapshot: int, t: int, text: str = "") -> DataFrame:

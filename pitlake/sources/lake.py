@@ -114,7 +114,7 @@ def cap_partitions(df: DataFrame, by: list[str], order: list[Column], most: int)
 
 def inventory(symbols: DataFrame, dates: DataFrame, present: DataFrame, cap: int) -> DataFrame:
     """Every requested (symbol, date) with its rows (0 where absent) and the rows that a cap leaves."""
-    grid = symbols.select("symbol").distinct().crossJoin(F.broadcast(dates.select("date").distinct()))
+    grid = symbols.select("symbol").distinct().crossJoin(dates.select("date").distinct())
     counts = present.groupBy("symbol", "date").agg(F.count("*").alias("rows"))
     out = grid.join(counts, ["symbol", "date"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     return out.withColumn("evaluated", F.least(F.col("rows"), F.lit(cap)))
