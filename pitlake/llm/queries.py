@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitlake.llm import ann, chat, langid, line_dedup, media, packing, quality, sentencepiece_codec, simhash, url_filter
+from pitlake.llm import ann, chat, langid, line_dedup, media, mixing, packing, quality, sentencepiece_codec, simhash, url_filter, variants, whitening
 from pitlake.llm.common import holdout, table
 from pyspark.sql import functions as F
 
@@ -96,6 +96,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.counted_words(table(spark, sf_dir, "documents"))
+    return variants.variants(words)
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 #: Minimal repeated windows of 50 words or more, forward and back from each line, first copies kept.
 ORACLE_SQL["op6_line_dedup"] = r"""
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
@@ -138,3 +154,75 @@ keyed AS (
 hits AS (SELECT k.page_id, arg_max({'v': s.verdict, 'p': s.pattern, 's': s.since}, k.level) AS f FROM keyed k JOIN spans s ON s.pattern = k.pattern AND k.fetched_at >= s.since AND (s.until IS NULL OR k.fetched_at < s.until) GROUP BY 1)
 SELECT p.page_id, p.fetched_at, f.v AS verdict, f.p AS pattern, f.s AS since FROM p LEFT JOIN hits USING (page_id)
 """
+
+#: CRC-32 byte by byte from a table made of its polynomial; near words by equal remainders after one deletion; chains by recursion.
+ORACLE_SQL["op11_spelling_variants"] = r"""
+WITH RECURSIVE
+steps(i, c, k) AS (
+  SELECT i, CAST(i AS BIGINT), 0 FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM steps WHERE k = 8),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w
+  FROM documents),
+each_run AS (SELECT d, w, count(*) AS m FROM runs GROUP BY ALL),
+bytes AS (
+  SELECT d, w, m, flatten(list_transform(string_split(d || ':' || w, ''), lambda ch:
+    CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [CAST(192 | (unicode(ch) >> 6) AS BIGINT), CAST(128 | (unicode(ch) & 63) AS BIGINT)] END)) AS b
+  FROM each_run),
+hashed AS (
+  SELECT w, m, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS h
+  FROM bytes, tab),
+cutting AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, m FROM hashed),
+words AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM cutting WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+less AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM pairs GROUP BY word),
+named AS (SELECT b.word, b.n_near, b.top, min(p.near) AS near FROM best b JOIN pairs p ON p.word = b.word AND p.n = b.top GROUP BY ALL),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.n THEN near END AS form, CASE WHEN top >= 5 * w.n THEN top END AS form_n
+  FROM words w LEFT JOIN named USING (word)),
+chain(word, here) AS (
+  SELECT word, word FROM formed
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.here WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.here AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain c ON c.word = f.word JOIN formed e ON e.word = c.here AND e.form IS NULL
+"""
+
+#: Water-filling by prefix sums over caps per weight; slots by exact whole numbers; what a document gives by its place on the line.
+ORACLE_SQL["op13_source_mix"] = r"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS rank, 3 * source_size AS cap FROM sources),
+weighed AS (SELECT *, [5, 2, 1][rank % 3 + 1] AS weight FROM ranked),
+filled AS (
+  SELECT *, coalesce(sum(cap) OVER w, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS open, sum(source_size) OVER () AS whole
+  FROM weighed WINDOW w AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT arg_min((whole - capped) / open, cap / weight) AS share FROM filled WHERE cap >= weight * ((whole - capped) / open)),
+aims AS (
+  SELECT f.source, f.source_size, f.rank, f.whole, CASE WHEN cap < weight * share THEN CAST(cap AS DOUBLE) ELSE weight * share END AS target FROM filled f, level),
+widths AS (SELECT *, CAST(round(target / greatest(whole, 1) * 1099511627776.0) AS BIGINT) AS width FROM aims),
+starts AS (SELECT source, rank, sum(width) OVER (ORDER BY rank) - width AS start, width FROM widths QUALIFY width > 0),
+slots AS (
+  SELECT CAST(CAST(i AS HUGEINT) * 679535556991 % 1099511627776 AS BIGINT) AS point
+  FROM range(CAST(ceil((SELECT coalesce(sum(size), 0) FROM docs) / 64) AS BIGINT)) t(i)),
+turns AS (SELECT s.rank, 64 * count(*) AS got FROM slots ASOF JOIN starts s ON slots.point >= s.start GROUP BY s.rank),
+lines AS (
+  SELECT d.*, a.rank, a.source_size, a.target, row_number() OVER (PARTITION BY d.doc_id, d.source, d.size) - 1 AS copy
+  FROM docs d JOIN aims a ON d.source IS NOT DISTINCT FROM a.source),
+keyed AS (
+  SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || size || '|' || copy), 1, 15) AS BIGINT) AS key FROM lines),
+placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY rank ORDER BY key, doc_id NULLS FIRST, copy ROWS UNBOUNDED PRECEDING) - size AS start FROM keyed)
+SELECT doc_id, size, p.source_size, target,
+  CAST(coalesce(greatest(0, least(size, got - start)) + greatest(0, least(size, got - start - p.source_size))
+    + greatest(0, least(size, got - start - 2 * p.source_size)), 0) AS BIGINT) AS taken
+FROM placed p LEFT JOIN turns t ON t.rank = p.rank
+"""
