@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitlake.operators.asof import asof_join
+from pitlake.operators.numbering import running_product, running_sum
+from pitlake.operators.overlap import within
 
 
 def running_position(fills: DataFrame, order: list[str]) -> DataFrame:
@@ -65,17 +67,62 @@ def realised_pnl(fills: DataFrame, order: list[str]) -> DataFrame:
     return dealt.mapInArrow(folded, schema)
 
 
-def entitlements(positions: DataFrame, actions: DataFrame, order: list[str]) -> DataFrame:
-    """What each account is due from each corporate action by its position just before the effective time.
-
-    actions: id, symbol, effective, split_num, split_den, dividend, pay_at. receivable is due at pay_at; a split that does
-    not give whole shares is flagged."""
-    accounts = positions.select("account", "symbol").distinct()
-    due = actions.join(accounts, "symbol")
-    held = asof_join(due, positions, ["account", "symbol"], "effective", "t", ["position"], strict=True, ties=order, prefix="held_")
-    q = F.coalesce(F.col("held_position").cast("double"), F.lit(0.0))
-    after = q * F.col("split_num") / F.col("split_den")
-    return held.select("id", "account", "symbol", "effective", "pay_at", q.alias("held"), (q * F.col("dividend")).alias("receivable"), after.alias("held_after"), (after != F.floor(after)).alias("fractional"))
+def entitlements(fills: DataFrame, actions: DataFrame, order: list[str], width: int) -> DataFrame:
+    """What each account is due from each corporate action by the shares it holds just before, earlier splits applied.
+
+    fills: account, symbol, t, qty and what orders them. actions: id, symbol, effective, split_num, split_den, dividend, pay_at; those of one time go
+    by id, and before the fills of that time. One row for each action that finds shares: held, receivable (positive amounts only), held_after,
+    fractional (the split gives no whole shares), fault (why a receivable cannot be paid).
+
+    The shares after an event are a linear map of those before: a fill adds, a split multiplies. The splits of a symbol cut its time into segments;
+    within one fills are summed up in a window, and the maps of whole segments, one row each, are chained from the first. Holdings then meet
+    actions by (symbol, segment, bucket of time), so an action meets no account without shares."""
+    when = Window.partitionBy("symbol").orderBy("effective", "id")
+    changes = F.col("split_num") != F.col("split_den")
+    numbered = actions.withColumn("seg", F.coalesce(F.count_if(changes).over(when.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    splits = numbered.where(changes).select("symbol", "effective", "id", (F.col("seg") + 1).alias("seg"), "split_num", "split_den")
+    dealt = asof_join(fills.withColumn("__t", F.col("t")), splits, ["symbol"], "__t", "effective", ["seg"], ties=["id"], width=width, prefix="s_").drop("__t")
+    dealt = dealt.withColumn("seg", F.coalesce("s_seg", F.lit(0).cast("long"))).withColumn("__q", F.col("qty").cast("decimal(28,4)"))
+    run = Window.partitionBy("account", "symbol", "seg").orderBy(*order)
+    running = dealt.select("account", "symbol", "seg", "t", F.sum("__q").over(run.rowsBetween(Window.unboundedPreceding, 0)).alias("run"), F.lead("t").over(run).alias("next"))
+    # shares at the start of each segment: the maps of the segments before, in order
+    totals = dealt.groupBy("account", "symbol", "seg").agg(F.sum("__q").cast("double").alias("q"))
+    sums = totals.groupBy("account", "symbol").agg(F.map_from_entries(F.collect_list(F.struct("seg", "q"))).alias("sums"), F.min("seg").alias("from"))
+    ratios = splits.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("seg", "effective", "split_num", "split_den"))).alias("ratios"))
+    chained = sums.join(ratios, "symbol", "left").withColumn("later", F.filter(F.coalesce("ratios", F.array()), lambda r: r["seg"] > F.col("from")))
+    first = F.array(F.struct(F.col("from").alias("seg"), F.lit(None).cast("long").alias("since"), F.lit(0.0).alias("open")))
+
+    def step(done: Column, r: Column) -> Column:
+        before = F.element_at(done, -1)
+        held = before["open"] + F.coalesce(F.try_element_at("sums", before["seg"]), F.lit(0.0))
+        return F.array_append(done, F.struct(r["seg"].alias("seg"), r["effective"].alias("since"), (held * r["split_num"] / r["split_den"]).alias("open")))
+
+    opened = chained.select("account", "symbol", F.explode(F.aggregate("later", first, step)).alias("o")).select("account", "symbol", "o.*")
+    # a segment's holdings: at its start until its first fill, then from each fill to the next
+    starts = dealt.groupBy("account", "symbol", "seg").agg(F.min("t").alias("next"))
+    carried = opened.join(starts, ["account", "symbol", "seg"], "left").where("since is not null").select("account", "symbol", "seg", (F.col("since") - 1).alias("t"), "next", F.col("open").alias("held"))
+    filled = running.join(opened, ["account", "symbol", "seg"]).select("account", "symbol", "seg", "t", "next", (F.col("open") + F.col("run").cast("double")).alias("held"))
+    until = numbered.groupBy("symbol", "seg").agg(F.max("effective").alias("last"))
+    spans = carried.unionByName(filled).where("held <> 0").join(until, ["symbol", "seg"])
+    spans = spans.withColumn("next", F.least(F.coalesce("next", "last"), "last")).where("t < next")
+    due = within(numbered, spans, ["symbol", "seg"], "effective", "t", "next", width)
+    amount, after = F.col("held") * F.col("dividend"), F.col("held") * F.col("split_num") / F.col("split_den")
+    fault = F.when(F.col("pay_at").isNull(), "pay date missing").when(F.col("pay_at") < F.col("effective"), "paid before it is due")
+    return due.select(
+        "id", "account", "symbol", "effective", "pay_at", "held", F.greatest(amount, F.lit(0.0)).alias("receivable"), after.alias("held_after"),
+        (after != F.floor(after)).alias("fractional"), F.when(amount > 0, fault).alias("fault"),
+    )
+
+
+def cash_postings(fills: DataFrame, due: DataFrame, width: int) -> DataFrame:
+    """Cash of each account after each posting: fills (t, qty, px, fee) at their time, receivables of entitlements() once they are payable.
+
+    account, at, kind (dividend before fill at one time), amount, ref and cash. A receivable with a fault is not posted."""
+    flow = F.round(-(F.col("qty") * F.col("px")) - F.col("fee"), 4).cast("decimal(28,8)")
+    traded = fills.groupBy("account", F.col("t").alias("at"), F.col("symbol").cast("string").alias("ref")).agg(F.sum(flow).alias("amount")).withColumn("kind", F.lit("fill"))
+    paid = due.where("receivable > 0 and fault is null").select("account", F.col("pay_at").alias("at"), F.col("id").cast("string").alias("ref"), F.round("receivable", 8).cast("decimal(28,8)").alias("amount"), F.lit("dividend").alias("kind"))
+    every = traded.select("account", "at", "kind", "ref", "amount").unionByName(paid.select("account", "at", "kind", "ref", "amount"))
+    return running_sum(every, F.col("amount"), [F.col(c) for c in ("at", "kind", "ref")], F.floor(F.col("at") / width), "cash", by=["account"])
 
 
 def turnover(fills: DataFrame) -> DataFrame:
@@ -125,15 +172,31 @@ def market_fills(orders: DataFrame, quotes: DataFrame, latency: int, slip_bps: f
     return j.withColumn("fill_px", px).withColumn("fill_flag", flag).withColumn("fill_fee", F.col("fill_px") * F.col("qty") * taker_bps / 10_000)
 
 
-def limit_fills(orders: DataFrame, prints: DataFrame, cap: float, width: int) -> DataFrame:
+def limit_fills(orders: DataFrame, prints: DataFrame, cap: float, widths: list[int]) -> DataFrame:
     """Prints at or through an order's limit in (t, until] fill min(remaining, cap x print size), in order; orders do not share.
 
-    orders: id, symbol, side, t, until, limit, qty. An order's life is dealt to time buckets of `width`, so the join is by (symbol, bucket)."""
-    life = orders.withColumn("__b", F.explode(F.sequence(F.floor(F.col("t") / width), F.floor(F.col("until") / width))))
-    seen = prints.select(F.col("symbol").alias("__s"), F.floor(F.col("t") / width).alias("__w"), F.col("t").alias("print_t"), F.col("seq").alias("print_seq"), F.col("px").alias("print_px"), F.col("qty").alias("print_qty"))
-    through = ((F.col("side") == 1) & (F.col("print_px") <= F.col("limit"))) | ((F.col("side") == -1) & (F.col("print_px") >= F.col("limit")))
+    orders: id, symbol, side, t, until, limit, qty. widths: of time buckets from coarse to fine, each a multiple of the next. A bucket of a symbol has its
+    least and greatest price and its size; an order goes down only into buckets whose best price reaches its limit, and only until the
+    buckets before, whose worst price does too, have filled it. The join on prints sees what is left: in the main, what fills."""
+    live = orders.withColumn("__b", F.explode(F.sequence(F.floor((F.col("t") + 1) / widths[0]), F.floor(F.col("until") / widths[0]))))
+    buy = F.col("side") == 1
+    for k, width in enumerate(widths):
+        sums = prints.groupBy(F.col("symbol").alias("__s"), F.floor(F.col("t") / width).alias("__w")).agg(F.min("px").alias("__low"), F.max("px").alias("__high"), F.sum("qty").alias("__size"))
+        reach = F.when(buy, F.col("__low") <= F.col("limit")).otherwise(F.col("__high") >= F.col("limit"))
+        met = live.join(sums, (F.col("symbol") == F.col("__s")) & (F.col("__b") == F.col("__w"))).where(reach)
+        # what a bucket fills for sure: all of it, if it lies within the order's life and its worst price does
+        inside = (F.col("__b") * width > F.col("t")) & ((F.col("__b") + 1) * width - 1 <= F.col("until"))
+        sure = F.when(inside & F.when(buy, F.col("__high") <= F.col("limit")).otherwise(F.col("__low") >= F.col("limit")), F.col("__size") * cap).otherwise(0.0)
+        earlier = Window.partitionBy("id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        live = met.withColumn("__f", F.coalesce(F.sum(sure).over(earlier), F.lit(0.0))).where(F.col("__f") < F.col("qty")).select(*orders.columns, "__b")
+        if k + 1 < len(widths):
+            parts = width // widths[k + 1]
+            live = live.withColumn("__b", F.explode(F.sequence(F.col("__b") * parts, F.col("__b") * parts + (parts - 1))))
+            live = live.where((F.col("__b") >= F.floor((F.col("t") + 1) / widths[k + 1])) & (F.col("__b") <= F.floor(F.col("until") / widths[k + 1])))
+    seen = prints.select(F.col("symbol").alias("__s"), F.floor(F.col("t") / widths[-1]).alias("__w"), F.col("t").alias("print_t"), F.col("seq").alias("print_seq"), F.col("px").alias("print_px"), F.col("qty").alias("print_qty"))
+    through = (buy & (F.col("print_px") <= F.col("limit"))) | (~buy & (F.col("print_px") >= F.col("limit")))
     on = (F.col("symbol") == F.col("__s")) & (F.col("__b") == F.col("__w")) & (F.col("print_t") > F.col("t")) & (F.col("print_t") <= F.col("until")) & through
-    met = life.join(seen, on)
+    met = live.join(seen, on)
     offered = F.col("print_qty") * cap
     before = F.coalesce(F.sum(offered).over(Window.partitionBy("id").orderBy("print_t", "print_seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     filled = met.withColumn("filled", F.greatest(F.lit(0.0), F.least(offered, F.col("qty") - before)))
@@ -164,17 +227,33 @@ def next_minute(arrivals: DataFrame, sessions: DataFrame, by: list[str], minute:
     return j.withColumn("minute", F.when(F.col("s_open").isNotNull(), F.greatest("__m", "s_open"))).drop("__m", "__m1")
 
 
-def total_return(spans: DataFrame, actions: DataFrame) -> DataFrame:
-    """Value at the exit of one share bought at entry: actions with entry < effective <= exit in order, dividends kept as
-    cash, splits multiplying the shares. spans: id, symbol, entry, exit, entry_px, exit_px."""
-    on = (F.col("symbol") == F.col("__s")) & (F.col("effective") > F.col("entry")) & (F.col("effective") <= F.col("exit"))
-    acts = actions.select(F.col("symbol").alias("__s"), "effective", "split_num", "split_den", "dividend")
-    met = spans.join(acts, on, "left")
-    seq = F.array_sort(F.collect_list(F.when(F.col("effective").isNotNull(), F.struct("effective", "dividend", "split_num", "split_den"))))
-    zero = F.struct(F.lit(1.0).alias("n"), F.lit(0.0).alias("cash"))
-    step = lambda s, a: F.struct((s["n"] * a["split_num"] / a["split_den"]).alias("n"), (s["cash"] + s["n"] * a["dividend"]).alias("cash"))
-    folded = met.groupBy(*spans.columns).agg(F.aggregate(seq, zero, step).alias("s"))
-    return folded.select(*spans.columns, ((F.col("s.n") * F.col("exit_px") + F.col("s.cash")) / F.col("entry_px") - 1).alias("total_return"))
+def action_factors(actions: DataFrame, width: int) -> DataFrame:
+    """After each action of a symbol, what one share held from the start has become (factor) and has paid (paid).
+
+    actions: id, symbol, effective, split_num, split_den, dividend; those of one time in order of id. Prefix products of the splits and prefix sums of the
+    dividends on shares so far, by buckets of time, so a span needs its two ends only."""
+    order, bucket = [F.col("effective"), F.col("id")], F.floor(F.col("effective") / width)
+    ratio = F.col("split_num").cast("double") / F.col("split_den")
+    grown = running_product(actions, ratio, order, bucket, "factor", by=["symbol"])
+    # a dividend is on the shares before its own action's split
+    return running_sum(grown, F.col("factor") / ratio * F.col("dividend"), order, bucket, "paid", by=["symbol"]).select("symbol", "effective", "id", "factor", "paid")
+
+
+def held_return(spans: DataFrame, factors: DataFrame, width: int, symbol: str, entry_px: str, exit_px: str, name: str) -> DataFrame:
+    """Spans with the return of one share of `symbol` from entry to exit (both times): actions with entry < effective <= exit, dividends kept
+    as cash, splits multiplying the shares. factors: of action_factors()."""
+    own = factors.withColumnRenamed("symbol", "__y")
+    rows = spans.withColumn("__y", F.col(symbol))
+    for at, prefix in (("entry", "__in_"), ("exit", "__out_")):
+        rows = asof_join(rows, own, ["__y"], at, "effective", ["factor", "paid"], ties=["id"], width=width, prefix=prefix)
+    one, none = F.coalesce("__in_factor", F.lit(1.0)), F.coalesce("__in_paid", F.lit(0.0))
+    shares, cash = F.coalesce("__out_factor", F.lit(1.0)) / one, (F.coalesce("__out_paid", F.lit(0.0)) - none) / one
+    return rows.select(*spans.columns, ((shares * F.col(exit_px) + cash) / F.col(entry_px) - 1).alias(name))
+
+
+def total_return(spans: DataFrame, actions: DataFrame, width: int) -> DataFrame:
+    """Spans (id, symbol, entry, exit, entry_px, exit_px) with total_return."""
+    return held_return(spans, action_factors(actions, width), width, "symbol", "entry_px", "exit_px", "total_return")
 
 
 def funding_average(parts: list[DataFrame], names: list[str]) -> DataFrame:

@@ -47,3 +47,10 @@ def running_max(df: DataFrame, value: Column, order: list[Column], bucket: Colum
     whole = _carried(df.withColumn("__v", value), by, bucket, F.max("__v"), F.max)
     local = F.max("__v").over(Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(*_UPTO))
     return whole.withColumn(name, F.greatest("__c", local)).drop("__b", "__c", "__v")
+
+
+def running_product(df: DataFrame, value: Column, order: list[Column], bucket: Column, name: str = "factor", by: list[str] = []) -> DataFrame:
+    """Running product of value in the whole order (within by)."""
+    whole = _carried(df.withColumn("__v", value), by, bucket, F.product("__v"), F.product)
+    local = F.product("__v").over(Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(*_UPTO))
+    return whole.withColumn(name, F.coalesce("__c", F.lit(1.0)) * local).drop("__b", "__c", "__v")

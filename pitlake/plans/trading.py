@@ -52,18 +52,47 @@ def actions(spark, sf):
     return p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 20).alias("symbol"), at.alias("effective"), split(3).alias("split_num"), split(2).alias("split_den"), (F.col("p_retailprice") / 1000).alias("dividend"), (at + 30 * DAY).alias("pay_at"))
 
 
-@register("entitlements", with_views("ledger", f"""WITH {ACT}, pos AS ({CASH}), seen AS (SELECT account, symbol, t, arg_max(position, ({BY})) AS position FROM pos GROUP BY ALL), due AS (SELECT a.*, s.account FROM acts a JOIN (SELECT DISTINCT account, symbol FROM ledger) s USING (symbol)),
-  held AS (SELECT d.*, coalesce(CAST(s.position AS DOUBLE), 0) AS held FROM due d ASOF LEFT JOIN seen s ON d.account = s.account AND d.symbol = s.symbol AND d.effective > s.t)
-  SELECT id, account, held, round(held * dividend, 4) + 0.0 AS receivable, round(held * split_num / split_den, 4) + 0.0 AS held_after, held * split_num / split_den <> floor(held * split_num / split_den) AS fractional FROM held"""))
+#: Shares in units of the first day: each fill over the product of the splits before it, summed up; then times the product before the action.
+HELD = f"""{ACT},
+  cum AS (SELECT *, product(split_num * 1.0 / split_den) OVER (PARTITION BY symbol ORDER BY effective, id ROWS UNBOUNDED PRECEDING) AS upto,
+    coalesce(product(split_num * 1.0 / split_den) OVER (PARTITION BY symbol ORDER BY effective, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS before FROM acts),
+  grown AS (SELECT symbol, effective, arg_max(upto, id) AS r FROM cum GROUP BY ALL),
+  units AS (SELECT l.*, qty / coalesce(r, 1) AS u FROM ledger l ASOF LEFT JOIN grown g ON l.symbol = g.symbol AND l.t >= g.effective),
+  summed AS (SELECT *, sum(u) OVER (PARTITION BY account, symbol ORDER BY {BY} ROWS UNBOUNDED PRECEDING) AS s FROM units),
+  seen AS (SELECT account, symbol, t, arg_max(s, ({BY})) AS s FROM summed GROUP BY ALL),
+  due AS (SELECT c.*, k.account FROM cum c JOIN (SELECT DISTINCT account, symbol FROM ledger) k USING (symbol)),
+  held AS (SELECT d.*, round(before * s, 8) AS held FROM due d ASOF JOIN seen s ON d.account = s.account AND d.symbol = s.symbol AND d.effective > s.t)"""
+
+
+@register("entitlements", with_views("ledger", f"""WITH {HELD}
+  SELECT id, account, held + 0.0 AS held, round(greatest(held * dividend, 0), 8) + 0.0 AS receivable, round(held * split_num / split_den, 8) + 0.0 AS held_after,
+    abs(held * split_num / split_den - round(held * split_num / split_den)) > 1e-7 AS fractional FROM held WHERE held <> 0"""))
 def entitlements(spark, sf):
-    """Dividends due and shares after splits, by the position before each action."""
-    p = lg.running_position(ledger(spark, sf), ORDER)
-    out = lg.entitlements(p, actions(spark, sf), ORDER[1:])
-    return out.select("id", "account", "held", (F.round("receivable", 4) + F.lit(0.0)).alias("receivable"), (F.round("held_after", 4) + F.lit(0.0)).alias("held_after"), "fractional")
-
-
-@register("total_return", with_views("ledger", f"""WITH {ACT}, s AS (SELECT s_suppkey AS id, s_suppkey % 20 AS symbol, CAST(820000000000000 + s_suppkey % 100 * {DAY} AS BIGINT) AS entry, CAST(820000000000000 + (s_suppkey % 100 + 600) * {DAY} AS BIGINT) AS exit, 100.0 + s_suppkey % 7 AS p0, 100.0 + s_suppkey % 11 AS p1 FROM supplier),
-  o AS (SELECT s.*, a.effective, a.dividend, a.split_num * 1.0 / a.split_den AS k, row_number() OVER (PARTITION BY s.id ORDER BY a.effective, a.dividend, a.split_num, a.split_den) AS r FROM s LEFT JOIN acts a ON a.symbol = s.symbol AND a.effective > s.entry AND a.effective <= s.exit),
+    """Dividends due and shares after splits, by the shares before each action with earlier splits applied."""
+    out = lg.entitlements(ledger(spark, sf), actions(spark, sf), ORDER, 90 * DAY)
+    r8 = lambda c: (F.round(c, 8) + F.lit(0.0)).alias(c)
+    return out.select("id", "account", r8("held"), r8("receivable"), r8("held_after"), "fractional")
+
+
+@register("cash_postings", with_views("ledger", f"""WITH {HELD},
+  posted AS (
+    SELECT account, t AS "at", CAST(symbol AS VARCHAR) AS ref, sum(CAST(round(-(qty * px) - fee, 4) AS DECIMAL(28, 8))) AS amount, 'fill' AS kind FROM ledger GROUP BY ALL
+    UNION ALL SELECT account, pay_at, CAST(id AS VARCHAR), CAST(round(held * dividend, 8) AS DECIMAL(28, 8)), 'dividend' FROM held WHERE round(held * dividend, 8) > 0),
+  cash AS (SELECT *, sum(amount) OVER (PARTITION BY account ORDER BY "at", kind, ref ROWS UNBOUNDED PRECEDING) AS cash FROM posted)
+  SELECT account, count(*) FILTER (WHERE kind = 'dividend') AS dividends, CAST(sum(amount) FILTER (WHERE kind = 'dividend') AS DOUBLE) AS paid,
+    CAST(arg_max(cash, ("at", kind, ref)) AS DOUBLE) AS cash, CAST(min(cash) AS DOUBLE) AS least FROM cash GROUP BY 1"""))
+def cash_postings(spark, sf):
+    """Cash of each account with dividends posted when they are paid: how many, how much, last and least cash."""
+    fills = ledger(spark, sf)
+    due = lg.entitlements(fills, actions(spark, sf), ORDER, 90 * DAY)
+    c = lg.cash_postings(fills, due, 30 * DAY)
+    paid = F.col("kind") == "dividend"
+    return c.groupBy("account").agg(F.count_if(paid).alias("dividends"), F.sum(F.when(paid, F.col("amount"))).cast("double").alias("paid"), F.max_by("cash", F.struct("at", "kind", "ref")).cast("double").alias("cash"), F.min("cash").cast("double").alias("least"))
+
+
+@register("total_return", with_views("ledger", f"""WITH {ACT},
+  s AS (SELECT s_suppkey AS id, s_suppkey % 20 AS symbol, CAST(820000000000000 + s_suppkey % 100 * {DAY} AS BIGINT) AS entry, CAST(820000000000000 + (s_suppkey % 100 + 600) * {DAY} AS BIGINT) AS exit, 100.0 + s_suppkey % 7 AS p0, 100.0 + s_suppkey % 11 AS p1 FROM supplier),
+  o AS (SELECT s.*, a.effective, a.dividend, a.split_num * 1.0 / a.split_den AS k, row_number() OVER (PARTITION BY s.id ORDER BY a.effective, a.id) AS r FROM s LEFT JOIN acts a ON a.symbol = s.symbol AND a.effective > s.entry AND a.effective <= s.exit),
   c AS (SELECT *, coalesce(product(k) OVER (PARTITION BY id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS before FROM o)
   SELECT id, round((coalesce(product(k), 1) * any_value(p1) + coalesce(sum(before * dividend), 0)) / any_value(p0) - 1, 6) + 0.0 AS total_return FROM c GROUP BY id"""))
 def total_return(spark, sf):
@@ -71,7 +100,7 @@ def total_return(spark, sf):
     s = table(spark, sf, "supplier")
     at = lambda d: (F.lit(820_000_000_000_000) + (F.col("s_suppkey") % 100 + d) * DAY).cast("long")
     spans = s.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 20).alias("symbol"), at(0).alias("entry"), at(600).alias("exit"), (100.0 + F.col("s_suppkey") % 7).alias("entry_px"), (100.0 + F.col("s_suppkey") % 11).alias("exit_px"))
-    return lg.total_return(spans, actions(spark, sf)).select("id", r6("total_return").alias("total_return"))
+    return lg.total_return(spans, actions(spark, sf), 90 * DAY).select("id", r6("total_return").alias("total_return"))
 
 
 @register("market_fill_price", with_views("trades quotes", f"""WITH h AS (SELECT symbol, t // {HOUR} * {HOUR} + {HOUR} AS "end", arg_max(px, (t, seq)) AS close FROM trades GROUP BY ALL), o AS (SELECT seq, symbol, side, qty, t + 5000000 AS due FROM trades),
@@ -91,7 +120,7 @@ def limit_fill(spark, sf):
     """Passive orders filled by a quarter of each print at or through their limit within six hours."""
     t = trades(spark, sf)
     o = t.select(F.col("seq").alias("id"), "symbol", "side", "t", (F.col("t") + 6 * HOUR).alias("until"), F.col("px").alias("limit"), (F.col("qty") * 2).alias("qty"))
-    return lg.limit_fills(o, t, 0.25, 6 * HOUR).select("id", "print_seq", r6("filled").alias("filled"))
+    return lg.limit_fills(o, t, 0.25, [6 * HOUR, HOUR, HOUR // 6]).select("id", "print_seq", r6("filled").alias("filled"))
 
 
 @register("funding_accrual", with_views("trades", f"""WITH p AS (SELECT *, symbol AS account, sum(side * qty) OVER (PARTITION BY symbol ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS position FROM trades), g AS (SELECT symbol, min(t) AS t0, max(t) AS t1 FROM trades GROUP BY 1), d AS (SELECT symbol, unnest(range(t0 + {8 * HOUR}, t1 + 1, {8 * HOUR})) AS due FROM g),
@@ -234,11 +263,32 @@ def bar_momentum(spark, sf):
     return br.momentum(hourly(spark, sf), 31, 5 * DAY).select("symbol", "start", r6("momentum").alias("momentum"), r6("volatility").alias("volatility"))
 
 
-@register("relative_labels", with_views("trades", f"WITH {BARS}, d AS (SELECT DISTINCT symbol, t // {DAY} * {DAY} + {10 * HOUR} AS decision FROM trades), e AS (SELECT *, lead(decision, 2) OVER (PARTITION BY symbol ORDER BY decision) AS x FROM d), b AS (SELECT symbol, decision, ((decision + 60000000) // {HOUR} + 1) * {HOUR} AS entry, ((x + 60000000) // {HOUR} + 1) * {HOUR} AS exit FROM e WHERE x IS NOT NULL) SELECT b.symbol, decision, round(p1.open / p0.open - b1.open / b0.open, 6) + 0.0 AS label, greatest(p1.available, b1.available) + 5000000 AS label_ready FROM b JOIN bars p0 ON p0.symbol = b.symbol AND p0.start = entry JOIN bars p1 ON p1.symbol = b.symbol AND p1.start = exit JOIN bars b0 ON b0.symbol = 0 AND b0.start = entry JOIN bars b1 ON b1.symbol = 0 AND b1.start = exit"))
+#: A dividend or split of a traded symbol for each part, within the month of the trades.
+TRADE_ACT = "acts AS (SELECT p_partkey AS id, p_partkey % 10 AS symbol, 1704067200000000 + p_partkey * 7919 % 2592000 * 1000000 AS effective, CASE WHEN p_size = 7 THEN 1 + p_partkey % 3 ELSE 1 END AS split_num, CASE WHEN p_size = 7 THEN 1 + p_partkey % 2 ELSE 1 END AS split_den, p_retailprice / 10000 AS dividend FROM part)"
+
+
+def trade_actions(spark, sf):
+    key = F.col("p_partkey")
+    split = lambda n: F.when(F.col("p_size") == 7, 1 + key % n).otherwise(1)
+    return table(spark, sf, "part").select(key.alias("id"), (key % 10).alias("symbol"), (F.lit(1_704_067_200_000_000) + key * 7919 % 2_592_000 * 1_000_000).alias("effective"), split(3).alias("split_num"), split(2).alias("split_den"), (F.col("p_retailprice") / 10000).alias("dividend"))
+
+
+@register("relative_labels", with_views("trades", f"""WITH {BARS}, {TRADE_ACT}, d AS (SELECT DISTINCT symbol, t // {DAY} * {DAY} + {10 * HOUR} AS decision FROM trades),
+  e AS (SELECT *, lead(decision, 2) OVER (PARTITION BY symbol ORDER BY decision) AS x FROM d),
+  b AS (SELECT symbol, decision, ((decision + 60000000) // {HOUR} + 1) * {HOUR} AS entry, ((x + 60000000) // {HOUR} + 1) * {HOUR} AS exit FROM e WHERE x IS NOT NULL),
+  sides AS (SELECT symbol, decision, symbol AS own, entry, exit FROM b UNION ALL SELECT symbol, decision, 0, entry, exit FROM b WHERE symbol <> 0 UNION ALL SELECT symbol, decision, -1, entry, exit FROM b WHERE symbol = 0),
+  priced AS (SELECT s.symbol, s.decision, s.own, s.entry, s.exit, p0.open AS p0, p1.open AS p1, p1.available FROM sides s
+    JOIN bars p0 ON p0.symbol = greatest(own, 0) AND p0.start = entry JOIN bars p1 ON p1.symbol = greatest(own, 0) AND p1.start = exit),
+  met AS (SELECT p.*, a.dividend, a.split_num * 1.0 / a.split_den AS k, row_number() OVER (PARTITION BY p.symbol, decision, own ORDER BY a.effective, a.id) AS r
+    FROM priced p LEFT JOIN acts a ON a.symbol = greatest(own, 0) AND a.effective > p.entry AND a.effective <= p.exit),
+  grown AS (SELECT *, coalesce(product(k) OVER (PARTITION BY symbol, decision, own ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS before FROM met),
+  returns AS (SELECT symbol, decision, own, (coalesce(product(k), 1) * any_value(p1) + coalesce(sum(before * dividend), 0)) / any_value(p0) - 1 AS r, any_value(available) AS available FROM grown GROUP BY ALL)
+  SELECT a.symbol, a.decision, round(a.r - b.r, 6) + 0.0 AS label, greatest(a.available, b.available) + 5000000 AS label_ready
+  FROM returns a JOIN returns b ON a.symbol = b.symbol AND a.decision = b.decision AND a.own = a.symbol AND b.own = CASE WHEN a.symbol = 0 THEN -1 ELSE 0 END"""))
 def relative_labels(spark, sf):
-    """Two-session returns against a benchmark symbol, where all four bars exist."""
+    """Two-session total returns against a benchmark symbol, where all four bars exist."""
     d = trades(spark, sf).select("symbol", (F.floor(F.col("t") / DAY) * DAY + 10 * HOUR).alias("decision")).distinct()
-    out = br.relative_labels(d, hourly(spark, sf), 0, 60_000_000, 2, HOUR, 5_000_000)
+    out = br.relative_labels(d, hourly(spark, sf), 0, 60_000_000, 2, HOUR, 5_000_000, trade_actions(spark, sf), 7 * DAY)
     return out.select("symbol", "decision", r6("label").alias("label"), "label_ready")
 
 

@@ -29,8 +29,10 @@ def test_a_missing_bar_gives_no_label(spark):
     bar = lambda s, t, p: (s, t, p, t + 10)
     rows = [bar("a", 10, 100.0), bar("a", 20, 110.0), bar("b", 10, 50.0), bar("b", 20, 50.0), bar("a", 40, 1.0)]
     bars = spark.createDataFrame(rows, "symbol string, start long, open double, available long")
-    got = br.relative_labels(d, bars, "b", 0, 1, 10, 7).collect()
-    assert [(r.decision, r.entry, r.exit, round(r.label, 9), r.label_ready) for r in got] == [(5, 10, 20, 0.1, 37)]
+    acts = spark.createDataFrame([(1, "a", 10, 3, 1, 0.0), (2, "a", 12, 2, 1, 5.0), (3, "b", 20, 1, 1, 1.0), (4, "b", 21, 5, 1, 1.0)], "id int, symbol string, effective long, split_num int, split_den int, dividend double")
+    for given, label in ((acts.where("false"), 0.1), (acts, (2 * 110 + 5) / 100 - 1 - 1 / 50)):
+        got = br.relative_labels(d, bars, "b", 0, 1, 10, 7, given, 4).collect()
+        assert [(r.decision, r.entry, r.exit, round(r.label, 9), r.label_ready) for r in got] == [(5, 10, 20, round(label, 9), 37)]
 
 
 def test_dispatch(spark):

@@ -120,11 +120,11 @@ def test_scalars(spark):
 
 def test_total_return_and_fills(spark):
     spans = spark.createDataFrame([(1, "s", 10, 20, 100.0, 60.0)], "id int, symbol string, entry long, exit long, entry_px double, exit_px double")
-    acts = spark.createDataFrame([("s", 10, 1, 1, 9.0), ("s", 12, 1, 1, 1.0), ("s", 15, 2, 1, 0.0), ("s", 20, 1, 1, 0.5), ("s", 21, 1, 1, 9.0)], "symbol string, effective long, split_num int, split_den int, dividend double")
-    assert abs(lg.total_return(spans, acts).first().total_return - ((2 * 60 + 1.0 + 2 * 0.5) / 100 - 1)) < 1e-12
+    acts = spark.createDataFrame([(1, "s", 10, 1, 1, 9.0), (2, "s", 12, 1, 1, 1.0), (3, "s", 15, 2, 1, 0.0), (4, "s", 20, 1, 1, 0.5), (5, "s", 21, 1, 1, 9.0)], "id int, symbol string, effective long, split_num int, split_den int, dividend double")
+    assert abs(lg.total_return(spans, acts, 4).first().total_return - ((2 * 60 + 1.0 + 2 * 0.5) / 100 - 1)) < 1e-12
     o = spark.createDataFrame([(1, "s", 1, 0, 100, 10.0, 3.0), (2, "s", -1, 0, 3, 10.0, 99.0)], "id int, symbol string, side int, t long, until long, limit double, qty double")
     p = spark.createDataFrame([(1, "s", 1, 10.0, 4.0), (2, "s", 2, 11.0, 4.0), (3, "s", 3, 9.0, 4.0), (4, "s", 50, 9.0, 4.0)], "seq long, symbol string, t long, px double, qty double")
-    got = sorted((r.id, r.print_seq, r.filled) for r in lg.limit_fills(o, p, 0.5, 7).collect())
+    got = sorted((r.id, r.print_seq, r.filled) for r in lg.limit_fills(o, p, 0.5, [8, 2]).collect())
     assert got == [(1, 1, 2.0), (1, 3, 1.0), (2, 1, 2.0), (2, 2, 2.0)]
     s = spark.createDataFrame([("x", 100, 200), ("x", 300, 400)], "symbol string, open long, close long")
     a = spark.createDataFrame([(1, "x", 50), (2, "x", 120), (3, "x", 195), (4, "x", 199), (5, "x", 399)], "id int, symbol string, t long")
