@@ -176,12 +176,45 @@ def ridge_fit(spark, sf):
     return out.select("l_returnflag", "n", F.round(F.col("weights")[0], 4).alias("w0"), F.round(F.col("weights")[1], 4).alias("w1"))
 
 
-@register("ridge_scores")
+def cramer(n: str, s: list[str], b: list[str], c: dict[tuple[int, int], str]) -> list[str]:
+    """SQL of the weights of a standardised ridge with penalty 1, by determinants: deviations s, covariances b with the target, c of each other."""
+    p = len(s)
+    a = [[f"({n} + 1.0)" if i == j else f"({n} * {c[max(i, j), min(i, j)]} / ({s[i]} * {s[j]}))" for j in range(p)] for i in range(p)]
+    y = [f"({n} * {b[i]} / {s[i]})" for i in range(p)]
+
+    def det(m: list[list[str]]) -> str:
+        if len(m) == 1:
+            return m[0][0]
+        return "(" + " ".join(f"{'-' if j % 2 else '+'} {m[0][j]} * {det([row[:j] + row[j + 1 :] for row in m[1:]])}" for j in range(len(m))) + ")"
+
+    return [f"{det([[y[i] if j == k else a[i][j] for j in range(p)] for i in range(p)])} / {det(a)}" for k in range(p)]
+
+
+def ridge_sql(x: list[str], y: str) -> tuple[str, str]:
+    """SQL of the moments of rows as aggregates, and of a prediction for columns q0, q1, ... from them."""
+    p = range(len(x))
+    pairs = [(i, j) for i in p for j in range(i)]
+    aggregates = [f"count(*) AS n, avg({y}) AS my", *[f"avg({x[i]}) AS m{i}, stddev_pop({x[i]}) AS s{i}, covar_pop({x[i]}, {y}) AS b{i}" for i in p], *[f"covar_pop({x[i]}, {x[j]}) AS c{i}{j}" for i, j in pairs]]
+    w = cramer("n", [f"s{i}" for i in p], [f"b{i}" for i in p], {(i, j): f"c{i}{j}" for i, j in pairs})
+    return ", ".join(aggregates), "my + " + " + ".join(f"(q{i} - m{i}) / s{i} * ({w[i]})" for i in p)
+
+
+SUMS3, SCORE3 = ridge_sql(FEATURES, "l_extendedprice")
+
+
+@register("ridge_scores", f"""WITH m AS (SELECT l_returnflag AS f, {SUMS3} FROM lineitem GROUP BY 1),
+  p AS (SELECT l_returnflag, l_extendedprice AS y, {SCORE3} AS p FROM (SELECT l_returnflag, l_extendedprice, {", ".join(f"{x} AS q{i}" for i, x in enumerate(FEATURES))} FROM lineitem) l JOIN m ON f = l_returnflag)
+  SELECT l_returnflag, count(*) AS n, round(avg((p - y) ** 2), 2) AS mse FROM p GROUP BY 1""")
 def ridge_scores(spark, sf):
-    """Three-feature ridge by group, scored on every row; a test holds it against numpy."""
+    """Three-feature ridge by group, scored on every row."""
     l = table(spark, sf, "lineitem")
     model = md.ridge_fit(l, ["l_returnflag"], FEATURES, "l_extendedprice").drop("n")
-    return l.join(F.broadcast(model), "l_returnflag").groupBy("l_returnflag").agg(F.count("*").alias("n"), r6(F.avg(F.pow(md.ridge_score(FEATURES) - F.col("l_extendedprice"), 2))).alias("mse"))
+    return l.join(model, "l_returnflag").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg(F.pow(md.ridge_score(FEATURES) - F.col("l_extendedprice"), 2)), 2).alias("mse"))
+
+
+#: A series on its last three values; a label is ready a month later and its position is left in its own month.
+LAGGED = """lagged AS (SELECT * FROM (SELECT series, m, value, m + 1 AS ready, lag(value, 1) OVER w AS y1, lag(value, 2) OVER w AS y2, lag(value, 3) OVER w AS y3
+  FROM monthly WINDOW w AS (PARTITION BY series ORDER BY m)) WHERE y3 IS NOT NULL)"""
 
 
 def lagged_series(spark, sf):
@@ -192,21 +225,42 @@ def lagged_series(spark, sf):
     return rows.where("y3 is not null").withColumn("ready", F.col("m") + 1)
 
 
-@register("ridge_walk_forward")
+def walk_sql(name: str, x: list[str]) -> str:
+    """CTEs of a walk-forward fit on the 24 labels that were ready last: each decision meets its training rows one by one."""
+    sums, score = ridge_sql([f"t_{c}" for c in x], "t_value")
+    return f"""{name}_t AS (SELECT d.series, d.m, d.value, {", ".join(f"d.{c} AS q{i}" for i, c in enumerate(x))}, {", ".join(f"t.{c} AS t_{c}" for c in (*x, "value"))}
+    FROM lagged d JOIN lagged t ON t.series = d.series AND t.ready <= d.m AND t.m < d.m QUALIFY row_number() OVER (PARTITION BY d.series, d.m ORDER BY t.ready DESC, t.m DESC) <= 24),
+  {name}_m AS (SELECT series, m, any_value(value) AS value, {", ".join(f"any_value(q{i}) AS q{i}" for i in range(len(x)))}, {sums} FROM {name}_t GROUP BY series, m HAVING count(*) >= 12),
+  {name} AS (SELECT series, m, value, n, {score} AS p FROM {name}_m)"""
+
+
+@register("ridge_walk_forward", with_views("monthly", f"""WITH {LAGGED}, {walk_sql("w", ["y1", "y2"])}
+  SELECT l.series, l.m, w.n AS n_train, round(w.p, 2) + 0.0 AS prediction, CASE WHEN w.p IS NOT NULL THEN CAST(sign(w.p) AS DOUBLE) END AS position, round((w.p - l.value) ** 2 / 1e6, 0) + 0.0 AS squared_error
+  FROM lagged l LEFT JOIN w ON w.series = l.series AND w.m = l.m"""))
 def ridge_walk_forward(spark, sf):
-    """Walk-forward ridge of each series on its lags; a test holds it against a direct fit."""
+    """Walk-forward ridge of each series on its lags; squared errors in millions."""
     out = md.walk_forward_ridge(lagged_series(spark, sf), ["series"], "m", "ready", ["y1", "y2"], "value", 24, 12)
-    return out.select("series", "m", "n_train", F.round("prediction", 2).alias("prediction"), "position", F.round("squared_error", 0).alias("squared_error"))
+    return out.select("series", "m", "n_train", (F.round("prediction", 2) + F.lit(0.0)).alias("prediction"), "position", (F.round(F.col("squared_error") / 1e6, 0) + F.lit(0.0)).alias("squared_error"))
 
 
-@register("nested_models")
+@register("nested_models", with_views("monthly", f"""WITH {LAGGED}, {walk_sql("a", ["y1"])}, {walk_sql("b", ["y1", "y2"])}, {walk_sql("c", ["y1", "y2", "y3"])},
+  e AS (SELECT (a.p - a.value) ** 2 AS ea, (b.p - b.value) ** 2 AS eb, (c.p - c.value) ** 2 AS ec FROM a JOIN b USING (series, m) JOIN c USING (series, m)),
+  u AS (SELECT unnest(['A', 'B', 'C']) AS variant, unnest([ea, eb, ec]) AS error, unnest([ea - ea, ea - eb, ea - ec]) AS gain FROM e)
+  SELECT variant, count(*) AS rows, round(avg(error) / 1e6, 0) AS mse, round(avg(gain) / 1e6, 0) + 0.0 AS gain FROM u GROUP BY 1"""))
 def nested_models(spark, sf):
-    """One, two and three lags on the same decisions."""
+    """One, two and three lags on the same decisions, errors in millions."""
     variants = {"A": ["y1"], "B": ["y1", "y2"], "C": ["y1", "y2", "y3"]}
-    return md.nested_comparison(lagged_series(spark, sf), ["series"], "m", "ready", variants, "value", 24, 12).select("variant", "rows", F.round("mse", 0).alias("mse"), F.round("gain", 0).alias("gain"))
+    out = md.nested_comparison(lagged_series(spark, sf), ["series"], "m", "ready", variants, "value", 24, 12)
+    return out.select("variant", "rows", F.round(F.col("mse") / 1e6, 0).alias("mse"), (F.round(F.col("gain") / 1e6, 0) + F.lit(0.0)).alias("gain"))
+
+
+HALF_X, HALF_Y = (ridge_sql(["y3"], y) for y in ("value", "y1"))
 
 
-@register("crossfit_residual")
+@register("crossfit_residual", with_views("monthly", f"""WITH {LAGGED}, h AS (SELECT *, count(*) OVER (PARTITION BY series) AS k, row_number() OVER (PARTITION BY series ORDER BY m) AS i FROM lagged),
+  x AS (SELECT series, {HALF_X[0]} FROM h WHERE i <= k // 2 GROUP BY series), y AS (SELECT series, {HALF_Y[0]} FROM h WHERE i <= k // 2 GROUP BY series),
+  r AS (SELECT h.series, h.k, h.i, value - (SELECT {HALF_X[1]} FROM x WHERE x.series = h.series) AS rx, y1 - (SELECT {HALF_Y[1]} FROM y WHERE y.series = h.series) AS ry FROM (SELECT *, y3 AS q0 FROM h WHERE i > k // 2) h)
+  SELECT series, any_value(k) AS rows, CASE WHEN any_value(k) >= 16 THEN round(corr(rx, ry), 6) + 0.0 END AS residual_correlation, CASE WHEN any_value(k) >= 16 THEN 'completed' ELSE 'insufficient_data' END AS state FROM r GROUP BY series"""))
 def crossfit_residual(spark, sf):
     """Held-out association of two lags of each series beyond a third."""
     out = md.crossfit_residuals(lagged_series(spark, sf), ["series"], ["m"], ["y3"], "value", "y1")
@@ -230,17 +284,34 @@ def input_readiness(spark, sf):
     return md.readiness(versions(spark, sf), 8)
 
 
+def month_releases(spark, sf):
+    """Each nation's monthly values as releases of one panel a region, a month after their own."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("series"), F.col("n_regionkey").alias("panel"))
+    m = monthly(spark, sf).withColumn("series", F.col("series").cast("long")).join(n, "series")
+    start = m.groupBy("panel").agg(F.min("m").alias("start"))
+    step = F.col("m") - F.col("start")
+    return m.join(start, "panel").select("panel", "series", (step + 1).alias("released"), step.alias("first"), step.alias("last"), "value", F.lit("mean").alias("how"), F.lit(0.5).alias("noise"))
+
+
 @register("factor_filter")
 def factor_filter(spark, sf):
-    """A monthly factor for each series from releases a month late; a test holds it against dense algebra."""
-    from pyspark.sql import Window
-
-    m = monthly(spark, sf)
-    w = Window.partitionBy("series")
-    z = m.withColumn("z", (F.col("value") - F.avg("value").over(w)) / F.stddev_pop("value").over(w)).withColumn("step", F.col("m") - F.min("m").over(w))
-    rel = z.select(F.col("series").alias("panel"), (F.col("step") + 1).alias("released"), F.col("step").alias("first"), F.col("step").alias("last"), F.col("z").alias("value"), F.lit("mean").alias("how"), F.lit(0.5).alias("noise"))
-    steps = rel.groupBy("panel").agg((F.max("released") + 1).alias("steps"))
-    return md.factor_filter(rel, steps, 0.8, 0.36, 1.0, 4).select("panel", "step", r6("mean").alias("mean"), r6("variance").alias("variance"), "used", "refused")
+    """A monthly factor for each region from its nations' releases, scaled by their first twelve; tests hold it against dense algebra and later changes."""
+    releases, panels = md.calibrate(month_releases(spark, sf))
+    steps = releases.groupBy("panel").agg((F.max("released") + 1).alias("steps"))
+    out = md.factor_filter(releases, steps, 0.8, 0.36, 1.0, 4).join(panels.select("panel", "cutoff"), "panel")
+    return out.select("panel", "cutoff", "step", r6("mean").alias("mean"), r6("variance").alias("variance"), "used", "refused")
+
+
+@register("calibration", with_views("monthly", """WITH r AS (SELECT n_regionkey AS panel, series, m, value FROM monthly JOIN nation ON n_nationkey = series),
+  s AS (SELECT *, m - min(m) OVER (PARTITION BY panel) + 1 AS released, row_number() OVER (PARTITION BY panel, series ORDER BY m) AS n FROM r),
+  c AS (SELECT panel, series, count(*) AS k, avg(value) AS mean, stddev_pop(value) AS sd, max(released) AS until FROM s WHERE n <= 12 GROUP BY ALL),
+  p AS (SELECT panel, max(until) AS cutoff, min(k) AS k, min(sd) AS low FROM c GROUP BY 1),
+  z AS (SELECT s.panel, s.series, s.released, (s.value - c.mean) / c.sd AS z FROM s JOIN c USING (panel, series) JOIN p USING (panel) WHERE n > 12 AND p.k = 12 AND low > 1e-12 AND released > cutoff)
+  SELECT panel, series, released, round(z, 6) + 0.0 AS z FROM z QUALIFY count(*) OVER (PARTITION BY panel) >= 12"""))
+def calibration(spark, sf):
+    """Releases after each region's cutoff, scaled by the first twelve of their own series."""
+    releases, _ = md.calibrate(month_releases(spark, sf))
+    return releases.select("panel", "series", "released", r6("value").alias("z"))
 
 
 BARS = f"bars AS (SELECT symbol, t // {HOUR} * {HOUR} AS start, arg_min(px, (t, seq)) AS open, max(px) AS high, min(px) AS low, arg_max(px, (t, seq)) AS close, sum(qty) AS volume, t // {HOUR} * {HOUR} + {HOUR} AS \"end\", t // {HOUR} * {HOUR} + {HOUR} + symbol % 3 * 600000000 AS available FROM trades GROUP BY ALL)"

@@ -119,7 +119,7 @@ def test_walk_forward_ridge_is_a_direct_fit(spark):
     x, y = RNG.standard_normal((n, 2)), RNG.standard_normal(n)
     df = spark.createDataFrame([(0, i, i + 3, *map(float, x[i]), float(y[i])) for i in range(n)], "s int, t int, ready int, a double, b double, y double")
     for r in md.walk_forward_ridge(df, ["s"], "t", "ready", ["a", "b"], "y", 12, 6).collect():
-        train = [j for j in range(r.t) if j + 3 < r.t][-12:]
+        train = [j for j in range(r.t) if j + 3 <= r.t][-12:]
         if len(train) < 6:
             assert r.prediction is None
             continue
@@ -128,6 +128,62 @@ def test_walk_forward_ridge_is_a_direct_fit(spark):
         assert abs(r.prediction - want) < 1e-9 and r.n_train == len(train) and abs(r.squared_error - (want - y[r.t]) ** 2) < 1e-9
 
 
+def test_ridge_with_large_means(spark):
+    """A feature like an epoch time keeps its slope."""
+    x = 1e9 + RNG.standard_normal((400, 2))
+    y = 2 * (x[:, 0] - 1e9) - 3 * (x[:, 1] - 1e9) + 0.1 * RNG.standard_normal(400) + 1e9
+    df = spark.createDataFrame([(int(i % 3), i, i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "g int, t int, ready int, a double, b double, y double").repartition(5)
+    for r in md.ridge_fit(df, ["g"], ["a", "b"], "y").collect():
+        mean, scale, w = direct(x[r.g :: 3], y[r.g :: 3])
+        assert np.allclose(r.weights[1:], w[1:], rtol=1e-6) and np.allclose(r.scales, scale, rtol=1e-6)
+    got = {r.t: r.prediction for r in md.walk_forward_ridge(df, ["g"], "t", "ready", ["a", "b"], "y", 50, 20).collect()}
+    for t in (200, 301, 399):
+        train = [j for j in range(t) if j % 3 == t % 3][-50:]
+        mean, scale, w = direct(x[train], y[train])
+        assert abs(got[t] - (w[0] + ((x[t] - mean) / scale) @ w[1:])) < 1e-4
+
+
+def test_walk_forward_windows_of_any_length(spark):
+    """Windows that cross blocks, ties of readiness, labels that leave late, and labels ready at the decision."""
+    n = 70
+    x, y = RNG.standard_normal(n), RNG.standard_normal(n)
+    ready, left = [int(t + RNG.integers(0, 9)) for t in range(n)], [int(t + RNG.integers(0, 6)) for t in range(n)]
+    df = spark.createDataFrame([(k % 2, t, ready[t], left[t], float(x[t] + k), float(y[t])) for k in range(2) for t in range(n)], "s int, t int, ready int, left int, a double, y double")
+    for window in (2, 7, 16, 1 << 30):
+        for width in (None, 10):
+            got = {(r.s, r.t): (r.n_train, r.prediction) for r in md.walk_forward_ridge(df, ["s"], "t", "ready", ["a"], "y", window, 2, left="left", width=width).collect()}
+            for t in range(n):
+                use = lambda j: max(ready[j], left[j] + 1, j + 1)
+                train = sorted((j for j in range(n) if use(j) <= t), key=lambda j: (use(j), j))[-window:]
+                if len(train) < 2:
+                    assert got[0, t] == (None, None)
+                    continue
+                mean, scale, w = direct(x[train][:, None], y[train])
+                assert got[0, t][0] == len(train) and abs(got[0, t][1] - (w[0] + (x[t] - mean[0]) / scale[0] * w[1])) < 1e-8
+                assert abs(got[1, t][1] - got[0, t][1]) < 1e-8
+
+
+def test_calibration_sees_no_later_value(spark):
+    rng = np.random.default_rng(11)
+    rows = [(p, s, t + 1 + s, t, t, float(rng.normal(5 * s, 1 + s)), "mean", 0.5) for p in (1, 2) for s in (0, 1) for t in range(40) if (p, s) != (2, 1) or t < 11]
+    schema = "panel int, series int, released int, first int, last int, value double, how string, noise double"
+
+    def run(rows):
+        releases, panels = md.calibrate(spark.createDataFrame(rows, schema))
+        told = {r.panel: (r.cutoff, r.state) for r in panels.collect()}
+        steps = releases.groupBy("panel").agg((F.max("released") + 1).alias("steps"))
+        return told, {(r.panel, r.step): (r["mean"], r.variance) for r in md.factor_filter(releases, steps, 0.8, 0.36, 1.0, 4).collect()}, releases.collect()
+
+    told, before, releases = run(rows)
+    assert told == {1: (13, "completed"), 2: (12, "insufficient_data")}
+    assert {r.panel for r in releases} == {1} and min(r.released for r in releases) == 14
+    head = np.array([r[5] for r in rows if r[:2] == (1, 1)][:12])
+    assert all(abs(r.value - (next(x[5] for x in rows if x[:4] == (1, r.series, r.released, r["first"])) - head.mean()) / head.std()) < 1e-9 for r in releases if r.series == 1)
+    changed = [r if r[2] <= 25 else (*r[:5], r[5] * -7 + 3, *r[6:]) for r in rows]
+    _, after, _ = run(changed)
+    assert all(before[k] == after[k] for k in before if k[1] <= 25) and any(before[k] != after[k] for k in before if k[1] > 25)
+
+
 def test_filter_is_conditioning(spark):
     """The filtered state is the conditional mean of a joint normal given the releases so far."""
     phi, q, steps, noise = 0.7, 0.51, 8, 0.3
