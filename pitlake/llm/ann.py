@@ -158,7 +158,7 @@ def fit(spark: SparkSession, x: np.ndarray, parts: int = 16, k: int = 10, wanted
     """Learn a router from sampled vectors; probes reach the wanted recall on a fifth (4,096 at most) that is kept back from the fit.
 
     A sample too small for parts of 64 vectors gets fewer parts, one in the end."""
-    x = np.unique(x, axis=0).astype(np.float64)
+    x = even(np.unique(x, axis=0).astype(np.float64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x = x[np.random.default_rng(5).permutation(len(x))]
     while parts > 1 and len(x) < parts * 64:
@@ -185,8 +185,14 @@ def fit(spark: SparkSession, x: np.ndarray, parts: int = 16, k: int = 10, wanted
     return router
 
 
+def even(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that the largest component is from 1/2 to 1: same cosines, and no square overflows or vanishes."""
+    _, power = np.frexp(np.abs(x).max(1, initial=0, keepdims=True))
+    return np.ldexp(x, -power)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(-1, dim)
+    return even(np.array(column.to_pylist(), np.float64).reshape(-1, dim))
 
 
 def best(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitlake.llm.common import cut
+from pitlake.operators.numbering import number
 
 #: States of the automaton: what was written last.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -120,12 +121,15 @@ def format_chats(turns: DataFrame, block: int = 512, opening: str = "<|{role}|>\
 
     rendered of all turns of a conversation, in order of (turn, n), is the formatted conversation. action is
     keep, merge, insert, relabel, or relabel with one of the former; inserted lists the roles of empty turns written
-    before. Rows that agree in all of conv_id, turn, role and text count once. Rows with one turn number are
-    ordered by role, a hash of the text and the text; null turns come first; null texts are empty; null and unknown roles are
+    before. Repeated rows are turns of their own. Rows with one turn number are ordered by role, a hash of the text, the text and a
+    number among equals (of rows that repeat, every `block` of them go before the next); null turns come first; null texts are empty; null and unknown roles are
     relabelled. Null conv_ids are one conversation. Other columns are ignored. A block of `block` turn numbers, or about
     as many rows of one turn number, is one task's unit, so memory follows the block, not the conversation."""
-    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").distinct()
-    rows = rows.withColumn("b", F.floor(F.coalesce("turn", F.lit(-1)) / block).cast("long")).withColumn("h", F.xxhash64("text"))
+    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("h"))
+    rows = cut(rows, "rows")
+    # equal rows are numbered task by task, so that a row repeated many times is many pieces
+    rows = number(rows, [F.col("row")], F.shiftright("row", 33), "copy", by=["conv_id", "turn", "role", "h"]).drop("row")
+    rows = rows.withColumn("b", F.floor(F.coalesce("turn", F.lit(-1)) / block).cast("long")).withColumn("again", F.floor(F.col("copy") / block))
     rows = cut(rows, "turns")
     # blocks with more rows than turn numbers: so many bits of the hash cut them into about `block` rows each
     full = rows.groupBy(F.col("conv_id").alias("c"), F.col("b").alias("k")).agg(F.count("*").alias("m")).where(F.col("m") > 2 * block)
@@ -134,9 +138,9 @@ def format_chats(turns: DataFrame, block: int = 512, opening: str = "<|{role}|>\
         rows = rows.withColumn("bits", F.lit(None).cast("int"))
     else:
         rows = rows.join(full, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("b") == F.col("k")), "left").drop("c", "k")
-    part = F.when(F.col("bits").isNotNull(), F.struct("turn", "role", F.expr("shiftright(h, 64 - bits)").alias("h")))
+    part = F.when(F.col("bits").isNotNull(), F.struct("turn", "role", "again", F.expr("shiftright(h, 64 - bits)").alias("h")))
     rows = rows.withColumn("b", F.struct("b", part.alias("part"))).drop("bits")
-    order = ["conv_id", "b", "turn", "role", "h", "text"]
+    order = ["conv_id", "b", "turn", "role", "again", "h", "text", "copy"]
 
     def dealt(df: DataFrame, *names: str) -> DataFrame:
         return df.repartition("conv_id", "b").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in names])
@@ -202,7 +206,7 @@ def format_chats(turns: DataFrame, block: int = 512, opening: str = "<|{role}|>\
     return fixed.mapInArrow(written, "conv_id long, turn long, n int, role string, action string, inserted array<string>, rendered string")
 
 
-_BLOCK = pa.struct([("b", pa.int64()), ("part", pa.struct([("turn", pa.int64()), ("role", pa.string()), ("h", pa.int64())]))])
+_BLOCK = pa.struct([("b", pa.int64()), ("part", pa.struct([("turn", pa.int64()), ("role", pa.string()), ("again", pa.int64()), ("h", pa.int64())]))])
 _MATRIX = pa.schema([("conv_id", pa.int64()), ("b", _BLOCK), ("m", pa.list_(pa.int64()))])
 _BORDERS = pa.schema([("conv_id", pa.int64()), ("b", _BLOCK), ("s", pa.int32()), ("e", pa.int32()), ("last", pa.bool_()), ("n0", pa.int64())])
 _TURNS = pa.schema([

@@ -1,4 +1,4 @@
-"""Language ID: multinomial naive Bayes over hashed character n-grams, all languages equally likely beforehand.
+"""Language ID: multinomial naive Bayes over hashed character n-grams; languages are equally likely beforehand unless fit() is asked for their shares.
 
 Log probabilities are one matrix (buckets x languages), broadcast to the tasks. A batch of texts is hashed
 in one numpy pass; the rows of the matrix that its n-grams hit are summed for each text.
@@ -57,32 +57,72 @@ def grams(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(hashed) if hashed else np.zeros(0, np.uint32), np.concatenate(of) if of else np.zeros(0, np.int32), has
 
 
+#: Characters of a text that are hashed at once; a longer text is hashed in chunks.
+LONG = 1 << 20
+
+
+def long_grams(text: str, buckets: int, size: int = LONG) -> Iterator[tuple[np.ndarray, bool]]:
+    """The hashed n-grams of one text, chunk by chunk, and whether the chunk has a letter: in all, those of grams() of the whole text.
+
+    Chunks end after a space where there is one; the last characters are carried on, so that n-grams across chunks count."""
+    carried, start = np.array([32], np.uint32), 0
+    while start <= len(text):
+        end = len(text) if start + size >= len(text) else text.rfind(" ", start, start + size) + 1 or start + size
+        piece = text[start:end].lower() + (" " if end == len(text) else "")
+        points = _letters()[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        space = np.concatenate([carried[-1:], points]) == 32
+        points = points[~(space[1:] & space[:-1])]
+        both, h, out = np.concatenate([carried, points]), np.zeros(len(carried) + len(points), np.uint32), []
+        for n in range(min(ORDERS, len(both))):
+            m = len(both) - n
+            h = h[:m] * np.uint32(0x9E3779B1) + both[n:] * np.uint32(0x85EBCA6B) + np.uint32(n)
+            x = h ^ (h >> np.uint32(15))
+            # those within the carried characters have been counted, but for the first space
+            out.append((x & np.uint32(buckets - 1))[max(0, len(carried) - n) if start else 0 :])
+        yield np.concatenate(out), bool((points != 32).any())
+        carried, start = both[-(ORDERS - 1) :], end if end < len(text) else len(text) + 1
+
+
 @dataclass
 class Bayes:
     langs: list[str]
     logp: np.ndarray  # buckets x languages
+    prior: np.ndarray | None = None  # log shares of the languages; all alike if not given
+
+    def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each text and language, and whether each text has a letter."""
+        large = [i for i, t in enumerate(texts) if t and len(t) > LONG]
+        hits, of, has = grams([None if i in large else t for i, t in enumerate(texts)] if large else texts, len(self.logp))
+        total = np.stack([np.bincount(of, self.logp[:, k][hits], len(texts)) for k in range(len(self.langs))], axis=1) if self.langs else np.zeros((len(texts), 0))
+        for i in large:
+            total[i] = 0
+            for found, letters in long_grams(texts[i], len(self.logp)):
+                has[i] |= letters
+                total[i] += np.bincount(found, minlength=len(self.logp)).astype(float) @ self.logp
+        return total if self.prior is None else total + self.prior, has
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The likeliest language of each text and its posterior; UNDETERMINED and 0 for a text without letters."""
-        hits, of, has = grams(texts, len(self.logp))
-        total = np.stack([np.bincount(of, self.logp[:, k][hits], len(texts)) for k in range(len(self.langs))], axis=1) if self.langs else np.zeros((len(texts), 0))
         if not self.langs:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        total, has = self.totals(texts)
         best = total.argmax(1)
         share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
         return [self.langs[k] if ok else UNDETERMINED for k, ok in zip(best, has)], np.where(has, share, 0.0)
 
 
-def fit(docs: DataFrame, max_docs_per_lang: int = 2000, max_langs: int = 256, buckets: int = 1 << 15, alpha: float = 0.5) -> Bayes:
+def fit(docs: DataFrame, max_docs_per_lang: int = 2000, most_langs: int = 1024, buckets: int = 1 << 15, alpha: float = 0.5, prior: bool = False) -> Bayes:
     """Learn from text and non-null lang of documents outside the hold-out.
 
     max_docs_per_lang bounds the sample: of a language with more documents, each is taken with the chance that gives
-    as many, by a hash of its id. max_langs bounds the model, 64 MB at most: of more languages, those with the most
-    documents are learned, ties by name. Rows without an id are not learned from. The counts that tasks return are one row
-    of `buckets` numbers for each language and task."""
+    as many, by a hash of its id. Every language is learned; more than most_langs raise ValueError, as the model (256 kB a language) goes to
+    each task. prior: whether the languages' shares of the documents count beforehand. Rows without an id are not learned from. The counts that
+    tasks return are one row of `buckets` numbers for each language and task."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~holdout(F.col("doc_id")))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
-    shares = {r["lang"]: min(1.0, max_docs_per_lang / r["n"]) for r in sizes.collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(most_langs + 1).collect()}
+    if len(sizes) > most_langs:
+        raise ValueError(f"more than {most_langs} languages")
+    shares = {lang: min(1.0, max_docs_per_lang / n) for lang, n in sizes.items()}
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).cast("double") / (1 << 32)
     share = F.try_element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang")) if shares else F.lit(0.0)
     rows = known.where(spread < share).select("text", "lang")
@@ -93,8 +133,15 @@ def fit(docs: DataFrame, max_docs_per_lang: int = 2000, max_langs: int = 256, bu
             langs = b.column("lang").to_pylist()
             names = sorted(set(langs))
             at = np.array([names.index(x) for x in langs], np.int64)
-            hits, of, _ = grams(b.column("text").to_pylist(), buckets)
+            texts = b.column("text").to_pylist()
+            large = [i for i, t in enumerate(texts) if len(t) > LONG]
+            hits, of, _ = grams([None if i in large else t for i, t in enumerate(texts)] if large else texts, buckets)
+            # a null stands for a single space, which a large text has no further
             grid = np.bincount(at[of] * buckets + hits, minlength=len(names) * buckets).reshape(-1, buckets)
+            for i in large:
+                grid[at[i]] -= np.bincount(grams([None], buckets)[0], minlength=buckets)
+                for part, _ in long_grams(texts[i], buckets):
+                    grid[at[i]] += np.bincount(part, minlength=buckets)
             for name, row in zip(names, grid):
                 sums[name] = sums.get(name, 0) + row
         for name, row in sums.items():
@@ -109,14 +156,15 @@ def fit(docs: DataFrame, max_docs_per_lang: int = 2000, max_langs: int = 256, bu
         place = {x: k for k, x in enumerate(langs)}
         counts[found.column("bucket").to_numpy(), [place[x] for x in names]] = found.column("n").to_numpy()
     smooth = counts + alpha
-    return Bayes(langs, np.log(smooth / smooth.sum(0, keepdims=True)) if langs else counts)
+    seen = np.array([sizes[x] for x in langs], float)
+    return Bayes(langs, np.log(smooth / smooth.sum(0, keepdims=True)) if langs else counts, np.log(seen / seen.sum()) if prior and langs else None)
 
 
 def identify(docs: DataFrame, model: Bayes, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Add lang_pred and score, or the given names, to every row of docs; columns named alike are replaced, repeated rows stay.
 
     A text that is null or has no letter gets UNDETERMINED and 0; equally likely languages go to the first name."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages doubles: 1 MB for four languages, 64 MB at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages doubles: 1 MB for four languages, 256 MB at most
     kept = docs.drop(*names)
     schema = T.StructType([*kept.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 

@@ -41,7 +41,7 @@ def dated_list(pages: DataFrame) -> DataFrame:
     host, path = url_filter.host(F.col("url")), url_filter.path(F.col("url"))
     segment = F.regexp_extract(path, "^/[^/]+/", 0)
     names = pages.select(host.alias("h"), segment.alias("s")).where("h is not null")
-    patterns = names.select(F.explode(F.array("h", F.regexp_replace("h", r"^[^.]+\.", ""), F.concat("h", "s"))).alias("pattern")).where(r"pattern rlike '\\.'").distinct()
+    patterns = names.select(F.explode(F.array("h", F.regexp_replace("h", r"^[^.]+\.", ""), F.concat("h", "s"))).alias("pattern")).distinct()
     digits = F.md5("pattern")
     entry = lambda k, verdict: F.struct(F.lit(verdict).alias("verdict"), F.date_add(F.lit("2024-01-01").cast("date"), (F.conv(F.substring(digits, 4 * k + 1, 3), 16, 10).cast("int") % 120) + 90 * k).alias("listed_at"), F.substring(digits, 4 * k + 4, 1).alias("d"))
     entries = patterns.select("pattern", F.explode(F.array(entry(0, "block"), entry(1, "allow"), entry(2, "block"))).alias("e")).select("pattern", "e.*")
@@ -143,14 +143,14 @@ WITH p AS (
 names AS (SELECT DISTINCT unnest([h, regexp_replace(h, '^[^.]+\.', ''), h || regexp_extract(path, '^/[^/]+/')]) AS pattern FROM p WHERE h IS NOT NULL),
 dated AS (
   SELECT pattern, verdict, DATE '2024-01-01' + CAST(CAST('0x' || substr(md5(pattern), 4 * k + 1, 3) AS INTEGER) % 120 + 90 * k AS INTEGER) AS since, substr(md5(pattern), 4 * k + 4, 1) AS d
-  FROM names, (VALUES (0, 'block'), (1, 'allow'), (2, 'block')) AS t(k, verdict) WHERE contains(pattern, '.')),
+  FROM names, (VALUES (0, 'block'), (1, 'allow'), (2, 'block')) AS t(k, verdict)),
 best AS (SELECT pattern, since, min_by(verdict, verdict <> 'block') AS verdict FROM dated WHERE d < '8' GROUP BY ALL),
 spans AS (SELECT *, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM best),
 keyed AS (
   SELECT page_id, fetched_at, h || '/' || array_to_string(parts[1:n], '/') || CASE WHEN n > 0 THEN '/' ELSE '' END AS pattern, 1000000 + n AS level
   FROM (SELECT *, unnest(range(0, len(parts) + 1)) AS n FROM (SELECT *, list_filter(string_split(regexp_replace(path, '[^/]*$', ''), '/'), lambda x: x <> '') AS parts FROM p))
   UNION ALL SELECT page_id, fetched_at, array_to_string(labels[n + 1:], '.'), len(labels) - n
-  FROM (SELECT *, unnest(range(0, len(labels))) AS n FROM (SELECT *, string_split(h, '.') AS labels FROM p)) WHERE len(labels) - n >= least(2, len(labels))),
+  FROM (SELECT *, unnest(range(0, len(labels))) AS n FROM (SELECT *, string_split(h, '.') AS labels FROM p))),
 hits AS (SELECT k.page_id, arg_max({'v': s.verdict, 'p': s.pattern, 's': s.since}, k.level) AS f FROM keyed k JOIN spans s ON s.pattern = k.pattern AND k.fetched_at >= s.since AND (s.until IS NULL OR k.fetched_at < s.until) GROUP BY 1)
 SELECT p.page_id, p.fetched_at, f.v AS verdict, f.p AS pattern, f.s AS since FROM p LEFT JOIN hits USING (page_id)
 """

@@ -65,9 +65,8 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     labels = F.split("__host", r"\.")
     parts = F.filter(F.split(path(F.col("url")), "/"), lambda x: x != "")
     deep = F.regexp_count(path(F.col("url")), F.lit("/[^/]+(?=/)"))
-    # the host and its parents of two labels or more, then paths, each above all that is shorter
-    hosts = F.filter(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most_labels))), lambda n: (n >= 2) | (F.size(labels) == 1))
-    hosts = F.transform(hosts, lambda n: F.struct(n.alias("level"), F.array_join(F.slice(labels, -n, n), ".").alias("key")))
+    # the host and all its parents, then paths, each above all that is shorter
+    hosts = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most_labels))), lambda n: F.struct(n.alias("level"), F.array_join(F.slice(labels, -n, n), ".").alias("key")))
     paths = F.sequence(F.lit(0), F.least(deep, F.lit(most_parts)))
     paths = F.transform(paths, lambda n: F.struct((n + most_labels + 1).alias("level"), F.concat(F.col("__host"), F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/"), F.when(n > 0, "/").otherwise("")).alias("key")))
     keyed = judged.select("url", "fetched_at", fetched.alias("__month"), F.explode(F.concat(hosts, paths)).alias("__k"))

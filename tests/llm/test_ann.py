@@ -57,6 +57,12 @@ def test_odd_vectors_ties_and_blocks(spark):
     assert ann.search(v, F.lit(False)).count() == 0
 
 
+def test_very_large_and_very_small_components(spark):
+    rows = [(50, [1e200, 0.0]), (1, [1e-200, 1e-200]), (2, [-1e300, 1e300]), (3, [5e-324, 0.0]), (4, [3.0, 4.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 50).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 9)) for r in got] == [(3, 1.0), (1, round(0.5**0.5, 9)), (4, 0.6), (2, round(-(0.5**0.5), 9))]
+
+
 def test_best_row_of_an_id_counts(spark):
     rows = [(7, [0.0, 1.0]), (7, [1.0, 0.01]), (8, [1.0, 0.2]), (9, [1.0, 0.5]), (50, [1.0, 0.0]), (50, [0.0, 1.0])]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 50, top=3).orderBy("rank").collect()

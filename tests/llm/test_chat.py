@@ -71,7 +71,7 @@ def test_formatting(spark, block):
         turns = [rng.choice(["user", "assistant", "system", " User", None, "tool"]) for _ in range(rng.randint(1, 9))]
         rows += [(conv, i, r, f"text {conv} {i}", "x") for i, r in enumerate(turns)]
         want[conv] = cost([chat.role_number(r) for r in turns], chat.repair([chat.role_number(r) for r in turns]))
-    df = spark.createDataFrame(rows + rows[:3], "conv_id long, turn long, role string, text string, rendered string")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, rendered string")
     got = chat.format_chats(df, block=block)
     by = {}
     for r in sorted(got.collect(), key=lambda r: (r.conv_id, r.turn)):
@@ -116,3 +116,17 @@ def test_many_rows_of_one_turn_number_are_cut(spark):
     small, whole = chat.format_chats(df, block=8).collect(), chat.format_chats(df).collect()
     assert sorted(r.n for r in small if r.conv_id is None) == list(range(300))
     assert check(small) == check(whole)
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_repeated_rows_are_turns_of_their_own(spark, block):
+    rows = [(1, 0, "user", "hi")] * 50 + [(1, 1, "assistant", "yes")] * 3 + [(None, None, None, None)] * 30 + [(2, 0, "user", f"t{i % 3}") for i in range(60)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), block=block).collect()
+    assert len(got) == len(rows)
+    for conv in (1, None, 2):
+        out = sorted((r for r in got if r.conv_id == conv), key=lambda r: (-1 if r.turn is None else r.turn, r.n))
+        plan = [(chat.ROLES.index(r.role), r.action, [chat.ROLES.index(x) for x in r.inserted]) for r in out]
+        given = [chat.role_number(r[2]) for r in sorted((r for r in rows if r[0] == conv), key=lambda r: -1 if r[1] is None else r[1])]
+        assert legal(written(plan)) and cost(given, plan) == cost(given, chat.repair(given))
+        assert [r.n for r in out if r.turn in (0, None)] == list(range(sum(r[0] == conv and r[1] in (0, None) for r in rows)))
+    assert sum(r.rendered.count("hi") for r in got) == 50 and sum(r.rendered.count("t1") for r in got) == 20

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pitlake.llm import langid, quality
@@ -113,10 +114,35 @@ def test_bayes_against_dictionaries(spark):
             assert (lang, p) == ("und", 0)
 
 
-def test_more_languages_than_a_model_holds(spark):
-    rows = [(i, f"{'abcde'[i % 5]} " * 9, f"l{min(i % 5, i % 7)}") for i in range(100)]
-    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_langs=2)
-    assert len(model.langs) == 2
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 9, f"l{i % 300}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    told = {r.lang for r in docs.where(~holdout(F.col("doc_id"))).collect()}
+    assert len(told) > 256 and langid.fit(docs, buckets=64).langs == sorted(told)
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        langid.fit(docs, most_langs=2)
+    rare = [(i, "ab cd", "x" if i % 10 else "y") for i in range(200)]
+    model = langid.fit(spark.createDataFrame(rare, "doc_id long, text string, lang string"), prior=True)
+    assert model.predict(["ab"])[0] == ["x"] and 0.8 < model.predict(["ab"])[1][0] < 1
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 64, 1000])
+def test_long_texts_count_like_whole_ones(size):
+    for text in ("Ab  c ,,, d" * 20, "x" * 100, "   ", "ÀÉ 12 z\n\nq " * 9 + "end"):
+        found = [langid.long_grams(text, 1 << 10, size)][0]
+        parts = list(found)
+        hits, _, has = langid.grams([text], 1 << 10)
+        assert sorted(np.concatenate([h for h, _ in parts])) == sorted(hits) and any(x for _, x in parts) == has[0]
+
+
+def test_a_text_beyond_the_chunk_is_learned_and_told(spark, monkeypatch):
+    rows = [(i, ("der die das " if i % 2 else "the of and ") * (400 if i % 5 else 3), "de" if i % 2 else "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = langid.fit(docs)
+    before = whole.predict([t for _, t, _ in rows])
+    monkeypatch.setattr(langid, "LONG", 100)
+    after = whole.predict([t for _, t, _ in rows])
+    assert before[0] == after[0] and np.allclose(before[1], after[1])
 
 
 def slow_trees(x, y, trees, depth, rate, bins, least, l2):

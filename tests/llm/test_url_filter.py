@@ -16,7 +16,7 @@ def plain(url, day, entries):
     parts = path.split("/")[1:-1]
     names = [host + "/" + "/".join(parts[:n]) + "/" for n in range(len(parts), 0, -1)] + [host + "/"]
     labels = host.split(".")
-    names += [".".join(labels[n:]) for n in range(len(labels)) if n == 0 or len(labels) - n >= 2]
+    names += [".".join(labels[n:]) for n in range(len(labels))]
     for name in names:
         dated = {}
         for p, v, at in entries:
@@ -72,6 +72,14 @@ def test_deep_hosts_and_paths_and_the_case_of_paths(spark):
     assert {r.url: r.pattern for r in got} == want
 
 
+def test_single_labels(spark):
+    on = D(2024, 1, 1)
+    entries = spark.createDataFrame([("zip", "block", on), ("a.zip", "allow", D(2024, 2, 1))], "pattern string, verdict string, listed_at date")
+    captures = spark.createDataFrame([("http://a.zip/x", on), ("http://a.zip/x", D(2024, 3, 1)), ("http://b.c.zip/", on), ("http://zip/", on), ("http://a.zip.org/", on)], "url string, fetched_at date")
+    got = {(r.url, r.fetched_at): r.pattern for r in url_filter.judge(captures, entries).collect()}
+    assert [got[r.url, r.fetched_at] for r in captures.collect()] == ["zip", "a.zip", "zip", "zip", None]
+
+
 def test_odd_years(spark):
     days = [D(1, 1, 1), D(1999, 12, 31), D(2024, 2, 29), D(9999, 12, 31)]
     entries = spark.createDataFrame([("a.org", "block", D(2000, 1, 1)), ("a.org", "allow", D(2024, 3, 1))], "pattern string, verdict string, listed_at date")
