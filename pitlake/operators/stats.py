@@ -113,22 +113,71 @@ def exponential(paired: DataFrame, order: list[str], alpha: float) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.when(F.count("*") >= 3, clamped(r)).alias("ew_correlation"))
 
 
-def distance_correlation(paired: DataFrame, most: int = 2000) -> DataFrame:
-    """Distance correlation of each pair; n squared rows a pair, so only pairs with 3 to `most` rows have one."""
-    n = F.count("*").over(Window.partitionBy("a", "b"))
-    rows = paired.withColumn("n", n).where((F.col("n") >= 3) & (F.col("n") <= most)).withColumn("i", F.row_number().over(Window.partitionBy("a", "b").orderBy("x", "y")))
-    r = rows.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("i").alias("j"), F.col("x").alias("u"), F.col("y").alias("v"))
-    grid = rows.join(r, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b"))).select("a", "b", "i", "j", F.abs(F.col("x") - F.col("u")).alias("p"), F.abs(F.col("y") - F.col("v")).alias("q"))
-    row, column, whole = Window.partitionBy("a", "b", "i"), Window.partitionBy("a", "b", "j"), Window.partitionBy("a", "b")
-    for c in ("p", "q"):
-        grid = grid.withColumn(f"c{c}", F.col(c) - F.avg(c).over(row) - F.avg(c).over(column) + F.avg(c).over(whole))
-    aa, bb, ab = F.sum(F.col("cp") ** 2), F.sum(F.col("cq") ** 2), F.sum(F.col("cp") * F.col("cq"))
-    value = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(ab, F.sqrt(aa * bb))))
-    return grid.groupBy("a", "b").agg(F.when((aa > 0) & (bb > 0), F.least(F.lit(1.0), value)).otherwise(0.0).alias("distance_correlation"))
+def _below(rank: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each place, the sums of each row of weights over earlier places of smaller rank (ranks are all different).
+
+    Runs are merged as in a merge sort: in each merged run the places of its second half take the running sums of its first half's, by rank."""
+    n = len(rank)
+    place, out, size = np.arange(n), np.zeros(weights.shape), 1
+    while size < n:
+        run, first = place // (2 * size), place // size % 2 == 0
+        order = np.argsort(run * n + rank)
+        own = np.where(first[order], weights[:, order], 0.0)
+        upto = np.cumsum(own, axis=1)
+        starts = run[order] * (2 * size)
+        late = ~first[order]
+        out[:, order[late]] += (upto - (upto - own)[:, starts])[:, late]
+        size *= 2
+    return out
+
+
+def _distance(x: np.ndarray, y: np.ndarray) -> float | None:
+    """A29 in n log^2 n time and linear memory; None for fewer than three rows or numbers that are not finite."""
+    n = len(x)
+    if n < 3 or not (np.isfinite(x).all() and np.isfinite(y).all()):
+        return None
+    sides = []
+    for v in (x, y):
+        v = v - v.mean()
+        v = v / (np.abs(v).max() or 1.0)
+        order = np.argsort(v, kind="stable")
+        s, k = v[order], np.arange(n)
+        row = np.empty(n)
+        row[order] = s * (2 * k - n) + s.sum() - 2 * (np.cumsum(s) - s)  # distances of each row to all
+        sides.append((v, row, 2 * n * (v * v).sum() - 2 * v.sum() ** 2))
+    (x, a, aa), (y, b, bb) = sides
+    order = np.lexsort((y, x))
+    u, v = x[order], y[order]
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(v, kind="stable")] = np.arange(n)
+    parts = np.stack([np.ones(n), u, v, u * v])
+    less, every = _below(rank, parts), np.cumsum(parts, axis=1) - parts
+    m = 2 * less - every  # earlier rows, those with a smaller y less the others
+    ab = 2 * (m[0] * u * v - u * m[2] - v * m[1] + m[3]).sum()
+    centred = lambda whole, p, q: whole / n**2 - 2 * (p * q).sum() / n**3 + p.sum() * q.sum() / n**4
+    vx, vy = centred(aa, a, a), centred(bb, b, b)
+    return float(min(1.0, np.sqrt(max(0.0, centred(ab, a, b) / np.sqrt(vx * vy))))) if vx > 0 and vy > 0 else 0.0
+
+
+def distance_correlation(paired: DataFrame) -> DataFrame:
+    """(a, b, distance_correlation) of every pair, null with fewer than three rows or with a number that is not finite.
+
+    Products of distances are summed over sorted ranks, never as a grid; a pair's two columns are one task's group."""
+    import pyarrow as pa
+
+    kinds = dict(paired.dtypes)
+
+    def told(rows: pa.Table) -> pa.Table:
+        x, y = (rows.column(c).to_numpy().astype(float) for c in ("x", "y"))
+        return pa.table([rows.column("a").slice(0, 1), rows.column("b").slice(0, 1), pa.array([_distance(x, y)], pa.float64())], ["a", "b", "distance_correlation"])
+
+    return paired.select("a", "b", "x", "y").groupBy("a", "b").applyInArrow(told, f"a {kinds['a']}, b {kinds['b']}, distance_correlation double")
 
 
 def shift_null(paired: DataFrame, order: list[str], least: int = 20, most: int = 400) -> DataFrame:
-    """|Pearson| against that of every rotation of y; p is the share of rotations, with the identity, as large."""
+    """|Pearson| against that of every rotation of y; p is the share of rotations, with the identity, as large.
+
+    Every rotation meets every row, so a pair with more than `most` rows has no test, nor one with fewer than `least`: nulls, and the reason as state."""
     rows = paired.withColumn("n", F.count("*").over(Window.partitionBy("a", "b"))).where((F.col("n") >= least) & (F.col("n") <= most)).withColumn("i", F.row_number().over(Window.partitionBy("a", "b").orderBy(*order)) - 1)
     l = rows.withColumn("shift", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("j", (F.col("i") + F.col("shift")) % F.col("n"))
     r = rows.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("i").alias("__i"), F.col("y").alias("z"))
@@ -136,7 +185,10 @@ def shift_null(paired: DataFrame, order: list[str], least: int = 20, most: int =
     each = turned.groupBy("a", "b", "shift").agg(F.abs(correlation(F.col("x"), F.col("z"))).alias("r"))
     own = F.max(F.when(F.col("shift") == 0, F.col("r"))).over(Window.partitionBy("a", "b"))
     tested = each.withColumn("statistic", own)
-    return tested.groupBy("a", "b").agg(F.max("statistic").alias("statistic"), F.count("*").alias("shifts"), (F.count_if(F.col("r") >= F.col("statistic") - 1e-14) / F.count("*")).alias("p_value"))
+    tested = tested.groupBy("a", "b").agg(F.max("statistic").alias("statistic"), F.count("*").alias("shifts"), (F.count_if(F.col("r") >= F.col("statistic") - 1e-14) / F.count("*")).alias("p_value"))
+    every = paired.groupBy("a", "b").agg(F.count("*").alias("n"))
+    state = F.when(F.col("n") < least, "too_few_rows").when(F.col("n") > most, "too_many_rows").otherwise("completed")
+    return every.join(tested, ["a", "b"], "left").select("a", "b", "statistic", F.coalesce("shifts", F.lit(0)).alias("shifts"), "p_value", state.alias("state"))
 
 
 def even_buckets(df: DataFrame, column: str, buckets: int = 64) -> Column:

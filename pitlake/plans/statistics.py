@@ -80,10 +80,10 @@ def distance_corr(spark, sf):
 
 
 @register("shift_null", sql(P + """, i AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY a, b) AS n FROM pr), t AS (SELECT l.a, l.b, k AS shift, abs(covar_pop(l.x, r.y) / (stddev_pop(l.x) * stddev_pop(r.y))) AS r FROM i l CROSS JOIN LATERAL (SELECT unnest(range(l.n)) AS k) JOIN i r ON l.a = r.a AND l.b = r.b AND r.i = (l.i + k) % l.n WHERE l.n BETWEEN 20 AND 400 GROUP BY ALL),
-  s AS (SELECT *, max(CASE WHEN shift = 0 THEN r END) OVER (PARTITION BY a, b) AS own FROM t) SELECT a, b, round(max(own), 6) AS statistic, count(*) AS shifts, round(count(*) FILTER (WHERE r >= own - 1e-14) / count(*), 6) AS p_value FROM s GROUP BY a, b"""))
+  s AS (SELECT *, max(CASE WHEN shift = 0 THEN r END) OVER (PARTITION BY a, b) AS own FROM t) SELECT a, b, round(max(own), 6) AS statistic, count(*) AS shifts, round(count(*) FILTER (WHERE r >= own - 1e-14) / count(*), 6) AS p_value, 'completed' AS state FROM s GROUP BY a, b"""))
 def shift_null(spark, sf):
     """Correlation against all rotations of one side."""
-    return st.shift_null(chosen(spark, sf), ["m"]).select("a", "b", r6("statistic").alias("statistic"), "shifts", r6("p_value").alias("p_value"))
+    return st.shift_null(chosen(spark, sf), ["m"]).select("a", "b", r6("statistic").alias("statistic"), "shifts", r6("p_value").alias("p_value"), "state")
 
 
 def family(spark, sf):

@@ -1,9 +1,13 @@
 """Bars, labels, dispatch and replay on hand rows."""
 
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from pitlake.operators import bars as br
 from pitlake.operators import models as md
+from pitlake.operators.asof import asof_join
 from pitlake.streaming import ingest
 
 
@@ -51,12 +55,37 @@ def test_vintages_use_what_was_ready(spark):
     assert got == {21: (1.0, 20.0, 10.0, 31)}
 
 
-def test_replay_never_sees_the_future(spark, tmp_path):
-    events = spark.createDataFrame([("s", 100), ("s", 500)], "symbol string, sec int").withColumn("ts", F.timestamp_seconds("sec"))
-    quotes = spark.createDataFrame([("s", 90, 1.0), ("s", 101, 2.0), ("s", 495, 3.0)], "symbol string, sec int, mid double").withColumn("ts", F.timestamp_seconds("sec"))
-    for name, df in (("e", events), ("q", quotes)):
-        df.coalesce(1).write.parquet(f"{tmp_path}/{name}")
-    read = lambda n, like: spark.readStream.schema(like.schema).parquet(f"{tmp_path}/{n}")
-    query = ingest.replay(spark, read("e", events), read("q", quotes), "20 seconds").writeStream.format("memory").queryName("replayed").trigger(availableNow=True).start()
+def replayed(spark, tmp_path, events, quotes, keep):
+    """Runs the stream with one file of events and quotes a batch, in order of the batches."""
+    spark.conf.set(*ingest.STATE_STORE)
+    sides = {"e": ("symbol string, seq long, t long, asked long", events), "q": ("symbol string, seq long, t long, mid double", quotes)}
+    for batch in range(len(events)):
+        for name, (schema, rows) in sides.items():
+            spark.createDataFrame(rows[batch], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        time.sleep(0.05)  # files are taken in order of their time of change
+    read = lambda n: spark.readStream.schema(sides[n][0]).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{n}")
+    query = ingest.replay(read("e"), read("q"), keep).writeStream.foreachBatch(lambda df, n: df.write.mode("append").parquet(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     query.awaitTermination()
-    assert sorted(r.mid for r in spark.table("replayed").collect()) == [1.0, 3.0]
+    return {(r.symbol, r.seq): (r.quote_seq, r.mid, r.status) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+
+
+def test_replay_refuses_the_future_and_the_past(spark, tmp_path):
+    events = [[("s", 1, 100, 100), ("s", 2, 100, 101), ("s", 3, 80, 80)], [("s", 4, 200, 200), ("s", 5, 200, 95), ("s", 6, 90, 90), ("s", 7, 201, 150), ("x", 8, 5, 5)]]
+    quotes = [[("s", 11, 90, 1.0), ("s", 12, 100, 2.0)], [("s", 13, 150, 3.0), ("s", 14, 99, 4.0), ("s", 15, 202, 5.0)]]
+    assert replayed(spark, tmp_path, events, quotes, 60) == {
+        ("s", 1): (12, 2.0, "quote"), ("s", 2): (None, None, "future"), ("s", 3): (None, None, "no_quote"), ("s", 4): (13, 3.0, "quote"),
+        ("s", 5): (11, 1.0, "quote"), ("s", 6): (None, None, "behind_clock"), ("s", 7): (13, 3.0, "quote"), ("x", 8): (None, None, "no_quote"),
+    }
+
+
+def test_replay_is_the_as_of_join(spark, tmp_path):
+    rng = random.Random(1)
+    times = [sorted(rng.sample(range(k * 100, k * 100 + 100), 24)) for k in range(3)]
+    rows = [[(rng.choice("ab"), k * 100 + i, t) for i, t in enumerate(x)] for k, x in enumerate(times)]
+    events = [[(*r, r[2]) for r in x[::2]] for x in rows]
+    quotes = [[(*r, float(r[1])) for r in x[1::2]] for x in rows]
+    got = replayed(spark, tmp_path, events, quotes, 10)
+    e = spark.createDataFrame([r for x in events for r in x], "symbol string, seq long, t long, asked long")
+    q = spark.createDataFrame([r for x in quotes for r in x], "symbol string, seq long, t long, mid double")
+    want = {(r.symbol, r.seq): (r.q_seq, r.q_mid) for r in asof_join(e, q, ["symbol"], "t", "t", ["seq", "mid"], ties=["seq"], prefix="q_").collect()}
+    assert {k: v[:2] for k, v in got.items()} == want and len(want) == 36

@@ -1,6 +1,7 @@
 """Parsers, the lake, sinks and incremental ingestion."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,6 +170,39 @@ def test_ingestion_in_any_order_of_files(spark, tmp_path):
     assert [r.value for r in ingest.known_at(stored.where("key = 'a'"), 15, ["key"], "observed", ["source_order"]).collect()] == [1.0]
 
 
+def test_a_batch_reads_the_folders_of_its_keys_only(spark, tmp_path):
+    key, path = ["key"], f"{tmp_path}/store"
+    rows = [(f"k{i}", i, 10 * i, float(i)) for i in range(400)]
+    batch = spark.createDataFrame(rows, "key string, source_order long, observed long, value double")
+    sink = ingest.version_sink(path, f"{tmp_path}/aside", ["observed", "value"], key, "source_order", 16)
+    sink(batch.where("source_order < 200"), 0)
+    sink(batch, 1)
+    stored = spark.read.parquet(path)
+    assert stored.count() == 400 and stored.where("generation = 1").count() == 200
+    like = batch.withColumn("semantic_id", F.lit(""))
+    few = batch.where("key = 'k7'")
+    found = ingest.stored_for(few, path, like, 2, key, 16)
+    folder = few.select(ingest.bucket_of(key, 16)).first()[0]
+    assert {r.bucket for r in found.collect()} == {folder} and found.where("key = 'k7'").count() == 1
+    filters = re.search(r"PartitionFilters: \[([^\]]*)", found._jdf.queryExecution().executedPlan().toString())[1]
+    assert f"(bucket#" in filters and f"= {folder})" in filters and "generation#" in filters and len(stored.inputFiles()) > 16
+    assert ingest.stored_for(few, path, like, 0, key, 16).count() == 0
+    sink(few.withColumn("value", F.lit(-1.0)).unionByName(few), 2)  # a contradiction of what an earlier generation holds
+    assert spark.read.parquet(path).count() == 400 and spark.read.parquet(f"{tmp_path}/aside").where("generation = 2").count() == 1
+    ingest.compact(spark, path, f"{tmp_path}/one", like, key, 16)
+    one = spark.read.parquet(f"{tmp_path}/one")
+    assert one.count() == 400 and {r.first_generation for r in one.collect()} == {0, 1} and len(one.inputFiles()) <= 16
+
+
+def test_metadata_sink_compares_with_stored_content(spark, tmp_path):
+    sink = ingest.metadata_sink(f"{tmp_path}/m", "id", ["name"], "t", 4)
+    schema = "id string, name string, t int"
+    sink(spark.createDataFrame([("a", "x", 1), ("b", "y", 1)], schema), 0)
+    sink(spark.createDataFrame([("a", "x", 2), ("b", "z", 2)], schema), 1)
+    sink(spark.createDataFrame([("a", "w", 3), ("b", "z", 3)], schema), 2)
+    assert sorted((r.id, r.t) for r in spark.read.parquet(f"{tmp_path}/m").collect()) == [("a", 1), ("a", 3), ("b", 1), ("b", 2)]
+
+
 def test_metadata_changes_and_totals(spark):
     stored = spark.createDataFrame([("s", "old", 1)], "id string, name string, t int")
     stored = stored.withColumn("content_id", ingest.semantic_id(["name"]))

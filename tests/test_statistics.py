@@ -68,6 +68,21 @@ def test_partial_correlations(spark):
     assert all(abs(r.partial - (1 if r.i == r.j else -prec[r.i, r.j] / np.sqrt(prec[r.i, r.i] * prec[r.j, r.j]))) < 1e-9 for r in got)
 
 
+def test_distance_correlation_of_many_rows(spark):
+    for n in (3, 4, 17, 300):
+        for x, y in ((RNG.standard_normal(n), RNG.standard_normal(n)), (RNG.integers(0, 4, n) + 0.0, RNG.integers(0, 3, n) + 1e6), (np.arange(n) * 1e9, np.arange(n) ** 2.0)):
+            a, b = np.abs(np.subtract.outer(x, x)), np.abs(np.subtract.outer(y, y))
+            a, b = (m - m.mean(0) - m.mean(1)[:, None] + m.mean() for m in (a, b))
+            want = np.sqrt(max(0, (a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()))) if (a * a).sum() * (b * b).sum() > 1e-9 else 0.0
+            assert abs(st._distance(x, y) - want) < 1e-7
+    assert st._distance(np.ones(5), np.arange(5.0)) == 0.0 and st._distance(np.arange(2.0), np.arange(2.0)) is None
+    n = 60_000
+    df = spark.range(n).selectExpr("'a' as a", "'b' as b", "cast(id as double) as x", f"2.0 * id + 1 as y").unionByName(spark.createDataFrame([("c", "d", 1.0, 2.0)], "a string, b string, x double, y double"))
+    got = {r.a: r.distance_correlation for r in st.distance_correlation(df).collect()}
+    assert abs(got["a"] - 1) < 1e-9 and got["c"] is None
+    assert {(r.a, r.state, r.shifts) for r in st.shift_null(df, ["x"]).collect()} == {("a", "too_many_rows", 0), ("c", "too_few_rows", 0)}
+
+
 def test_bootstrap(spark):
     gains = RNG.standard_normal(25)
     df = spark.createDataFrame([(i, float(g)) for i, g in enumerate(gains)], "i int, gain double")
