@@ -56,14 +56,40 @@ def revision_conflicts(facts: DataFrame, keys: list[str], content: list[str]) ->
     return facts.groupBy(*keys, "revision").agg(F.count_distinct(F.struct(*content)).alias("contents")).where("contents > 1")
 
 
-def edge_snapshot(edges: DataFrame, t: int) -> DataFrame:
-    """Edges known by t, latest revision of each id, active, and valid in [since, until)."""
+def edge_snapshot(edges: DataFrame, t: int, entity: str | int | None = None, documents: DataFrame | None = None, captures: DataFrame | None = None) -> DataFrame:
+    """Edges known by t, latest revision of each id, active, and valid in [since, until).
+
+    entity: only edges that begin or end there. documents (document_id, capture_id), captures (capture_id): only edges whose source document
+    and its capture are there."""
     known = latest(edges.where(F.col("known") <= t), ["id"], [F.col("revision").desc()])
-    return known.where(F.col("active") & (F.col("since") <= t) & (F.col("until").isNull() | (F.col("until") > t)))
+    live = known.where(F.col("active") & (F.col("since") <= t) & (F.col("until").isNull() | (F.col("until") > t)))
+    if entity is not None:
+        live = live.where((F.col("a") == entity) | (F.col("b") == entity))
+    if documents is not None:
+        sourced = documents if captures is None else documents.join(captures.select("capture_id").distinct(), "capture_id", "left_semi")
+        live = live.join(sourced.select("document_id").distinct(), "document_id", "left_semi")
+    return live
+
+
+def layered_graph(nodes: DataFrame, edges: DataFrame, t: int, text: str = "") -> tuple[DataFrame, DataFrame]:
+    """(nodes known by t whose name or kind has the text, edges known at t that begin or end at one of them).
+
+    nodes: id, kind, name, known_from. edges: id, layer, a, b, known_from, known_to (exclusive, null for open) and others; validity is data of an edge, not a
+    condition. Layers stay apart: an edge's layer says what kind of claim it is. Each edge asks for its two ends in one semi-join."""
+    named = F.lower(F.concat_ws(" ", "name", "kind"))
+    seen = nodes.where((F.col("known_from") <= t) & F.contains(named, F.lit(text.lower())))
+    known = edges.where((F.col("known_from") <= t) & (F.col("known_to").isNull() | (F.col("known_to") > t)))
+    ends = known.select("id", F.explode(F.array_distinct(F.array("a", "b"))).alias("__end"))
+    hit = ends.join(seen.select(F.col("id").alias("__end")), "__end", "left_semi").select("id").distinct()
+    return seen, known.join(hit, "id", "left_semi")
 
 
 def latest_metric(facts: DataFrame) -> DataFrame:
-    """For each (entity, metric) the fact of the last period; ambiguous where that period has two keys."""
+    """For each (entity, metric) the fact of the last period; ambiguous where that period has two keys.
+
+    Facts with dimensions (a map that is not empty) are parts of a metric and do not count; a column `dimensions` need not be there."""
+    if "dimensions" in facts.columns:
+        facts = facts.where(F.col("dimensions").isNull() | (F.size("dimensions") == 0))
     r = F.rank().over(Window.partitionBy("entity", "metric").orderBy(F.desc("period_end"), F.desc("period_start")))
     top = facts.withColumn("__r", r).where("__r = 1")
     return top.groupBy("entity", "metric", "period_end", "period_start").agg(F.count_distinct("fact_key").alias("keys"), F.min("value").alias("value")).withColumn("ambiguous", F.col("keys") > 1)
@@ -98,9 +124,13 @@ def allowed(df: DataFrame, policies: DataFrame, purpose: str, t: int) -> DataFra
     return df.join(ok, "provider", "left_semi")
 
 
-def series_catalog(metadata: DataFrame, versions: DataFrame, mode: str, snapshot: int, t: int, text: str = "") -> DataFrame:
-    """Latest visible metadata of each series with the count of its visible versions; name filter."""
+def series_catalog(metadata: DataFrame, versions: DataFrame, mode: str, snapshot: int, t: int, text: str = "", provider: str | None = None, policies: DataFrame | None = None, purpose: str = "") -> DataFrame:
+    """Latest visible metadata of each series with the count of its visible versions; name filter (F19), one provider's, those that policies allow."""
     meta = latest(metadata.where((F.col("generation") <= snapshot) & (F.col("known") <= t)), ["key"], [F.col("generation").desc()])
+    if provider is not None:
+        meta = meta.where(F.col("provider") == provider)
+    if policies is not None:
+        meta = allowed(meta, policies, purpose, t)
     counts = versions.where(visible(mode, snapshot, t)).groupBy("key").agg(F.count("*").alias("versions"))
     return meta.join(counts, "key", "left").withColumn("versions", F.coalesce("versions", F.lit(0))).where(F.contains(F.lower("name"), F.lit(text.lower())))
 
@@ -118,9 +148,19 @@ def revealed(past: DataFrame, now: DataFrame) -> DataFrame:
     return base.join(found, "key", "left").select("key", "base_period", "base_value", F.col("o.period").alias("period"), F.col("o.value").alias("value"))
 
 
-def evidence(ids: DataFrame, versions: DataFrame, captures: DataFrame, series: DataFrame, mode: str, snapshot: int, t: int) -> DataFrame:
-    """Visible versions of the ids with their capture receipt and series."""
-    return ids.join(versions.where(visible(mode, snapshot, t)), "id").join(captures, "capture_id", "left").join(series, "key", "left")
+def evidence(ids: DataFrame, versions: DataFrame, captures: DataFrame, series: DataFrame, policies: DataFrame, purpose: str, mode: str, snapshot: int, t: int) -> DataFrame:
+    """Visible versions of the ids with their series, its policy and the receipt of their capture.
+
+    Versions without a capture, of no visible series or of a provider that the policy denies are left out. captures: capture_id, url, receipt. In reconstructed
+    mode receipts are withheld: the url stays, the note says why."""
+    seen = ids.join(versions.where(visible(mode, snapshot, t)), "id")
+    meta = latest(series.where((F.col("generation") <= snapshot) & (F.col("known") <= t)), ["key"], [F.col("generation").desc()]).select("key", "name", "provider")
+    found = allowed(seen.join(captures, "capture_id").join(meta, "key"), policies, purpose, t).join(policies.select("provider", "purposes"), "provider")
+    if mode == "reconstructed":
+        found = found.withColumn("receipt", F.lit(None).cast(found.schema["receipt"].dataType)).withColumn("note", F.lit("acquisition receipt needs the current view"))
+    else:
+        found = found.withColumn("note", F.lit(None).cast("string"))
+    return found.select("id", "key", "name", "provider", "value", "url", "receipt", "note", "purposes")
 
 
 def current_vintage(observations: DataFrame, mode: str, t: int) -> DataFrame:

@@ -54,3 +54,16 @@ def running_product(df: DataFrame, value: Column, order: list[Column], bucket: C
     whole = _carried(df.withColumn("__v", value), by, bucket, F.product("__v"), F.product)
     local = F.product("__v").over(Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(*_UPTO))
     return whole.withColumn(name, F.coalesce("__c", F.lit(1.0)) * local).drop("__b", "__c", "__v")
+
+
+def sampled(pos: Column, n: Column, most: int) -> Column:
+    """Whether a position of n is one of at most `most` even places round(i * (n - 1) / (most - 1)), halves to even; all of them up to `most`."""
+    if most < 2:
+        raise ValueError("two points at least")
+    step = (n - 1) / F.lit(float(most - 1))
+    near = F.rint(pos / F.when(step > 0, step))
+    hit = F.lit(False)
+    for k in (-1, 0, 1):
+        i = near + k
+        hit = hit | ((i >= 0) & (i < most) & (F.rint(i * step) == pos))
+    return (n <= most) | hit

@@ -71,13 +71,64 @@ def neighbour_metric(spark, sf):
     return bt.neighbour_metric(live, metric).select("b", "n_edges", "mean", "missing")
 
 
-@register("latest_metric", with_views("versions", "SELECT entity, metric, period, count(DISTINCT id) AS keys, min(value) AS value, count(DISTINCT id) > 1 AS ambiguous FROM (SELECT key % 100 AS entity, status AS metric, period, id, value, rank() OVER (PARTITION BY key % 100, status ORDER BY period DESC) AS r FROM versions) WHERE r = 1 GROUP BY ALL"))
+@register("latest_metric", with_views("versions", "SELECT entity, metric, period, count(DISTINCT id) AS keys, min(value) AS value, count(DISTINCT id) > 1 AS ambiguous FROM (SELECT key % 100 AS entity, status AS metric, period, id, value, rank() OVER (PARTITION BY key % 100, status ORDER BY period DESC) AS r FROM versions WHERE id % 3 <> 0) WHERE r = 1 GROUP BY ALL"))
 def latest_metric(spark, sf):
-    """The last period's fact of each entity and metric, and whether it is ambiguous."""
-    v = versions(spark, sf).select((F.col("key") % 100).alias("entity"), F.col("status").alias("metric"), F.col("period").alias("period_end"), F.col("period").alias("period_start"), F.col("id").alias("fact_key"), "value")
+    """The last period's fact of each entity and metric, and whether it is ambiguous; every third fact is a part by region and does not count."""
+    parts = F.when(F.col("id") % 3 == 0, F.create_map(F.lit("region"), F.lit("EU"))).otherwise(F.create_map().cast("map<string,string>"))
+    v = versions(spark, sf).select((F.col("key") % 100).alias("entity"), F.col("status").alias("metric"), F.col("period").alias("period_end"), F.col("period").alias("period_start"), F.col("id").alias("fact_key"), "value", parts.alias("dimensions"))
     return bt.latest_metric(v).select("entity", "metric", F.col("period_end").alias("period"), "keys", "value", "ambiguous")
 
 
+NODES = f"""nodes AS (SELECT 's' || s_suppkey AS id, 'supplier' AS kind, s_name AS name, {T0} + (s_suppkey % 40 - 20) * {30 * DAY} AS known_from FROM supplier
+    UNION ALL SELECT 'p' || p_partkey, 'part', p_name, {T0} + (p_partkey % 40 - 20) * {30 * DAY} FROM part),
+  layered AS (SELECT id, ['source', 'knowledge', 'statistical', 'predictive'][n % 4 + 1] AS layer, 's' || a AS a, 'p' || b AS b, known AS known_from, CASE WHEN n % 3 = 0 THEN known + {400 * DAY} END AS known_to FROM edges)"""
+
+
+def graph_of(spark, sf):
+    """Suppliers and parts as nodes, what is supplied as edges of four layers, some of them withdrawn after 400 days."""
+    at = lambda k: F.lit(T0) + (F.col(k) % 40 - 20) * 30 * DAY
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.lit("supplier").alias("kind"), F.col("s_name").alias("name"), at("s_suppkey").alias("known_from"))
+    p = table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.lit("part").alias("kind"), F.col("p_name").alias("name"), at("p_partkey").alias("known_from"))
+    layer = F.element_at(F.array(*map(F.lit, ("source", "knowledge", "statistical", "predictive"))), (F.col("n") % 4 + 1).cast("int"))
+    e = edges(spark, sf).select("id", layer.alias("layer"), F.concat(F.lit("s"), "a").alias("a"), F.concat(F.lit("p"), "b").alias("b"), F.col("known").alias("known_from"), F.when(F.col("n") % 3 == 0, F.col("known") + 400 * DAY).alias("known_to"))
+    return s.unionByName(p), e
+
+
+@register("layered_graph", with_views("edges", f"""WITH {NODES}, live AS (SELECT * FROM nodes WHERE known_from <= {T0} AND contains(lower(name || ' ' || kind), '5'))
+  SELECT 'node' AS what, id, kind AS layer FROM live
+  UNION ALL SELECT 'edge', id, layer FROM layered WHERE known_from <= {T0} AND (known_to IS NULL OR known_to > {T0}) AND (a IN (SELECT id FROM live) OR b IN (SELECT id FROM live))"""))
+def layered_graph(spark, sf):
+    """Nodes known at a time by a part of their name, and the edges of all layers known then that touch them."""
+    nodes, linked = bt.layered_graph(*graph_of(spark, sf), T0, "5")
+    return nodes.select(F.lit("node").alias("what"), "id", F.col("kind").alias("layer")).unionByName(linked.select(F.lit("edge").alias("what"), "id", "layer"))
+
+
+@register("network_of", with_views("edges", f"SELECT id, a, b FROM edges WHERE known <= {T0} AND active AND since <= {T0} AND until > {T0} AND b % 50 < 25 AND b % 7 > 0 AND (SELECT min(a) FROM edges WHERE a % 10 = 3) IN (a, b)"))
+def network_of(spark, sf):
+    """The edges of one number, supplier or part, as of a time whose source document and its capture are there."""
+    e = edges(spark, sf).withColumn("revision", F.lit(1)).withColumn("document_id", F.col("b"))
+    d = table(spark, sf, "part").select(F.col("p_partkey").alias("document_id"), (F.col("p_partkey") % 50).alias("capture_id")).where("document_id % 7 > 0")
+    c = d.select("capture_id").where("capture_id < 25")
+    first = e.where("a % 10 = 3").agg(F.min("a")).first()[0]
+    return bt.edge_snapshot(e, T0, first, d, c).select("id", "a", "b")
+
+
+@register("evidence_rows", with_views("versions", f"""WITH meta AS (SELECT c_custkey AS key, c_name AS name, c_nationkey % 4 AS p FROM customer WHERE c_custkey // 100 <= {SNAP})
+  SELECT 'observed' AS mode, v.id, m.name, v.value, 'u' || v.id % 90 AS url, 'r' || v.id % 90 AS receipt FROM versions v JOIN meta m USING (key) WHERE {OBS.format(t=T0)} AND v.id % 90 >= 10 AND p > 0
+  UNION ALL SELECT 'reconstructed', v.id, m.name, v.value, 'u' || v.id % 90, NULL FROM versions v JOIN meta m USING (key) WHERE v.generation <= {SNAP} AND v.reconstructed <= {T0} AND v.id % 90 >= 10 AND p > 0"""))
+def evidence_rows(spark, sf):
+    """Each visible version with its series and receipt where the provider's policy allows it; rebuilt views withhold the receipt."""
+    v = versions(spark, sf).withColumn("capture_id", F.col("id") % 90)
+    captures = spark.range(10, 90).select(F.col("id").alias("capture_id"), F.concat(F.lit("u"), "id").alias("url"), F.concat(F.lit("r"), "id").alias("receipt"))
+    series = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.floor(F.col("c_custkey") / 100).alias("generation"), F.lit(0).alias("known"), (F.col("c_nationkey") % 4).cast("string").alias("provider"))
+    policies = spark.range(4).select(F.col("id").cast("string").alias("provider"), F.lit(True).alias("enabled"), F.lit(2 * T0).alias("review_due"), F.create_map(F.lit("research"), F.col("id") > 0).alias("purposes"))
+    out = None
+    for mode in ("observed", "reconstructed"):
+        found = bt.evidence(v.select("id"), v, captures, series, policies, "research", mode, SNAP, T0).select(F.lit(mode).alias("mode"), "id", "name", "value", "url", "receipt")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @register("snapshot_many_times", with_views("versions", f"WITH d AS (SELECT {T0} + i * {120 * DAY} AS decision FROM range(0, 6) AS r(i)) SELECT key, decision, arg_max(id, id) AS id, arg_max(value, id) AS value FROM d JOIN versions v ON v.observed <= d.decision GROUP BY ALL"))
 def snapshot_many_times(spark, sf):
     """The newest version of each key at six decision times."""
@@ -86,11 +137,12 @@ def snapshot_many_times(spark, sf):
     return bt.snapshot_many(d, v, ["key"], F.col("id"))
 
 
-@register("series_catalog", with_views("versions", f"SELECT c_custkey AS key, c_name AS name, coalesce(n, 0) AS versions FROM customer LEFT JOIN (SELECT key, count(*) AS n FROM versions WHERE {OBS.format(t=T0)} GROUP BY 1) ON key = c_custkey WHERE c_custkey // 100 <= {SNAP} AND contains(lower(c_name), '7')"))
+@register("series_catalog", with_views("versions", f"SELECT c_custkey AS key, c_name AS name, coalesce(n, 0) AS versions FROM customer LEFT JOIN (SELECT key, count(*) AS n FROM versions WHERE {OBS.format(t=T0)} GROUP BY 1) ON key = c_custkey WHERE c_custkey // 100 <= {SNAP} AND contains(lower(c_name), '7') AND c_nationkey % 3 <> 1"))
 def series_catalog(spark, sf):
-    """Series with the count of their visible versions, by a part of the name."""
-    meta = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.floor(F.col("c_custkey") / 100).alias("generation"), F.lit(0).alias("known"))
-    return bt.series_catalog(meta, versions(spark, sf), "observed", SNAP, T0, "7").select("key", "name", "versions")
+    """Series with the count of their visible versions, by a part of the name, of providers whose policy allows research."""
+    meta = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.floor(F.col("c_custkey") / 100).alias("generation"), F.lit(0).alias("known"), (F.col("c_nationkey") % 3).cast("string").alias("provider"))
+    policies = spark.range(3).select(F.col("id").cast("string").alias("provider"), F.lit(True).alias("enabled"), F.lit(2 * T0).alias("review_due"), F.create_map(F.lit("research"), F.col("id") != 1).alias("purposes"))
+    return bt.series_catalog(meta, versions(spark, sf), "observed", SNAP, T0, "7", policies=policies, purpose="research").select("key", "name", "versions")
 
 
 @register("revision_history", with_views("versions", f"SELECT id, observed, value FROM versions WHERE key = (SELECT min(key) FROM versions) AND {OBS.format(t=T0 + 3000 * DAY)} ORDER BY observed DESC, id DESC LIMIT 200"))

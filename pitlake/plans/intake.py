@@ -94,10 +94,10 @@ def orphan_facts(spark, sf):
     return ru.orphans(table(spark, sf, "orders"), sources, "o_custkey").select("o_orderkey")
 
 
-KINDS = ("supplies", "owns", "rents")
+KINDS = ("supplies", "exposed_to", "rents")
 
 
-@register("relationship_rules", with_views("edges", broken_sql("SELECT CAST(weight * 20000 AS BIGINT) AS w, since AS f, CASE WHEN a % 6 = 0 THEN NULL WHEN a % 11 = 0 THEN since ELSE until END AS u, CASE a % 3 WHEN 0 THEN 'supplies' WHEN 1 THEN 'owns' ELSE 'rents' END AS r FROM edges", {"weight": "w >= 0 AND w <= 1000000", "valid": "u IS NULL OR u > f", "relation": "r IN ('supplies', 'owns', 'competes', 'partners', 'consumes')"})))
+@register("relationship_rules", with_views("edges", broken_sql("SELECT CAST(weight * 20000 AS BIGINT) AS w, since AS f, CASE WHEN a % 6 = 0 THEN NULL WHEN a % 11 = 0 THEN since ELSE until END AS u, CASE a % 3 WHEN 0 THEN 'supplies' WHEN 1 THEN 'exposed_to' ELSE 'rents' END AS r FROM edges", {"weight": "w >= 0 AND w <= 1000000", "valid": "u IS NULL OR u > f", "relation": "r IN ('supplies', 'purchases', 'competes', 'manufactures', 'exposed_to')"})))
 def relationship_rules(spark, sf):
     """Edges with too large a weight, no span of validity or another kind."""
     a = F.col("a")
@@ -106,9 +106,9 @@ def relationship_rules(spark, sf):
     return broken(given, ru.relationship_rules())
 
 
-@register("source_rules", broken_sql("SELECT CASE WHEN doc_id % 8 > 0 THEN source ELSE '' END AS id, CASE doc_id % 5 WHEN 0 THEN upper(sha256(text)) WHEN 1 THEN substr(sha256(text), 2) ELSE sha256(text) END AS h FROM documents", {"id": "id <> ''", "sha256": "len(h) = 64 AND regexp_full_match(h, '[0-9a-f]*')"}))
+@register("source_rules", broken_sql("SELECT CASE WHEN doc_id % 8 > 0 THEN source ELSE '' END AS id, CASE doc_id % 5 WHEN 0 THEN upper(sha256(text)) WHEN 1 THEN substr(sha256(text), 2) ELSE sha256(text) END AS h FROM documents", {"id": "id <> ''", "sha256": "len(h) = 64 AND regexp_full_match(h, '[0-9a-fA-F]*')"}))
 def source_rules(spark, sf):
-    """Documents as sources without id or with a malformed hash."""
+    """Documents as sources without id or with a malformed hash; upper-case hex is a hash too."""
     k, h = F.col("doc_id"), F.sha2("text", 256)
     given = table(spark, sf, "documents").select(F.when(k % 8 > 0, F.col("source")).otherwise("").alias("id"), F.when(k % 5 == 0, F.upper(h)).when(k % 5 == 1, F.substring(h, 2, 63)).otherwise(h).alias("content_sha256"))
     return broken(given, ru.source_rules())
@@ -120,6 +120,79 @@ def duplicate_sources(spark, sf):
     return ru.duplicates(table(spark, sf, "documents").select(F.sha2("text", 256).alias("sha256")), ["sha256"])
 
 
+SEEN = """SELECT CASE doc_id % 6 WHEN 0 THEN 'instant' WHEN 1 THEN 'day' ELSE 'date_end_conservative' END AS precision, CASE doc_id % 5 WHEN 0 THEN 'Mars/Base' WHEN 1 THEN 'UTC' ELSE 'America/New_York' END AS zone,
+  CASE WHEN doc_id % 31 > 0 THEN n_chars END AS published, CASE WHEN doc_id % 4 > 0 THEN n_chars END AS first_seen, CASE WHEN doc_id % 7 > 0 THEN n_chars + doc_id % 9 - 2 END AS extracted, CASE WHEN doc_id % 8 > 0 THEN n_chars + doc_id % 10 - 3 END AS modelled FROM documents"""
+
+
+@register("availability_rules", broken_sql(SEEN, {"precision": "precision IN ('instant', 'date_end_conservative')", "zone": "zone <> 'Mars/Base'", "published": "published IS NOT NULL", "extracted": "first_seen IS NULL OR extracted IS NULL OR extracted >= first_seen", "modelled": "modelled IS NULL OR published IS NULL OR modelled >= published"}))
+def availability_rules(spark, sf):
+    """Clocks of documents with an unknown precision or zone, extracted before they were received or modelled before they were published."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    given = table(spark, sf, "documents").select(
+        F.when(k % 6 == 0, "instant").when(k % 6 == 1, "day").otherwise("date_end_conservative").alias("precision"), F.when(k % 5 == 0, "Mars/Base").when(k % 5 == 1, "UTC").otherwise("America/New_York").alias("zone"),
+        F.when(k % 31 > 0, n).alias("published"), F.when(k % 4 > 0, n).alias("first_seen"), F.when(k % 7 > 0, n + k % 9 - 2).alias("extracted"), F.when(k % 8 > 0, n + k % 10 - 3).alias("modelled"),
+    )
+    return broken(given, ru.availability_rules())
+
+
+@register("order_rules", broken_sql("SELECT CASE WHEN o_orderkey % 13 > 0 THEN 'x' ELSE '' END AS s, ['new', 'cancel', 'replace', 'fill', 'amend'][o_orderkey % 5 + 1] AS action, CASE o_orderstatus WHEN 'F' THEN 'buy' WHEN 'O' THEN 'sell' ELSE 'hold' END AS side, o_totalprice - 2000 AS price, o_orderkey % 40 - 1 AS q, o_orderkey % 43 - 2 AS r FROM orders", {"named": "s <> ''", "action": "action <> 'amend'", "side": "side <> 'hold'", "price": "price > 0", "quantity": "q > 0", "remaining": "r >= 0 AND r <= q"}))
+def order_rules(spark, sf):
+    """Orders as agents' orders without a name, with another action or side, no price or quantity, or more left than there was."""
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    given = table(spark, sf, "orders").select(
+        F.when(k % 13 > 0, "x").otherwise("").alias("scenario_id"), F.lit("a").alias("agent_id"), k.cast("string").alias("order_id"), F.element_at(F.array(*map(F.lit, ("new", "cancel", "replace", "fill", "amend"))), (k % 5 + 1).cast("int")).alias("action"),
+        F.when(status == "F", "buy").when(status == "O", "sell").otherwise("hold").alias("side"), (F.col("o_totalprice") - 2000).alias("price"), (k % 40 - 1).alias("quantity"), (k % 43 - 2).alias("remaining"),
+    )
+    return broken(given, ru.order_rules())
+
+
+@register("depth_rules", with_views("trades", broken_sql("SELECT CASE WHEN seq % 21 > 0 THEN seq % 5 - 2.0 END AS p, px - 6 AS d, px * qty - 50 AS n FROM trades", {"percentage": "p IS NOT NULL", "depth": "d >= 0", "notional": "n >= 0"})))
+def depth_rules(spark, sf):
+    """Prints as depth levels without percentage, or with a negative depth or notional."""
+    k = F.col("seq")
+    given = trades(spark, sf).select(F.when(k % 21 > 0, k % 5 - 2.0).alias("percentage"), (F.col("px") - 6).alias("depth"), (F.col("px") * F.col("qty") - 50).alias("notional"))
+    return broken(given, ru.depth_rules())
+
+
+KLINE = f"""SELECT CASE symbol WHEN 3 THEN '' ELSE '1h' END AS interval, start AS o_t, start + CASE WHEN symbol = 4 THEN -1 ELSE 1 END * {HOUR} AS c_t, open, high - CASE WHEN symbol = 6 THEN 1 ELSE 0 END AS high, low - CASE WHEN symbol = 7 THEN 20 ELSE 0 END AS low, close,
+  volume - CASE WHEN symbol = 8 THEN 30 ELSE 0 END AS volume, symbol % 10 - 1 AS trades FROM (SELECT symbol, t // {HOUR} * {HOUR} AS start, arg_min(px, (t, seq)) AS open, max(px) AS high, min(px) AS low, arg_max(px, (t, seq)) AS close, sum(qty) AS volume FROM trades GROUP BY ALL)"""
+
+
+@register("kline_rules", with_views("trades", broken_sql(KLINE, {"interval": "interval <> ''", "span": "c_t >= o_t", "positive": "low > 0 AND open > 0 AND close > 0", "contained": "low <= open AND low <= close AND high >= open AND high >= close", "volume": "volume >= 0", "trades": "trades >= 0"})))
+def kline_rules(spark, sf):
+    """Hourly bars as klines without interval, in reverse, with too low a low, too low a high, a negative volume or count."""
+    b, s = br.from_prints(trades(spark, sf), HOUR, F.lit(0)), F.col("symbol")
+    given = b.select(
+        F.when(s == 3, "").otherwise("1h").alias("interval"), F.col("start").alias("open_time"), (F.col("start") + F.when(s == 4, -1).otherwise(1) * HOUR).alias("close_time"), "open", (F.col("high") - F.when(s == 6, 1).otherwise(0)).alias("high"),
+        (F.col("low") - F.when(s == 7, 20).otherwise(0)).alias("low"), "close", (F.col("volume") - F.when(s == 8, 30).otherwise(0)).alias("volume"), (s % 10 - 1).alias("trade_count"),
+    )
+    return broken(given, ru.kline_rules())
+
+
+#: Sessions of the days with trades: nine to four, to one on every fifth day.
+SESSIONS = f"sessions AS (SELECT DISTINCT t // {DAY} * {DAY} + {9 * HOUR} AS open, t // {DAY} * {DAY} + CASE WHEN t // {DAY} % 5 = 0 THEN 13 ELSE 16 END * {HOUR} AS close FROM trades)"
+
+
+def sessions_of(spark, sf):
+    day = F.floor(F.col("t") / DAY)
+    return trades(spark, sf).select((day * DAY + 9 * HOUR).alias("open"), (day * DAY + F.when(day % 5 == 0, 13).otherwise(16) * HOUR).alias("close")).distinct()
+
+
+@register("bars_in_sessions", with_views("trades", f"WITH {SESSIONS}, b AS (SELECT DISTINCT symbol, t // {HOUR} * {HOUR} AS start FROM trades) SELECT symbol, start, EXISTS (SELECT 1 FROM sessions s WHERE s.open <= start AND start + {HOUR} <= s.close) AS in_session FROM b"))
+def bars_in_sessions(spark, sf):
+    """Which hourly bars lie within a session."""
+    b = br.from_prints(trades(spark, sf), HOUR, F.lit(0)).select("symbol", "start", "end")
+    return ru.within_sessions(b, sessions_of(spark, sf), 7 * DAY).select("symbol", "start", "in_session")
+
+
+@register("actions_at_open", with_views("trades", f"WITH {SESSIONS}, a AS (SELECT p_partkey AS id, p_partkey % 10 AS symbol, 1704067200000000 + p_partkey % 40 * {DAY} + CASE WHEN p_partkey % 3 = 0 THEN 10 ELSE 9 END * {HOUR} AS effective FROM part) SELECT id, effective IN (SELECT open FROM sessions) AS at_open, count(*) OVER (PARTITION BY symbol, effective) = 1 AS alone FROM a"))
+def actions_at_open(spark, sf):
+    """Which corporate actions take effect at the open of a session, and which are their symbol's only one then."""
+    k = F.col("p_partkey")
+    a = table(spark, sf, "part").select(k.alias("id"), (k % 10).alias("symbol"), (F.lit(1_704_067_200_000_000) + k % 40 * DAY + F.when(k % 3 == 0, 10).otherwise(9) * HOUR).alias("effective"))
+    return ru.at_session_open(a, sessions_of(spark, sf)).select("id", "at_open", "alone")
+
+
 @register("action_rules", broken_sql("SELECT p_partkey % 5 AS n, p_partkey % 7 AS d, p_size - 3 AS dividend, p_partkey AS effective, p_partkey + p_size % 4 - 1 AS pay FROM part", {"split": "n > 0 AND d > 0", "dividend": "dividend >= 0", "pay_date": "dividend = 0 OR pay >= effective"}))
 def action_rules(spark, sf):
     """Parts as corporate actions with split terms of 0, negative dividends or a payment before its time."""

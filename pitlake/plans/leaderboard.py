@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitlake.operators import evaluate as ev
 from pitlake.operators.asof import asof_join, lookahead_violations, trailing
-from pitlake.operators.numbering import number, running_max, running_sum
+from pitlake.operators.numbering import number, running_max, running_sum, sampled
 from pitlake.plans.registry import register
 from pitlake.plans.views import DAY, HOUR, quotes, r6, trades, with_views
 from pitlake.session import kept
@@ -233,16 +233,16 @@ def event_histogram(spark, sf):
 CUM = ", flat AS (SELECT seq, t, CASE WHEN maker_side > 0 THEN CAST(round(markout, 4) AS DECIMAL(24, 4)) ELSE 0 END AS c FROM rec), cum AS (SELECT *, sum(c) OVER (ORDER BY t, seq) AS total, row_number() OVER (ORDER BY t, seq) - 1 AS pos, count(*) OVER () AS n FROM flat), peak AS (SELECT *, max(total) OVER (ORDER BY t, seq) AS peak FROM cum)"
 
 
-@register("global_drawdown", sql(REC, CUM + " SELECT seq, pos, CAST(total AS DOUBLE) AS total, CAST(peak - total AS DOUBLE) AS drawdown FROM peak WHERE pos % greatest(1, n // 200) = 0"))
+@register("global_drawdown", sql(REC, CUM + " SELECT seq, pos, CAST(total AS DOUBLE) AS total, CAST(peak - total AS DOUBLE) AS drawdown FROM peak WHERE n <= 200 OR pos IN (SELECT round_even(i * ((SELECT count(*) FROM flat) - 1) / 199.0, 0) FROM range(200) r(i))"))
 def global_drawdown(spark, sf):
-    """Cumulative captured markout in one order over all records, its drawdown, down-sampled by a stride."""
+    """Cumulative captured markout in one order over all records, its drawdown, at 200 even places at most."""
     rec = records(spark, sf)
     value = F.when(F.col("maker_side") > 0, F.round("markout", 4).cast("decimal(24,4)")).otherwise(F.lit(0).cast("decimal(24,4)"))
     order = [F.col("t"), F.col("seq")]
     flat = number(rec.select("seq", "t", value.alias("c")), order, by_day(), "pos")
     run = running_max(running_sum(flat, F.col("c"), order, by_day(), "total"), F.col("total"), order, by_day(), "peak")
     n = F.broadcast(flat.agg(F.count("*").alias("n")))
-    kept = run.crossJoin(n).where(F.col("pos") % F.greatest(F.lit(1), F.floor(F.col("n") / 200)) == 0)
+    kept = run.crossJoin(n).where(sampled(F.col("pos"), F.col("n"), 200))
     return kept.select("seq", "pos", F.col("total").cast("double").alias("total"), (F.col("peak") - F.col("total")).cast("double").alias("drawdown"))
 
 
