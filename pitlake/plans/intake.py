@@ -342,11 +342,11 @@ def bodies(df: DataFrame, by: list[str], row: Column, wrap) -> DataFrame:
 
 @register("bar_pages", with_views("trades", f"SELECT 'S' || symbol AS symbol, t // 60000000 * 60000 AS start, t // 60000000 * 60000 + 60000 AS available_at, max(px) AS high, CAST(sum(qty) AS DOUBLE) AS volume FROM trades GROUP BY ALL"))
 def bar_pages(spark, sf):
-    """Pages of minute bars by symbol."""
+    """Pages of minute bars by symbol and hour."""
     b = trades(spark, sf).groupBy("symbol", F.floor(F.col("t") / 60_000_000).alias("m")).agg(F.max("px").alias("h"), F.sum("qty").alias("v"), F.min("px").alias("l"))
     at = F.date_format(F.timestamp_seconds(F.col("m") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     row = F.struct(at.alias("t"), F.col("l").alias("o"), "h", "l", F.col("h").alias("c"), "v")
-    pages = b.groupBy("symbol").agg(F.collect_list(row).alias("rows")).select(F.to_json(F.struct(F.create_map(F.concat(F.lit("S"), F.col("symbol").cast("string")), "rows").alias("bars"))).alias("body"))
+    pages = b.groupBy("symbol", F.floor(F.col("m") / 60)).agg(F.collect_list(row).alias("rows")).select(F.to_json(F.struct(F.create_map(F.concat(F.lit("S"), F.col("symbol").cast("string")), "rows").alias("bars"))).alias("body"))
     return doc.bars(pages).select("symbol", "start", "available_at", "high", "volume")
 
 
@@ -401,7 +401,19 @@ def indicator_pages(spark, sf):
     row = F.struct(F.struct(F.lit("T").alias("id")).alias("indicator"), F.struct(F.col("n").cast("string").alias("id")).alias("country"), F.col("y").cast("string").alias("date"), F.when(F.col("y") % 3 > 0, F.col("v")).alias("value"))
     g = yearly(spark, sf).groupBy("n").agg(F.collect_list(row).alias("r"))
     pages = g.select(F.concat(F.lit('[{"page":1,"pages":1,"total":'), F.size("r"), F.lit("},"), F.to_json("r", {"ignoreNullFields": "false"}), F.lit("]")).alias("body"))
-    return doc.indicators(pages)
+    return doc.indicators(pages)[0]
+
+
+@register("indicator_faults", "SELECT CASE doc_id % 4 WHEN 0 THEN 'no_value_field' WHEN 1 THEN 'not_a_number' ELSE 'no_identity' END AS fault, count(*) AS n FROM documents WHERE doc_id % 4 < 3 GROUP BY 1")
+def indicator_faults(spark, sf):
+    """Rows without a value field, with a value that is no number or without a country; a null value is no fault."""
+    k = F.col("doc_id") % 4
+    value = F.when(k == 0, "").when(k == 1, ',"value":"n/a"').when(k == 2, ',"value":1').otherwise(',"value":null')
+    country = F.when(k == 2, "").otherwise(',"country":{"id":"US"}')
+    row = F.concat(F.lit('{"indicator":{"id":"T"},"date":"2024"'), country, value, F.lit("}"))
+    g = table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 50)).agg(F.array_join(F.collect_list(row), ",").alias("r"))
+    _, bad = doc.indicators(g.select(F.concat(F.lit('[{"page":1},['), "r", F.lit("]]")).alias("body")))
+    return bad.groupBy("fault").agg(F.count("*").alias("n"))
 
 
 @register("page_gaps", "SELECT c_nationkey AS source, count(*) AS seen, CAST(max(c_nationkey % 4) + 5 AS BIGINT) AS pages FROM (SELECT DISTINCT c_nationkey, c_custkey % 6 AS p FROM customer) GROUP BY 1 HAVING count(*) <> max(c_nationkey % 4) + 5")
@@ -421,13 +433,34 @@ def statistics_file(spark, sf):
     return doc.statistics_rows(raw).select("series_id", "period_start", "value")
 
 
-@register("header_tables", "SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 9 > 0 THEN c_mktsegment END AS segment FROM customer WHERE c_custkey % 9 > 0 UNION ALL SELECT NULL, NULL FROM customer WHERE c_custkey % 9 = 0")
+def paged(c: DataFrame, row: Column, by: Column) -> DataFrame:
+    """Rows in pages of a hundred keys."""
+    return c.groupBy(F.floor(by / 100).alias("page")).agg(F.collect_list(row).alias("r"))
+
+
+@register("header_tables", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS segment, '' AS fault FROM customer WHERE c_custkey % 9 > 0 UNION ALL SELECT 'short', NULL, 'width' FROM customer WHERE c_custkey % 9 = 0")
 def header_tables(spark, sf):
-    """Arrays under a header row; rows of another width have nulls."""
+    """Arrays under a header row; rows of another width are set aside."""
     row = F.when(F.col("c_custkey") % 9 > 0, F.array(F.col("c_custkey").cast("string"), "c_name", "c_mktsegment")).otherwise(F.array(F.lit("short")))
-    g = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.collect_list(row).alias("r"))
-    pages = g.select(F.to_json(F.concat(F.array(F.array(F.lit("id"), F.lit("name"), F.lit("segment"))), "r")).alias("body"))
-    return doc.header_table(pages, ["id", "segment"])
+    pages = paged(table(spark, sf, "customer"), row, F.col("c_custkey")).select(F.to_json(F.concat(F.array(F.array(F.lit("id"), F.lit("name"), F.lit("segment"))), "r")).alias("body"))
+    good, bad = doc.header_table(pages, ["id", "segment"])
+    return good.withColumn("fault", F.lit("")).unionByName(bad.select(F.col("row")[0].alias("id"), F.lit(None).cast("string").alias("segment"), "fault"))
+
+
+@register("trade_tables", """SELECT 'CENSUS:exports:' || o_custkey || ':' || o_orderkey % 97 || ':ALL_VAL_MO' AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS period_start, last_day(o_orderdate) AS period_end,
+    CASE WHEN o_orderkey % 8 > 0 THEN o_totalprice END AS value, CAST(o_custkey AS VARCHAR) AS partner, '' AS fault FROM orders WHERE o_orderkey % 21 > 1
+  UNION ALL SELECT NULL, CAST(date_trunc('month', o_orderdate) AS DATE), NULL, NULL, NULL, CASE o_orderkey % 21 WHEN 0 THEN 'width' ELSE 'not_a_number' END FROM orders WHERE o_orderkey % 21 < 2""")
+def trade_tables(spark, sf):
+    """Monthly trade by commodity and partner, suppressed values as nulls, rows of another width or without a number set aside."""
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    value = F.when(k % 21 == 1, "many").when(k % 8 == 0, "(S)").otherwise(F.col("o_totalprice").cast("string"))
+    row = F.when(k % 21 == 0, F.array(F.lit("0"))).otherwise(F.array((k % 97).cast("string"), F.lit("goods"), F.col("o_custkey").cast("string"), F.lit("land"), value))
+    head = F.array(*map(F.lit, ("E_COMMODITY", "E_COMMODITY_LDESC", "CTY_CODE", "CTY_NAME", "ALL_VAL_MO")))
+    g = o.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.floor(k / 1000).alias("page")).agg(F.collect_list(row).alias("r"))
+    good, bad = doc.trade_values(g.select("month", F.to_json(F.concat(F.array(head), "r")).alias("body")), "exports", "E_COMMODITY", "E_COMMODITY_LDESC", "ALL_VAL_MO")
+    told = good.select("series_id", "period_start", "period_end", "value", F.col("dimensions")["partner"].alias("partner"), F.lit("").alias("fault"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return told.unionByName(bad.select(none("string", "series_id"), F.col("row")[0].cast("date").alias("period_start"), none("date", "period_end"), none("double", "value"), none("string", "partner"), "fault"))
 
 
 @register("facet_rows", f"SELECT f AS field, make_date(y, 1, 1) AS period_start, count(*) AS series, sum(CASE f WHEN 'sales' THEN v ELSE y END) AS total, max(CASE f WHEN 'sales' THEN 'USD' ELSE 'a' END) AS unit FROM ({YEARLY}), (VALUES ('sales'), ('age')) AS t(f) GROUP BY ALL")
@@ -471,17 +504,64 @@ def release_pages(spark, sf):
     return doc.release_figure(pages).select(F.col("url").cast("long").alias("page_id"), "period_start", "value", F.unix_micros("published").alias("published"))
 
 
-@register("catalogue_entries", "SELECT 'u' || c_nationkey AS url, CAST(c_custkey AS VARCHAR) AS external_id, c_name AS title, CASE c_nationkey % 3 WHEN 0 THEN 'ckan' WHEN 1 THEN 'stac' ELSE 'dcat' END AS protocol FROM customer WHERE c_nationkey % 3 < 2 OR c_custkey % 2 = 0")
+KINDS_OF = ("ckan", "stac", "jsonld", "ogc", "openapi", "sdmx")
+
+#: Entries of customers by their number's hundred: what each protocol holds of an entry.
+ENTRIES = """c AS (SELECT *, c_custkey // 100 AS page, CAST(c_custkey AS VARCHAR) AS id, ['ckan', 'stac', 'jsonld', 'ogc', 'openapi', 'sdmx'][c_custkey // 100 % 6 + 1] AS protocol FROM customer)"""
+
+
+def catalogue_documents(spark, sf):
+    """Customers as catalogue entries, a hundred a document, in six protocols; sdmx is XML with namespaces."""
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer").withColumn("page", F.floor(k / 100)).withColumn("id", k.cast("string")).withColumn("name", F.col("c_name"))
+    protocol = F.element_at(F.array(*map(F.lit, KINDS_OF)), (F.col("page") % 6 + 1).cast("int"))
+    title = F.when(k % 4 > 0, F.col("c_name")).alias("title")
+    extent = F.struct(F.struct(F.array(F.array(k % 7, k % 5)).alias("bbox")).alias("spatial"), F.struct(F.array(F.array(F.lit("2000-01-01"), F.lit(None).cast("string"))).alias("interval")).alias("temporal"))
+    part = F.struct(F.concat(F.lit("files/"), "id", F.lit(".csv")).alias("url"), F.lit("text/csv").alias("mimetype"), F.lit("CSV").alias("format"))
+    rows = {
+        "ckan": F.struct("id", title, F.lit("n").alias("notes"), F.lit("Open").alias("license_title"), F.array(F.struct(F.col("c_mktsegment").alias("name"))).alias("tags"), F.array(part, F.struct(F.lit(None).cast("string").alias("url"), F.lit("x").alias("mimetype"), F.lit("y").alias("format"))).alias("resources")),
+        "stac": F.struct("id", title, F.lit("proprietary").alias("license"), extent.alias("extent"), F.array(F.col("c_mktsegment")).alias("keywords"), F.create_map(F.lit("data"), F.struct(F.concat(F.lit("/a/"), "id").alias("href"), F.lit("t").alias("type"))).alias("assets"), F.array(F.struct(F.lit("self").alias("rel"), F.concat(F.lit("../c/"), "id").alias("href"))).alias("links")),
+        "jsonld": F.struct(F.col("id").alias("@id"), F.when(k % 2 == 0, "schema:Dataset").otherwise("Person").alias("@type"), "name", F.array(F.struct(F.concat(F.lit("/"), "id").alias("contentUrl"), F.lit("e").alias("encodingFormat"))).alias("distribution")),
+        "ogc": F.struct("id", title, extent.alias("extent")),
+    }
+    packed = F.coalesce(*[F.when(protocol == p, F.to_json(r)) for p, r in rows.items()])
+    path = F.concat(F.lit('"/d/'), "id", F.lit('":{'), F.when(k % 3 > 0, '"get":{"summary":"s","tags":["g"]}').otherwise('"post":{}'), F.lit("}"))
+    flow = F.concat(F.lit("<s:Dataflow id='"), "id", F.lit("' agencyID='A'><c:Name xml:lang='en'>"), F.replace(F.col("c_name"), F.lit("#"), F.lit("-")), F.lit("</c:Name></s:Dataflow>"))
+    each = F.when(protocol == "openapi", path).when(protocol == "sdmx", flow).otherwise(packed)
+    g = c.select("page", protocol.alias("protocol"), each.alias("e")).groupBy("page", "protocol").agg(F.collect_list("e").alias("e"))
+    said = F.array_join("e", ",")
+    body = (
+        F.when(F.col("protocol") == "ckan", F.concat(F.lit('{"success":true,"result":{"count":7,"results":['), said, F.lit("]}}"))).when(F.col("protocol").isin("stac", "ogc"), F.concat(F.lit('{"links":[{"rel":"child","href":"next"}],"collections":['), said, F.lit("]}")))
+        .when(F.col("protocol") == "jsonld", F.concat(F.lit('{"@graph":['), said, F.lit("]}"))).when(F.col("protocol") == "openapi", F.concat(F.lit('{"openapi":"3","info":{"license":{"name":"L"}},"paths":{'), said, F.lit("}}")))
+        .otherwise(F.concat(F.lit("<m:Structure xmlns:m='a' xmlns:s='b' xmlns:c='d'><m:Structures><s:Dataflows>"), F.array_join("e", ""), F.lit("</s:Dataflows></m:Structures></m:Structure>")))
+    )
+    return g.select(F.concat(F.lit("https://x.org/k/"), "page").alias("url"), "protocol", body.alias("body"))
+
+
+@register("catalogue_entries", f"""WITH {ENTRIES}
+  SELECT 'https://x.org/k/' || page AS url, protocol, CASE protocol WHEN 'openapi' THEN 'GET /d/' || id ELSE id END AS external_id,
+    CASE WHEN protocol = 'openapi' THEN 's' WHEN protocol = 'sdmx' THEN replace(c_name, '#', '-') WHEN protocol = 'jsonld' OR c_custkey % 4 > 0 THEN c_name ELSE id END AS title,
+    CASE protocol WHEN 'ckan' THEN 'n' ELSE '' END AS description,
+    CASE protocol WHEN 'stac' THEN 'https://x.org/c/' || id WHEN 'openapi' THEN 'https://x.org/d/' || id WHEN 'sdmx' THEN 'https://x.org/k/' || page END AS landing,
+    CASE protocol WHEN 'ckan' THEN 'Open' WHEN 'stac' THEN 'proprietary' WHEN 'openapi' THEN 'L' END AS license,
+    CASE WHEN protocol IN ('stac', 'ogc') THEN '{{"bbox":[[' || c_custkey % 7 || ',' || c_custkey % 5 || ']]}}' END AS spatial,
+    CASE WHEN protocol = 'ckan' THEN '{{"metadata_created":null,"metadata_modified":null}}' WHEN protocol IN ('stac', 'ogc') THEN '{{"interval":[["2000-01-01",null]]}}' END AS temporal,
+    CASE WHEN protocol IN ('ckan', 'stac') THEN c_mktsegment WHEN protocol = 'openapi' THEN 'g' ELSE '' END AS keywords,
+    CASE protocol WHEN 'ckan' THEN 'https://x.org/k/files/' || id || '.csv|text/csv|CSV' WHEN 'stac' THEN 'https://x.org/a/' || id || '|t|' WHEN 'jsonld' THEN 'https://x.org/' || id || '|e|' ELSE '' END AS parts
+  FROM c WHERE (protocol <> 'jsonld' OR c_custkey % 2 = 0) AND (protocol <> 'openapi' OR c_custkey % 3 > 0)""")
 def catalogue_entries(spark, sf):
-    """Catalogue documents of three protocols, one a nation, to datasets."""
-    k = F.col("c_nationkey") % 3
-    c = table(spark, sf, "customer").withColumn("id", F.col("c_custkey").cast("string"))
-    kind = F.when(F.col("c_custkey") % 2 == 0, "dcat:Dataset").otherwise("dcat:Agent")
-    g = c.groupBy("c_nationkey").agg(F.collect_list(F.struct("id", F.col("c_name").alias("title"))).alias("plain"), F.collect_list(F.struct(F.col("id").alias("@id"), kind.alias("@type"), F.col("c_name").alias("title"))).alias("graph"))
-    body = F.when(k == 0, F.to_json(F.struct(F.struct(F.col("plain").alias("results")).alias("result")))).when(k == 1, F.to_json(F.struct(F.col("plain").alias("collections")))).otherwise(F.to_json(F.struct(F.col("graph").alias("@graph"))))
-    documents = g.select(F.concat(F.lit("u"), "c_nationkey").alias("url"), F.when(k == 0, "ckan").when(k == 1, "stac").otherwise("dcat").alias("protocol"), body.alias("body"))
-    found, _ = doc.catalog_entries(documents)
-    return found.select("url", "external_id", "title", "protocol")
+    """Catalogue documents of six protocols to datasets with extents, keywords and distributions."""
+    found, _ = doc.catalog_entries(catalogue_documents(spark, sf))
+    parts = F.array_join(F.transform("distributions", lambda p: F.concat(p["url"], F.lit("|"), F.coalesce(p["media_type"], F.lit("")), F.lit("|"), F.coalesce(p["format"], F.lit("")))), ",")
+    return found.select(*[c for c in found.columns if c not in ("keywords", "distributions")], F.array_join("keywords", ",").alias("keywords"), parts.alias("parts"))
+
+
+@register("catalogue_follow", f"WITH {ENTRIES} SELECT 'https://x.org/k/' || page AS url, 'https://x.org/k/next' AS follow, CAST(NULL AS BIGINT) AS total FROM c WHERE protocol = 'stac' GROUP BY page UNION ALL SELECT 'https://x.org/k/' || page, NULL, CASE protocol WHEN 'ckan' THEN 7 WHEN 'ogc' THEN count(*) END FROM c GROUP BY page, protocol")
+def catalogue_follow(spark, sf):
+    """The links of catalogue documents that lead on, and the totals that they state."""
+    d = catalogue_documents(spark, sf)
+    links = doc.catalog_links(d).withColumn("total", F.lit(None).cast("long"))
+    return links.unionByName(doc.catalog_totals(d).select("url", F.lit(None).cast("string").alias("follow"), "total"))
 
 
 @register("csv_observations", "SELECT make_date(year(o_orderdate), month(o_orderdate), 1) AS period_start, o_orderstatus AS status, CASE WHEN o_orderkey % 6 > 0 THEN round(o_totalprice, 2) END AS value, 'USD' AS unit FROM orders")

@@ -71,11 +71,28 @@ def filing_index(pages: DataFrame) -> DataFrame:
     return flat.select("cik", "accessionNumber", "filingDate", published.alias("published"), path.alias("path"))
 
 
-def indicators(pages: DataFrame) -> DataFrame:
-    """[header, rows] pages of an indicator: a null value stays a row with a null, period by year, month or day."""
-    rows = F.from_json(F.get_json_object("body", "$[1]"), "array<struct<indicator:struct<id:string>,country:struct<id:string>,date:string,value:double>>")
-    flat = pages.select(F.inline(rows))
-    return flat.select(F.concat_ws(":", F.lit("WB"), "indicator.id", "country.id").alias("series_id"), period_start(F.col("date")).alias("period_start"), period_end(F.col("date")).alias("period_end"), "value")
+def _at(v: Column, path: str, kind: str = "string") -> Column:
+    """A field of a variant, null where it is not there, is null or is of another kind."""
+    return F.try_variant_get(v, path, kind)
+
+
+def indicators(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """([header, rows] pages of an indicator as rows, faulty rows as (row, fault)).
+
+    A null value stays a row with a null; a row without the field, with a value that is no number, or without indicator, country or date is faulty, and
+    so is a page without rows. period by year, month or day."""
+    rows = _at(F.try_parse_json("body"), "$[1]", "array<variant>")
+    flat = pages.select(F.explode(F.coalesce(rows, F.array(F.lit(None).cast("variant")))).alias("r"))
+    value = _at(F.col("r"), "$.value", "variant")
+    names = [_at(F.col("r"), f"$.{c}") for c in ("indicator.id", "country.id", "date")]
+    known = names[0].isNotNull() & names[1].isNotNull() & names[2].isNotNull()
+    bad = F.is_variant_null(value) | _at(value, "$", "double").isNotNull()
+    fault = F.when(F.col("r").isNull(), "no_rows").when(~known, "no_identity").when(value.isNull(), "no_value_field").when(~bad, "not_a_number")
+    checked = flat.withColumn("fault", fault)
+    good = checked.where("fault is null").select(
+        F.concat_ws(":", F.lit("WB"), *names[:2]).alias("series_id"), period_start(names[2]).alias("period_start"), period_end(names[2]).alias("period_end"), _at(F.col("r"), "$.value", "double").alias("value")
+    )
+    return good, checked.where("fault is not null").select(F.to_json("r").alias("row"), "fault")
 
 
 def page_gaps(pages: DataFrame) -> DataFrame:
@@ -96,12 +113,44 @@ def statistics_rows(raw: DataFrame) -> DataFrame:
     return known.select(series.alias("series_id"), period_start(first).alias("period_start"), period_end(first).alias("period_end"), clean_number(F.col("value")).alias("value"))
 
 
-def header_table(pages: DataFrame, columns: list[str]) -> DataFrame:
-    """An array of arrays whose first is the header: the named columns of each data row as text; rows of another width have nulls."""
+def header_table(pages: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(data rows of an array of arrays whose first is the header, faulty rows as (row, fault)): the named columns as text.
+
+    A row of another width than its header is faulty, and so is a page without one of the columns."""
     rows = F.from_json("body", "array<array<string>>")
     flat = pages.select(rows.alias("r")).select(F.col("r")[0].alias("head"), F.explode(F.slice("r", 2, F.greatest(F.lit(0), F.size("r") - 1))).alias("row"))
-    whole = F.size("row") == F.size("head")
-    return flat.select(*[F.when(whole, F.try_element_at("row", F.array_position("head", F.lit(c)).cast("int"))).alias(c) for c in columns])
+    there = F.size(F.array_intersect("head", F.array(*map(F.lit, columns)))) == len(set(columns))
+    fault = F.when(~F.coalesce(there, F.lit(False)), "column_missing").when(F.coalesce(F.size("row"), F.lit(-1)) != F.size("head"), "width")
+    checked = flat.withColumn("fault", fault)
+    good = checked.where("fault is null").select(*[F.try_element_at("row", F.array_position("head", F.lit(c)).cast("int")).alias(c) for c in columns])
+    return good, checked.where("fault is not null").select("row", "fault")
+
+
+#: What stands for a withheld trade value.
+SUPPRESSED = ("", "null", "N", "S", "-", "(S)")
+
+
+def trade_values(pages: DataFrame, direction: str, code: str, title: str, measure: str) -> tuple[DataFrame, DataFrame]:
+    """Trade tables (body, month) to observations in USD by commodity and partner, and faulty rows as (row, fault).
+
+    code, title, measure: names of the columns of the commodity's code and title and of the value; partners are CTY_CODE and CTY_NAME. Suppressed values are null; a
+    value that is no number, and a row without code or partner, is faulty."""
+    month = F.to_date(F.concat("month", F.lit("-01")))
+    # tables of one month share their header check; the month goes along as a first column
+    rows = F.from_json("body", "array<array<string>>")
+    dated = F.transform(rows, lambda r, i: F.concat(F.array(F.when(i == 0, "__month").otherwise(F.date_format(month, "yyyy-MM-dd"))), r))
+    good, bad = header_table(pages.select(F.to_json(dated).alias("body")), ["__month", code, title, "CTY_CODE", "CTY_NAME", measure])
+    raw = F.coalesce(F.col(measure), F.lit(""))
+    value = F.when(~raw.isin(*SUPPRESSED), raw.try_cast("double"))
+    fault = F.when(F.col(code).isNull() | F.col("CTY_CODE").isNull(), "no_identity").when(~raw.isin(*SUPPRESSED) & (value.isNull() | F.isnan(value)), "not_a_number")
+    checked = good.withColumn("fault", fault)
+    told = checked.where("fault is null").select(
+        F.concat_ws(":", F.lit("CENSUS"), F.lit(direction), "CTY_CODE", code, F.lit(measure)).alias("series_id"), F.coalesce(title, code).alias("title"), F.col("CTY_NAME").alias("country"),
+        F.col("__month").cast("date").alias("period_start"), F.last_day(F.col("__month").cast("date")).alias("period_end"), value.alias("value"), F.lit("USD").alias("unit"),
+        F.create_map(F.lit("direction"), F.lit(direction), F.lit("hs_code"), F.col(code), F.lit("reporter"), F.lit("USA"), F.lit("partner"), F.col("CTY_CODE"), F.lit("measure"), F.lit(measure)).alias("dimensions"),
+    )
+    row = F.array("__month", code, title, "CTY_CODE", "CTY_NAME", measure)
+    return told, bad.unionByName(checked.where("fault is not null").select(row.alias("row"), "fault"))
 
 
 def facets(pages: DataFrame, route: str, fields: list[str], keys: list[str]) -> DataFrame:
@@ -184,50 +233,154 @@ def links(pages: DataFrame, key: str) -> DataFrame:
     return found.select(key, resolved.alias("link"), (own == F.col("root")).alias("same_host")).distinct()
 
 
-#: For each catalogue protocol: where its list of entries is, and where an entry has id, title, description, landing and licence.
-PROTOCOLS = {
-    "ckan": ("$.result.results", ("$.id", "$.title", "$.notes", "$.url", "$.license_id")),
-    "stac": ("$.collections", ("$.id", "$.title", "$.description", "$.links[0].href", "$.license")),
-    "ogc": ("$.collections", ("$.id", "$.title", "$.description", "$.links[0].href", "$.license")),
-    "dcat": ("$['@graph']", ("$['@id']", "$.title", "$.description", "$.landingPage", "$.license")),
-    "sdmx": ("$.data.dataflows", ("$.id", "$.name", "$.description", "$.links[0].href", "$.license")),
-}
+def joined(base: Column, href: Column) -> Column:
+    """An address against the page it stands on; what has a scheme stays, "." and ".." segments are resolved."""
+    root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)
+    folder = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+(/(?:[^?#]*/)?)", 1)
+    own = (
+        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([^:]+:)", 1), href)).when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("?") | href.startswith("#"), F.concat(F.regexp_extract(base, "^([^?#]*)", 1), href)).otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), href))
+    )
+    host, path = F.regexp_extract(own, r"^([^/?#]+://[^/?#]+)", 1), F.regexp_extract(own, r"^[^/?#]+://[^/?#]+(/[^?#]*)", 1)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(host, plain_path(path), F.regexp_extract(own, r"([?#].*)$", 1))).otherwise(own)
+
+
+def _text(v: Column, path: str) -> Column:
+    """A string field, or the strings of an array joined; else empty."""
+    return F.coalesce(_string(v, path), F.array_join(F.array_compact(F.transform(_at(v, path, "array<variant>"), lambda x: _string(x, "$"))), ", "), F.lit(""))
+
+
+def _string(v: Column, path: str) -> Column:
+    """A field that is a string in the document; numbers and objects do not count."""
+    return F.when(F.schema_of_variant(_at(v, path, "variant")) == "STRING", _at(v, path))
+
+
+def _json(v: Column, path: str) -> Column:
+    """A part of the document as JSON; null where it is not there or null."""
+    part = _at(v, path, "variant")
+    return F.when(part.isNotNull() & ~F.is_variant_null(part), F.to_json(part))
+
+
+def _first(items: Column, keep) -> Column:
+    return F.try_element_at(F.filter(items, keep), F.lit(1))
+
+
+_PART = "array<struct<url:string,media_type:string,format:string>>"
+_DATASET = ("url", "protocol", "external_id", "title", "description", "landing", "license", "spatial", "temporal", "keywords", "distributions")
+
+
+def _parts(base: Column, items: Column, address, media: str, form: str | None) -> Column:
+    """Distributions of those items that have an address."""
+    struct = lambda x: F.struct(joined(base, address(x)).alias("url"), _string(x, media).alias("media_type"), (_string(x, form) if form else F.lit(None).cast("string")).alias("format"))
+    return F.coalesce(F.transform(F.filter(items, lambda x: address(x).isNotNull()), struct), F.array().cast(_PART)).cast(_PART)
+
+
+def _flow(where: str) -> Column:
+    return F.coalesce(F.col(f"x.{where}Dataflows.Dataflow"), F.array().cast(_FLOW))
+
+
+_FLOW = "array<struct<_id:string,_agencyID:string,_version:string,Name:array<string>>>"
+_STRUCTURE = f"struct<Dataflows:struct<Dataflow:{_FLOW}>,Structures:struct<Dataflows:struct<Dataflow:{_FLOW}>>>"
 
 
 def catalog_entries(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Datasets of catalogue documents (url, protocol, body), and the documents that hold no list of entries.
-
-    OpenAPI documents give a dataset for each path that has a GET; SDMX in XML a dataset for each dataflow id."""
-    lists = F.lit(None).cast("string")
-    for name, (where, _) in PROTOCOLS.items():
-        lists = F.when(F.col("protocol") == name, F.get_json_object("body", where)).otherwise(lists)
-    entries = F.from_json(lists, "array<string>")
-    paths = F.map_filter(F.from_json(F.get_json_object("body", "$.paths"), "map<string,string>"), lambda _, v: F.get_json_object(v, "$.get").isNotNull())
-    flows = F.when((F.col("protocol") == "sdmx") & F.col("body").startswith("<"), F.regexp_extract_all("body", F.lit(r'<(?:\w+:)?Dataflow\b[^>]*\bid="([^"]*)"'), 1))
-    rows = documents.withColumn("entries", entries).withColumn("paths", F.when(F.col("protocol") == "openapi", paths)).withColumn("flows", flows)
-    flat = rows.select("url", "protocol", F.explode("entries").alias("e"))
-    if_dataset = (F.col("protocol") != "dcat") | F.contains(F.coalesce(F.get_json_object("e", "$['@type']"), F.lit("")), F.lit("Dataset"))
-    names = ("external_id", "title", "description", "landing", "license")
-    columns = []
-    for k, name in enumerate(names):
-        at = F.lit(None).cast("string")
-        for p, (_, fields) in PROTOCOLS.items():
-            at = F.when(F.col("protocol") == p, F.get_json_object("e", fields[k])).otherwise(at)
-        columns.append(at.alias(name))
-    found = flat.where(if_dataset).select("url", "protocol", *columns, F.col("e").alias("payload"))
-    api = rows.select("url", "protocol", F.explode("paths").alias("external_id", "payload")).select("url", "protocol", "external_id", F.get_json_object("payload", "$.get.summary").alias("title"), F.get_json_object("payload", "$.get.description").alias("description"), F.lit(None).cast("string").alias("landing"), F.lit(None).cast("string").alias("license"), "payload")
-    xml = rows.select("url", "protocol", F.explode("flows").alias("external_id")).select("url", "protocol", "external_id", *[F.lit(None).cast("string").alias(n) for n in (*names[1:], "payload")])
-    bad = rows.where(F.col("entries").isNull() & F.col("paths").isNull() & F.col("flows").isNull()).select(*documents.columns)
-    return found.unionByName(api).unionByName(xml), bad
+    """(datasets of catalogue documents (url, protocol, body), documents without a list of entries, or with an entry without id).
+
+    Protocols: ckan, stac, ogc, dcat and jsonld (entries whose type ends in Dataset), openapi (each path with a GET), sdmx (JSON or XML in any namespaces). A dataset
+    has external_id, title (else the id), description, landing, license, spatial and temporal extent as JSON, keywords and distributions (url,
+    media_type, format). Addresses are absolute. Documents are parsed once, to a variant, so a missing field and a null can be told apart."""
+    d = documents.withColumn("v", F.try_parse_json("body")).withColumn("x", F.when((F.col("protocol") == "sdmx") & F.ltrim("body").startswith("<"), F.from_xml("body", _STRUCTURE, {"ignoreNamespace": "true"})))
+    v, url, kind = F.col("v"), F.col("url"), F.col("protocol")
+    every = lambda path: _at(v, path, "array<variant>")
+    whole = F.array(v)
+    own = F.when(_at(v, "$.type") == "Collection", whole).otherwise(F.array().cast("array<variant>"))
+    stac = F.when(v.isNotNull(), F.concat(own, F.coalesce(every("$.collections"), F.array().cast("array<variant>"))))
+    graph = F.when(v.isNotNull(), F.coalesce(every("$['@graph']"), whole))
+    paths = F.when(_at(v, "$.openapi", "variant").isNotNull() | _at(v, "$.swagger", "variant").isNotNull(), _at(v, "$.paths", "map<string,variant>"))
+    entries = (
+        F.when((kind == "ckan") & (_at(v, "$.success", "boolean")), every("$.result.results")).when(kind == "stac", stac).when(kind == "ogc", every("$.collections"))
+        .when(kind.isin("dcat", "jsonld"), graph).when(kind == "sdmx", F.coalesce(every("$.data.dataflows"), every("$.dataflows")))
+    )
+    flows = F.when(F.col("x").isNotNull(), F.filter(F.concat(_flow(""), _flow("Structures.")), lambda f: f["_id"].isNotNull()))
+    d = d.withColumn("entries", entries).withColumn("paths", F.when(kind == "openapi", paths)).withColumn("flows", F.when(F.size(flows) > 0, flows))
+    e = F.col("e")
+    typed = F.coalesce(_at(e, "$['@type']", "array<string>"), F.array(_at(e, "$['@type']")))
+    dataset = ~kind.isin("dcat", "jsonld") | F.exists(typed, lambda s: F.coalesce(s.endswith("Dataset"), F.lit(False)))
+    linked = kind.isin("dcat", "jsonld")
+    name = F.when(linked, F.coalesce(_string(e, "$['@id']"), _string(e, "$.identifier"), _string(e, "$.name"), F.lit("dataset"))).otherwise(_string(e, "$.id"))
+    flat = d.select("url", "protocol", "body", F.explode("entries").alias("e")).where(dataset).withColumn("external_id", name)
+    title = F.when(linked | (kind == "sdmx"), _string(e, "$.name")).otherwise(_string(e, "$.title"))
+    links = _at(e, "$.links", "array<variant>")
+    self_link = _string(_first(links, lambda x: _at(x, "$.rel") == "self"), "$.href")
+    landing = F.when(kind.isin("ckan", "dcat", "jsonld"), joined(url, _string(e, "$.url"))).when(kind.isin("stac", "ogc"), joined(url, self_link))
+    license = F.when(kind == "ckan", _string(e, "$.license_title")).when(kind.isin("stac", "dcat", "jsonld"), _string(e, "$.license"))
+    spatial = F.when(kind == "ckan", _json(e, "$.spatial")).when(kind.isin("stac", "ogc"), _json(e, "$.extent.spatial")).when(linked, _json(e, "$.spatialCoverage"))
+    dates = F.to_json(F.struct(_at(e, "$.metadata_created").alias("metadata_created"), _at(e, "$.metadata_modified").alias("metadata_modified")), {"ignoreNullFields": "false"})
+    temporal = F.when(kind == "ckan", dates).when(kind.isin("stac", "ogc"), _json(e, "$.extent.temporal")).when(linked, _json(e, "$.temporalCoverage"))
+    tags = F.transform(_at(e, "$.tags", "array<variant>"), lambda x: F.coalesce(_string(x, "$.display_name"), _string(x, "$.name")))
+    keywords = F.array_compact(F.coalesce(F.when(kind == "ckan", tags).when(kind == "stac", _at(e, "$.keywords", "array<string>")), F.array().cast("array<string>")))
+    assets = F.map_values(_at(e, "$.assets", "map<string,variant>"))
+    offered = (
+        F.when(kind == "ckan", _parts(url, _at(e, "$.resources", "array<variant>"), lambda x: _string(x, "$.url"), "$.mimetype", "$.format"))
+        .when(kind == "stac", _parts(url, assets, lambda x: _string(x, "$.href"), "$.type", None))
+        .when(linked, _parts(url, _at(e, "$.distribution", "array<variant>"), lambda x: F.coalesce(_string(x, "$.contentUrl"), _string(x, "$.accessURL")), "$.encodingFormat", "$.format"))
+        .otherwise(F.array().cast(_PART))
+    )
+    described = F.when(kind == "ckan", _text(e, "$.notes")).otherwise(_text(e, "$.description"))
+    told = flat.where("external_id is not null").select("url", "protocol", "external_id", F.coalesce(title, "external_id").alias("title"), described.alias("description"), landing.alias("landing"), license.alias("license"), spatial.alias("spatial"), temporal.alias("temporal"), keywords.alias("keywords"), offered.alias("distributions"))
+    none, nothing = F.lit(None).cast("string"), F.array().cast(_PART)
+    g = F.col("g")
+    api = d.select("url", "protocol", "v", F.explode("paths").alias("path", "methods")).withColumn("g", _at(F.col("methods"), "$.get", "variant")).where("g is not null").select(
+        "url", "protocol", F.concat(F.lit("GET "), "path").alias("external_id"), F.coalesce(_string(g, "$.summary"), _string(g, "$.operationId"), "path").alias("title"), _text(g, "$.description").alias("description"), joined(url, F.col("path")).alias("landing"),
+        _string(v, "$.info.license.name").alias("license"), none.alias("spatial"), none.alias("temporal"), F.array_compact(F.coalesce(_at(g, "$.tags", "array<string>"), F.array().cast("array<string>"))).alias("keywords"), nothing.alias("distributions"),
+    )
+    xml = d.select("url", "protocol", F.inline("flows")).select(
+        "url", "protocol", F.col("_id").alias("external_id"), F.coalesce(F.try_element_at("Name", F.lit(1)), "_id").alias("title"), F.lit("").alias("description"), url.alias("landing"),
+        none.alias("license"), none.alias("spatial"), none.alias("temporal"), F.array().cast("array<string>").alias("keywords"), nothing.alias("distributions"),
+    )
+    # an entry without id spoils its document, but in SDMX, where it is passed over
+    nameless = flat.where((kind != "sdmx") & F.col("external_id").isNull()).select("url", "protocol", "body").distinct()
+    empty = d.where(F.col("entries").isNull() & F.col("paths").isNull() & F.col("flows").isNull()).select(*documents.columns)
+    spoilt = documents.join(nameless, ["url", "protocol", "body"], "left_semi").select(*documents.columns)
+    clean = told.join(nameless.select("url", "protocol"), ["url", "protocol"], "left_anti")
+    return clean.select(*_DATASET).unionByName(api).unionByName(xml), empty.unionByName(spoilt)
+
+
+def catalog_links(documents: DataFrame) -> DataFrame:
+    """(url, follow) of the child, collection and data links of STAC documents, absolute and each once."""
+    v = F.try_parse_json("body")
+    links = documents.where(F.col("protocol") == "stac").select("url", F.explode(_at(v, "$.links", "array<variant>")).alias("l"))
+    wanted = links.where(_at(F.col("l"), "$.rel").isin("child", "collection", "data") & _string(F.col("l"), "$.href").isNotNull())
+    return wanted.select("url", joined(F.col("url"), _string(F.col("l"), "$.href")).alias("follow")).distinct()
+
+
+def catalog_totals(documents: DataFrame) -> DataFrame:
+    """(url, total) that a document states or, for whole listings, holds."""
+    v, kind = F.try_parse_json("body"), F.col("protocol")
+    count = F.when(kind == "ckan", _at(v, "$.result.count", "long")).when(kind == "ogc", F.size(_at(v, "$.collections", "array<variant>")).cast("long"))
+    flows = F.coalesce(_at(v, "$.data.dataflows", "array<variant>"), _at(v, "$.dataflows", "array<variant>"))
+    return documents.select("url", F.coalesce(count, F.when(kind == "sdmx", F.nullif(F.size(flows), F.lit(-1)).cast("long"))).alias("total"))
+
+
+#: Headers that name a period, a value and a unit, in any case.
+RECOGNISED = {"period": ("ref_date", "date", "period", "time"), "value": ("value",), "unit": ("uom", "unit")}
+
+
+def recognised(columns: list[str]) -> dict[str, str | None]:
+    """The first column of each kind that RECOGNISED names; null where there is none."""
+    return {kind: next((c for c in columns if c.lower() in names), None) for kind, names in RECOGNISED.items()}
 
 
 def profile(cells: DataFrame) -> DataFrame:
-    """For each column of text: rows, missing cells, numeric cells, and whether all that is there is numeric; one pass."""
-    parts = []
+    """For each column of text: rows, missing cells, numeric cells, whether all that is there is numeric, and what the header is recognised as; one pass.
+
+    Numbers are finite and stand without spaces around them."""
+    kinds, parts = {c: k for k, c in recognised(cells.columns).items() if c}, []
     for c in cells.columns:
         empty = F.col(c).isNull() | (F.trim(c) == "")
-        number = F.trim(c).try_cast("double").isNotNull()
-        parts.append(F.struct(F.lit(c).alias("name"), F.count_if(empty).alias("missing"), F.count_if(number).alias("numeric"), F.count("*").alias("rows")))
+        number = F.when(F.col(c).rlike(r"^\S+$"), F.col(c).try_cast("double"))
+        finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
+        parts.append(F.struct(F.lit(c).alias("name"), F.lit(kinds.get(c)).cast("string").alias("recognised"), F.count_if(empty).alias("missing"), F.count_if(finite).alias("numeric"), F.count("*").alias("rows")))
     flat = cells.agg(F.array(*parts).alias("p")).select(F.inline("p"))
     return flat.withColumn("all_numeric", F.col("numeric") == F.col("rows") - F.col("missing"))
 

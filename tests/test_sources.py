@@ -38,13 +38,22 @@ def test_company_facts(spark):
 
 def test_tables_of_statistics(spark):
     page = [{"page": 1, "pages": 1, "total": 2}, [{"indicator": {"id": "GDP"}, "country": {"id": "US"}, "date": "2024", "value": 1.5}, {"indicator": {"id": "GDP"}, "country": {"id": "US"}, "date": "2023", "value": None}]]
-    assert [(r.series_id, str(r.period_end), r.value) for r in dc.indicators(bodies(spark, page)).collect()] == [("WB:GDP:US", "2024-12-31", 1.5), ("WB:GDP:US", "2023-12-31", None)]
+    assert [(r.series_id, str(r.period_end), r.value) for r in dc.indicators(bodies(spark, page))[0].collect()] == [("WB:GDP:US", "2024-12-31", 1.5), ("WB:GDP:US", "2023-12-31", None)]
+    odd = [page[0], [{"indicator": {"id": "GDP"}, "country": {"id": "US"}, "date": "2024"}, {"indicator": {"id": "GDP"}, "country": {"id": "US"}, "date": "2024", "value": "broken"}, {"value": 1}]]
+    assert sorted(r.fault for r in dc.indicators(bodies(spark, odd))[1].collect()) == ["no_identity", "no_value_field", "not_a_number"]
+    assert [r.fault for r in dc.indicators(bodies(spark, {"message": "x"}))[1].collect()] == ["no_rows"] and dc.indicators(bodies(spark, odd))[0].count() == 0
     short = [{"page": 1, "pages": 2, "total": 2}, page[1]]
     assert dc.page_gaps(bodies(spark, page, source="a")).count() == 0 and dc.page_gaps(bodies(spark, short, source="a")).count() == 1
     raw = spark.createDataFrame([("S1 ", "2024", "M02", " 1,000.5 "), ("S1", "2024", "M13", "-"), ("S1", "2024", "S01", "1")], "series_id string, year string, period string, value string")
     assert [(r.series_id, str(r.period_start), str(r.period_end), r.value) for r in dc.statistics_rows(raw).collect()] == [("S1", "2024-02-01", "2024-02-29", 1000.5), ("S1:annual", "2024-01-01", "2024-12-31", None)]
-    t = dc.header_table(bodies(spark, [["time", "VAL"], ["2024-01", "5"], ["short"]]), ["VAL", "time"]).collect()
-    assert [tuple(r) for r in t] == [("5", "2024-01"), (None, None)]
+    t, bad = dc.header_table(bodies(spark, [["time", "VAL"], ["2024-01", "5"], ["short"]]), ["VAL", "time"])
+    assert [tuple(r) for r in t.collect()] == [("5", "2024-01")] and [(r.row, r.fault) for r in bad.collect()] == [(["short"], "width")]
+    t, bad = dc.header_table(bodies(spark, [["time"], ["2024-01"]]), ["VAL", "time"])
+    assert t.count() == 0 and [r.fault for r in bad.collect()] == ["column_missing"]
+    trade = [["CTY_CODE", "CTY_NAME", "I_COMMODITY", "LDESC", "GEN_VAL_MO"], ["1", "A", "99", None, "5.5"], ["2", "B", "99", "all", "(S)"], [None, "B", "99", "all", "1"], ["3", "C", "99", "all", "x"], ["3"]]
+    t, bad = dc.trade_values(bodies(spark, trade, month="2024-02"), "imports", "I_COMMODITY", "LDESC", "GEN_VAL_MO")
+    assert sorted((r.series_id, r.title, str(r.period_end), r.value, r.dimensions["partner"]) for r in t.collect()) == [("CENSUS:imports:1:99:GEN_VAL_MO", "99", "2024-02-29", 5.5, "1"), ("CENSUS:imports:2:99:GEN_VAL_MO", "all", "2024-02-29", None, "2")]
+    assert sorted(r.fault for r in bad.collect()) == ["no_identity", "not_a_number", "width"]
     wide = {"response": {"data": [{"period": "2024-05", "state": "TX", "price": "9.5", "price-units": "usd", "sales": "-"}]}}
     got = dc.facets(bodies(spark, wide), "elec", ["price", "sales"], ["state"]).collect()
     assert [(r.series_id.split(":")[:2], str(r.period_end), r.value, r.unit) for r in got] == [(["elec", "price"], "2024-05-31", 9.5, "usd"), (["elec", "sales"], "2024-05-31", None, None)]
@@ -67,15 +76,31 @@ def test_pages(spark):
 
 
 def test_catalog_entries(spark):
+    link = [{"rel": "child", "href": "provider"}, {"rel": "self", "href": "https://earth.example/stac/"}]
+    xml = "<?xml version='1.0'?><mes:S xmlns:mes='urn:m' xmlns:str='urn:s' xmlns:com='urn:c'><str:Dataflows><str:Dataflow id='DF' agencyID='T'><com:Name>Global GDP</com:Name></str:Dataflow></str:Dataflows></mes:S>"
     docs = [
-        ("u1", "ckan", {"result": {"results": [{"id": "a", "title": "A", "notes": "n"}]}}), ("u2", "stac", {"collections": [{"id": "b", "title": "B", "links": [{"href": "h"}]}]}),
-        ("u3", "openapi", {"paths": {"/p": {"get": {"summary": "S"}}, "/q": {"post": {}}}}), ("u4", "dcat", {"@graph": [{"@id": "d", "@type": "dcat:Dataset", "title": "D"}, {"@id": "o", "@type": "Org"}]}),
-        ("u5", "sdmx", '<s:Structure><s:Dataflow id="F1" x="1"/></s:Structure>'), ("u6", "ckan", {"error": 1}), ("u7", "ogc", "oops"),
+        ("https://c.example/api/3/search", "ckan", {"success": True, "result": {"count": 42, "results": [{"id": "d1", "title": "Copper", "notes": "flows", "license_title": "Open", "metadata_created": "2020-01-01", "tags": [{"name": "copper"}, {"display_name": "Cu", "name": "x"}], "resources": [{"url": "/copper.csv", "mimetype": "text/csv", "format": "CSV"}, {"url": None}]}]}}),
+        ("https://earth.example/stac/", "stac", {"type": "Catalog", "links": link, "collections": [{"id": "temp", "title": 5, "description": ["a", "b"], "license": "proprietary", "keywords": ["k"], "extent": {"spatial": {"bbox": [[-180, -90, 180, 90]]}, "temporal": {"interval": [["2000-01-01", None]]}}, "links": [], "assets": {"d": {"href": "x.nc", "type": "nc"}}}]}),
+        ("https://api.example/v1/openapi.json", "openapi", {"openapi": "3.1.0", "paths": {"/series": {"get": {"operationId": "series", "tags": ["data"]}}, "/orders": {"post": {"operationId": "o"}}}}),
+        ("https://data.example/c.jsonld", "jsonld", {"@graph": [{"@type": ["x", "Dataset"], "name": "Wheat", "distribution": [{"accessURL": "/wheat.csv", "encodingFormat": "text/csv"}]}, {"@type": "Org", "@id": "o"}]}),
+        ("https://one.example/", "dcat", {"@type": "dcat:Dataset", "@id": "urn:x", "name": "N", "url": "page"}),
+        ("https://s.example/f", "sdmx", xml), ("https://s.example/j", "sdmx", {"dataflows": [{"id": "J", "name": "n"}, {"name": "nameless"}]}),
+        ("u6", "ckan", {}), ("u7", "ogc", "oops"), ("u8", "ogc", {}), ("u9", "openapi", {}), ("u10", "sdmx", "<root/>"), ("u11", "ckan", {"success": False, "result": {"results": []}}), ("u12", "ogc", {"collections": [{"id": "fine"}, {"title": "no id"}]}),
+        ("u13", "ckan", {"success": True, "result": {"results": []}}),
     ]
     df = spark.createDataFrame([(u, p, b if isinstance(b, str) else json.dumps(b)) for u, p, b in docs], "url string, protocol string, body string")
     found, bad = dc.catalog_entries(df)
-    assert sorted((r.url, r.external_id, r.title) for r in found.collect()) == [("u1", "a", "A"), ("u2", "b", "B"), ("u3", "/p", "S"), ("u4", "d", "D"), ("u5", "F1", None)]
-    assert sorted(r.url for r in bad.collect()) == ["u6", "u7"]
+    got = {r.external_id: r for r in found.collect()}
+    assert {k: r.title for k, r in got.items()} == {"d1": "Copper", "temp": "temp", "GET /series": "series", "Wheat": "Wheat", "urn:x": "N", "DF": "Global GDP", "J": "n"}
+    assert (got["d1"].keywords, [tuple(p) for p in got["d1"].distributions], got["d1"].license) == (["copper", "Cu"], [("https://c.example/copper.csv", "text/csv", "CSV")], "Open")
+    assert json.loads(got["d1"].temporal) == {"metadata_created": "2020-01-01", "metadata_modified": None} and got["d1"].spatial is None
+    assert json.loads(got["temp"].spatial)["bbox"][0][0] == -180 and json.loads(got["temp"].temporal)["interval"][0][1] is None
+    assert (got["temp"].description, got["temp"].landing, got["temp"].distributions[0].url) == ("a, b", None, "https://earth.example/stac/x.nc")
+    assert (got["GET /series"].landing, got["GET /series"].keywords) == ("https://api.example/series", ["data"])
+    assert got["Wheat"].distributions[0].url == "https://data.example/wheat.csv" and got["urn:x"].landing == "https://one.example/page" and got["DF"].landing == "https://s.example/f"
+    assert sorted(r.url for r in bad.collect()) == ["u10", "u11", "u12", "u6", "u7", "u8", "u9"]
+    assert [tuple(r) for r in dc.catalog_links(df).collect()] == [("https://earth.example/stac/", "https://earth.example/stac/provider")]
+    assert {r.url[-1]: r.total for r in dc.catalog_totals(df).collect() if r.total is not None} == {"h": 42, "j": 2, "2": 2}
 
 
 def test_csv(spark):
@@ -84,7 +109,9 @@ def test_csv(spark):
     assert [(r.dimensions, str(r.period_end), r.value) for r in got] == [({"GEO": "CA"}, "2024-01-31", 1.5), ({}, "2024-02-29", None)] and got[0].series_id != got[1].series_id
     with pytest.raises(Exception, match="not a number"):
         dc.csv_observations(cells.withColumn("VALUE", F.lit("x")), "d", "REF", "VALUE", "UOM").collect()
-    assert {r.name: (r.missing, r.numeric, r.all_numeric) for r in dc.profile(cells).collect()} == {"REF": (0, 0, False), "GEO": (1, 0, False), "UOM": (0, 0, False), "VALUE": (1, 1, True)}
+    assert {r.name: (r.missing, r.numeric, r.all_numeric, r.recognised) for r in dc.profile(cells).collect()} == {"REF": (0, 0, False, None), "GEO": (1, 0, False, None), "UOM": (0, 0, False, "unit"), "VALUE": (1, 1, True, "value")}
+    odd = spark.createDataFrame([("NaN", "1e3"), ("Infinity", " 2"), ("5", "-7")], "Date string, other string")
+    assert {r.name: (r.numeric, r.all_numeric, r.recognised) for r in dc.profile(odd).collect()} == {"Date": (1, False, "period"), "other": (2, False, None)}
 
 
 def test_lake(spark, tmp_path):
