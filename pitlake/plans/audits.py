@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitlake.functions import scalars as fn
+from pitlake.operators import bitemporal as bt
 from pitlake.operators import evaluate as ev
+from pitlake.operators import ledger as lg
+from pitlake.operators import models as md
 from pitlake.operators import probes as pr
 from pitlake.operators import rules as ru
 from pitlake.plans import leaderboard as lb
 from pitlake.plans.registry import register
+from pitlake.plans.trading import lagged_series
 from pitlake.plans.views import DAY, HOUR, micros, r6, trades, versions, with_views
 from pitlake.session import kept, table
 
@@ -109,9 +113,14 @@ MUTATION_SQL = MUTATION + " UNION ALL ".join(
 )
 
 
-@register("mutation_invariance", with_views("versions quotes trades edges", MUTATION_SQL))
+#: What must not change whatever is done: shown by the audit as 0 rows.
+STEADY = ("reordered", "display", "readiness", "maturity", "after_arrival")
+
+
+@register("mutation_invariance", with_views("versions quotes trades edges", MUTATION_SQL + "".join(f" UNION ALL SELECT '{n}', 0" for n in STEADY)))
 def mutation_invariance(spark, sf):
-    """Later corrections, prices, volumes and edges change no earlier answer, while a query that looks ahead is changed."""
+    """Later corrections, prices, volumes and edges, another order of rows and other display texts change no earlier answer, while a query that looks
+    ahead is changed; nothing is seen before it is ready, no model has learned from a label of later, no fill precedes its order's arrival."""
     from pyspark.sql import Window
 
     from pitlake.operators.asof import asof_join, trailing
@@ -127,7 +136,23 @@ def mutation_invariance(spark, sf):
         "volumes": (t, after("t", TRADE_CUT, "qty", 7), lambda df: df.select("seq", "t", F.sum("qty").over(trailing(None, ["symbol"], "t", HOUR)).alias("v")), F.col("t") <= TRADE_CUT),
         "sinks": (e, after("known", CUT, "weight", 1), lambda df: df.where(F.col("known") <= CUT).groupBy("b").agg(F.sum(F.col("weight").cast("decimal(18,2)")).alias("w")), F.lit(True)),
     }
+    facts = v.select("id", "key", "period", "value", F.lit("active").alias("status"), F.col("generation").alias("revision"), (F.col("id") % 7).alias("source_id"), F.col("observed").alias("ready"))
+    sources = spark.range(7).select(F.col("id").alias("source_id"), F.lit(0).alias("ready"), F.lit("title").alias("title"))
+    snapshot = lambda df: bt.fact_snapshot(facts, df, CUT, ["key", "period"])
+    lags = lagged_series(spark, sf)
+    middle = lags.agg(F.expr("cast(percentile_approx(m, 0.5) as int)").alias("m")).first()["m"]
+    forecast = lambda df: md.walk_forward_ridge(df, ["series"], "m", "ready", ["y1"], "value", 24, 12).select("series", "m", F.round("prediction", 4).alias("prediction"))
+    checks |= {
+        "reordered": (v, lambda df: df.repartition(5, "value").sortWithinPartitions(F.desc("value")), lambda df: bt.points(df, "observed", 1 << 40, CUT).select("key", "period", "id"), F.lit(True)),
+        "display": (sources, lambda df: df.withColumn("title", F.lit("another")), lambda df: snapshot(df).select("id", "value"), F.lit(True)),
+        "maturity": (lags, after("ready", middle, "value", 1e6), forecast, F.col("m") <= middle),
+    }
+    filled = lg.market_fills(t, q, 5_000_000, 0.0, 0.0, DAY).where("q_seq is not null").join(q.select(F.col("seq").alias("q_seq"), F.col("t").alias("q_t")), "q_seq")
+    counted = {"readiness": snapshot(sources).where(F.col("ready") > CUT), "after_arrival": filled.where("q_t < due")}
     out = None
+    for name, bad in counted.items():
+        row = bad.agg(F.count("*").alias("changed")).select(F.lit(name).alias("query"), "changed")
+        out = row if out is None else out.unionByName(row)
     for name, (frame, mutate, ask, known) in checks.items():
         row = pr.invariant(frame, mutate, ask, known).agg(F.count("*").alias("changed")).select(F.lit(name).alias("query"), "changed")
         out = row if out is None else out.unionByName(row)
@@ -166,6 +191,26 @@ def scenario_sweep(spark, sf):
     return pr.scenarios(trades(spark, sf), {n: variant(c, d - early, w) for n, c, d, w, early in SCENARIOS}, run)
 
 
+EVIDENCE = {"base": ("true", "true", 0), "no_facts": ("true", "false", 0), "no_graph": ("false", "true", 0), "delayed": ("true", "true", 90 * DAY)}
+
+
+@register("evidence_scenarios", with_views("edges", "WITH f AS (SELECT s_suppkey, CAST(s_acctbal AS DECIMAL(12, 2)) AS value FROM supplier) " + " UNION ALL ".join(f"SELECT '{n}' AS scenario, count(*) AS parts, count(*) FILTER (WHERE missing) AS missing, round(coalesce(avg(mean), 0), 4) + 0.0 AS mean FROM (SELECT b, sum(value) IS NULL AS missing, coalesce(CAST(sum(CAST(weight AS DECIMAL(12, 0)) * value) AS DOUBLE) / sum(CASE WHEN value IS NOT NULL THEN weight END), 0) AS mean FROM edges LEFT JOIN f ON s_suppkey = a AND {w} WHERE {g} AND known + {d} <= {CUT} AND active AND since <= {CUT} AND until > {CUT} GROUP BY b)" for n, (g, w, d) in EVIDENCE.items())))
+def evidence_scenarios(spark, sf):
+    """The network metric of each part as declared, without facts, without the graph, and with edges known ninety days later."""
+    from pitlake.plans.views import edges
+
+    supplier = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_acctbal").cast("decimal(12,2)").alias("value"))
+
+    def run(df):
+        live = bt.edge_snapshot(df.withColumn("known", F.col("known") + F.col("late")), CUT).withColumn("weight", F.col("weight").cast("decimal(12,0)"))
+        met = bt.neighbour_metric(live.withColumn("a", F.when(F.col("facts"), F.col("a"))), supplier)
+        return met.agg(F.count("*").alias("parts"), F.count_if("missing").alias("missing"), (F.round(F.coalesce(F.avg("mean"), F.lit(0.0)), 4) + F.lit(0.0)).alias("mean"))
+
+    frame = edges(spark, sf).withColumn("revision", F.lit(1))
+    variant = lambda g, w, d: lambda df: df.where(g).withColumn("facts", F.expr(w)).withColumn("late", F.lit(d))
+    return pr.scenarios(frame, {n: variant(*x) for n, x in EVIDENCE.items()}, run)
+
+
 @register("quality_quarantine", "SELECT array_to_string(list_filter([CASE WHEN NOT l_quantity > 2 THEN 'quantity' END, CASE WHEN NOT l_extendedprice / l_quantity > 950 THEN 'price' END, CASE WHEN NOT l_linenumber <> 3 THEN 'line' END], lambda x: x IS NOT NULL), ',') AS violations, count(*) AS n FROM lineitem WHERE NOT (l_quantity > 2 AND l_extendedprice / l_quantity > 950 AND l_linenumber <> 3) GROUP BY 1")
 def quality_quarantine(spark, sf):
     """Rows that break rules, by the names of the rules."""

@@ -29,4 +29,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules of queries; importing is what registers them."""
-    from pitlake.plans import audits, bitemporal, intake, leaderboard, statistics, trading  # noqa: F401
+    from pitlake.plans import audits, bitemporal, intake, leaderboard, roundtrip, statistics, trading  # noqa: F401

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,35 @@ def write_table(df: DataFrame, path: str, by: list[str] = [], allow_empty: bool
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def write_lake(df: DataFrame, root: str, layer: str, dataset: str) -> int:
+    """Df (coin, date as YYYYMMDD and others) as one zstd file a coin and day, <root>/<layer>/<dataset>/<COIN>/<date>.parquet; returns their number.
+
+    An empty frame is refused. Tasks write folders of partitions beside the lake; the driver then gives each file its place, a rename a partition, so
+    readers see whole files only. A file that is there is replaced."""
+    from pitlake.sources.lake import lake_path
+
+    lake_path(root, layer, dataset)  # refuses an unknown layer or dataset
+    if df.isEmpty():
+        raise ValueError("an empty table is not written")
+    spark = df.sparkSession
+    coin = F.replace(F.upper(F.trim("coin")), F.lit("/"), F.lit("-"))
+    staged = f"{root}/{layer}/.staged-{uuid.uuid4().hex}"
+    dealt = df.withColumn("__coin", coin).withColumn("__date", F.col("date")).repartition("__coin", "__date")
+    dealt.drop("date").write.option("compression", "zstd").partitionBy("__coin", "__date").parquet(staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = 0
+    for found in fs.globStatus(path(f"{staged}/__coin=*/__date=*/*.parquet")):
+        parts = found.getPath().toString().split("/")
+        names = [unquote(x.split("=", 1)[1]) for x in parts[-3:-1]]
+        to = path(f"{root}/{layer}/{dataset}/{names[0]}/{names[1]}.parquet")
+        fs.mkdirs(to.getParent())
+        fs.delete(to, False)
+        done += bool(fs.rename(found.getPath(), to))
+    fs.delete(path(staged), True)
+    return done
+
+
 def write_observations(df: DataFrame, path: str) -> DataFrame:
     """Canonical observations sorted within files, so that row-group statistics can skip; returns the manifest by generation."""
     rows = df.select(*OBSERVATION)
@@ -52,10 +84,15 @@ def write_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def write_reports(reports: DataFrame, path: str) -> None:
+    """Reports (folder, value as JSON) as one text file a folder of <path>, each read back as a whole."""
+    reports.repartition("folder").write.mode("append").partitionBy("folder").text(path)
+
+
 def report_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each report of schema 2: its best audited row, counts by status, newest first."""
+    """One row for each report of schema 2 (report.json files, and those of write_reports()): its best audited row, counts by status, newest first."""
     schema = "schema_version int, run_id string, created_ms long, leaderboard array<struct<policy:string,rank:int,lift:double,status:string>>"
-    r = spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "report.json").json(path).where("schema_version = 2")
+    r = spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "{report.json,part-*}").json(path).where("schema_version = 2")
     audited = F.filter("leaderboard", lambda x: x["status"] == "audited")
     best = F.array_min(F.transform(audited, lambda x: F.struct(x["rank"].alias("rank"), x["policy"].alias("policy"), x["lift"].alias("lift"))))
     blocked = F.size(F.filter("leaderboard", lambda x: x["status"] == "blocked"))
