@@ -45,11 +45,22 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     return found.select("__l.*", *[F.col(f"__n.__{i}").alias(prefix + c) for i, c in enumerate(take)])
 
 
-def trailing(df: DataFrame, by: list[str], time: str, width: int) -> Window:
+def trailing(by: list[str], time: str, width: int) -> Window:
     """The rows of the key with time in [t - width, t]."""
     return Window.partitionBy(*by).orderBy(time).rangeBetween(-width, 0)
 
 
+def trailing_values(df: DataFrame, by: list[str], time: str, width: int, values: dict[str, Column], bucket: int | None = None) -> DataFrame:
+    """Df with aggregates over the rows of its key with time in [t - width, t], both ends inclusive.
+
+    Rows are dealt to buckets of time of at least `width`, each also to the bucket after its own, which it is seen from; so a busy key is many windows."""
+    size = max(width, bucket or width)
+    own = F.floor(F.col(time) / size)
+    dealt = df.withColumn("__own", own).withColumn("__b", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+    window = trailing([*by, "__b"], time, width)
+    return dealt.withColumns({n: c.over(window) for n, c in values.items()}).where(F.col("__b") == F.col("__own")).drop("__own", "__b")
+
+
 def lookahead_violations(joined: DataFrame, taken: str) -> DataFrame:
     """Rows whose backward join found nothing, which a point-in-time feature must not be built from."""
     return joined.where(F.col(taken).isNull())

@@ -120,7 +120,10 @@ def walk_forward(intervals: DataFrame, folds: int, train: int, test: int, purge:
         own = F.filter(F.array(*each), lambda b: (F.col("pos") < b["tp"]) & (F.col("pos") >= b["low"]) & purged(F.col("start"), F.col("end"), b["ts"], b["te"], purge, embargo))
         return intervals.withColumn("fold", F.explode(F.transform(own, lambda b: b["fold"])))
 
-    have = {r.fold: r.n for r in dealt({}).groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    # one count a fold in a single row
+    fits = [F.count_if((F.col("pos") < b.tp) & purged(F.col("start"), F.col("end"), F.lit(b.ts), F.lit(b.te), purge, embargo)).alias(f"n{i}") for i, b in enumerate(bounds)]
+    counted = intervals.agg(*fits).first()
+    have = {b.fold: counted[f"n{i}"] for i, b in enumerate(bounds)}
     # positions before the block, less the rows to skip if all that is purged were in the range
     low = {b.fold: max(0, b.tp - (b.tp - have.get(b.fold, 0)) - train) for b in bounds}
     trains = dealt(low)

@@ -9,17 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitlake.operators.asof import asof_join
-from pitlake.operators.numbering import running_product, running_sum
+from pitlake.operators.numbering import running_product, running_sum, running_sums
 from pitlake.operators.overlap import within
 
 
-def running_position(fills: DataFrame, order: list[str]) -> DataFrame:
+def running_position(fills: DataFrame, order: list[str], width: int) -> DataFrame:
     """Cash and position of each (account, symbol) after each fill: cash falls by signed quantity x price and fee.
 
-    Money is summed as decimals, so that the order of tasks does not show."""
-    w = Window.partitionBy("account", "symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    Money is summed as decimals, so that the order of tasks does not show. order begins with t; width: bucket of time, so that a busy account is many windows."""
     flow = -(F.col("qty") * F.col("px")) - F.col("fee")
-    return fills.withColumn("cash", F.sum(F.round(flow, 4).cast("decimal(28,4)")).over(w)).withColumn("position", F.sum(F.col("qty").cast("decimal(28,4)")).over(w))
+    values = {"cash": F.round(flow, 4).cast("decimal(28,4)"), "position": F.col("qty").cast("decimal(28,4)")}
+    return running_sums(fills, values, [F.col(c) for c in order], F.floor(F.col("t") / width), by=["account", "symbol"])
 
 
 def equity(positions: DataFrame, mark: Column) -> Column:

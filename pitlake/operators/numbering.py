@@ -8,6 +8,8 @@ on how rows are partitioned.
 
 from __future__ import annotations
 
+from math import ceil, sqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,23 @@ def _carried(df: DataFrame, by: list[str], bucket: Column, total, carry) -> Data
     return keyed.join(before, on).drop(*[f"__k{i}" for i in range(len(keys))])
 
 
+def even_buckets(df: DataFrame, column: str, buckets: int | None = None) -> Column:
+    """A bucket number that does not fall along the column, with about as many rows in each: by approximate quantiles of it.
+
+    Without a number there are as many as the root of the rows over 16, from 16 to 4,096: windows of buckets and the prefix over them grow alike.
+    A row looks its bucket up among blocks of cuts, then in one block."""
+    if buckets is None:
+        buckets = min(4096, max(16, ceil(sqrt(df.count()) / 16)))
+    cuts = [float(c) for c in sorted(set(df.approxQuantile(column, [k / buckets for k in range(1, buckets)], 1 / (4 * buckets))))]
+    if not cuts:
+        return F.lit(0)
+    value, side = F.col(column).cast("double"), max(1, round(sqrt(len(cuts))))
+    literal = lambda values: F.array(*[F.lit(v) for v in values])
+    block = F.size(F.filter(literal(cuts[side - 1 :: side]), lambda c: c < value))
+    inner = F.filter(F.slice(literal(cuts), block * side + 1, F.lit(side)), lambda c: c < value)
+    return F.when(value.isNotNull(), block * side + F.size(inner)).otherwise(-1)
+
+
 def number(df: DataFrame, order: list[Column], bucket: Column, name: str = "pos", by: list[str] = []) -> DataFrame:
     """Position from 0 in the whole order (within by). order must end with a unique column; bucket must not fall along it."""
     whole = _carried(df, by, bucket, F.count("*"), F.sum)
@@ -42,6 +61,28 @@ def running_sum(df: DataFrame, value: Column, order: list[Column], bucket: Colum
     return whole.withColumn(name, F.coalesce("__c", F.lit(0)) + local).drop("__b", "__c", "__v")
 
 
+def running_sums(df: DataFrame, values: dict[str, Column], order: list[Column], bucket: Column, by: list[str] = []) -> DataFrame:
+    """running_sum() of several values in one pass, each under its name."""
+    names = list(values)
+    keyed = df.withColumns({f"__v{i}": values[n] for i, n in enumerate(names)})
+    total = F.struct(*[F.sum(f"__v{i}").alias(f"s{i}") for i in range(len(names))])
+    carry = lambda c: _Each({f"s{i}": F.sum(f"{c}.s{i}") for i in range(len(names))})
+    whole = _carried(keyed, by, bucket, total, carry)
+    window = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(*_UPTO)
+    sums = {n: F.coalesce(F.col(f"__c.s{i}"), F.lit(0)) + F.sum(f"__v{i}").over(window) for i, n in enumerate(names)}
+    return whole.withColumns(sums).drop("__b", "__c", *[f"__v{i}" for i in range(len(names))])
+
+
+class _Each:
+    """Several aggregates that go over one window as a struct."""
+
+    def __init__(self, parts: dict[str, Column]):
+        self.parts = parts
+
+    def over(self, window) -> Column:
+        return F.struct(*[p.over(window).alias(n) for n, p in self.parts.items()])
+
+
 def running_max(df: DataFrame, value: Column, order: list[Column], bucket: Column, name: str = "peak", by: list[str] = []) -> DataFrame:
     """Running maximum of value in the whole order (within by)."""
     whole = _carried(df.withColumn("__v", value), by, bucket, F.max("__v"), F.max)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitlake.operators.numbering import number, running_max, running_sum
+from pitlake.operators.numbering import even_buckets, number, running_max, running_sum
 
 
 def correlation(x: Column, y: Column, least: int = 3) -> Column:
@@ -191,14 +191,7 @@ def shift_null(paired: DataFrame, order: list[str], least: int = 20, most: int =
     return every.join(tested, ["a", "b"], "left").select("a", "b", "statistic", F.coalesce("shifts", F.lit(0)).alias("shifts"), "p_value", state.alias("state"))
 
 
-def even_buckets(df: DataFrame, column: str, buckets: int = 64) -> Column:
-    """A bucket number that does not fall along the column, with about as many rows in each: by approximate quantiles of it."""
-    found = df.approxQuantile(column, [k / buckets for k in range(1, buckets)], 1 / (4 * buckets))
-    cuts = F.array(*[F.lit(float(c)) for c in sorted(set(found))]) if found else F.array().cast("array<double>")
-    return F.size(F.filter(cuts, lambda c: c < F.col(column).cast("double")))
-
-
-def adjust(p_values: DataFrame, method: str, unique: str, buckets: int = 64) -> DataFrame:
+def adjust(p_values: DataFrame, method: str, unique: str, buckets: int | None = None) -> DataFrame:
     """Benjamini-Hochberg or Benjamini-Yekutieli over the whole family, as adjusted. p outside [0, 1] raises.
 
     Ranks and the running minimum from the largest p down go by buckets of p with about as many rows each, so the family needs no single task."""

@@ -86,7 +86,7 @@ def falsification_matrix(spark, sf):
     """Five injected defects, each to be caught by its probe."""
     rec = kept(lb.records(spark, sf))
     plain = rec.select("seq", "t", F.col("markout").alias("prediction"))
-    shifted = pr.shift_labels(plain, [F.col("t"), F.col("seq")], "prediction", F.floor(F.col("t") / DAY))
+    shifted = pr.shift_labels(plain, [F.col("t"), F.col("seq")], "prediction", lb.by_time(spark, sf))
     symbols = rec.select("symbol").distinct()
     features = symbols.select(F.col("symbol").cast("string").alias("policy"), F.explode(F.array(F.lit("maker_side"), F.lit("markout_bps_1h"))).alias("feature"), F.lit("markout_bps_1h").alias("target"))
     found = pr.verdicts({
@@ -133,7 +133,7 @@ def mutation_invariance(spark, sf):
         "points": (v, after("observed", CUT, "value", 1), lambda df: df.where(F.col("observed") <= CUT).withColumn("n", latest).where("n = 1").select("id", "observed", "value"), F.col("observed") <= CUT),
         "leaky": (v, after("observed", CUT, "value", 1), lambda df: df.withColumn("value", F.lead("value").over(Window.partitionBy("key").orderBy("observed", "id"))).select("id", "observed", "value"), F.col("observed") <= CUT),
         "prices": (q, after("t", TRADE_CUT, "bid", 1), lambda df: asof_join(t, df, ["symbol"], "t", "t", ["bid"], ties=["seq"], width=DAY).select("seq", "t", "bid"), F.col("t") <= TRADE_CUT),
-        "volumes": (t, after("t", TRADE_CUT, "qty", 7), lambda df: df.select("seq", "t", F.sum("qty").over(trailing(None, ["symbol"], "t", HOUR)).alias("v")), F.col("t") <= TRADE_CUT),
+        "volumes": (t, after("t", TRADE_CUT, "qty", 7), lambda df: df.select("seq", "t", F.sum("qty").over(trailing(["symbol"], "t", HOUR)).alias("v")), F.col("t") <= TRADE_CUT),
         "sinks": (e, after("known", CUT, "weight", 1), lambda df: df.where(F.col("known") <= CUT).groupBy("b").agg(F.sum(F.col("weight").cast("decimal(18,2)")).alias("w")), F.lit(True)),
     }
     facts = v.select("id", "key", "period", "value", F.lit("active").alias("status"), F.col("generation").alias("revision"), (F.col("id") % 7).alias("source_id"), F.col("observed").alias("ready"))
@@ -165,7 +165,7 @@ def leaky_vs_purged(spark, sf):
     spans = lb.intervals(spark, sf)
     masks = ev.policy_masks(spans)
     _, test = ev.fold_sizes(spans.count(), lb.FOLDS)
-    mixed = ev.naive_folds(spans, lb.FOLDS, test, 7, F.floor(F.col("t") / DAY), "seq")
+    mixed = ev.naive_folds(spans, lb.FOLDS, test, 7, lb.by_time(spark, sf), "seq")
     naive = ev.policy_summary(ev.leaderboard(mixed, masks | {"leaky_future": F.col("markout") > 0}, "markout"))
     return ev.rank_shift(naive, ev.policy_summary(lb.board(spark, sf)))
 

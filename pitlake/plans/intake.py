@@ -14,6 +14,7 @@ from pitlake.operators import bitemporal as bt
 from pitlake.operators import ledger as lg
 from pitlake.operators import probes as pr
 from pitlake.operators import rules as ru
+from pitlake.operators.numbering import even_buckets
 from pitlake.plans.registry import register
 from pitlake.plans.views import DAY, HOUR, edges, micros, quotes, r6, trades, versions, with_views
 from pitlake.session import table
@@ -656,4 +657,4 @@ def canonical_order(spark, sf):
 @register("shifted_labels", with_views("trades", "SELECT seq, coalesce(lead(px) OVER (ORDER BY t, seq), 0) AS px FROM trades"))
 def shifted_labels(spark, sf):
     """Each price replaced by the next in the whole order."""
-    return pr.shift_labels(trades(spark, sf).select("seq", "t", "px"), [F.col("t"), F.col("seq")], "px", F.floor(F.col("t") / DAY)).select("seq", "px")
+    return pr.shift_labels(trades(spark, sf).select("seq", "t", "px"), [F.col("t"), F.col("seq")], "px", even_buckets(trades(spark, sf), "t")).select("seq", "px")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitlake.operators import evaluate as ev
-from pitlake.operators.asof import asof_join, lookahead_violations, trailing
-from pitlake.operators.numbering import number, running_max, running_sum, sampled
+from pitlake.operators.asof import asof_join, lookahead_violations, trailing_values
+from pitlake.operators.numbering import even_buckets, number, running_max, running_sum, sampled
 from pitlake.plans.registry import register
 from pitlake.plans.views import DAY, HOUR, quotes, r6, trades, with_views
 from pitlake.session import kept
@@ -15,8 +15,9 @@ from pitlake.session import kept
 HORIZON, FOLDS = HOUR, 8
 
 
-def by_day():
-    return F.floor(F.col("t") / DAY)
+def by_time(spark: SparkSession, sf: str):
+    """Buckets of t with about as many trades each."""
+    return even_buckets(trades(spark, sf), "t")
 
 
 def records(spark: SparkSession, sf: str, horizon: int = HORIZON) -> DataFrame:
@@ -28,7 +29,7 @@ def records(spark: SparkSession, sf: str, horizon: int = HORIZON) -> DataFrame:
 
 def intervals(spark: SparkSession, sf: str) -> DataFrame:
     """Records with their label interval and position, stored, as folds read them several times."""
-    return kept(ev.label_intervals(records(spark, sf), "t", HORIZON, F.floor(F.col("t") / DAY), "seq"))
+    return kept(ev.label_intervals(records(spark, sf), "t", HORIZON, by_time(spark, sf), "seq"))
 
 
 def folds(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,18 +240,19 @@ def global_drawdown(spark, sf):
     rec = records(spark, sf)
     value = F.when(F.col("maker_side") > 0, F.round("markout", 4).cast("decimal(24,4)")).otherwise(F.lit(0).cast("decimal(24,4)"))
     order = [F.col("t"), F.col("seq")]
-    flat = number(rec.select("seq", "t", value.alias("c")), order, by_day(), "pos")
-    run = running_max(running_sum(flat, F.col("c"), order, by_day(), "total"), F.col("total"), order, by_day(), "peak")
+    bucket = by_time(spark, sf)
+    flat = kept(number(rec.select("seq", "t", value.alias("c")), order, bucket, "pos"))
+    run = running_max(running_sum(flat, F.col("c"), order, bucket, "total"), F.col("total"), order, bucket, "peak")
     n = F.broadcast(flat.agg(F.count("*").alias("n")))
-    kept = run.crossJoin(n).where(sampled(F.col("pos"), F.col("n"), 200))
-    return kept.select("seq", "pos", F.col("total").cast("double").alias("total"), (F.col("peak") - F.col("total")).cast("double").alias("drawdown"))
+    few = run.crossJoin(n).where(sampled(F.col("pos"), F.col("n"), 200))
+    return few.select("seq", "pos", F.col("total").cast("double").alias("total"), (F.col("peak") - F.col("total")).cast("double").alias("drawdown"))
 
 
 @register("trailing_window", sql("", f"SELECT seq, symbol, count(*) OVER w AS n, round(sum(qty) OVER w, 6) AS qty FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY t RANGE BETWEEN {HOUR} PRECEDING AND CURRENT ROW)"))
 def trailing_window(spark, sf):
     """Trades of the symbol in the last hour, both ends inclusive."""
-    w = trailing(None, ["symbol"], "t", HOUR)
-    return trades(spark, sf).select("seq", "symbol", F.count("*").over(w).alias("n"), r6(F.sum("qty").over(w).cast("double")).alias("qty"))
+    out = trailing_values(trades(spark, sf), ["symbol"], "t", HOUR, {"n": F.count("*"), "sum_qty": F.sum("qty")}, DAY)
+    return out.select("seq", "symbol", "n", r6(F.col("sum_qty").cast("double")).alias("qty"))
 
 
 @register("breakout_signal", sql("", "WITH s AS (SELECT seq, symbol, (px - lag(px, 5) OVER w) / lag(px, 5) OVER w * 10000 AS m FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY t, seq)) SELECT seq, symbol, round(m, 6) + 0.0 AS momentum, CASE WHEN m > 500 THEN 'buy' WHEN m < -500 THEN 'sell' ELSE 'none' END AS signal FROM s"))

@@ -19,7 +19,7 @@ CASH = f"SELECT *, sum(CAST(round(-(qty * px) - fee, 4) AS DECIMAL(28, 4))) OVER
 @register("ledger_position", with_views("ledger", f"WITH c AS ({CASH}) SELECT account, symbol, count(*) AS fills, round(CAST(max(position) AS DOUBLE), 4) AS top, round(CAST(arg_max(cash, ({BY})) AS DOUBLE), 2) AS cash, round(CAST(arg_max(position, ({BY})) AS DOUBLE), 4) AS position FROM c GROUP BY ALL"))
 def ledger_position(spark, sf):
     """Last cash and position of each account and symbol, and the largest position on the way."""
-    p = lg.running_position(ledger(spark, sf), ORDER)
+    p = lg.running_position(ledger(spark, sf), ORDER, 365 * DAY)
     last = F.struct(*ORDER)
     return p.groupBy("account", "symbol").agg(F.count("*").alias("fills"), F.round(F.max("position").cast("double"), 4).alias("top"), F.round(F.max_by("cash", last).cast("double"), 2).alias("cash"), F.round(F.max_by("position", last).cast("double"), 4).alias("position"))
 
@@ -274,7 +274,7 @@ def crossfit_residual(spark, sf):
 def vintage_forecast(spark, sf):
     """At each release the values known then and the change to come."""
     v = versions(spark, sf).where("reconstructed is not null").select((F.col("key") % 100).alias("key"), "period", "id", "value", F.col("reconstructed").alias("ready"))
-    out = md.vintage_pairs(v.where("id % 2 = 0"), v.where("id % 2 = 1"))
+    out = md.vintage_pairs(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 365 * DAY)
     return out.select("key", "decision", "x", "y", (F.round("target", 2) + F.lit(0.0)).alias("target"), "target_ready")
 
 

@@ -31,22 +31,29 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-pitlake-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/pitlake-{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that kept() has written in this process and release() has not deleted.
+_KEPT: list[str] = []
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df written once and read from there: in spark.checkpoint.dir, or, where that is unset in a local session, a temporary folder.
-
-    Lost executors cost no recomputation; Spark deletes the files with the frame if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            path = tempfile.mkdtemp(prefix="spark-pitlake-")
-        context.setCheckpointDir(path)
-    return df.checkpoint()
+    """df written once as parquet to scratch() and read from there, column by column: lost executors cost no recomputation."""
+    path = scratch(df.sparkSession, "kept")
+    _KEPT.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what kept() has written in this process, once what reads it is stored; returns the number of tables."""
+    jvm, done = spark._jvm, 0
+    while _KEPT:
+        path = jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
