@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitlake.operators.asof import asof_join
 from pitlake.operators.ledger import action_factors, held_return
+from pitlake.session import kept
 
 
 def dispatch(events: DataFrame, schemas: dict[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +73,7 @@ def relative_labels(decisions: DataFrame, bars: DataFrame, benchmark, latency: i
         side = bars.select(F.col("symbol").alias("__s"), F.col("start").alias("__t"), F.col("open").alias(name), F.col("available").alias(f"__{name}"))
         rows = rows.join(side, (F.col("__s") == key) & (F.col("__t") == F.col(at))).drop("__s", "__t")
     factors = action_factors(actions, action_width)
-    rows = held_return(rows, factors, action_width, "symbol", "p0", "p1", "__own")
+    rows = kept(held_return(kept(rows), factors, action_width, "symbol", "p0", "p1", "__own"))
     rows = held_return(rows.withColumn("__bench", F.lit(benchmark)), factors, action_width, "__bench", "b0", "b1", "__base")
     label = F.col("__own") - F.col("__base")
     ready = F.greatest("__p1", "__b1") + delay

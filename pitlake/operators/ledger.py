@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pitlake.operators.asof import asof_join
 from pitlake.operators.numbering import running_product, running_sum, running_sums
 from pitlake.operators.overlap import within
+from pitlake.session import kept
 
 
 def running_position(fills: DataFrame, order: list[str], width: int) -> DataFrame:
@@ -82,7 +83,8 @@ def entitlements(fills: DataFrame, actions: DataFrame, order: list[str], width:
     numbered = actions.withColumn("seg", F.coalesce(F.count_if(changes).over(when.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     splits = numbered.where(changes).select("symbol", "effective", "id", (F.col("seg") + 1).alias("seg"), "split_num", "split_den")
     dealt = asof_join(fills.withColumn("__t", F.col("t")), splits, ["symbol"], "__t", "effective", ["seg"], ties=["id"], width=width, prefix="s_").drop("__t")
-    dealt = dealt.withColumn("seg", F.coalesce("s_seg", F.lit(0).cast("long"))).withColumn("__q", F.col("qty").cast("decimal(28,4)"))
+    dealt = dealt.select("account", "symbol", *order, F.coalesce("s_seg", F.lit(0).cast("long")).alias("seg"), F.col("qty").cast("decimal(28,4)").alias("__q"))
+    dealt = kept(dealt)  # read three times below
     run = Window.partitionBy("account", "symbol", "seg").orderBy(*order)
     running = dealt.select("account", "symbol", "seg", "t", F.sum("__q").over(run.rowsBetween(Window.unboundedPreceding, 0)).alias("run"), F.lead("t").over(run).alias("next"))
     # shares at the start of each segment: the maps of the segments before, in order
@@ -236,16 +238,16 @@ def action_factors(actions: DataFrame, width: int) -> DataFrame:
     ratio = F.col("split_num").cast("double") / F.col("split_den")
     grown = running_product(actions, ratio, order, bucket, "factor", by=["symbol"])
     # a dividend is on the shares before its own action's split
-    return running_sum(grown, F.col("factor") / ratio * F.col("dividend"), order, bucket, "paid", by=["symbol"]).select("symbol", "effective", "id", "factor", "paid")
+    return kept(running_sum(grown, F.col("factor") / ratio * F.col("dividend"), order, bucket, "paid", by=["symbol"]).select("symbol", "effective", "id", "factor", "paid"))
 
 
 def held_return(spans: DataFrame, factors: DataFrame, width: int, symbol: str, entry_px: str, exit_px: str, name: str) -> DataFrame:
     """Spans with the return of one share of `symbol` from entry to exit (both times): actions with entry < effective <= exit, dividends kept
     as cash, splits multiplying the shares. factors: of action_factors()."""
     own = factors.withColumnRenamed("symbol", "__y")
-    rows = spans.withColumn("__y", F.col(symbol))
-    for at, prefix in (("entry", "__in_"), ("exit", "__out_")):
-        rows = asof_join(rows, own, ["__y"], at, "effective", ["factor", "paid"], ties=["id"], width=width, prefix=prefix)
+    rows = asof_join(spans.withColumn("__y", F.col(symbol)), own, ["__y"], "entry", "effective", ["factor", "paid"], ties=["id"], width=width, prefix="__in_")
+    # a join in buckets reads its left side twice: stored between the two, so that chains do not multiply
+    rows = asof_join(kept(rows), own, ["__y"], "exit", "effective", ["factor", "paid"], ties=["id"], width=width, prefix="__out_")
     one, none = F.coalesce("__in_factor", F.lit(1.0)), F.coalesce("__in_paid", F.lit(0.0))
     shares, cash = F.coalesce("__out_factor", F.lit(1.0)) / one, (F.coalesce("__out_paid", F.lit(0.0)) - none) / one
     return rows.select(*spans.columns, ((shares * F.col(exit_px) + cash) / F.col(entry_px) - 1).alias(name))

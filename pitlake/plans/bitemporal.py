@@ -212,13 +212,21 @@ def fact_coverage(spark, sf):
     return bt.fact_coverage(versions(spark, sf), "status", DAY)
 
 
-@register("lake_inventory", f"WITH p AS (SELECT user_id % 10 AS symbol, epoch_us(ts) // {DAY} AS date, count(*) AS rows FROM events WHERE event_type <> 'error' GROUP BY ALL), s AS (SELECT DISTINCT symbol FROM p), d AS (SELECT DISTINCT date FROM p) SELECT symbol, date, coalesce(rows, 0) AS rows, least(coalesce(rows, 0), 20) AS evaluated FROM s CROSS JOIN d LEFT JOIN p USING (symbol, date)")
+PARTITIONS = f"p AS (SELECT user_id AS symbol, epoch_us(ts) // {DAY} AS date, count(*) AS rows FROM events GROUP BY ALL), s AS (SELECT DISTINCT symbol FROM p), d AS (SELECT DISTINCT date FROM p), g AS (SELECT symbol, date, coalesce(rows, 0) AS rows FROM s CROSS JOIN d LEFT JOIN p USING (symbol, date))"
+
+
+def user_days(spark, sf):
+    """Each event with its user as symbol and its day."""
+    return table(spark, sf, "events").select(F.col("user_id").alias("symbol"), F.floor(micros("ts") / DAY).alias("date"))
+
+
+@register("lake_inventory", f"WITH {PARTITIONS} SELECT symbol, date, rows, least(rows, 2) AS evaluated FROM g")
 def lake_inventory(spark, sf):
-    """Rows of each requested symbol and date, and those that a cap leaves."""
+    """Rows of each requested user and date, and those that a cap leaves."""
     from pitlake.sources.lake import inventory
 
-    e = table(spark, sf, "events").where("event_type <> 'error'").select((F.col("user_id") % 10).alias("symbol"), F.floor(micros("ts") / DAY).alias("date"))
-    return inventory(e, e, e, 20)
+    e = user_days(spark, sf)
+    return inventory(e, e, e, 2)
 
 
 @register("partition_cap", f"SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id % 10, epoch_us(ts) // {DAY} ORDER BY ts, event_id) AS n FROM events) WHERE n <= 5")
@@ -230,11 +238,13 @@ def partition_cap(spark, sf):
     return cap_partitions(e, ["symbol", "date"], [F.col("ts"), F.col("event_id")], 5).select("event_id")
 
 
-@register("coverage_gate", f"WITH p AS (SELECT user_id % 10 AS symbol, epoch_us(ts) // {DAY} AS date, count(*) AS rows FROM events WHERE event_type = 'error' GROUP BY ALL), s AS (SELECT DISTINCT symbol FROM p), d AS (SELECT DISTINCT date FROM p), g AS (SELECT symbol, date, coalesce(rows, 0) AS rows FROM s CROSS JOIN d LEFT JOIN p USING (symbol, date)) SELECT count(*) FILTER (WHERE rows = 0) AS missing, count(DISTINCT symbol) FILTER (WHERE rows > 0) AS symbols, count(DISTINCT date) FILTER (WHERE rows > 0) AS dates, CAST(sum(rows) AS BIGINT) AS rows, CASE WHEN count(*) FILTER (WHERE rows = 0) > 0 THEN 'missing_partitions' ELSE '' END AS failures, count(*) FILTER (WHERE rows = 0) = 0 AS ready FROM g")
+@register("coverage_gate", f"""WITH {PARTITIONS}
+  SELECT count(*) FILTER (WHERE rows = 0) AS missing, count(DISTINCT symbol) FILTER (WHERE rows > 0) AS symbols, count(DISTINCT date) FILTER (WHERE rows > 0) AS dates, CAST(sum(rows) AS BIGINT) AS rows,
+    CASE WHEN count(*) FILTER (WHERE rows = 0) > 0 THEN 'missing_partitions' ELSE '' END AS failures, count(*) FILTER (WHERE rows = 0) = 0 AS ready FROM g""")
 def coverage_gate(spark, sf):
     """Whether the partitions asked for are there."""
     from pitlake.operators.evaluate import coverage_gate as gate
     from pitlake.sources.lake import inventory
 
-    e = table(spark, sf, "events").where("event_type = 'error'").select((F.col("user_id") % 10).alias("symbol"), F.floor(micros("ts") / DAY).alias("date"))
+    e = user_days(spark, sf)
     return gate(inventory(e, e, e, 1 << 30), 3, 5)

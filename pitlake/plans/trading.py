@@ -380,11 +380,11 @@ def dataset_listing(spark, sf):
     return br.dataset_listing(c, n, o, "13").select("dataset_id", "source", "distributions")
 
 
-@register("distribution_detail", "SELECT o_orderkey AS distribution_id, p.profile_rows, coalesce(n, 0) AS observations FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_quantity, l_shipdate) AS profile_rows FROM (SELECT l_orderkey, l_shipdate, max(l_quantity) AS l_quantity FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL) GROUP BY 1) p ON p.l_orderkey = o_orderkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) k ON k.l_orderkey = o_orderkey")
+@register("distribution_detail", "SELECT o_orderkey AS distribution_id, p.profile_rows, coalesce(n, 0) AS observations FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_quantity, l_shipdate) AS profile_rows FROM (SELECT l_orderkey, l_shipdate, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) GROUP BY 1) p ON p.l_orderkey = o_orderkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) k ON k.l_orderkey = o_orderkey")
 def distribution_detail(spark, sf):
-    """Orders as distributions, with the latest of some lines as profile and all lines as observations."""
+    """Orders as distributions, with the last day's largest line as profile and all lines as observations."""
     l = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "distribution_id")
-    p = l.where("l_linenumber = 1").groupBy("distribution_id", F.col("l_shipdate").alias("profiled_at")).agg(F.max("l_quantity").alias("rows"))
+    p = l.groupBy("distribution_id", F.col("l_shipdate").alias("profiled_at")).agg(F.max("l_quantity").alias("rows"))
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("distribution_id"))
     return br.distribution_detail(o, p, l).select("distribution_id", "profile_rows", "observations")
 
