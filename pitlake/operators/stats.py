@@ -327,7 +327,7 @@ def block_interval(gains: DataFrame, starts: DataFrame, n: int, block: int, repe
 def block_intervals(gains: DataFrame, by: list[str], order: list[str], block: int, repeats: int) -> DataFrame:
     """A35 for each group: low and high, the 2.5 % and 97.5 % ranks of resampled means of `gain` in order.
 
-    Starts come from a hash of (repeat, block), so that every group draws in its own tasks; each resample has as many values as
+    Starts come from the MD5 of "repeat:block", so that every group draws in its own tasks; each resample has as many values as
     the group, its last block cut off. Groups of fewer than two blocks, and rows with a null gain, have no part in it."""
     if repeats < 10 or block < 1:
         raise ValueError("ten repeats and blocks of one row at least")
@@ -336,7 +336,8 @@ def block_intervals(gains: DataFrame, by: list[str], order: list[str], block: in
     sizes = rows.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") >= 2 * block)
     reps = sizes.select(*by, "__n", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("__rep"))
     blocks = reps.withColumn("__k", F.explode(F.sequence(F.lit(0), F.ceil((F.col("__n") - block) / block).cast("int"))))
-    starts = blocks.withColumn("__start", F.pmod(F.xxhash64("__rep", "__k"), F.col("__n") - block + 1))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", "__rep", "__k")), 1, 15), 16, 10).cast("long")
+    starts = blocks.withColumn("__start", draw % (F.col("__n") - block + 1))
     drawn = starts.withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("__k") * block + F.col("__o") < F.col("__n"))
     means = drawn.withColumn("__i", F.col("__start") + F.col("__o")).join(rows, [*by, "__i"]).groupBy(*by, "__rep").agg(F.avg("gain").alias("__m"))
     rank = F.row_number().over(w.orderBy("__m", "__rep")) - 1  # one row a resample

@@ -241,7 +241,12 @@ def semantic_ids(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.sha2(parts, 256).alias("id"))
 
 
-@register("content_hash")
+@register("content_hash", """WITH l AS (
+    SELECT o_orderkey AS k, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":' || CAST(o_totalprice AS VARCHAR) || '}') AS h FROM orders),
+  a AS (SELECT k // 1000 AS a_g, sha256(string_agg(h, '' ORDER BY k)) AS a_h, count(*) AS a_n FROM l GROUP BY 1),
+  b AS (SELECT a_g // 4096 AS b_g, sha256(string_agg(a_h, '' ORDER BY a_g)) AS b_h, sum(a_n) AS b_n FROM a GROUP BY 1),
+  c AS (SELECT b_g // 4096 AS c_g, sha256(string_agg(b_h, '' ORDER BY b_g)) AS c_h, sum(b_n) AS c_n FROM b GROUP BY 1)
+  SELECT sha256(string_agg(c_h, '' ORDER BY c_g)) AS hash, CAST(sum(c_n) AS BIGINT) AS rows FROM c""")
 def content_hash(spark, sf):
     """One order-stable hash of all orders; a test holds it against partitionings."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")

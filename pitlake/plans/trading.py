@@ -363,12 +363,39 @@ def relative_labels(spark, sf):
     return out.select("symbol", "decision", r6("label").alias("label"), "label_ready")
 
 
-@register("release_forecast")
+def forecast_sql() -> str:
+    """Vintages, a fit of every decision on the targets that matured before it, gains, and resampled means whose starts are MD5 draws."""
+    base, candidate = ridge_sql(["t_y"], "t_target"), ridge_sql(["t_y", "t_x"], "t_target")
+    # the second fit has names of its own beside the first's
+    fit = lambda name, x, parts: f"""{name} AS (SELECT key, i, any_value(target) AS target, {", ".join(f"any_value(q{k}) AS q{k}" for k in range(len(x)))}, {parts[0]} FROM train GROUP BY key, i HAVING count(*) >= 16),
+  {name}_p AS (SELECT key, i, ({parts[1]} - target) ** 2 AS e FROM {name})"""
+    return f"""WITH v AS (SELECT key % 10 AS key, published // {30 * DAY} AS period, id, value, reconstructed AS ready, id % 2 AS side FROM versions WHERE reconstructed IS NOT NULL AND published IS NOT NULL),
+  x AS (SELECT * FROM v WHERE side = 0), y AS (SELECT * FROM v WHERE side = 1),
+  l AS (SELECT key, period, arg_max(value, (ready, value)) AS value, max(ready) AS ready FROM y GROUP BY ALL),
+  d AS (SELECT key, period AS "of", ready AS decision, lead(value) OVER w AS tv, lead(ready) OVER w AS tr FROM l WINDOW w AS (PARTITION BY key ORDER BY period)),
+  e AS (SELECT * FROM d WHERE tr > decision),
+  kx AS (SELECT e.key, e.decision, arg_max(v.value, (v.period, v.ready, v.value)) AS x FROM e JOIN x v ON v.key = e.key AND v.ready <= e.decision GROUP BY ALL),
+  ky AS (SELECT e.key, e.decision, arg_max(v.value, (v.period, v.ready, v.value)) AS y FROM e JOIN y v ON v.key = e.key AND v.ready <= e.decision GROUP BY ALL),
+  p AS (SELECT e.key, e.decision, x, y, tv - y AS target, tr, row_number() OVER (PARTITION BY e.key ORDER BY e.decision) AS i FROM e JOIN kx USING (key, decision) JOIN ky USING (key, decision)),
+  train AS (SELECT a.key, a.i, a.target, a.y AS q0, a.x AS q1, b.y AS t_y, b.x AS t_x, b.target AS t_target FROM p a JOIN p b ON b.key = a.key AND b.tr < a.decision AND b.decision < a.decision WHERE a.i > 20),
+  {fit("base", ["y"], base)}, {fit("cand", ["y", "x"], candidate)},
+  g AS (SELECT b.key, b.e - c.e AS gain, row_number() OVER (PARTITION BY b.key ORDER BY b.i) - 1 AS i, count(*) OVER (PARTITION BY b.key) AS n FROM base_p b JOIN cand_p c USING (key, i)),
+  s AS (SELECT key, any_value(n) AS n FROM g GROUP BY key HAVING any_value(n) >= 6),
+  k AS (SELECT key, n, rep, unnest(range(CAST(ceil(n / 3) AS BIGINT))) AS k FROM s, (SELECT unnest(range(200)) AS rep)),
+  o AS (SELECT key, rep, CAST('0x' || substr(md5(rep || ':' || k), 1, 15) AS BIGINT) % (n - 2) + o AS i FROM k, (SELECT unnest(range(3)) AS o) WHERE 3 * k + o < n),
+  m AS (SELECT o.key, o.rep, avg(g.gain) AS m FROM o JOIN g ON g.key = o.key AND g.i = o.i GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY m, rep) - 1 AS r FROM m),
+  b AS (SELECT key, max(m) FILTER (WHERE r = 5) AS low, max(m) FILTER (WHERE r = 195) AS high FROM r GROUP BY key)
+  SELECT g.key, count(*) AS scores, CASE WHEN count(*) >= 6 THEN round(avg(gain) / 1e6, 0) + 0.0 END AS gain, CASE WHEN count(*) >= 6 THEN round(any_value(low) / 1e6, 0) + 0.0 END AS low,
+    CASE WHEN count(*) >= 6 THEN round(any_value(high) / 1e6, 0) + 0.0 END AS high, CASE WHEN count(*) >= 6 THEN 'completed' ELSE 'insufficient_data' END AS state FROM g LEFT JOIN b ON b.key = g.key GROUP BY g.key"""
+
+
+@register("release_forecast", with_views("versions", forecast_sql()))
 def release_forecast(spark, sf):
-    """Gain of a second series in forecasting releases with its interval; tests hold fits and resamples against direct ones."""
+    """Gain of a second series in forecasting releases with its interval, in millions."""
     v = versions(spark, sf).where("reconstructed is not null").select((F.col("key") % 10).alias("key"), F.floor(F.col("published") / (30 * DAY)).alias("period"), "id", "value", F.col("reconstructed").alias("ready")).where("period is not null")
-    out = md.release_forecast(md.vintage_pairs(v.where("id % 2 = 0"), v.where("id % 2 = 1")))
-    return out.select("key", "scores", *[F.round(c, 0).alias(c) for c in ("gain", "low", "high")], "state")
+    out = md.release_forecast(md.vintage_pairs(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 365 * DAY))
+    return out.select("key", "scores", *[(F.round(F.col(c) / 1e6, 0) + F.lit(0.0)).alias(c) for c in ("gain", "low", "high")], "state")
 
 
 @register("dataset_listing", "SELECT c_custkey AS dataset_id, n_name AS source, coalesce(n, 0) AS distributions FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE contains(lower(c_name), '13')")
