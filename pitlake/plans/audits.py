@@ -159,13 +159,22 @@ def mutation_invariance(spark, sf):
     return out
 
 
-@register("leaky_vs_purged")
+NAIVE = lb.STACK.replace(") AS p(policy", ", ('leaky_future', markout > 0)) AS p(policy")
+
+
+@register("leaky_vs_purged", lb.sql(lb.BOARD, lb.SUMMARY + f""",
+  mixed AS (SELECT *, row_number() OVER (ORDER BY CAST('0x' || substr(md5('7:' || seq), 1, 15) AS BIGINT), seq) - 1 AS place FROM num),
+  naive AS (SELECT place // te AS nf, policy, CASE WHEN quoted THEN markout ELSE 0 END - markout AS lift FROM mixed {NAIVE} WHERE place // te < {lb.FOLDS}),
+  cells AS (SELECT nf, policy, avg(lift) AS lift FROM naive GROUP BY ALL), means AS (SELECT policy, avg(lift) AS lift FROM cells GROUP BY 1),
+  first AS (SELECT policy, CAST(row_number() OVER (ORDER BY lift DESC, policy) AS INTEGER) AS naive_rank FROM means)
+  SELECT policy, naive_rank, CAST(r.rank AS INTEGER) AS audited_rank, naive_rank - CAST(r.rank AS INTEGER) AS delta, CASE WHEN r.rank IS NULL THEN 'blocked' WHEN naive_rank IS NULL THEN 'new' ELSE 'ranked' END AS status
+  FROM first FULL JOIN ranked r USING (policy)"""))
 def leaky_vs_purged(spark, sf):
     """Ranks of the policies on random folds, where a leaky one wins, and on purged folds, where it is blocked."""
     spans = lb.intervals(spark, sf)
     masks = ev.policy_masks(spans)
     _, test = ev.fold_sizes(spans.count(), lb.FOLDS)
-    mixed = ev.naive_folds(spans, lb.FOLDS, test, 7, lb.by_time(spark, sf), "seq")
+    mixed = ev.naive_folds(spans, lb.FOLDS, test, 7, "seq")
     naive = ev.policy_summary(ev.leaderboard(mixed, masks | {"leaky_future": F.col("markout") > 0}, "markout"))
     return ev.rank_shift(naive, ev.policy_summary(lb.board(spark, sf)))
 
