@@ -18,7 +18,8 @@ from pitlake.plans.views import DAY, HOUR, micros, r6, trades, versions, with_vi
 from pitlake.session import kept, table
 
 
-@register("overlap_leak", lb.sql(lb.FOLD, "SELECT DISTINCT 'temporal_overlap' AS probe, t.fold || ':' || t.pos AS item FROM (SELECT b.fold, n.* FROM num n JOIN bound b ON n.pos < b.tp AND n.e >= b.ts) t JOIN test e ON e.fold = t.fold AND t.s <= e.e AND e.s <= t.e"))
+@register("overlap_leak", lb.sql(lb.FOLD, """SELECT DISTINCT 'temporal_overlap' AS probe, t.fold || ':' || t.pos AS item FROM (SELECT b.fold, n.* FROM num n JOIN
+    bound b ON n.pos < b.tp AND n.e >= b.ts) t JOIN test e ON e.fold = t.fold AND t.s <= e.e AND e.s <= t.e"""))
 def overlap_leak(spark, sf):
     """Unpurged training rows whose label runs into the test block."""
     spans = lb.intervals(spark, sf)
@@ -43,14 +44,17 @@ def probe_normaliser(spark, sf):
     return pr.normaliser_leak(f, fitted, "seq").groupBy(F.split("item", ":")[0].cast("int").alias("fold")).agg(F.count("*").alias("n"))
 
 
-@register("probe_survivorship", "SELECT CAST(o_custkey AS VARCHAR) AS item FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY o_custkey HAVING o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01')")
+@register("probe_survivorship", """SELECT CAST(o_custkey AS VARCHAR) AS item FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY o_custkey HAVING
+    o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01')""")
 def probe_survivorship(spark, sf):
     """Customers of the first year that the last year's universe drops."""
     o = table(spark, sf, "orders").withColumn("symbol", F.col("o_custkey"))
     return pr.survivorship_leak(o.where("o_orderdate < TIMESTAMP_NTZ'1996-01-01 00:00:00'"), o.where("o_orderdate >= TIMESTAMP_NTZ'2001-01-01 00:00:00'")).select("item")
 
 
-@register("probe_perturbation", with_views("trades", "WITH a AS (SELECT seq, lead(px) OVER (PARTITION BY symbol ORDER BY t, seq) AS p, t FROM trades), b AS (SELECT seq, lead(CASE WHEN t > 1705276800000000 THEN px + 1 ELSE px END) OVER (PARTITION BY symbol ORDER BY t, seq) AS p FROM trades) SELECT CAST(a.seq AS VARCHAR) AS item FROM a JOIN b USING (seq) WHERE a.t <= 1705276800000000 AND (abs(a.p - b.p) > 0 OR (a.p IS NULL) <> (b.p IS NULL))"))
+@register("probe_perturbation", with_views("trades", """WITH a AS (SELECT seq, lead(px) OVER (PARTITION BY symbol ORDER BY t, seq) AS p, t FROM trades), b AS (SELECT
+    seq, lead(CASE WHEN t > 1705276800000000 THEN px + 1 ELSE px END) OVER (PARTITION BY symbol ORDER BY t, seq) AS p FROM trades) SELECT CAST(a.seq AS VARCHAR) AS item
+    FROM a JOIN b USING (seq) WHERE a.t <= 1705276800000000 AND (abs(a.p - b.p) > 0 OR (a.p IS NULL) <> (b.p IS NULL))"""))
 def probe_perturbation(spark, sf):
     """Predictions at or before a cutoff that a change of later prices moves: the leaky signal is caught."""
     from pyspark.sql import Window
@@ -61,7 +65,8 @@ def probe_perturbation(spark, sf):
     return pr.perturbation_leak(leaky(t), leaky(t.withColumn("px", F.when(F.col("t") > cut, F.col("px") + 1).otherwise(F.col("px")))), "seq").select("item")
 
 
-@register("probe_target", "SELECT n_name AS policy, count(*) AS n FROM nation, part WHERE p_partkey % 25 = n_nationkey AND (lower(trim(p_type)) = lower('small') OR starts_with(lower(trim(p_name)), 'small')) AND (lower(trim(p_type)) = 'small') GROUP BY 1")
+@register("probe_target", """SELECT n_name AS policy, count(*) AS n FROM nation, part WHERE p_partkey % 25 = n_nationkey AND (lower(trim(p_type)) = lower('small') OR
+    starts_with(lower(trim(p_name)), 'small')) AND (lower(trim(p_type)) = 'small') GROUP BY 1""")
 def probe_target(spark, sf):
     """features named as their target, by policy (part types as features of a policy for each nation)."""
     f = table(spark, sf, "part").join(table(spark, sf, "nation"), F.col("p_partkey") % 25 == F.col("n_nationkey")).select(F.col("n_name").alias("policy"), F.col("p_type").alias("feature"), F.lit("small").alias("target"))
@@ -75,12 +80,16 @@ def probe_zero_cost(spark, sf):
     return pr.zero_cost_leak(c).groupBy("item").agg(F.count("*").alias("n"))
 
 
-@register("falsification_matrix", lb.sql(lb.FOLD, """, sh AS (SELECT seq, markout, coalesce(lead(markout) OVER (ORDER BY t, seq), 0) AS n FROM rec), sy AS (SELECT DISTINCT symbol FROM rec),
+@register("falsification_matrix", lb.sql(lb.FOLD, """, sh AS (SELECT seq, markout, coalesce(lead(markout) OVER (ORDER BY t, seq), 0) AS n FROM rec), sy AS (SELECT
+    DISTINCT symbol FROM rec),
   found AS (SELECT 'label_lookahead' AS defect, (SELECT count(*) FROM sh WHERE markout <> n) AS evidence
-    UNION ALL SELECT 'feature_from_future', (SELECT count(*) FROM sy, (VALUES ('maker_side'), ('markout_bps_1h')) AS f(feature) WHERE feature = 'markout_bps_1h' OR starts_with(feature, 'markout_bps_1h_'))
+    UNION ALL SELECT 'feature_from_future', (SELECT count(*) FROM sy, (VALUES ('maker_side'), ('markout_bps_1h')) AS f(feature) WHERE feature = 'markout_bps_1h' OR
+    starts_with(feature, 'markout_bps_1h_'))
     UNION ALL SELECT 'survivorship', (SELECT count(*) FROM sy WHERE symbol NOT IN (SELECT symbol FROM sy WHERE symbol < 8))
-    UNION ALL SELECT 'fold_contamination', (SELECT count(*) FROM (SELECT DISTINCT t.fold, t.pos FROM (SELECT b.fold, n.* FROM num n JOIN bound b ON n.pos < b.tp AND n.e >= b.ts) t JOIN test e ON e.fold = t.fold AND t.s <= e.e AND e.s <= t.e))
-    UNION ALL SELECT 'fee_slippage_zeroing', (SELECT count(*) FROM (SELECT symbol, 0.0 AS maker, 0.0 AS taker, 0.0 AS slip FROM sy) WHERE maker = 0 AND taker = 0 AND slip = 0))
+    UNION ALL SELECT 'fold_contamination', (SELECT count(*) FROM (SELECT DISTINCT t.fold, t.pos FROM (SELECT b.fold, n.* FROM num n JOIN bound b ON n.pos < b.tp AND n.e
+    >= b.ts) t JOIN test e ON e.fold = t.fold AND t.s <= e.e AND e.s <= t.e))
+    UNION ALL SELECT 'fee_slippage_zeroing', (SELECT count(*) FROM (SELECT symbol, 0.0 AS maker, 0.0 AS taker, 0.0 AS slip FROM sy) WHERE maker = 0 AND taker = 0 AND slip
+    = 0))
   SELECT defect, evidence, evidence > 0 AS caught FROM found"""))
 def falsification_matrix(spark, sf):
     """Five injected defects, each to be caught by its probe."""
@@ -99,16 +108,24 @@ def falsification_matrix(spark, sf):
 CUT = 915_148_800_000_000  # 1999-01-01
 TRADE_CUT = 1_705_276_800_000_000  # 2024-01-15
 MUTATION = f"""WITH late AS (SELECT * REPLACE (CASE WHEN observed > {CUT} THEN value + 1 ELSE value END AS value) FROM versions),
-  q2 AS (SELECT * REPLACE (CASE WHEN t > {TRADE_CUT} THEN bid + 1 ELSE bid END AS bid) FROM quotes), t2 AS (SELECT * REPLACE (CASE WHEN t > {TRADE_CUT} THEN qty + 7 ELSE qty END AS qty) FROM trades),
+  q2 AS (SELECT * REPLACE (CASE WHEN t > {TRADE_CUT} THEN bid + 1 ELSE bid END AS bid) FROM quotes), t2 AS (SELECT * REPLACE (CASE WHEN t > {TRADE_CUT} THEN qty + 7 ELSE
+    qty END AS qty) FROM trades),
   e2 AS (SELECT * REPLACE (CASE WHEN known > {CUT} THEN weight + 1 ELSE weight END AS weight) FROM edges),
-  points AS (SELECT id, observed, value FROM versions WHERE observed <= {CUT} QUALIFY row_number() OVER (PARTITION BY key ORDER BY observed DESC, id DESC) = 1), points2 AS (SELECT id, observed, value FROM late WHERE observed <= {CUT} QUALIFY row_number() OVER (PARTITION BY key ORDER BY observed DESC, id DESC) = 1),
-  leaky AS (SELECT id, observed, lead(value) OVER w AS value FROM versions WINDOW w AS (PARTITION BY key ORDER BY observed, id)), leaky2 AS (SELECT id, observed, lead(value) OVER w AS value FROM late WINDOW w AS (PARTITION BY key ORDER BY observed, id)),
-  prices AS (SELECT t.seq, q.bid FROM trades t ASOF LEFT JOIN quotes q ON t.symbol = q.symbol AND t.t >= q.t WHERE t.t <= {TRADE_CUT}), prices2 AS (SELECT t.seq, q.bid FROM trades t ASOF LEFT JOIN q2 q ON t.symbol = q.symbol AND t.t >= q.t WHERE t.t <= {TRADE_CUT}),
-  volumes AS (SELECT * FROM (SELECT seq, t, sum(qty) OVER w AS v FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY t RANGE BETWEEN {HOUR} PRECEDING AND CURRENT ROW)) WHERE t <= {TRADE_CUT}), volumes2 AS (SELECT * FROM (SELECT seq, t, sum(qty) OVER w AS v FROM t2 WINDOW w AS (PARTITION BY symbol ORDER BY t RANGE BETWEEN {HOUR} PRECEDING AND CURRENT ROW)) WHERE t <= {TRADE_CUT}),
-  sinks AS (SELECT b, sum(CAST(weight AS DECIMAL(18, 2))) AS w FROM edges WHERE known <= {CUT} GROUP BY 1), sinks2 AS (SELECT b, sum(CAST(weight AS DECIMAL(18, 2))) AS w FROM e2 WHERE known <= {CUT} GROUP BY 1)
+  points AS (SELECT id, observed, value FROM versions WHERE observed <= {CUT} QUALIFY row_number() OVER (PARTITION BY key ORDER BY observed DESC, id DESC) = 1), points2
+    AS (SELECT id, observed, value FROM late WHERE observed <= {CUT} QUALIFY row_number() OVER (PARTITION BY key ORDER BY observed DESC, id DESC) = 1),
+  leaky AS (SELECT id, observed, lead(value) OVER w AS value FROM versions WINDOW w AS (PARTITION BY key ORDER BY observed, id)), leaky2 AS (SELECT id, observed,
+    lead(value) OVER w AS value FROM late WINDOW w AS (PARTITION BY key ORDER BY observed, id)),
+  prices AS (SELECT t.seq, q.bid FROM trades t ASOF LEFT JOIN quotes q ON t.symbol = q.symbol AND t.t >= q.t WHERE t.t <= {TRADE_CUT}), prices2 AS (SELECT t.seq, q.bid
+    FROM trades t ASOF LEFT JOIN q2 q ON t.symbol = q.symbol AND t.t >= q.t WHERE t.t <= {TRADE_CUT}),
+  volumes AS (SELECT * FROM (SELECT seq, t, sum(qty) OVER w AS v FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY t RANGE BETWEEN {HOUR} PRECEDING AND CURRENT ROW))
+    WHERE t <= {TRADE_CUT}), volumes2 AS (SELECT * FROM (SELECT seq, t, sum(qty) OVER w AS v FROM t2 WINDOW w AS (PARTITION BY symbol ORDER BY t RANGE BETWEEN {HOUR}
+    PRECEDING AND CURRENT ROW)) WHERE t <= {TRADE_CUT}),
+  sinks AS (SELECT b, sum(CAST(weight AS DECIMAL(18, 2))) AS w FROM edges WHERE known <= {CUT} GROUP BY 1), sinks2 AS (SELECT b, sum(CAST(weight AS DECIMAL(18, 2))) AS w
+    FROM e2 WHERE known <= {CUT} GROUP BY 1)
 """
 MUTATION_SQL = MUTATION + " UNION ALL ".join(
-    f"SELECT '{n}' AS query, (SELECT count(*) FROM (SELECT * FROM {n} WHERE {w} EXCEPT ALL SELECT * FROM {n}2 WHERE {w})) + (SELECT count(*) FROM (SELECT * FROM {n}2 WHERE {w} EXCEPT ALL SELECT * FROM {n} WHERE {w})) AS changed"
+    f"""SELECT '{n}' AS query, (SELECT count(*) FROM (SELECT * FROM {n} WHERE {w} EXCEPT ALL SELECT * FROM {n}2 WHERE {w})) + (SELECT count(*) FROM (SELECT * FROM {n}2
+    WHERE {w} EXCEPT ALL SELECT * FROM {n} WHERE {w})) AS changed"""
     for n, w in (("points", f"observed <= {CUT}"), ("leaky", f"observed <= {CUT}"), ("prices", "true"), ("volumes", "true"), ("sinks", "true"))
 )
 
@@ -167,7 +184,8 @@ NAIVE = lb.STACK.replace(") AS p(policy", ", ('leaky_future', markout > 0)) AS p
   naive AS (SELECT place // te AS nf, policy, CASE WHEN quoted THEN markout ELSE 0 END - markout AS lift FROM mixed {NAIVE} WHERE place // te < {lb.FOLDS}),
   cells AS (SELECT nf, policy, avg(lift) AS lift FROM naive GROUP BY ALL), means AS (SELECT policy, avg(lift) AS lift FROM cells GROUP BY 1),
   first AS (SELECT policy, CAST(row_number() OVER (ORDER BY lift DESC, policy) AS INTEGER) AS naive_rank FROM means)
-  SELECT policy, naive_rank, CAST(r.rank AS INTEGER) AS audited_rank, naive_rank - CAST(r.rank AS INTEGER) AS delta, CASE WHEN r.rank IS NULL THEN 'blocked' WHEN naive_rank IS NULL THEN 'new' ELSE 'ranked' END AS status
+  SELECT policy, naive_rank, CAST(r.rank AS INTEGER) AS audited_rank, naive_rank - CAST(r.rank AS INTEGER) AS delta, CASE WHEN r.rank IS NULL THEN 'blocked' WHEN
+    naive_rank IS NULL THEN 'new' ELSE 'ranked' END AS status
   FROM first FULL JOIN ranked r USING (policy)"""))
 def leaky_vs_purged(spark, sf):
     """Ranks of the policies on random folds, where a leaky one wins, and on purged folds, where it is blocked."""
@@ -183,7 +201,8 @@ def leaky_vs_purged(spark, sf):
 SCENARIOS = (("base", 1, 0, "true", 0), ("delay_15m", 1, HOUR // 4, "true", 0), ("double_cost", 2, 0, "true", 0), ("no_buys", 1, 0, "side = -1", 0), ("small_only", 1, 0, "qty < 10", 0), ("backfilled", 1, 0, "true", HOUR))
 
 
-@register("scenario_sweep", with_views("quotes trades", " UNION ALL ".join(f"SELECT '{n}' AS scenario, count(*) AS rows, round(avg(t.side * (q.mid - t.px) / t.px * 10000) - {c}, 4) + 0.0 AS net FROM (SELECT * FROM trades WHERE {w} AND px > 0) t ASOF JOIN quotes q ON t.symbol = q.symbol AND t.t + {HOUR + d - early} <= q.t" for n, c, d, w, early in SCENARIOS)))
+@register("scenario_sweep", with_views("quotes trades", " UNION ALL ".join(f"""SELECT '{n}' AS scenario, count(*) AS rows, round(avg(t.side * (q.mid - t.px) / t.px *
+    10000) - {c}, 4) + 0.0 AS net FROM (SELECT * FROM trades WHERE {w} AND px > 0) t ASOF JOIN quotes q ON t.symbol = q.symbol AND t.t + {HOUR + d - early} <= q.t""" for n, c, d, w, early in SCENARIOS)))
 def scenario_sweep(spark, sf):
     """Mean markout net of cost as declared, with a delay, at double cost, on two parts of the trades, and with quotes known too early."""
     from pitlake.operators.asof import asof_join
@@ -203,7 +222,10 @@ def scenario_sweep(spark, sf):
 EVIDENCE = {"base": ("true", "true", 0), "no_facts": ("true", "false", 0), "no_graph": ("false", "true", 0), "delayed": ("true", "true", 90 * DAY)}
 
 
-@register("evidence_scenarios", with_views("edges", "WITH f AS (SELECT s_suppkey, CAST(s_acctbal AS DECIMAL(12, 2)) AS value FROM supplier) " + " UNION ALL ".join(f"SELECT '{n}' AS scenario, count(*) AS parts, count(*) FILTER (WHERE missing) AS missing, round(coalesce(avg(mean), 0), 4) + 0.0 AS mean FROM (SELECT b, sum(value) IS NULL AS missing, coalesce(CAST(sum(CAST(weight AS DECIMAL(12, 0)) * value) AS DOUBLE) / sum(CASE WHEN value IS NOT NULL THEN weight END), 0) AS mean FROM edges LEFT JOIN f ON s_suppkey = a AND {w} WHERE {g} AND known + {d} <= {CUT} AND active AND since <= {CUT} AND until > {CUT} GROUP BY b)" for n, (g, w, d) in EVIDENCE.items())))
+@register("evidence_scenarios", with_views("edges", "WITH f AS (SELECT s_suppkey, CAST(s_acctbal AS DECIMAL(12, 2)) AS value FROM supplier) " + " UNION ALL ".join(f"""SELECT '{n}' AS scenario, count(*) AS parts,
+    count(*) FILTER (WHERE missing) AS missing, round(coalesce(avg(mean), 0), 4) + 0.0 AS mean FROM (SELECT b, sum(value) IS NULL AS missing,
+    coalesce(CAST(sum(CAST(weight AS DECIMAL(12, 0)) * value) AS DOUBLE) / sum(CASE WHEN value IS NOT NULL THEN weight END), 0) AS mean FROM edges LEFT JOIN f ON
+    s_suppkey = a AND {w} WHERE {g} AND known + {d} <= {CUT} AND active AND since <= {CUT} AND until > {CUT} GROUP BY b)""" for n, (g, w, d) in EVIDENCE.items())))
 def evidence_scenarios(spark, sf):
     """The network metric of each part as declared, without facts, without the graph, and with edges known ninety days later."""
     from pitlake.plans.views import edges
@@ -220,7 +242,9 @@ def evidence_scenarios(spark, sf):
     return pr.scenarios(frame, {n: variant(*x) for n, x in EVIDENCE.items()}, run)
 
 
-@register("quality_quarantine", "SELECT array_to_string(list_filter([CASE WHEN NOT l_quantity > 2 THEN 'quantity' END, CASE WHEN NOT l_extendedprice / l_quantity > 950 THEN 'price' END, CASE WHEN NOT l_linenumber <> 3 THEN 'line' END], lambda x: x IS NOT NULL), ',') AS violations, count(*) AS n FROM lineitem WHERE NOT (l_quantity > 2 AND l_extendedprice / l_quantity > 950 AND l_linenumber <> 3) GROUP BY 1")
+@register("quality_quarantine", """SELECT array_to_string(list_filter([CASE WHEN NOT l_quantity > 2 THEN 'quantity' END, CASE WHEN NOT l_extendedprice / l_quantity >
+    950 THEN 'price' END, CASE WHEN NOT l_linenumber <> 3 THEN 'line' END], lambda x: x IS NOT NULL), ',') AS violations, count(*) AS n FROM lineitem WHERE NOT
+    (l_quantity > 2 AND l_extendedprice / l_quantity > 950 AND l_linenumber <> 3) GROUP BY 1""")
 def quality_quarantine(spark, sf):
     """Rows that break rules, by the names of the rules."""
     rules = {"quantity": F.col("l_quantity") > 2, "price": F.col("l_extendedprice") / F.col("l_quantity") > 950, "line": F.col("l_linenumber") != 3}
@@ -228,14 +252,17 @@ def quality_quarantine(spark, sf):
     return bad.groupBy(F.array_join("violations", ",").alias("violations")).agg(F.count("*").alias("n"))
 
 
-@register("conflicting_keys", "SELECT l_orderkey, l_linenumber, count(DISTINCT (l_partkey, l_suppkey, l_quantity, l_shipdate)) AS payloads FROM lineitem GROUP BY ALL HAVING count(DISTINCT (l_partkey, l_suppkey, l_quantity, l_shipdate)) > 1")
+@register("conflicting_keys", """SELECT l_orderkey, l_linenumber, count(DISTINCT (l_partkey, l_suppkey, l_quantity, l_shipdate)) AS payloads FROM lineitem GROUP BY
+    ALL HAVING count(DISTINCT (l_partkey, l_suppkey, l_quantity, l_shipdate)) > 1""")
 def conflicting_keys(spark, sf):
     """Order lines with one key and several payloads."""
     l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
     return ru.conflicts(l, ["l_orderkey", "l_linenumber"])
 
 
-@register("reconciliation", "SELECT status, count(*) AS n FROM (SELECT CASE WHEN e.o_orderkey IS NULL THEN 'missing' WHEN abs(o.o_totalprice - e.want) > 100 THEN 'mismatch' ELSE 'ok' END AS status FROM orders o LEFT JOIN (SELECT o_orderkey, o_totalprice + o_orderkey % 300 AS want FROM orders WHERE o_orderkey % 10 <> 0) e USING (o_orderkey)) GROUP BY 1")
+@register("reconciliation", """SELECT status, count(*) AS n FROM (SELECT CASE WHEN e.o_orderkey IS NULL THEN 'missing' WHEN abs(o.o_totalprice - e.want) > 100 THEN
+    'mismatch' ELSE 'ok' END AS status FROM orders o LEFT JOIN (SELECT o_orderkey, o_totalprice + o_orderkey % 300 AS want FROM orders WHERE o_orderkey % 10 <> 0) e USING
+    (o_orderkey)) GROUP BY 1""")
 def reconciliation(spark, sf):
     """Computed against expected totals with a tolerance."""
     o = table(spark, sf, "orders")
@@ -251,7 +278,8 @@ def semantic_ids(spark, sf):
 
 
 @register("content_hash", """WITH l AS (
-    SELECT o_orderkey AS k, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":' || CAST(o_totalprice AS VARCHAR) || '}') AS h FROM orders),
+    SELECT o_orderkey AS k, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":' ||
+    CAST(o_totalprice AS VARCHAR) || '}') AS h FROM orders),
   a AS (SELECT k // 1000 AS a_g, sha256(string_agg(h, '' ORDER BY k)) AS a_h, count(*) AS a_n FROM l GROUP BY 1),
   b AS (SELECT a_g // 4096 AS b_g, sha256(string_agg(a_h, '' ORDER BY a_g)) AS b_h, sum(a_n) AS b_n FROM a GROUP BY 1),
   c AS (SELECT b_g // 4096 AS c_g, sha256(string_agg(b_h, '' ORDER BY b_g)) AS c_h, sum(b_n) AS c_n FROM b GROUP BY 1)
@@ -262,8 +290,11 @@ def content_hash(spark, sf):
     return pr.content_hash(o, [F.col("o_orderkey")], F.floor(F.col("o_orderkey") / 1000))
 
 
-@register("link_extract", r"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1)) AS href FROM pages), h AS (SELECT *, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, regexp_extract(url, '^(https?)://', 1) AS scheme FROM l),
-  r AS (SELECT page_id, root, regexp_replace(CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN scheme || ':' || href WHEN starts_with(href, '/') THEN root || href WHEN starts_with(href, '#') OR regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') OR href = '' THEN NULL ELSE root || coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+(/(?:[^?#]*/)?)', 1), ''), '/') || href END, '#.*$', '') AS link FROM h)
+@register("link_extract", r"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1)) AS href FROM pages), h AS (SELECT *,
+    regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, regexp_extract(url, '^(https?)://', 1) AS scheme FROM l),
+  r AS (SELECT page_id, root, regexp_replace(CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN scheme || ':' || href WHEN
+    starts_with(href, '/') THEN root || href WHEN starts_with(href, '#') OR regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') OR href = '' THEN NULL ELSE root ||
+    coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+(/(?:[^?#]*/)?)', 1), ''), '/') || href END, '#.*$', '') AS link FROM h)
   SELECT DISTINCT page_id, link, regexp_extract(link, '^(https?://[^/?#]+)', 1) = root AS same_host FROM r WHERE link IS NOT NULL""")
 def link_extract(spark, sf):
     """Links of every page, made absolute, without fragments and repeats."""
@@ -272,13 +303,15 @@ def link_extract(spark, sf):
     return links(table(spark, sf, "pages").select("page_id", "url", "html"), "page_id")
 
 
-@register("allowed_hosts", r"SELECT page_id, regexp_matches(url, '^https://') AND (regexp_extract(lower(url), '^https://([^/:?#]+)', 1) = 'example.org' OR ends_with(regexp_extract(lower(url), '^https://([^/:?#]+)', 1), '.example.org')) AS allowed FROM pages")
+@register("allowed_hosts", r"""SELECT page_id, regexp_matches(url, '^https://') AND (regexp_extract(lower(url), '^https://([^/:?#]+)', 1) = 'example.org' OR
+    ends_with(regexp_extract(lower(url), '^https://([^/:?#]+)', 1), '.example.org')) AS allowed FROM pages""")
 def allowed_hosts(spark, sf):
     """Pages of hosts on a list, over https."""
     return table(spark, sf, "pages").select("page_id", fn.allowed_host(F.lower("url"), ["example.org"]).alias("allowed"))
 
 
-@register("csv_profile", " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) FILTER (WHERE trim(CAST({c} AS VARCHAR)) = '' OR {c} IS NULL) AS missing, count(*) FILTER (WHERE TRY_CAST({c} AS DOUBLE) IS NOT NULL) AS numeric, count(*) AS rows FROM customer" for c in ("c_custkey", "c_name", "c_mktsegment")))
+@register("csv_profile", " UNION ALL ".join(f"""SELECT '{c}' AS name, count(*) FILTER (WHERE trim(CAST({c} AS VARCHAR)) = '' OR {c} IS NULL) AS missing, count(*)
+    FILTER (WHERE TRY_CAST({c} AS DOUBLE) IS NOT NULL) AS numeric, count(*) AS rows FROM customer""" for c in ("c_custkey", "c_name", "c_mktsegment")))
 def csv_profile(spark, sf):
     """Per column missing cells, numeric cells and rows, in one pass over columns read as text."""
     from pitlake.sources.documents import profile
@@ -287,7 +320,9 @@ def csv_profile(spark, sf):
     return profile(c).select("name", "missing", "numeric", "rows")
 
 
-@register("dataset_relevance", "WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), s AS (SELECT doc_id, (CAST(contains(t, 'licensed') AS INTEGER) + CAST(contains(t, 'under') AS INTEGER) + CAST(contains(t, 'license') AS INTEGER)) / 3 AS rel FROM d) SELECT doc_id, round(least(1, greatest(0, 0.65 * rel + 0.35 * 0.5 - 0.1 * 0.2)), 6) AS score FROM s ORDER BY score DESC, doc_id LIMIT 25")
+@register("dataset_relevance", """WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), s AS (SELECT doc_id, (CAST(contains(t, 'licensed') AS INTEGER) +
+    CAST(contains(t, 'under') AS INTEGER) + CAST(contains(t, 'license') AS INTEGER)) / 3 AS rel FROM d) SELECT doc_id, round(least(1, greatest(0, 0.65 * rel + 0.35 * 0.5
+    - 0.1 * 0.2)), 6) AS score FROM s ORDER BY score DESC, doc_id LIMIT 25""")
 def dataset_relevance(spark, sf):
     """The 25 documents with the most words of a query."""
     from pitlake.sources.documents import relevance
@@ -296,7 +331,8 @@ def dataset_relevance(spark, sf):
     return relevance(d, F.col("text"), "Licensed under license a", "doc_id", 25).select("doc_id", r6("score").alias("score"))
 
 
-@register("conversation_gaps", "WITH t AS (SELECT conv_id, turn, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS gap FROM conversations) SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE gap <> 1) AS gaps, min(turn) AS first FROM t GROUP BY 1")
+@register("conversation_gaps", """WITH t AS (SELECT conv_id, turn, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS gap FROM conversations) SELECT
+    conv_id, count(*) AS turns, count(*) FILTER (WHERE gap <> 1) AS gaps, min(turn) AS first FROM t GROUP BY 1""")
 def conversation_gaps(spark, sf):
     """Order and completeness of each conversation's turns."""
     from pyspark.sql import Window
@@ -325,7 +361,9 @@ def first_seen(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.min("l_orderkey").alias("first")).orderBy("first", "l_suppkey")
 
 
-@register("period_bounds", "SELECT o_orderkey, CAST(CASE o_orderkey % 3 WHEN 0 THEN make_date(year(o_orderdate), 1, 1) WHEN 1 THEN date_trunc('month', o_orderdate) ELSE o_orderdate END AS DATE) AS first, CAST(CASE o_orderkey % 3 WHEN 0 THEN make_date(year(o_orderdate), 12, 31) WHEN 1 THEN last_day(o_orderdate) ELSE o_orderdate END AS DATE) AS last FROM orders")
+@register("period_bounds", """SELECT o_orderkey, CAST(CASE o_orderkey % 3 WHEN 0 THEN make_date(year(o_orderdate), 1, 1) WHEN 1 THEN date_trunc('month', o_orderdate)
+    ELSE o_orderdate END AS DATE) AS first, CAST(CASE o_orderkey % 3 WHEN 0 THEN make_date(year(o_orderdate), 12, 31) WHEN 1 THEN last_day(o_orderdate) ELSE o_orderdate
+    END AS DATE) AS last FROM orders""")
 def period_bounds(spark, sf):
     """bounds of periods written as a year, a month or a day."""
     text = F.substring(F.col("o_orderdate").cast("string"), 1, F.when(F.col("o_orderkey") % 3 == 0, 4).when(F.col("o_orderkey") % 3 == 1, 7).otherwise(10))

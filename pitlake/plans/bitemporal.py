@@ -28,7 +28,8 @@ def points_asof_reconstructed(spark, sf):
     return bt.points(versions(spark, sf), "reconstructed", SNAP, T0).select("id", "key", "period", "value")
 
 
-FACTS = """, facts AS (SELECT id, key, period, id AS revision, CASE WHEN status = 'F' THEN 'retracted' ELSE 'active' END AS status, key % 25 AS source_id, value, CASE WHEN published IS NOT NULL AND observed IS NOT NULL THEN greatest(published, observed) END AS ready FROM versions)"""
+FACTS = """, facts AS (SELECT id, key, period, id AS revision, CASE WHEN status = 'F' THEN 'retracted' ELSE 'active' END AS status, key % 25 AS source_id, value, CASE
+    WHEN published IS NOT NULL AND observed IS NOT NULL THEN greatest(published, observed) END AS ready FROM versions)"""
 
 
 def facts(spark, sf):
@@ -44,7 +45,9 @@ def sources(spark, sf):
 SOURCES = f", sources AS (SELECT CAST(n_nationkey AS BIGINT) AS source_id, {T0} + (n_nationkey - 20) * CAST({30 * DAY} AS BIGINT) AS ready FROM nation)"
 
 
-@register("fact_snapshot", with_views("versions", "WITH z AS (SELECT 1)" + FACTS + SOURCES + f" SELECT id, key, period, value FROM (SELECT f.*, row_number() OVER (PARTITION BY key, period ORDER BY revision DESC) AS n FROM facts f WHERE ready <= {T0} AND source_id IN (SELECT source_id FROM sources WHERE ready <= {T0})) WHERE n = 1 AND status = 'active'"))
+@register("fact_snapshot", with_views("versions", "WITH z AS (SELECT 1)" + FACTS + SOURCES + f""" SELECT id, key, period, value FROM (SELECT f.*, row_number() OVER
+    (PARTITION BY key, period ORDER BY revision DESC) AS n FROM facts f WHERE ready <= {T0} AND source_id IN (SELECT source_id FROM sources WHERE ready <= {T0})) WHERE n
+    = 1 AND status = 'active'"""))
 def fact_snapshot(spark, sf):
     """Facts and sources ready at a time; a retraction hides what it replaces."""
     return bt.fact_snapshot(facts(spark, sf), sources(spark, sf), T0, ["key", "period"]).select("id", "key", "period", "value")
@@ -63,7 +66,9 @@ def edge_snapshot(spark, sf):
     return bt.edge_snapshot(edges(spark, sf).withColumn("revision", F.lit(1)), T0).select("id", "a", "b", "weight")
 
 
-@register("neighbour_metric", with_views("edges", f"SELECT b, count(*) AS n_edges, coalesce(CAST(sum(CAST(weight * s_acctbal AS DECIMAL(28, 2))) AS DOUBLE) / nullif(sum(weight), 0), 0) AS mean, sum(weight) IS NULL AS missing FROM edges JOIN supplier ON a = s_suppkey WHERE known <= {T0} AND active AND since <= {T0} AND until > {T0} GROUP BY b"))
+@register("neighbour_metric", with_views("edges", f"""SELECT b, count(*) AS n_edges, coalesce(CAST(sum(CAST(weight * s_acctbal AS DECIMAL(28, 2))) AS DOUBLE) /
+    nullif(sum(weight), 0), 0) AS mean, sum(weight) IS NULL AS missing FROM edges JOIN supplier ON a = s_suppkey WHERE known <= {T0} AND active AND since <= {T0} AND
+    until > {T0} GROUP BY b"""))
 def neighbour_metric(spark, sf):
     """Mean balance of a part's suppliers, weighted by quantity."""
     live = bt.edge_snapshot(edges(spark, sf).withColumn("revision", F.lit(1)), T0).withColumn("weight", F.col("weight").cast("decimal(12,0)"))
@@ -71,7 +76,9 @@ def neighbour_metric(spark, sf):
     return bt.neighbour_metric(live, metric).select("b", "n_edges", "mean", "missing")
 
 
-@register("latest_metric", with_views("versions", "SELECT entity, metric, period, count(DISTINCT id) AS keys, min(value) AS value, count(DISTINCT id) > 1 AS ambiguous FROM (SELECT key % 100 AS entity, status AS metric, period, id, value, rank() OVER (PARTITION BY key % 100, status ORDER BY period DESC) AS r FROM versions WHERE id % 3 <> 0) WHERE r = 1 GROUP BY ALL"))
+@register("latest_metric", with_views("versions", """SELECT entity, metric, period, count(DISTINCT id) AS keys, min(value) AS value, count(DISTINCT id) > 1 AS
+    ambiguous FROM (SELECT key % 100 AS entity, status AS metric, period, id, value, rank() OVER (PARTITION BY key % 100, status ORDER BY period DESC) AS r FROM versions
+    WHERE id % 3 <> 0) WHERE r = 1 GROUP BY ALL"""))
 def latest_metric(spark, sf):
     """The last period's fact of each entity and metric, and whether it is ambiguous; every third fact is a part by region and does not count."""
     parts = F.when(F.col("id") % 3 == 0, F.create_map(F.lit("region"), F.lit("EU"))).otherwise(F.create_map().cast("map<string,string>"))
@@ -81,7 +88,8 @@ def latest_metric(spark, sf):
 
 NODES = f"""nodes AS (SELECT 's' || s_suppkey AS id, 'supplier' AS kind, s_name AS name, {T0} + (s_suppkey % 40 - 20) * {30 * DAY} AS known_from FROM supplier
     UNION ALL SELECT 'p' || p_partkey, 'part', p_name, {T0} + (p_partkey % 40 - 20) * {30 * DAY} FROM part),
-  layered AS (SELECT id, ['source', 'knowledge', 'statistical', 'predictive'][n % 4 + 1] AS layer, 's' || a AS a, 'p' || b AS b, known AS known_from, CASE WHEN n % 3 = 0 THEN known + {400 * DAY} END AS known_to FROM edges)"""
+  layered AS (SELECT id, ['source', 'knowledge', 'statistical', 'predictive'][n % 4 + 1] AS layer, 's' || a AS a, 'p' || b AS b, known AS known_from, CASE WHEN n % 3 = 0
+    THEN known + {400 * DAY} END AS known_to FROM edges)"""
 
 
 def graph_of(spark, sf):
@@ -113,9 +121,12 @@ def network_of(spark, sf):
     return bt.edge_snapshot(e, T0, first, d, c).select("id", "a", "b")
 
 
-@register("evidence_rows", with_views("versions", f"""WITH meta AS (SELECT c_custkey AS key, c_name AS name, c_nationkey % 4 AS p FROM customer WHERE c_custkey // 100 <= {SNAP})
-  SELECT 'observed' AS mode, v.id, m.name, v.value, 'u' || v.id % 90 AS url, 'r' || v.id % 90 AS receipt FROM versions v JOIN meta m USING (key) WHERE {OBS.format(t=T0)} AND v.id % 90 >= 10 AND p > 0
-  UNION ALL SELECT 'reconstructed', v.id, m.name, v.value, 'u' || v.id % 90, NULL FROM versions v JOIN meta m USING (key) WHERE v.generation <= {SNAP} AND v.reconstructed <= {T0} AND v.id % 90 >= 10 AND p > 0"""))
+@register("evidence_rows", with_views("versions", f"""WITH meta AS (SELECT c_custkey AS key, c_name AS name, c_nationkey % 4 AS p FROM customer WHERE c_custkey // 100
+    <= {SNAP})
+  SELECT 'observed' AS mode, v.id, m.name, v.value, 'u' || v.id % 90 AS url, 'r' || v.id % 90 AS receipt FROM versions v JOIN meta m USING (key) WHERE {OBS.format(t=T0)}
+    AND v.id % 90 >= 10 AND p > 0
+  UNION ALL SELECT 'reconstructed', v.id, m.name, v.value, 'u' || v.id % 90, NULL FROM versions v JOIN meta m USING (key) WHERE v.generation <= {SNAP} AND v.reconstructed
+    <= {T0} AND v.id % 90 >= 10 AND p > 0"""))
 def evidence_rows(spark, sf):
     """Each visible version with its series and receipt where the provider's policy allows it; rebuilt views withhold the receipt."""
     v = versions(spark, sf).withColumn("capture_id", F.col("id") % 90)
@@ -129,7 +140,8 @@ def evidence_rows(spark, sf):
     return out
 
 
-@register("snapshot_many_times", with_views("versions", f"WITH d AS (SELECT {T0} + i * {120 * DAY} AS decision FROM range(0, 6) AS r(i)) SELECT key, decision, arg_max(id, id) AS id, arg_max(value, id) AS value FROM d JOIN versions v ON v.observed <= d.decision GROUP BY ALL"))
+@register("snapshot_many_times", with_views("versions", f"""WITH d AS (SELECT {T0} + i * {120 * DAY} AS decision FROM range(0, 6) AS r(i)) SELECT key, decision,
+    arg_max(id, id) AS id, arg_max(value, id) AS value FROM d JOIN versions v ON v.observed <= d.decision GROUP BY ALL"""))
 def snapshot_many_times(spark, sf):
     """The newest version of each key at six decision times."""
     d = spark.range(6).select((F.lit(T0) + F.col("id") * 120 * DAY).alias("decision"))
@@ -137,7 +149,9 @@ def snapshot_many_times(spark, sf):
     return bt.snapshot_many(d, v, ["key"], F.col("id"))
 
 
-@register("series_catalog", with_views("versions", f"SELECT c_custkey AS key, c_name AS name, coalesce(n, 0) AS versions FROM customer LEFT JOIN (SELECT key, count(*) AS n FROM versions WHERE {OBS.format(t=T0)} GROUP BY 1) ON key = c_custkey WHERE c_custkey // 100 <= {SNAP} AND contains(lower(c_name), '7') AND c_nationkey % 3 <> 1"))
+@register("series_catalog", with_views("versions", f"""SELECT c_custkey AS key, c_name AS name, coalesce(n, 0) AS versions FROM customer LEFT JOIN (SELECT key,
+    count(*) AS n FROM versions WHERE {OBS.format(t=T0)} GROUP BY 1) ON key = c_custkey WHERE c_custkey // 100 <= {SNAP} AND contains(lower(c_name), '7') AND c_nationkey
+    % 3 <> 1"""))
 def series_catalog(spark, sf):
     """Series with the count of their visible versions, by a part of the name, of providers whose policy allows research."""
     meta = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.floor(F.col("c_custkey") / 100).alias("generation"), F.lit(0).alias("known"), (F.col("c_nationkey") % 3).cast("string").alias("provider"))
@@ -152,9 +166,11 @@ def revision_history(spark, sf):
     return bt.revision_history(v, v.agg(F.min("key")).first()[0], SNAP, T0 + 3000 * DAY).select("id", "observed", "value")
 
 
-@register("reveal_outcome", with_views("versions", f"""WITH past AS (SELECT key, period, value, id FROM (SELECT *, {PICK} AS n FROM versions WHERE {OBS.format(t=T0)}) WHERE n = 1), cur AS (SELECT key, period, value, id FROM (SELECT *, {PICK} AS n FROM versions WHERE {OBS.format(t=T0 + 3000 * DAY)}) WHERE n = 1),
+@register("reveal_outcome", with_views("versions", f"""WITH past AS (SELECT key, period, value, id FROM (SELECT *, {PICK} AS n FROM versions WHERE {OBS.format(t=T0)})
+    WHERE n = 1), cur AS (SELECT key, period, value, id FROM (SELECT *, {PICK} AS n FROM versions WHERE {OBS.format(t=T0 + 3000 * DAY)}) WHERE n = 1),
   base AS (SELECT key, arg_max(period, (period, id)) AS base_period, arg_max(value, (period, id)) AS base_value FROM past GROUP BY 1)
-  SELECT b.key, base_period, base_value, arg_min(c.period, (c.period, c.id)) AS period, arg_min(c.value, (c.period, c.id)) AS value FROM base b LEFT JOIN cur c ON c.key = b.key AND c.period > b.base_period GROUP BY ALL"""))
+  SELECT b.key, base_period, base_value, arg_min(c.period, (c.period, c.id)) AS period, arg_min(c.value, (c.period, c.id)) AS value FROM base b LEFT JOIN cur c ON c.key =
+    b.key AND c.period > b.base_period GROUP BY ALL"""))
 def reveal_outcome(spark, sf):
     """The baseline of a past scope and the first later value of the current one."""
     v = versions(spark, sf)
@@ -176,7 +192,8 @@ def keyset_page(spark, sf):
     return table(spark, sf, "orders").where("o_orderkey > 1000").orderBy("o_orderkey").limit(100).select("o_orderkey", "o_totalprice")
 
 
-@register("latest_changes", with_views("versions", f"SELECT id, key, greatest(published, observed) AS ready, period FROM versions WHERE published IS NOT NULL AND greatest(published, observed) <= {T0} ORDER BY ready DESC, period DESC, id DESC LIMIT 32"))
+@register("latest_changes", with_views("versions", f"""SELECT id, key, greatest(published, observed) AS ready, period FROM versions WHERE published IS NOT NULL AND
+    greatest(published, observed) <= {T0} ORDER BY ready DESC, period DESC, id DESC LIMIT 32"""))
 def latest_changes(spark, sf):
     """The 32 newest changes known at a time."""
     ready = bt.ready_observed(F.col("published"), F.col("observed"))
@@ -196,7 +213,8 @@ def catalogue_status(spark, sf):
     return o.groupBy(F.col("o_orderstatus").alias("state")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
 
 
-@register("data_coverage", "WITH b AS (SELECT user_id % 10 AS symbol, epoch_us(ts) // 3600000000 AS h FROM events) SELECT symbol, count(DISTINCT h) AS bars, greatest(0, (SELECT max(h) - min(h) + 1 FROM b) - count(DISTINCT h)) AS missing FROM b GROUP BY 1")
+@register("data_coverage", """WITH b AS (SELECT user_id % 10 AS symbol, epoch_us(ts) // 3600000000 AS h FROM events) SELECT symbol, count(DISTINCT h) AS bars,
+    greatest(0, (SELECT max(h) - min(h) + 1 FROM b) - count(DISTINCT h)) AS missing FROM b GROUP BY 1""")
 def data_coverage(spark, sf):
     """Hours with an event for each symbol, and hours of the whole span without."""
     b = table(spark, sf, "events").select((F.col("user_id") % 10).alias("symbol"), F.floor(micros("ts") / 3_600_000_000).alias("h"))
@@ -212,7 +230,8 @@ def fact_coverage(spark, sf):
     return bt.fact_coverage(versions(spark, sf), "status", DAY)
 
 
-PARTITIONS = f"p AS (SELECT user_id AS symbol, epoch_us(ts) // {DAY} AS date, count(*) AS rows FROM events GROUP BY ALL), s AS (SELECT DISTINCT symbol FROM p), d AS (SELECT DISTINCT date FROM p), g AS (SELECT symbol, date, coalesce(rows, 0) AS rows FROM s CROSS JOIN d LEFT JOIN p USING (symbol, date))"
+PARTITIONS = f"""p AS (SELECT user_id AS symbol, epoch_us(ts) // {DAY} AS date, count(*) AS rows FROM events GROUP BY ALL), s AS (SELECT DISTINCT symbol FROM p), d AS
+    (SELECT DISTINCT date FROM p), g AS (SELECT symbol, date, coalesce(rows, 0) AS rows FROM s CROSS JOIN d LEFT JOIN p USING (symbol, date))"""
 
 
 def user_days(spark, sf):
@@ -239,7 +258,8 @@ def partition_cap(spark, sf):
 
 
 @register("coverage_gate", f"""WITH {PARTITIONS}
-  SELECT count(*) FILTER (WHERE rows = 0) AS missing, count(DISTINCT symbol) FILTER (WHERE rows > 0) AS symbols, count(DISTINCT date) FILTER (WHERE rows > 0) AS dates, CAST(sum(rows) AS BIGINT) AS rows,
+  SELECT count(*) FILTER (WHERE rows = 0) AS missing, count(DISTINCT symbol) FILTER (WHERE rows > 0) AS symbols, count(DISTINCT date) FILTER (WHERE rows > 0) AS dates,
+    CAST(sum(rows) AS BIGINT) AS rows,
     CASE WHEN count(*) FILTER (WHERE rows = 0) > 0 THEN 'missing_partitions' ELSE '' END AS failures, count(*) FILTER (WHERE rows = 0) = 0 AS ready FROM g""")
 def coverage_gate(spark, sf):
     """Whether the partitions asked for are there."""

@@ -38,7 +38,8 @@ def broken_sql(view: str, rules: dict[str, str]) -> str:
 # --- rules ---------------------------------------------------------------------------------------------
 
 
-TRADE = "SELECT CASE WHEN seq % 19 = 0 THEN 's' ELSE 'S' END || symbol AS symbol, px - 5 AS price, qty - 3 AS quantity, maker_side * (1 + seq % 23 // 22) AS maker_side, seq AS first_id, CASE WHEN seq % 5 > 0 THEN seq + seq % 11 - 2 END AS last_id, t FROM trades"
+TRADE = """SELECT CASE WHEN seq % 19 = 0 THEN 's' ELSE 'S' END || symbol AS symbol, px - 5 AS price, qty - 3 AS quantity, maker_side * (1 + seq % 23 // 22) AS
+    maker_side, seq AS first_id, CASE WHEN seq % 5 > 0 THEN seq + seq % 11 - 2 END AS last_id, t FROM trades"""
 
 
 @register("trade_rules", with_views("trades", broken_sql(TRADE, {"symbol": "symbol = upper(symbol)", "price": "price > 0", "quantity": "quantity > 0", "maker_side": "abs(maker_side) = 1", "ids": "last_id IS NULL OR last_id >= first_id", "time": "t IS NOT NULL"})))
@@ -60,8 +61,10 @@ def quote_rules(spark, sf):
     return broken(given, ru.quote_rules())
 
 
-BAR = f"""SELECT start + CASE WHEN symbol = 3 THEN 1 ELSE 0 END AS s, start + CASE WHEN symbol = 4 THEN 2 ELSE 1 END * {HOUR} + CASE WHEN symbol = 3 THEN 1 ELSE 0 END AS e, start + {HOUR} + CASE WHEN symbol = 5 THEN -1 ELSE 0 END AS a,
-  open, high - CASE WHEN symbol = 6 THEN 1 ELSE 0 END AS high, low, close, volume FROM (SELECT symbol, t // {HOUR} * {HOUR} AS start, arg_min(px, (t, seq)) AS open, max(px) AS high, min(px) AS low, arg_max(px, (t, seq)) AS close, sum(qty) AS volume FROM trades GROUP BY ALL)"""
+BAR = f"""SELECT start + CASE WHEN symbol = 3 THEN 1 ELSE 0 END AS s, start + CASE WHEN symbol = 4 THEN 2 ELSE 1 END * {HOUR} + CASE WHEN symbol = 3 THEN 1 ELSE 0 END
+    AS e, start + {HOUR} + CASE WHEN symbol = 5 THEN -1 ELSE 0 END AS a,
+  open, high - CASE WHEN symbol = 6 THEN 1 ELSE 0 END AS high, low, close, volume FROM (SELECT symbol, t // {HOUR} * {HOUR} AS start, arg_min(px, (t, seq)) AS open,
+    max(px) AS high, min(px) AS low, arg_max(px, (t, seq)) AS close, sum(qty) AS volume FROM trades GROUP BY ALL)"""
 
 
 @register("bar_rules", with_views("trades", broken_sql(BAR, {"width": f"e - s = {HOUR}", "aligned": f"s % {HOUR} = 0", "available": "a >= e", "contained": "low <= open AND low <= close AND high >= open AND high >= close", "positive": "low > 0", "volume": "volume >= 0"})))
@@ -76,7 +79,8 @@ def bar_rules(spark, sf):
     return broken(given, ru.bar_rules(HOUR))
 
 
-FACT = "SELECT CASE WHEN o_orderkey % 7 > 0 THEN o_orderstatus ELSE '' END AS locator, o_orderkey % 30 AS a, 12 + o_orderkey % 9 AS b, o_orderkey % 29 - 14 AS scale, CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'O' THEN 'retracted' ELSE 'lost' END AS status FROM orders"
+FACT = """SELECT CASE WHEN o_orderkey % 7 > 0 THEN o_orderstatus ELSE '' END AS locator, o_orderkey % 30 AS a, 12 + o_orderkey % 9 AS b, o_orderkey % 29 - 14 AS
+    scale, CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'O' THEN 'retracted' ELSE 'lost' END AS status FROM orders"""
 
 
 @register("fact_rules", broken_sql(FACT, {"locator": "locator <> ''", "period": "a <= b", "scale": "scale BETWEEN -12 AND 12", "status": "status <> 'lost'"}))
@@ -98,7 +102,8 @@ def orphan_facts(spark, sf):
 KINDS = ("supplies", "exposed_to", "rents")
 
 
-@register("relationship_rules", with_views("edges", broken_sql("SELECT CAST(weight * 20000 AS BIGINT) AS w, since AS f, CASE WHEN a % 6 = 0 THEN NULL WHEN a % 11 = 0 THEN since ELSE until END AS u, CASE a % 3 WHEN 0 THEN 'supplies' WHEN 1 THEN 'exposed_to' ELSE 'rents' END AS r FROM edges", {"weight": "w >= 0 AND w <= 1000000", "valid": "u IS NULL OR u > f", "relation": "r IN ('supplies', 'purchases', 'competes', 'manufactures', 'exposed_to')"})))
+@register("relationship_rules", with_views("edges", broken_sql("""SELECT CAST(weight * 20000 AS BIGINT) AS w, since AS f, CASE WHEN a % 6 = 0 THEN NULL WHEN a % 11 =
+    0 THEN since ELSE until END AS u, CASE a % 3 WHEN 0 THEN 'supplies' WHEN 1 THEN 'exposed_to' ELSE 'rents' END AS r FROM edges""", {"weight": "w >= 0 AND w <= 1000000", "valid": "u IS NULL OR u > f", "relation": "r IN ('supplies', 'purchases', 'competes', 'manufactures', 'exposed_to')"})))
 def relationship_rules(spark, sf):
     """Edges with too large a weight, no span of validity or another kind."""
     a = F.col("a")
@@ -121,8 +126,10 @@ def duplicate_sources(spark, sf):
     return ru.duplicates(table(spark, sf, "documents").select(F.sha2("text", 256).alias("sha256")), ["sha256"])
 
 
-SEEN = """SELECT CASE doc_id % 6 WHEN 0 THEN 'instant' WHEN 1 THEN 'day' ELSE 'date_end_conservative' END AS precision, CASE doc_id % 5 WHEN 0 THEN 'Mars/Base' WHEN 1 THEN 'UTC' ELSE 'America/New_York' END AS zone,
-  CASE WHEN doc_id % 31 > 0 THEN n_chars END AS published, CASE WHEN doc_id % 4 > 0 THEN n_chars END AS first_seen, CASE WHEN doc_id % 7 > 0 THEN n_chars + doc_id % 9 - 2 END AS extracted, CASE WHEN doc_id % 8 > 0 THEN n_chars + doc_id % 10 - 3 END AS modelled FROM documents"""
+SEEN = """SELECT CASE doc_id % 6 WHEN 0 THEN 'instant' WHEN 1 THEN 'day' ELSE 'date_end_conservative' END AS precision, CASE doc_id % 5 WHEN 0 THEN 'Mars/Base' WHEN 1
+    THEN 'UTC' ELSE 'America/New_York' END AS zone,
+  CASE WHEN doc_id % 31 > 0 THEN n_chars END AS published, CASE WHEN doc_id % 4 > 0 THEN n_chars END AS first_seen, CASE WHEN doc_id % 7 > 0 THEN n_chars + doc_id % 9 - 2
+    END AS extracted, CASE WHEN doc_id % 8 > 0 THEN n_chars + doc_id % 10 - 3 END AS modelled FROM documents"""
 
 
 @register("availability_rules", broken_sql(SEEN, {"precision": "precision IN ('instant', 'date_end_conservative')", "zone": "zone <> 'Mars/Base'", "published": "published IS NOT NULL", "extracted": "first_seen IS NULL OR extracted IS NULL OR extracted >= first_seen", "modelled": "modelled IS NULL OR published IS NULL OR modelled >= published"}))
@@ -136,7 +143,9 @@ def availability_rules(spark, sf):
     return broken(given, ru.availability_rules())
 
 
-@register("order_rules", broken_sql("SELECT CASE WHEN o_orderkey % 13 > 0 THEN 'x' ELSE '' END AS s, ['new', 'cancel', 'replace', 'fill', 'amend'][o_orderkey % 5 + 1] AS action, CASE o_orderstatus WHEN 'F' THEN 'buy' WHEN 'O' THEN 'sell' ELSE 'hold' END AS side, o_totalprice - 2000 AS price, o_orderkey % 40 - 1 AS q, o_orderkey % 43 - 2 AS r FROM orders", {"named": "s <> ''", "action": "action <> 'amend'", "side": "side <> 'hold'", "price": "price > 0", "quantity": "q > 0", "remaining": "r >= 0 AND r <= q"}))
+@register("order_rules", broken_sql("""SELECT CASE WHEN o_orderkey % 13 > 0 THEN 'x' ELSE '' END AS s, ['new', 'cancel', 'replace', 'fill', 'amend'][o_orderkey % 5 +
+    1] AS action, CASE o_orderstatus WHEN 'F' THEN 'buy' WHEN 'O' THEN 'sell' ELSE 'hold' END AS side, o_totalprice - 2000 AS price, o_orderkey % 40 - 1 AS q, o_orderkey
+    % 43 - 2 AS r FROM orders""", {"named": "s <> ''", "action": "action <> 'amend'", "side": "side <> 'hold'", "price": "price > 0", "quantity": "q > 0", "remaining": "r >= 0 AND r <= q"}))
 def order_rules(spark, sf):
     """Orders as agents' orders without a name, with another action or side, no price or quantity, or more left than there was."""
     k, status = F.col("o_orderkey"), F.col("o_orderstatus")
@@ -155,8 +164,10 @@ def depth_rules(spark, sf):
     return broken(given, ru.depth_rules())
 
 
-KLINE = f"""SELECT CASE symbol WHEN 3 THEN '' ELSE '1h' END AS interval, start AS o_t, start + CASE WHEN symbol = 4 THEN -1 ELSE 1 END * {HOUR} AS c_t, open, high - CASE WHEN symbol = 6 THEN 1 ELSE 0 END AS high, low - CASE WHEN symbol = 7 THEN 20 ELSE 0 END AS low, close,
-  volume - CASE WHEN symbol = 8 THEN 30 ELSE 0 END AS volume, symbol % 10 - 1 AS trades FROM (SELECT symbol, t // {HOUR} * {HOUR} AS start, arg_min(px, (t, seq)) AS open, max(px) AS high, min(px) AS low, arg_max(px, (t, seq)) AS close, sum(qty) AS volume FROM trades GROUP BY ALL)"""
+KLINE = f"""SELECT CASE symbol WHEN 3 THEN '' ELSE '1h' END AS interval, start AS o_t, start + CASE WHEN symbol = 4 THEN -1 ELSE 1 END * {HOUR} AS c_t, open, high -
+    CASE WHEN symbol = 6 THEN 1 ELSE 0 END AS high, low - CASE WHEN symbol = 7 THEN 20 ELSE 0 END AS low, close,
+  volume - CASE WHEN symbol = 8 THEN 30 ELSE 0 END AS volume, symbol % 10 - 1 AS trades FROM (SELECT symbol, t // {HOUR} * {HOUR} AS start, arg_min(px, (t, seq)) AS open,
+    max(px) AS high, min(px) AS low, arg_max(px, (t, seq)) AS close, sum(qty) AS volume FROM trades GROUP BY ALL)"""
 
 
 @register("kline_rules", with_views("trades", broken_sql(KLINE, {"interval": "interval <> ''", "span": "c_t >= o_t", "positive": "low > 0 AND open > 0 AND close > 0", "contained": "low <= open AND low <= close AND high >= open AND high >= close", "volume": "volume >= 0", "trades": "trades >= 0"})))
@@ -179,14 +190,17 @@ def sessions_of(spark, sf):
     return trades(spark, sf).select((day * DAY + 9 * HOUR).alias("open"), (day * DAY + F.when(day % 5 == 0, 13).otherwise(16) * HOUR).alias("close")).distinct()
 
 
-@register("bars_in_sessions", with_views("trades", f"WITH {SESSIONS}, b AS (SELECT DISTINCT symbol, t // {HOUR} * {HOUR} AS start FROM trades) SELECT symbol, start, EXISTS (SELECT 1 FROM sessions s WHERE s.open <= start AND start + {HOUR} <= s.close) AS in_session FROM b"))
+@register("bars_in_sessions", with_views("trades", f"""WITH {SESSIONS}, b AS (SELECT DISTINCT symbol, t // {HOUR} * {HOUR} AS start FROM trades) SELECT symbol, start,
+    EXISTS (SELECT 1 FROM sessions s WHERE s.open <= start AND start + {HOUR} <= s.close) AS in_session FROM b"""))
 def bars_in_sessions(spark, sf):
     """Which hourly bars lie within a session."""
     b = br.from_prints(trades(spark, sf), HOUR, F.lit(0)).select("symbol", "start", "end")
     return ru.within_sessions(b, sessions_of(spark, sf), 7 * DAY).select("symbol", "start", "in_session")
 
 
-@register("actions_at_open", with_views("trades", f"WITH {SESSIONS}, a AS (SELECT p_partkey AS id, p_partkey % 10 AS symbol, 1704067200000000 + p_partkey % 40 * {DAY} + CASE WHEN p_partkey % 3 = 0 THEN 10 ELSE 9 END * {HOUR} AS effective FROM part) SELECT id, effective IN (SELECT open FROM sessions) AS at_open, count(*) OVER (PARTITION BY symbol, effective) = 1 AS alone FROM a"))
+@register("actions_at_open", with_views("trades", f"""WITH {SESSIONS}, a AS (SELECT p_partkey AS id, p_partkey % 10 AS symbol, 1704067200000000 + p_partkey % 40 *
+    {DAY} + CASE WHEN p_partkey % 3 = 0 THEN 10 ELSE 9 END * {HOUR} AS effective FROM part) SELECT id, effective IN (SELECT open FROM sessions) AS at_open, count(*) OVER
+    (PARTITION BY symbol, effective) = 1 AS alone FROM a"""))
 def actions_at_open(spark, sf):
     """Which corporate actions take effect at the open of a session, and which are their symbol's only one then."""
     k = F.col("p_partkey")
@@ -202,7 +216,9 @@ def action_rules(spark, sf):
     return broken(given, ru.action_rules())
 
 
-LOCAL = "SELECT CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 13 = 0 THEN INTERVAL '9 hours 31 minutes' ELSE INTERVAL '9 hours 30 minutes' END AS o, CAST(o_orderdate AS DATE) + INTERVAL '10 hours' AS c0, CAST(o_orderdate AS DATE) + CASE o_orderkey % 3 WHEN 0 THEN INTERVAL '13 hours' WHEN 1 THEN INTERVAL '16 hours' ELSE INTERVAL '40 hours' END AS c FROM orders"
+LOCAL = """SELECT CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 13 = 0 THEN INTERVAL '9 hours 31 minutes' ELSE INTERVAL
+    '9 hours 30 minutes' END AS o, CAST(o_orderdate AS DATE) + INTERVAL '10 hours' AS c0, CAST(o_orderdate AS DATE) + CASE o_orderkey % 3 WHEN 0 THEN INTERVAL '13 hours'
+    WHEN 1 THEN INTERVAL '16 hours' ELSE INTERVAL '40 hours' END AS c FROM orders"""
 
 
 @register("session_rules", broken_sql(LOCAL, {"weekday": "isodow(d) <= 5", "open": "strftime(o, '%H:%M') = '09:30'", "decision": "strftime(c0, '%H:%M') = '10:00'", "close": "strftime(c, '%H:%M') IN ('13:00', '16:00')", "same_date": "CAST(o AS DATE) = d AND CAST(c AS DATE) = d"}))
@@ -214,7 +230,9 @@ def session_rules(spark, sf):
     return broken(given, ru.session_rules())
 
 
-@register("observation_rules", with_views("versions", broken_sql("SELECT CASE WHEN id % 9 > 0 THEN 'k' ELSE '' END AS s, period AS a, period + id % 6 - 1 AS b, CASE id % 10 WHEN 0 THEN NULL WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN 'nan'::DOUBLE ELSE value END AS v, published AS p, CASE WHEN id % 4 = 0 THEN published - 1 ELSE reconstructed END AS r FROM versions", {"identity": "s <> ''", "period": "a <= b", "value": "v IS NULL OR isfinite(v)", "reconstructed": "r IS NULL OR r >= p"})))
+@register("observation_rules", with_views("versions", broken_sql("""SELECT CASE WHEN id % 9 > 0 THEN 'k' ELSE '' END AS s, period AS a, period + id % 6 - 1 AS b, CASE
+    id % 10 WHEN 0 THEN NULL WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN 'nan'::DOUBLE ELSE value END AS v, published AS p, CASE WHEN id % 4 = 0 THEN published - 1 ELSE
+    reconstructed END AS r FROM versions""", {"identity": "s <> ''", "period": "a <= b", "value": "v IS NULL OR isfinite(v)", "reconstructed": "r IS NULL OR r >= p"})))
 def observation_rules(spark, sf):
     """Observations without identity, with a period in reverse, a value that is no number, or rebuilt before publication."""
     k = F.col("id")
@@ -232,8 +250,10 @@ def reconstructed_ready(spark, sf):
 # --- scalar columns ------------------------------------------------------------------------------------
 
 
-@register("scalar_columns", """WITH l AS (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) * 10000 AS m, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 END AS s FROM lineitem)
-  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, s * l_quantity AS signed, (m * 7 + 9999) // 10000 AS fee, m + coalesce(s, 0) * ((m * 7 + 19999) // 20000) AS price, m AS micros, round(m / 1e6 * pow(10.0, l_linenumber % 3), 3) AS scaled FROM l""")
+@register("scalar_columns", """WITH l AS (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) * 10000 AS m, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 END
+    AS s FROM lineitem)
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, s * l_quantity AS signed, (m * 7 + 9999) // 10000 AS fee, m + coalesce(s, 0) * ((m * 7 + 19999) // 20000) AS
+    price, m AS micros, round(m / 1e6 * pow(10.0, l_linenumber % 3), 3) AS scaled FROM l""")
 def scalar_columns(spark, sf):
     """signed size, whole fees, a price after spread and impact, micros of a text, scaled micros."""
     text = F.round("l_extendedprice", 2).cast("decimal(18,2)").cast("string")
@@ -248,7 +268,8 @@ def scalar_columns(spark, sf):
 
 
 
-@register("publication_instants", f"""WITH p AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) + 1 AS d FROM orders), s AS (SELECT *, make_date(year(d), 4, 1) + CAST(7 - isodow(make_date(year(d), 4, 1)) AS INTEGER) AS spring, make_date(year(d), 10, 31) - CAST(isodow(make_date(year(d), 10, 31)) % 7 AS INTEGER) AS autumn FROM p)
+@register("publication_instants", f"""WITH p AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) + 1 AS d FROM orders), s AS (SELECT *, make_date(year(d), 4, 1) + CAST(7
+    - isodow(make_date(year(d), 4, 1)) AS INTEGER) AS spring, make_date(year(d), 10, 31) - CAST(isodow(make_date(year(d), 10, 31)) % 7 AS INTEGER) AS autumn FROM p)
   SELECT o_orderkey, epoch_us(CAST(d AS TIMESTAMP)) + CASE WHEN d > spring AND d <= autumn THEN 4 ELSE 5 END * {HOUR} + 900000000 AS published FROM s""")
 def publication_instants(spark, sf):
     """a quarter of an hour after the order day's end in New York. The SQL has the daylight saving of 1987 to 2006, which holds all orders."""
@@ -256,7 +277,8 @@ def publication_instants(spark, sf):
     return o.select("o_orderkey", F.unix_micros(fn.publication_instant(F.to_date("o_orderdate"), "America/New_York", "interval 15 minutes")).alias("published"))
 
 
-@register("coerced_cells", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN epoch_us(o_orderdate) WHEN 1 THEN epoch_us(o_orderdate) WHEN 2 THEN epoch_us(o_orderdate) END AS at, CASE o_orderkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false END AS flag,
+@register("coerced_cells", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN epoch_us(o_orderdate) WHEN 1 THEN epoch_us(o_orderdate) WHEN 2 THEN
+    epoch_us(o_orderdate) END AS at, CASE o_orderkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false END AS flag,
   CASE o_orderkey % 6 WHEN 0 THEN round(o_totalprice, 2) WHEN 5 THEN -o_orderkey END AS number, o_orderkey % 6 = 4 AS bad FROM orders""")
 def coerced_cells(spark, sf):
     """Times and flags in several notations, numbers with separators and suppression tokens."""
@@ -277,7 +299,8 @@ def redacted_urls(spark, sf):
     return p.select("page_id", fn.redact_url(url).alias("url"), F.when(kept["API_KEY"] == "[REDACTED]", kept["q"].cast("long")).alias("q"))
 
 
-@register("requested_lists", """WITH s AS (SELECT s_suppkey, DATE '2024-02-26' + CAST(s_suppkey % 5 AS INTEGER) AS d FROM supplier) SELECT s_suppkey, array_to_string([strftime(d + CAST(k AS INTEGER), '%Y%m%d') FOR k IN range(0, 4)] || ['20240101'], ',') AS days, 'C' || s_suppkey || '-PERP,BTC-USD' AS symbols FROM s""")
+@register("requested_lists", """WITH s AS (SELECT s_suppkey, DATE '2024-02-26' + CAST(s_suppkey % 5 AS INTEGER) AS d FROM supplier) SELECT s_suppkey,
+    array_to_string([strftime(d + CAST(k AS INTEGER), '%Y%m%d') FOR k IN range(0, 4)] || ['20240101'], ',') AS days, 'C' || s_suppkey || '-PERP,BTC-USD' AS symbols FROM s""")
 def requested_lists(spark, sf):
     """Ranges of days and lists of coins, with repeats."""
     first = F.date_add(F.lit("2024-02-26").cast("date"), (F.col("s_suppkey") % 5).cast("int"))
@@ -290,7 +313,9 @@ def requested_lists(spark, sf):
 # --- scans ---------------------------------------------------------------------------------------------
 
 
-@register("fill_scan", with_views("trades", f"SELECT 'C' || symbol AS symbol, CAST(row_number() OVER (PARTITION BY symbol, t // {DAY} ORDER BY t // 1000, CASE WHEN seq % 5 > 0 THEN seq END NULLS FIRST, seq) AS INTEGER) AS sequence, t // 1000 AS ms, px AS price, CASE side WHEN 1 THEN 'buy' ELSE 'sell' END AS side, CASE WHEN seq % 5 > 0 THEN seq END AS trade_id FROM trades"))
+@register("fill_scan", with_views("trades", f"""SELECT 'C' || symbol AS symbol, CAST(row_number() OVER (PARTITION BY symbol, t // {DAY} ORDER BY t // 1000, CASE WHEN
+    seq % 5 > 0 THEN seq END NULLS FIRST, seq) AS INTEGER) AS sequence, t // 1000 AS ms, px AS price, CASE side WHEN 1 THEN 'buy' ELSE 'sell' END AS side, CASE WHEN seq %
+    5 > 0 THEN seq END AS trade_id FROM trades"""))
 def fill_scan(spark, sf):
     """Raw fills to events with their sequence in the coin's day."""
     t = trades(spark, sf)
@@ -298,7 +323,8 @@ def fill_scan(spark, sf):
     return lake.fills(raw).select("symbol", "sequence", F.unix_millis("timestamp").alias("ms"), "price", "side", "trade_id")
 
 
-@register("depth_scan", "SELECT l_suppkey AS symbol, epoch_us(l_shipdate) AS at, count(*) AS levels, min(l_discount) AS nearest, max_by(l_quantity, (l_discount, l_quantity, l_extendedprice)) AS last_depth FROM lineitem GROUP BY ALL")
+@register("depth_scan", """SELECT l_suppkey AS symbol, epoch_us(l_shipdate) AS at, count(*) AS levels, min(l_discount) AS nearest, max_by(l_quantity, (l_discount,
+    l_quantity, l_extendedprice)) AS last_depth FROM lineitem GROUP BY ALL""")
 def depth_scan(spark, sf):
     """Levels of one time in one row, in order of their distance."""
     l = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("symbol"), micros("l_shipdate").alias("timestamp"), F.col("l_discount").alias("percentage"), F.col("l_quantity").alias("depth"), F.col("l_extendedprice").alias("notional"))
@@ -358,9 +384,12 @@ def asset_pages(spark, sf):
     return doc.assets(bodies(table(spark, sf, "part"), ["p_brand", "p_type"], row, lambda r: r)).select("id", "symbol", "active")
 
 
-FACTS = """WITH o AS (SELECT o_custkey, o_orderpriority AS tag, CAST(date_trunc('month', o_orderdate) AS DATE) AS e, o_orderkey % 2 AS instant, CAST(round(o_totalprice * 100) AS BIGINT) * 10000 AS v, CAST('A' || o_orderkey AS VARCHAR) AS accn, CAST(o_orderdate AS DATE) AS filed FROM orders)
-  SELECT CAST(o_custkey AS VARCHAR) AS entity, tag, CASE WHEN instant = 1 THEN e ELSE CAST(e - INTERVAL 1 MONTH AS DATE) END AS period_start, e AS period_end, CASE instant WHEN 1 THEN 'instant' ELSE 'duration' END AS kind, v AS value_micros, accn AS source_id,
-    CAST(row_number() OVER (PARTITION BY o_custkey, tag, CASE WHEN instant = 1 THEN e ELSE CAST(e - INTERVAL 1 MONTH AS DATE) END, e ORDER BY filed, accn, v) AS INTEGER) AS revision FROM o WHERE filed <= DATE '2000-06-30'"""
+FACTS = """WITH o AS (SELECT o_custkey, o_orderpriority AS tag, CAST(date_trunc('month', o_orderdate) AS DATE) AS e, o_orderkey % 2 AS instant,
+    CAST(round(o_totalprice * 100) AS BIGINT) * 10000 AS v, CAST('A' || o_orderkey AS VARCHAR) AS accn, CAST(o_orderdate AS DATE) AS filed FROM orders)
+  SELECT CAST(o_custkey AS VARCHAR) AS entity, tag, CASE WHEN instant = 1 THEN e ELSE CAST(e - INTERVAL 1 MONTH AS DATE) END AS period_start, e AS period_end, CASE
+    instant WHEN 1 THEN 'instant' ELSE 'duration' END AS kind, v AS value_micros, accn AS source_id,
+    CAST(row_number() OVER (PARTITION BY o_custkey, tag, CASE WHEN instant = 1 THEN e ELSE CAST(e - INTERVAL 1 MONTH AS DATE) END, e ORDER BY filed, accn, v) AS INTEGER)
+    AS revision FROM o WHERE filed <= DATE '2000-06-30'"""
 
 
 @register("company_facts", FACTS)
@@ -377,7 +406,8 @@ def company_facts(spark, sf):
     return doc.company_facts(pages, "2000-06-30").select("entity", "tag", "period_start", "period_end", F.col("period_kind").alias("kind"), "value_micros", "source_id", "revision")
 
 
-@register("filing_pages", "SELECT CAST(o_custkey AS VARCHAR) AS cik, o_orderkey || '-' || o_orderstatus AS accession, strftime(o_orderdate, '%Y-%m-%d') AS filed, epoch_us(o_orderdate) AS published, 'data/' || o_custkey || '/' || o_orderkey || o_orderstatus || '/d.htm' AS path FROM orders")
+@register("filing_pages", """SELECT CAST(o_custkey AS VARCHAR) AS cik, o_orderkey || '-' || o_orderstatus AS accession, strftime(o_orderdate, '%Y-%m-%d') AS filed,
+    epoch_us(o_orderdate) AS published, 'data/' || o_custkey || '/' || o_orderkey || o_orderstatus || '/d.htm' AS path FROM orders""")
 def filing_pages(spark, sf):
     """An index of parallel arrays for each customer."""
     at = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -417,7 +447,8 @@ def indicator_faults(spark, sf):
     return bad.groupBy("fault").agg(F.count("*").alias("n"))
 
 
-@register("page_gaps", "SELECT c_nationkey AS source, count(*) AS seen, CAST(max(c_nationkey % 4) + 5 AS BIGINT) AS pages FROM (SELECT DISTINCT c_nationkey, c_custkey % 6 AS p FROM customer) GROUP BY 1 HAVING count(*) <> max(c_nationkey % 4) + 5")
+@register("page_gaps", """SELECT c_nationkey AS source, count(*) AS seen, CAST(max(c_nationkey % 4) + 5 AS BIGINT) AS pages FROM (SELECT DISTINCT c_nationkey,
+    c_custkey % 6 AS p FROM customer) GROUP BY 1 HAVING count(*) <> max(c_nationkey % 4) + 5""")
 def page_gaps(spark, sf):
     """Sources whose pages are not as many as their headers say."""
     g = table(spark, sf, "customer").select(F.col("c_nationkey").alias("source"), (F.col("c_custkey") % 6).alias("p")).distinct()
@@ -426,7 +457,9 @@ def page_gaps(spark, sf):
     return doc.page_gaps(g.select("source", body.alias("body"))).select("source", "seen", F.col("pages").cast("long").alias("pages"))
 
 
-@register("statistics_file", "SELECT 'SR' || o_custkey || CASE o_orderkey % 14 WHEN 13 THEN ':annual' ELSE '' END AS series_id, CASE o_orderkey % 14 WHEN 13 THEN make_date(year(o_orderdate), 1, 1) ELSE make_date(year(o_orderdate), o_orderkey % 14, 1) END AS period_start, CASE WHEN o_orderkey % 5 > 0 THEN round(o_totalprice, 2) END AS value FROM orders WHERE o_orderkey % 14 > 0")
+@register("statistics_file", """SELECT 'SR' || o_custkey || CASE o_orderkey % 14 WHEN 13 THEN ':annual' ELSE '' END AS series_id, CASE o_orderkey % 14 WHEN 13 THEN
+    make_date(year(o_orderdate), 1, 1) ELSE make_date(year(o_orderdate), o_orderkey % 14, 1) END AS period_start, CASE WHEN o_orderkey % 5 > 0 THEN round(o_totalprice, 2)
+    END AS value FROM orders WHERE o_orderkey % 14 > 0""")
 def statistics_file(spark, sf):
     """Months and annual averages of a tab-separated file, with suppressed cells."""
     k = F.col("o_orderkey")
@@ -439,7 +472,8 @@ def paged(c: DataFrame, row: Column, by: Column) -> DataFrame:
     return c.groupBy(F.floor(by / 100).alias("page")).agg(F.collect_list(row).alias("r"))
 
 
-@register("header_tables", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS segment, '' AS fault FROM customer WHERE c_custkey % 9 > 0 UNION ALL SELECT 'short', NULL, 'width' FROM customer WHERE c_custkey % 9 = 0")
+@register("header_tables", """SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS segment, '' AS fault FROM customer WHERE c_custkey % 9 > 0 UNION ALL SELECT
+    'short', NULL, 'width' FROM customer WHERE c_custkey % 9 = 0""")
 def header_tables(spark, sf):
     """Arrays under a header row; rows of another width are set aside."""
     row = F.when(F.col("c_custkey") % 9 > 0, F.array(F.col("c_custkey").cast("string"), "c_name", "c_mktsegment")).otherwise(F.array(F.lit("short")))
@@ -448,9 +482,11 @@ def header_tables(spark, sf):
     return good.withColumn("fault", F.lit("")).unionByName(bad.select(F.col("row")[0].alias("id"), F.lit(None).cast("string").alias("segment"), "fault"))
 
 
-@register("trade_tables", """SELECT 'CENSUS:exports:' || o_custkey || ':' || o_orderkey % 97 || ':ALL_VAL_MO' AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS period_start, last_day(o_orderdate) AS period_end,
+@register("trade_tables", """SELECT 'CENSUS:exports:' || o_custkey || ':' || o_orderkey % 97 || ':ALL_VAL_MO' AS series_id, CAST(date_trunc('month', o_orderdate) AS
+    DATE) AS period_start, last_day(o_orderdate) AS period_end,
     CASE WHEN o_orderkey % 8 > 0 THEN o_totalprice END AS value, CAST(o_custkey AS VARCHAR) AS partner, '' AS fault FROM orders WHERE o_orderkey % 21 > 1
-  UNION ALL SELECT NULL, CAST(date_trunc('month', o_orderdate) AS DATE), NULL, NULL, NULL, CASE o_orderkey % 21 WHEN 0 THEN 'width' ELSE 'not_a_number' END FROM orders WHERE o_orderkey % 21 < 2""")
+  UNION ALL SELECT NULL, CAST(date_trunc('month', o_orderdate) AS DATE), NULL, NULL, NULL, CASE o_orderkey % 21 WHEN 0 THEN 'width' ELSE 'not_a_number' END FROM orders
+    WHERE o_orderkey % 21 < 2""")
 def trade_tables(spark, sf):
     """Monthly trade by commodity and partner, suppressed values as nulls, rows of another width or without a number set aside."""
     o, k = table(spark, sf, "orders"), F.col("o_orderkey")
@@ -464,7 +500,8 @@ def trade_tables(spark, sf):
     return told.unionByName(bad.select(none("string", "series_id"), F.col("row")[0].cast("date").alias("period_start"), none("date", "period_end"), none("double", "value"), none("string", "partner"), "fault"))
 
 
-@register("facet_rows", f"SELECT f AS field, make_date(y, 1, 1) AS period_start, count(*) AS series, sum(CASE f WHEN 'sales' THEN v ELSE y END) AS total, max(CASE f WHEN 'sales' THEN 'USD' ELSE 'a' END) AS unit FROM ({YEARLY}), (VALUES ('sales'), ('age')) AS t(f) GROUP BY ALL")
+@register("facet_rows", f"""SELECT f AS field, make_date(y, 1, 1) AS period_start, count(*) AS series, sum(CASE f WHEN 'sales' THEN v ELSE y END) AS total, max(CASE f
+    WHEN 'sales' THEN 'USD' ELSE 'a' END) AS unit FROM ({YEARLY}), (VALUES ('sales'), ('age')) AS t(f) GROUP BY ALL""")
 def facet_rows(spark, sf):
     """Wide rows of facets to one observation a field."""
     row = F.create_map(F.lit("period"), F.col("y").cast("string"), F.lit("nation"), F.col("n").cast("string"), F.lit("sales"), F.col("v").cast("decimal(24,2)").cast("string"), F.lit("sales-units"), F.lit("USD"), F.lit("age"), F.col("y").cast("string"), F.lit("age-units"), F.lit("a"))
@@ -474,7 +511,9 @@ def facet_rows(spark, sf):
     return out.groupBy(field.alias("field"), "period_start").agg(F.count_distinct("series_id").alias("series"), F.sum(F.col("value").cast("decimal(24,2)")).cast("double").alias("total"), F.max("unit").alias("unit"))
 
 
-@register("route_listing", "SELECT 'r' || r_regionkey AS route, 'child' AS kind, n_name AS name, NULL::DATE AS first, NULL::DATE AS last FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 'r' || r_regionkey, 'frequency', f, make_date(2000 + r_regionkey, 1, 1), make_date(2010, 6, 30) FROM region, (VALUES ('monthly'), ('annual')) AS t(f)")
+@register("route_listing", """SELECT 'r' || r_regionkey AS route, 'child' AS kind, n_name AS name, NULL::DATE AS first, NULL::DATE AS last FROM region JOIN nation ON
+    n_regionkey = r_regionkey UNION ALL SELECT 'r' || r_regionkey, 'frequency', f, make_date(2000 + r_regionkey, 1, 1), make_date(2010, 6, 30) FROM region, (VALUES
+    ('monthly'), ('annual')) AS t(f)""")
 def route_listing(spark, sf):
     """Regions as routes with their nations below and two frequencies."""
     n = table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list(F.struct(F.col("n_name").alias("id"))).alias("routes"))
@@ -483,7 +522,9 @@ def route_listing(spark, sf):
     return doc.route_catalogue(found.select(F.to_json(F.struct(response.alias("response"))).alias("body")))
 
 
-@register("input_output_cells", "SELECT 'T:' || s_nationkey || ':' || p_size AS series_id, CAST(p_size AS VARCHAR) AS col, make_date(1998, 1, 1) AS period_start, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS value FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY s_nationkey, p_size")
+@register("input_output_cells", """SELECT 'T:' || s_nationkey || ':' || p_size AS series_id, CAST(p_size AS VARCHAR) AS col, make_date(1998, 1, 1) AS period_start,
+    CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS value FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY
+    s_nationkey, p_size""")
 def input_output_cells(spark, sf):
     """Cells of nation by part size from a table body for each nation."""
     l, s, p = table(spark, sf, "lineitem"), table(spark, sf, "supplier"), table(spark, sf, "part")
@@ -493,7 +534,9 @@ def input_output_cells(spark, sf):
     return doc.input_output(pages, "T").select("series_id", F.col("dimensions")["column"].alias("col"), "period_start", "value")
 
 
-@register("release_pages", "SELECT page_id, make_date(CAST(2000 + page_id % 20 AS BIGINT), 1 + page_id % 12, 1) AS period_start, (1000 + page_id) * 1e6 AS value, epoch_us(CAST(make_date(CAST(2000 + page_id % 20 AS BIGINT), 1 + page_id % 12, 1) + INTERVAL 11 DAY AS TIMESTAMP)) - 28800000000 AS published FROM pages WHERE page_id % 7 > 0")
+@register("release_pages", """SELECT page_id, make_date(CAST(2000 + page_id % 20 AS BIGINT), 1 + page_id % 12, 1) AS period_start, (1000 + page_id) * 1e6 AS value,
+    epoch_us(CAST(make_date(CAST(2000 + page_id % 20 AS BIGINT), 1 + page_id % 12, 1) + INTERVAL 11 DAY AS TIMESTAMP)) - 28800000000 AS published FROM pages WHERE page_id
+    % 7 > 0""")
 def release_pages(spark, sf):
     """A figure, its month and its day from pages that announce it; other pages have none."""
     k = F.col("page_id")
@@ -541,14 +584,17 @@ def catalogue_documents(spark, sf):
 
 @register("catalogue_entries", f"""WITH {ENTRIES}
   SELECT 'https://x.org/k/' || page AS url, protocol, CASE protocol WHEN 'openapi' THEN 'GET /d/' || id ELSE id END AS external_id,
-    CASE WHEN protocol = 'openapi' THEN 's' WHEN protocol = 'sdmx' THEN replace(c_name, '#', '-') WHEN protocol = 'jsonld' OR c_custkey % 4 > 0 THEN c_name ELSE id END AS title,
+    CASE WHEN protocol = 'openapi' THEN 's' WHEN protocol = 'sdmx' THEN replace(c_name, '#', '-') WHEN protocol = 'jsonld' OR c_custkey % 4 > 0 THEN c_name ELSE id END AS
+    title,
     CASE protocol WHEN 'ckan' THEN 'n' ELSE '' END AS description,
     CASE protocol WHEN 'stac' THEN 'https://x.org/c/' || id WHEN 'openapi' THEN 'https://x.org/d/' || id WHEN 'sdmx' THEN 'https://x.org/k/' || page END AS landing,
     CASE protocol WHEN 'ckan' THEN 'Open' WHEN 'stac' THEN 'proprietary' WHEN 'openapi' THEN 'L' END AS license,
     CASE WHEN protocol IN ('stac', 'ogc') THEN '{{"bbox":[[' || c_custkey % 7 || ',' || c_custkey % 5 || ']]}}' END AS spatial,
-    CASE WHEN protocol = 'ckan' THEN '{{"metadata_created":null,"metadata_modified":null}}' WHEN protocol IN ('stac', 'ogc') THEN '{{"interval":[["2000-01-01",null]]}}' END AS temporal,
+    CASE WHEN protocol = 'ckan' THEN '{{"metadata_created":null,"metadata_modified":null}}' WHEN protocol IN ('stac', 'ogc') THEN '{{"interval":[["2000-01-01",null]]}}'
+    END AS temporal,
     CASE WHEN protocol IN ('ckan', 'stac') THEN c_mktsegment WHEN protocol = 'openapi' THEN 'g' ELSE '' END AS keywords,
-    CASE protocol WHEN 'ckan' THEN 'https://x.org/k/files/' || id || '.csv|text/csv|CSV' WHEN 'stac' THEN 'https://x.org/a/' || id || '|t|' WHEN 'jsonld' THEN 'https://x.org/' || id || '|e|' ELSE '' END AS parts
+    CASE protocol WHEN 'ckan' THEN 'https://x.org/k/files/' || id || '.csv|text/csv|CSV' WHEN 'stac' THEN 'https://x.org/a/' || id || '|t|' WHEN 'jsonld' THEN
+    'https://x.org/' || id || '|e|' ELSE '' END AS parts
   FROM c WHERE (protocol <> 'jsonld' OR c_custkey % 2 = 0) AND (protocol <> 'openapi' OR c_custkey % 3 > 0)""")
 def catalogue_entries(spark, sf):
     """Catalogue documents of six protocols to datasets with extents, keywords and distributions."""
@@ -557,7 +603,9 @@ def catalogue_entries(spark, sf):
     return found.select(*[c for c in found.columns if c not in ("keywords", "distributions")], F.array_join("keywords", ",").alias("keywords"), parts.alias("parts"))
 
 
-@register("catalogue_follow", f"WITH {ENTRIES} SELECT 'https://x.org/k/' || page AS url, 'https://x.org/k/next' AS follow, CAST(NULL AS BIGINT) AS total FROM c WHERE protocol = 'stac' GROUP BY page UNION ALL SELECT 'https://x.org/k/' || page, NULL, CASE protocol WHEN 'ckan' THEN 7 WHEN 'ogc' THEN count(*) END FROM c GROUP BY page, protocol")
+@register("catalogue_follow", f"""WITH {ENTRIES} SELECT 'https://x.org/k/' || page AS url, 'https://x.org/k/next' AS follow, CAST(NULL AS BIGINT) AS total FROM c WHERE
+    protocol = 'stac' GROUP BY page UNION ALL SELECT 'https://x.org/k/' || page, NULL, CASE protocol WHEN 'ckan' THEN 7 WHEN 'ogc' THEN count(*) END FROM c GROUP BY page,
+    protocol""")
 def catalogue_follow(spark, sf):
     """The links of catalogue documents that lead on, and the totals that they state."""
     d = catalogue_documents(spark, sf)
@@ -565,7 +613,8 @@ def catalogue_follow(spark, sf):
     return links.unionByName(doc.catalog_totals(d).select("url", F.lit(None).cast("string").alias("follow"), "total"))
 
 
-@register("csv_observations", "SELECT make_date(year(o_orderdate), month(o_orderdate), 1) AS period_start, o_orderstatus AS status, CASE WHEN o_orderkey % 6 > 0 THEN round(o_totalprice, 2) END AS value, 'USD' AS unit FROM orders")
+@register("csv_observations", """SELECT make_date(year(o_orderdate), month(o_orderdate), 1) AS period_start, o_orderstatus AS status, CASE WHEN o_orderkey % 6 > 0
+    THEN round(o_totalprice, 2) END AS value, 'USD' AS unit FROM orders""")
 def csv_observations(spark, sf):
     """Rows of text to observations with the rest as dimensions."""
     o = table(spark, sf, "orders")
@@ -587,7 +636,8 @@ def new_versions(spark, sf):
     return each(good, "stored").unionByName(each(bad, "conflict"))
 
 
-@register("changed_metadata", "WITH v AS (SELECT o_custkey AS key, o_orderkey AS t, o_orderstatus AS s, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders) SELECT key, t, s AS status FROM v WHERE t > 7000 AND b IS DISTINCT FROM s")
+@register("changed_metadata", """WITH v AS (SELECT o_custkey AS key, o_orderkey AS t, o_orderstatus AS s, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY
+    o_orderkey) AS b FROM orders) SELECT key, t, s AS status FROM v WHERE t > 7000 AND b IS DISTINCT FROM s""")
 def changed_metadata(spark, sf):
     """A version is kept only where its content differs from the one before, stored or new."""
     rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("t"), F.col("o_orderstatus").alias("status"))
@@ -612,7 +662,9 @@ def overlap_refresh(spark, sf):
     return ing.overlap(t, "t", last, 7).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
-@register("run_totals", "WITH p AS (SELECT c_nationkey AS run, CASE WHEN c_nationkey % 5 = 0 AND c_custkey % 7 = 0 THEN 0 ELSE c_custkey END AS cursor, 10 AS n FROM customer) SELECT run, CASE WHEN count(*) <> count(DISTINCT cursor) THEN 'cursor_repeats' WHEN run % 4 = 1 THEN 'rows_differ' ELSE 'ok' END AS status FROM p GROUP BY run")
+@register("run_totals", """WITH p AS (SELECT c_nationkey AS run, CASE WHEN c_nationkey % 5 = 0 AND c_custkey % 7 = 0 THEN 0 ELSE c_custkey END AS cursor, 10 AS n FROM
+    customer) SELECT run, CASE WHEN count(*) <> count(DISTINCT cursor) THEN 'cursor_repeats' WHEN run % 4 = 1 THEN 'rows_differ' ELSE 'ok' END AS status FROM p GROUP BY
+    run""")
 def run_totals(spark, sf):
     """Runs whose cursor comes back or whose rows are not what was advertised."""
     c = table(spark, sf, "customer")
@@ -634,7 +686,9 @@ def current_vintage(spark, sf):
     return both.select("id", "key")
 
 
-@register("funding_average", with_views("trades", f"WITH a AS (SELECT symbol, t // {DAY} AS d, avg(CASE WHEN seq % 4 = 0 THEN px END) AS r FROM trades WHERE symbol < 6 GROUP BY ALL), b AS (SELECT symbol, t // {DAY} AS d, max(px) AS r FROM trades GROUP BY ALL), u AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE (symbol, d) NOT IN (SELECT (symbol, d) FROM a)) SELECT symbol, round(coalesce(avg(r) * 10000, 0), 4) AS funding_bps FROM u GROUP BY 1"))
+@register("funding_average", with_views("trades", f"""WITH a AS (SELECT symbol, t // {DAY} AS d, avg(CASE WHEN seq % 4 = 0 THEN px END) AS r FROM trades WHERE symbol <
+    6 GROUP BY ALL), b AS (SELECT symbol, t // {DAY} AS d, max(px) AS r FROM trades GROUP BY ALL), u AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE (symbol, d) NOT
+    IN (SELECT (symbol, d) FROM a)) SELECT symbol, round(coalesce(avg(r) * 10000, 0), 4) AS funding_bps FROM u GROUP BY 1"""))
 def funding_average(spark, sf):
     """Mean rate of each symbol from a first source, on days without it from a second under another name."""
     day = F.floor(F.col("t") / DAY).alias("date")
@@ -644,7 +698,8 @@ def funding_average(spark, sf):
     return lg.funding_average([first, second], ["funding", "rate"]).select("symbol", F.round("funding_bps", 4).alias("funding_bps"))
 
 
-@register("canonical_order", with_views("trades", "SELECT symbol, seq, CAST(row_number() OVER (PARTITION BY symbol ORDER BY t // 60000000, seq % 3, coalesce(CASE WHEN seq % 2 = 0 THEN CAST(seq AS VARCHAR) END, ''), seq) AS INTEGER) AS place FROM trades"))
+@register("canonical_order", with_views("trades", """SELECT symbol, seq, CAST(row_number() OVER (PARTITION BY symbol ORDER BY t // 60000000, seq % 3, coalesce(CASE
+    WHEN seq % 2 = 0 THEN CAST(seq AS VARCHAR) END, ''), seq) AS INTEGER) AS place FROM trades"""))
 def canonical_order(spark, sf):
     """Events of a symbol by time, sequence and id, a missing id first."""
     from pyspark.sql import Window

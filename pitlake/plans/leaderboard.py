@@ -53,15 +53,18 @@ FOLD = (
   num AS (SELECT rec.*, med.*, t AS s, t + {HORIZON} AS e, row_number() OVER (ORDER BY t, t + {HORIZON}, seq) - 1 AS pos FROM rec, med),
   test AS (SELECT *, CAST((pos - tr) // te AS INTEGER) AS fold FROM num WHERE pos >= tr AND pos < tr + {FOLDS} * te),
   bound AS (SELECT fold, min(s) AS ts, max(e) AS tend, min(pos) AS tp FROM test GROUP BY 1),
-  train AS (SELECT * FROM (SELECT n.*, b.fold, row_number() OVER (PARTITION BY b.fold ORDER BY n.pos DESC) AS r FROM num n JOIN bound b ON n.pos < b.tp AND (n.e < b.ts - {HORIZON} OR n.s > b.tend + {HORIZON})) WHERE r <= tr)"""
+  train AS (SELECT * FROM (SELECT n.*, b.fold, row_number() OVER (PARTITION BY b.fold ORDER BY n.pos DESC) AS r FROM num n JOIN bound b ON n.pos < b.tp AND (n.e < b.ts -
+    {HORIZON} OR n.s > b.tend + {HORIZON})) WHERE r <= tr)"""
 )
 STACK = """CROSS JOIN LATERAL (VALUES ('quote_all', true), ('maker_side_filter', maker_side > 0), ('maker_side_negative', maker_side < 0), ('buy_only', side = 1), ('sell_only', side = -1),
   ('large_trade_filter', qty >= qm), ('small_trade_filter', qty < qm), ('price_above_median', px >= pm)) AS p(policy, quoted)"""
 BOARD = (
     FOLD
     + f""", flat AS (SELECT *, CASE WHEN quoted THEN markout ELSE 0 END AS captured FROM test {STACK}),
-  board AS (SELECT fold, policy, count(*) AS rows, avg(CAST(quoted AS INTEGER)) AS quote_rate, avg(captured) AS policy_mean, avg(markout) AS baseline_mean, avg(captured - markout) AS lift,
-    avg(captured - markout) - coalesce(1.96 * sqrt(var_samp(captured - markout) / count(*)), 0) AS lift_lower, avg(captured - markout) + coalesce(1.96 * sqrt(var_samp(captured - markout) / count(*)), 0) AS lift_upper FROM flat GROUP BY ALL)"""
+  board AS (SELECT fold, policy, count(*) AS rows, avg(CAST(quoted AS INTEGER)) AS quote_rate, avg(captured) AS policy_mean, avg(markout) AS baseline_mean, avg(captured -
+    markout) AS lift,
+    avg(captured - markout) - coalesce(1.96 * sqrt(var_samp(captured - markout) / count(*)), 0) AS lift_lower, avg(captured - markout) + coalesce(1.96 *
+    sqrt(var_samp(captured - markout) / count(*)), 0) AS lift_upper FROM flat GROUP BY ALL)"""
 )
 V = "trades quotes"
 
@@ -98,7 +101,9 @@ def walk_forward_folds(spark, sf):
     return folds(spark, sf).select("fold", "role", "seq", "pos")
 
 
-@register("policy_leaderboard", sql(BOARD, "SELECT fold, policy, rows, round(quote_rate, 6) AS quote_rate, round(policy_mean, 6) + 0.0 AS policy_mean, round(baseline_mean, 6) + 0.0 AS baseline_mean, round(lift, 6) + 0.0 AS lift, round(lift_lower, 6) + 0.0 AS lift_lower, round(lift_upper, 6) + 0.0 AS lift_upper FROM board"))
+@register("policy_leaderboard", sql(BOARD, """SELECT fold, policy, rows, round(quote_rate, 6) AS quote_rate, round(policy_mean, 6) + 0.0 AS policy_mean,
+    round(baseline_mean, 6) + 0.0 AS baseline_mean, round(lift, 6) + 0.0 AS lift, round(lift_lower, 6) + 0.0 AS lift_lower, round(lift_upper, 6) + 0.0 AS lift_upper FROM
+    board"""))
 def policy_leaderboard(spark, sf):
     """Lift of each policy over quoting always, by fold."""
     return board(spark, sf).select("fold", "policy", "rows", *[r6(c).alias(c) for c in ("quote_rate", "policy_mean", "baseline_mean", "lift", "lift_lower", "lift_upper")])
@@ -106,10 +111,13 @@ def policy_leaderboard(spark, sf):
 
 @register(
     "policy_dsr_terms",
-    sql(BOARD, """, m AS (SELECT policy, count(*) AS n, avg(lift) AS mu, stddev_samp(lift) AS sd, (SELECT count(DISTINCT policy) FROM board) AS trials FROM board GROUP BY 1),
+    sql(BOARD, """, m AS (SELECT policy, count(*) AS n, avg(lift) AS mu, stddev_samp(lift) AS sd, (SELECT count(DISTINCT policy) FROM board) AS trials FROM board
+    GROUP BY 1),
       c AS (SELECT b.policy, avg(pow(lift - mu, 2)) AS m2, avg(pow(lift - mu, 3)) AS m3, avg(pow(lift - mu, 4)) AS m4 FROM board b JOIN m USING (policy) GROUP BY 1),
-      z AS (SELECT *, CASE WHEN sd > 0 THEN mu / sd END AS sr, CASE WHEN m2 > 0 THEN m3 / pow(m2, 1.5) END AS sk, CASE WHEN m2 > 0 THEN m4 / (m2 * m2) END AS ku FROM m JOIN c USING (policy))
-      SELECT policy, n, trials, round(sr, 6) + 0.0 AS sharpe, CASE WHEN n >= 3 AND 1 - sk * sr + (ku - 1) / 4 * sr * sr > 0 THEN round((sr - sqrt(2 * ln(trials) / n)) * sqrt((n - 1) / (1 - sk * sr + (ku - 1) / 4 * sr * sr)), 6) + 0.0 END AS z FROM z"""),
+      z AS (SELECT *, CASE WHEN sd > 0 THEN mu / sd END AS sr, CASE WHEN m2 > 0 THEN m3 / pow(m2, 1.5) END AS sk, CASE WHEN m2 > 0 THEN m4 / (m2 * m2) END AS ku FROM m
+    JOIN c USING (policy))
+      SELECT policy, n, trials, round(sr, 6) + 0.0 AS sharpe, CASE WHEN n >= 3 AND 1 - sk * sr + (ku - 1) / 4 * sr * sr > 0 THEN round((sr - sqrt(2 * ln(trials) / n)) *
+    sqrt((n - 1) / (1 - sk * sr + (ku - 1) / 4 * sr * sr)), 6) + 0.0 END AS z FROM z"""),
 )
 def policy_dsr_terms(spark, sf):
     """Sharpe ratio and deflated z-score of each policy's fold lifts."""
@@ -134,10 +142,12 @@ def cscv_pbo(spark, sf):
     return ev.overfit_probability(board(spark, sf)).select("splits", "overfit", r6("pbo").alias("pbo"))
 
 
-SUMMARY = ", summ AS (SELECT policy, count(*) AS folds, avg(policy_mean) AS policy_mean, avg(lift) AS avg_lift, avg(quote_rate) AS quote_rate FROM board GROUP BY 1), ranked AS (SELECT *, row_number() OVER (ORDER BY avg_lift DESC, policy) AS rank FROM summ)"
+SUMMARY = """, summ AS (SELECT policy, count(*) AS folds, avg(policy_mean) AS policy_mean, avg(lift) AS avg_lift, avg(quote_rate) AS quote_rate FROM board GROUP BY
+    1), ranked AS (SELECT *, row_number() OVER (ORDER BY avg_lift DESC, policy) AS rank FROM summ)"""
 
 
-@register("policy_summary", sql(BOARD, SUMMARY + " SELECT policy, folds, round(policy_mean, 6) + 0.0 AS policy_mean, round(avg_lift, 6) + 0.0 AS avg_lift, round(quote_rate, 6) AS quote_rate, CAST(rank AS INTEGER) AS rank, rank = (SELECT min(rank) FROM ranked WHERE policy <> 'quote_all') AS top FROM ranked"))
+@register("policy_summary", sql(BOARD, SUMMARY + """ SELECT policy, folds, round(policy_mean, 6) + 0.0 AS policy_mean, round(avg_lift, 6) + 0.0 AS avg_lift,
+    round(quote_rate, 6) AS quote_rate, CAST(rank AS INTEGER) AS rank, rank = (SELECT min(rank) FROM ranked WHERE policy <> 'quote_all') AS top FROM ranked"""))
 def policy_summary(spark, sf):
     """Mean lift and rank of each policy; the best but the baseline is marked."""
     return ev.policy_summary(board(spark, sf)).select("policy", "folds", r6("policy_mean").alias("policy_mean"), r6("avg_lift").alias("avg_lift"), r6("quote_rate").alias("quote_rate"), "rank", "top")
@@ -161,9 +171,11 @@ LADDER = "".join(
 
 @register(
     "markout_ladder",
-    with_views(V, "WITH med AS (SELECT median(qty) AS qm, median(px) AS pm FROM trades)" + LADDER + f""", long AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3),
+    with_views(V, "WITH med AS (SELECT median(qty) AS qm, median(px) AS pm FROM trades)" + LADDER + f""", long AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION
+    ALL SELECT * FROM r3),
       flat AS (SELECT *, CASE WHEN quoted THEN markout ELSE 0 END AS c FROM long, med {STACK})
-      SELECT policy, horizon, CAST(rung AS INTEGER) AS rung, count(*) AS rows, round(avg(c), 6) + 0.0 AS markout, round(avg(c) - coalesce(1.96 * sqrt(var_samp(c) / count(*)), 0), 6) + 0.0 AS markout_lower, round(avg(c) + coalesce(1.96 * sqrt(var_samp(c) / count(*)), 0), 6) + 0.0 AS markout_upper FROM flat GROUP BY ALL"""),
+      SELECT policy, horizon, CAST(rung AS INTEGER) AS rung, count(*) AS rows, round(avg(c), 6) + 0.0 AS markout, round(avg(c) - coalesce(1.96 * sqrt(var_samp(c) /
+    count(*)), 0), 6) + 0.0 AS markout_lower, round(avg(c) + coalesce(1.96 * sqrt(var_samp(c) / count(*)), 0), 6) + 0.0 AS markout_upper FROM flat GROUP BY ALL"""),
 )
 def markout_ladder(spark, sf):
     """Captured markout of each policy at three horizons."""
@@ -185,7 +197,8 @@ MED = REC + ", med AS (SELECT median(qty) AS qm, median(px) AS pm FROM rec)"
 @register(
     "cost_waterfall",
     sql(MED, f""", flat AS (SELECT * FROM rec, med {STACK}), g AS (SELECT policy, coalesce(avg(CASE WHEN quoted THEN markout END), 0) AS gross FROM flat GROUP BY 1)
-      SELECT policy, round(gross, 6) + 0.0 AS gross, CAST(step AS INTEGER) AS step, stage, delta, round(gross + cum, 6) + 0.0 AS cumulative FROM g, (VALUES (0, 'fees', -1.5, -1.5), (1, 'slippage', -0.5, -2.0), (2, 'funding', -0.125, -2.125)) AS t(step, stage, delta, cum)"""),
+      SELECT policy, round(gross, 6) + 0.0 AS gross, CAST(step AS INTEGER) AS step, stage, delta, round(gross + cum, 6) + 0.0 AS cumulative FROM g, (VALUES (0, 'fees',
+    -1.5, -1.5), (1, 'slippage', -0.5, -2.0), (2, 'funding', -0.125, -2.125)) AS t(step, stage, delta, cum)"""),
 )
 def cost_waterfall(spark, sf):
     """Gross edge of quoted rows less fees, slippage and funding over the horizon."""
@@ -204,9 +217,11 @@ def capacity_sweep(spark, sf):
 
 @register(
     "acceptance_gate",
-    sql(BOARD, PBO + """, pbo AS (SELECT count(*) AS k FROM ranks HAVING count(*) > 0), c AS (SELECT count(DISTINCT policy) AS policies, count(DISTINCT fold) AS folds, count(*) AS cells, (SELECT count(k) FROM pbo) AS numeric_pbo,
+    sql(BOARD, PBO + """, pbo AS (SELECT count(*) AS k FROM ranks HAVING count(*) > 0), c AS (SELECT count(DISTINCT policy) AS policies, count(DISTINCT fold) AS
+    folds, count(*) AS cells, (SELECT count(k) FROM pbo) AS numeric_pbo,
       (SELECT count(*) FROM (SELECT policy FROM board GROUP BY policy HAVING count(*) >= 3 AND stddev_samp(lift) > 0)) AS numeric_dsr FROM board),
-      f AS (SELECT *, list_filter([CASE WHEN policies < 8 THEN 'policies' END, CASE WHEN folds < 8 THEN 'folds' END, CASE WHEN cells < 64 THEN 'cells' END, CASE WHEN numeric_pbo < 1 THEN 'pbo' END, CASE WHEN numeric_dsr < 1 THEN 'dsr' END], lambda x: x IS NOT NULL) AS l FROM c)
+      f AS (SELECT *, list_filter([CASE WHEN policies < 8 THEN 'policies' END, CASE WHEN folds < 8 THEN 'folds' END, CASE WHEN cells < 64 THEN 'cells' END, CASE WHEN
+    numeric_pbo < 1 THEN 'pbo' END, CASE WHEN numeric_dsr < 1 THEN 'dsr' END], lambda x: x IS NOT NULL) AS l FROM c)
       SELECT policies, folds, cells, CAST(numeric_pbo AS INTEGER) AS numeric_pbo, array_to_string(l, ',') AS failures, len(l) = 0 AS accepted FROM f"""),
 )
 def acceptance_gate(spark, sf):
@@ -216,7 +231,8 @@ def acceptance_gate(spark, sf):
     return out.select("policies", "folds", "cells", F.col("numeric_pbo").cast("int").alias("numeric_pbo"), "failures", "accepted")
 
 
-@register("opportunity_counts", sql("", "SELECT symbol, count(*) AS n, count(*) FILTER (WHERE side = 1) AS buys, count(*) FILTER (WHERE side = -1) AS sells, count(*) FILTER (WHERE maker_side > 0) AS maker_plus, count(*) FILTER (WHERE maker_side < 0) AS maker_minus FROM trades GROUP BY 1"))
+@register("opportunity_counts", sql("", """SELECT symbol, count(*) AS n, count(*) FILTER (WHERE side = 1) AS buys, count(*) FILTER (WHERE side = -1) AS sells,
+    count(*) FILTER (WHERE maker_side > 0) AS maker_plus, count(*) FILTER (WHERE maker_side < 0) AS maker_minus FROM trades GROUP BY 1"""))
 def opportunity_counts(spark, sf):
     """Prints by side and maker side."""
     return trades(spark, sf).groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("side") == 1).alias("buys"), F.count_if(F.col("side") == -1).alias("sells"), F.count_if(F.col("maker_side") > 0).alias("maker_plus"), F.count_if(F.col("maker_side") < 0).alias("maker_minus"))
@@ -231,10 +247,13 @@ def event_histogram(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min(micros("ts")).alias("first_t"), F.max(micros("ts")).alias("last_t"))
 
 
-CUM = ", flat AS (SELECT seq, t, CASE WHEN maker_side > 0 THEN CAST(round(markout, 4) AS DECIMAL(24, 4)) ELSE 0 END AS c FROM rec), cum AS (SELECT *, sum(c) OVER (ORDER BY t, seq) AS total, row_number() OVER (ORDER BY t, seq) - 1 AS pos, count(*) OVER () AS n FROM flat), peak AS (SELECT *, max(total) OVER (ORDER BY t, seq) AS peak FROM cum)"
+CUM = """, flat AS (SELECT seq, t, CASE WHEN maker_side > 0 THEN CAST(round(markout, 4) AS DECIMAL(24, 4)) ELSE 0 END AS c FROM rec), cum AS (SELECT *, sum(c) OVER
+    (ORDER BY t, seq) AS total, row_number() OVER (ORDER BY t, seq) - 1 AS pos, count(*) OVER () AS n FROM flat), peak AS (SELECT *, max(total) OVER (ORDER BY t, seq) AS
+    peak FROM cum)"""
 
 
-@register("global_drawdown", sql(REC, CUM + " SELECT seq, pos, CAST(total AS DOUBLE) AS total, CAST(peak - total AS DOUBLE) AS drawdown FROM peak WHERE n <= 200 OR pos IN (SELECT round_even(i * ((SELECT count(*) FROM flat) - 1) / 199.0, 0) FROM range(200) r(i))"))
+@register("global_drawdown", sql(REC, CUM + """ SELECT seq, pos, CAST(total AS DOUBLE) AS total, CAST(peak - total AS DOUBLE) AS drawdown FROM peak WHERE n <= 200 OR
+    pos IN (SELECT round_even(i * ((SELECT count(*) FROM flat) - 1) / 199.0, 0) FROM range(200) r(i))"""))
 def global_drawdown(spark, sf):
     """Cumulative captured markout in one order over all records, its drawdown, at 200 even places at most."""
     rec = records(spark, sf)
@@ -255,7 +274,8 @@ def trailing_window(spark, sf):
     return out.select("seq", "symbol", "n", r6(F.col("sum_qty").cast("double")).alias("qty"))
 
 
-@register("breakout_signal", sql("", "WITH s AS (SELECT seq, symbol, (px - lag(px, 5) OVER w) / lag(px, 5) OVER w * 10000 AS m FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY t, seq)) SELECT seq, symbol, round(m, 6) + 0.0 AS momentum, CASE WHEN m > 500 THEN 'buy' WHEN m < -500 THEN 'sell' ELSE 'none' END AS signal FROM s"))
+@register("breakout_signal", sql("", """WITH s AS (SELECT seq, symbol, (px - lag(px, 5) OVER w) / lag(px, 5) OVER w * 10000 AS m FROM trades WINDOW w AS (PARTITION BY
+    symbol ORDER BY t, seq)) SELECT seq, symbol, round(m, 6) + 0.0 AS momentum, CASE WHEN m > 500 THEN 'buy' WHEN m < -500 THEN 'sell' ELSE 'none' END AS signal FROM s"""))
 def breakout_signal(spark, sf):
     """Momentum over five prints in bps against a threshold."""
     from pyspark.sql import Window
@@ -266,7 +286,9 @@ def breakout_signal(spark, sf):
     return trades(spark, sf).withColumn("m", m).select("seq", "symbol", r6("m").alias("momentum"), F.when(F.col("m") > 500, "buy").when(F.col("m") < -500, "sell").otherwise("none").alias("signal"))
 
 
-@register("flow_imbalance", sql("", "WITH f AS (SELECT symbol, t // 3600000000 AS hour, sum(CASE WHEN side = 1 THEN qty ELSE 0 END) AS b, sum(CASE WHEN side = -1 THEN qty ELSE 0 END) AS a FROM trades GROUP BY ALL) SELECT symbol, hour, round((b - a) / (b + a), 6) + 0.0 AS imbalance, CASE WHEN (b - a) / (b + a) > 0.2 THEN 'buy' WHEN (b - a) / (b + a) < -0.2 THEN 'sell' ELSE 'none' END AS signal FROM f"))
+@register("flow_imbalance", sql("", """WITH f AS (SELECT symbol, t // 3600000000 AS hour, sum(CASE WHEN side = 1 THEN qty ELSE 0 END) AS b, sum(CASE WHEN side = -1
+    THEN qty ELSE 0 END) AS a FROM trades GROUP BY ALL) SELECT symbol, hour, round((b - a) / (b + a), 6) + 0.0 AS imbalance, CASE WHEN (b - a) / (b + a) > 0.2 THEN 'buy'
+    WHEN (b - a) / (b + a) < -0.2 THEN 'sell' ELSE 'none' END AS signal FROM f"""))
 def flow_imbalance(spark, sf):
     """Imbalance of bought and sold size by hour, and the side it asks for."""
     f = trades(spark, sf).groupBy("symbol", F.floor(F.col("t") / HOUR).alias("hour")).agg(F.sum(F.when(F.col("side") == 1, F.col("qty")).otherwise(0)).alias("b"), F.sum(F.when(F.col("side") == -1, F.col("qty")).otherwise(0)).alias("a"))

@@ -13,10 +13,12 @@ from pitlake.session import table
 
 ORDER = list(LEDGER_ORDER)
 BY = ", ".join(ORDER)
-CASH = f"SELECT *, sum(CAST(round(-(qty * px) - fee, 4) AS DECIMAL(28, 4))) OVER w AS cash, sum(CAST(qty AS DECIMAL(28, 4))) OVER w AS position FROM ledger WINDOW w AS (PARTITION BY account, symbol ORDER BY {BY} ROWS UNBOUNDED PRECEDING)"
+CASH = f"""SELECT *, sum(CAST(round(-(qty * px) - fee, 4) AS DECIMAL(28, 4))) OVER w AS cash, sum(CAST(qty AS DECIMAL(28, 4))) OVER w AS position FROM ledger WINDOW w
+    AS (PARTITION BY account, symbol ORDER BY {BY} ROWS UNBOUNDED PRECEDING)"""
 
 
-@register("ledger_position", with_views("ledger", f"WITH c AS ({CASH}) SELECT account, symbol, count(*) AS fills, round(CAST(max(position) AS DOUBLE), 4) AS top, round(CAST(arg_max(cash, ({BY})) AS DOUBLE), 2) AS cash, round(CAST(arg_max(position, ({BY})) AS DOUBLE), 4) AS position FROM c GROUP BY ALL"))
+@register("ledger_position", with_views("ledger", f"""WITH c AS ({CASH}) SELECT account, symbol, count(*) AS fills, round(CAST(max(position) AS DOUBLE), 4) AS top,
+    round(CAST(arg_max(cash, ({BY})) AS DOUBLE), 2) AS cash, round(CAST(arg_max(position, ({BY})) AS DOUBLE), 4) AS position FROM c GROUP BY ALL"""))
 def ledger_position(spark, sf):
     """Last cash and position of each account and symbol, and the largest position on the way."""
     p = lg.running_position(ledger(spark, sf), ORDER, 365 * DAY)
@@ -32,16 +34,21 @@ def turnover_fees(spark, sf):
 
 @register("realised_pnl", with_views("ledger", f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY account, symbol ORDER BY {BY}) AS i FROM ledger),
   f AS (SELECT account, symbol, 0::BIGINT AS i, 0.0::DOUBLE AS q, 0.0::DOUBLE AS a, 0.0::DOUBLE AS pnl FROM (SELECT DISTINCT account, symbol FROM ledger)
-    UNION ALL SELECT f.account, f.symbol, n.i, f.q + n.qty, CASE WHEN f.q = 0 OR sign(f.q) = sign(n.qty) THEN (abs(f.q) * f.a + abs(n.qty) * n.px) / (abs(f.q) + abs(n.qty)) WHEN f.q + n.qty = 0 THEN 0 WHEN sign(f.q + n.qty) = sign(f.q) THEN f.a ELSE n.px END,
-      f.pnl + CASE WHEN f.q = 0 OR sign(f.q) = sign(n.qty) THEN 0 ELSE least(abs(f.q), abs(n.qty)) * (n.px - f.a) * sign(f.q) END FROM f JOIN n ON n.account = f.account AND n.symbol = f.symbol AND n.i = f.i + 1)
-  SELECT account, symbol, max(i) AS fills, round(arg_max(q, i), 4) + 0.0 AS position, round(arg_max(a, i), 4) + 0.0 AS average_price, round(arg_max(pnl, i), 2) + 0.0 AS realised FROM f GROUP BY ALL""").replace("WITH ledger", "WITH RECURSIVE ledger").replace(", RECURSIVE n AS", ", n AS"))
+    UNION ALL SELECT f.account, f.symbol, n.i, f.q + n.qty, CASE WHEN f.q = 0 OR sign(f.q) = sign(n.qty) THEN (abs(f.q) * f.a + abs(n.qty) * n.px) / (abs(f.q) +
+    abs(n.qty)) WHEN f.q + n.qty = 0 THEN 0 WHEN sign(f.q + n.qty) = sign(f.q) THEN f.a ELSE n.px END,
+      f.pnl + CASE WHEN f.q = 0 OR sign(f.q) = sign(n.qty) THEN 0 ELSE least(abs(f.q), abs(n.qty)) * (n.px - f.a) * sign(f.q) END FROM f JOIN n ON n.account = f.account
+    AND n.symbol = f.symbol AND n.i = f.i + 1)
+  SELECT account, symbol, max(i) AS fills, round(arg_max(q, i), 4) + 0.0 AS position, round(arg_max(a, i), 4) + 0.0 AS average_price, round(arg_max(pnl, i), 2) + 0.0 AS
+    realised FROM f GROUP BY ALL""").replace("WITH ledger", "WITH RECURSIVE ledger").replace(", RECURSIVE n AS", ", n AS"))
 def realised_pnl(spark, sf):
     """Average-cost realised profit."""
     out = lg.realised_pnl(ledger(spark, sf), ORDER)
     return out.select("account", "symbol", "fills", (F.round("position", 4) + F.lit(0.0)).alias("position"), (F.round("average_price", 4) + F.lit(0.0)).alias("average_price"), (F.round("realised", 2) + F.lit(0.0)).alias("realised"))
 
 
-ACT = f"acts AS (SELECT p_partkey AS id, p_partkey % 20 AS symbol, 820000000000000 + p_partkey % 2000 * {DAY} AS effective, CASE WHEN p_size = 7 THEN 1 + p_partkey % 3 ELSE 1 END AS split_num, CASE WHEN p_size = 7 THEN 1 + p_partkey % 2 ELSE 1 END AS split_den, p_retailprice / 1000 AS dividend, 820000000000000 + (p_partkey % 2000 + 30) * {DAY} AS pay_at FROM part)"
+ACT = f"""acts AS (SELECT p_partkey AS id, p_partkey % 20 AS symbol, 820000000000000 + p_partkey % 2000 * {DAY} AS effective, CASE WHEN p_size = 7 THEN 1 + p_partkey %
+    3 ELSE 1 END AS split_num, CASE WHEN p_size = 7 THEN 1 + p_partkey % 2 ELSE 1 END AS split_den, p_retailprice / 1000 AS dividend, 820000000000000 + (p_partkey % 2000
+    + 30) * {DAY} AS pay_at FROM part)"""
 
 
 def actions(spark, sf):
@@ -91,8 +98,10 @@ def cash_postings(spark, sf):
 
 
 @register("total_return", with_views("ledger", f"""WITH {ACT},
-  s AS (SELECT s_suppkey AS id, s_suppkey % 20 AS symbol, CAST(820000000000000 + s_suppkey % 100 * {DAY} AS BIGINT) AS entry, CAST(820000000000000 + (s_suppkey % 100 + 600) * {DAY} AS BIGINT) AS exit, 100.0 + s_suppkey % 7 AS p0, 100.0 + s_suppkey % 11 AS p1 FROM supplier),
-  o AS (SELECT s.*, a.effective, a.dividend, a.split_num * 1.0 / a.split_den AS k, row_number() OVER (PARTITION BY s.id ORDER BY a.effective, a.id) AS r FROM s LEFT JOIN acts a ON a.symbol = s.symbol AND a.effective > s.entry AND a.effective <= s.exit),
+  s AS (SELECT s_suppkey AS id, s_suppkey % 20 AS symbol, CAST(820000000000000 + s_suppkey % 100 * {DAY} AS BIGINT) AS entry, CAST(820000000000000 + (s_suppkey % 100 +
+    600) * {DAY} AS BIGINT) AS exit, 100.0 + s_suppkey % 7 AS p0, 100.0 + s_suppkey % 11 AS p1 FROM supplier),
+  o AS (SELECT s.*, a.effective, a.dividend, a.split_num * 1.0 / a.split_den AS k, row_number() OVER (PARTITION BY s.id ORDER BY a.effective, a.id) AS r FROM s LEFT JOIN
+    acts a ON a.symbol = s.symbol AND a.effective > s.entry AND a.effective <= s.exit),
   c AS (SELECT *, coalesce(product(k) OVER (PARTITION BY id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS before FROM o)
   SELECT id, round((coalesce(product(k), 1) * any_value(p1) + coalesce(sum(before * dividend), 0)) / any_value(p0) - 1, 6) + 0.0 AS total_return FROM c GROUP BY id"""))
 def total_return(spark, sf):
@@ -103,10 +112,13 @@ def total_return(spark, sf):
     return lg.total_return(spans, actions(spark, sf), 90 * DAY).select("id", r6("total_return").alias("total_return"))
 
 
-@register("market_fill_price", with_views("trades quotes", f"""WITH h AS (SELECT symbol, t // {HOUR} * {HOUR} + {HOUR} AS "end", arg_max(px, (t, seq)) AS close FROM trades GROUP BY ALL), o AS (SELECT seq, symbol, side, qty, t + 5000000 AS due FROM trades),
-  j AS (SELECT o.*, q.seq AS quote, CASE o.side WHEN 1 THEN q.ask ELSE q.bid END AS touch FROM o ASOF LEFT JOIN quotes q ON o.symbol = q.symbol AND o.due <= q.t), k AS (SELECT j.*, h.close FROM j ASOF LEFT JOIN h ON j.symbol = h.symbol AND j.due <= h."end"),
+@register("market_fill_price", with_views("trades quotes", f"""WITH h AS (SELECT symbol, t // {HOUR} * {HOUR} + {HOUR} AS "end", arg_max(px, (t, seq)) AS close FROM
+    trades GROUP BY ALL), o AS (SELECT seq, symbol, side, qty, t + 5000000 AS due FROM trades),
+  j AS (SELECT o.*, q.seq AS quote, CASE o.side WHEN 1 THEN q.ask ELSE q.bid END AS touch FROM o ASOF LEFT JOIN quotes q ON o.symbol = q.symbol AND o.due <= q.t), k AS
+    (SELECT j.*, h.close FROM j ASOF LEFT JOIN h ON j.symbol = h.symbol AND j.due <= h."end"),
   p AS (SELECT *, coalesce(touch, close) AS base FROM k), f AS (SELECT *, base * (1 + side * qty * 2.0 / 10000) AS px FROM p)
-  SELECT seq AS id, quote, round(px, 3) AS fill_px, round(px * qty * 5.0 / 10000, 3) AS fill_fee, CASE WHEN touch IS NULL AND close IS NOT NULL THEN 'top_of_book_missing' END AS fill_flag FROM f"""))
+  SELECT seq AS id, quote, round(px, 3) AS fill_px, round(px * qty * 5.0 / 10000, 3) AS fill_fee, CASE WHEN touch IS NULL AND close IS NOT NULL THEN 'top_of_book_missing'
+    END AS fill_flag FROM f"""))
 def market_fill_price(spark, sf):
     """Market orders priced at the first quote after their latency, past the last quote at the hour's close."""
     t = trades(spark, sf)
@@ -114,8 +126,11 @@ def market_fill_price(spark, sf):
     return out.select(F.col("seq").alias("id"), F.col("q_seq").alias("quote"), F.round("fill_px", 3).alias("fill_px"), F.round("fill_fee", 3).alias("fill_fee"), "fill_flag")
 
 
-@register("limit_fill", with_views("trades", f"""WITH o AS (SELECT seq AS id, symbol, side, t, t + {6 * HOUR} AS until, px AS "limit", qty * 2 AS qty FROM trades), m AS (SELECT o.*, p.seq AS ps, p.t AS pt, p.qty * 0.25 AS offered FROM o JOIN trades p ON p.symbol = o.symbol AND p.t > o.t AND p.t <= o.until AND ((o.side = 1 AND p.px <= o."limit") OR (o.side = -1 AND p.px >= o."limit"))),
-  b AS (SELECT *, coalesce(sum(offered) OVER (PARTITION BY id ORDER BY pt, ps ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m) SELECT id, ps AS print_seq, round(greatest(0, least(offered, qty - before)), 6) AS filled FROM b WHERE least(offered, qty - before) > 0"""))
+@register("limit_fill", with_views("trades", f"""WITH o AS (SELECT seq AS id, symbol, side, t, t + {6 * HOUR} AS until, px AS "limit", qty * 2 AS qty FROM trades), m
+    AS (SELECT o.*, p.seq AS ps, p.t AS pt, p.qty * 0.25 AS offered FROM o JOIN trades p ON p.symbol = o.symbol AND p.t > o.t AND p.t <= o.until AND ((o.side = 1 AND p.px
+    <= o."limit") OR (o.side = -1 AND p.px >= o."limit"))),
+  b AS (SELECT *, coalesce(sum(offered) OVER (PARTITION BY id ORDER BY pt, ps ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m) SELECT id, ps AS
+    print_seq, round(greatest(0, least(offered, qty - before)), 6) AS filled FROM b WHERE least(offered, qty - before) > 0"""))
 def limit_fill(spark, sf):
     """Passive orders filled by a quarter of each print at or through their limit within six hours."""
     t = trades(spark, sf)
@@ -123,8 +138,11 @@ def limit_fill(spark, sf):
     return lg.limit_fills(o, t, 0.25, [6 * HOUR, HOUR, HOUR // 6]).select("id", "print_seq", r6("filled").alias("filled"))
 
 
-@register("funding_accrual", with_views("trades", f"""WITH p AS (SELECT *, symbol AS account, sum(side * qty) OVER (PARTITION BY symbol ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS position FROM trades), g AS (SELECT symbol, min(t) AS t0, max(t) AS t1 FROM trades GROUP BY 1), d AS (SELECT symbol, unnest(range(t0 + {8 * HOUR}, t1 + 1, {8 * HOUR})) AS due FROM g),
-  m AS (SELECT d.*, q.px AS mark FROM d ASOF LEFT JOIN trades q ON d.symbol = q.symbol AND d.due <= q.t), h AS (SELECT m.*, p.position FROM m ASOF LEFT JOIN p ON m.symbol = p.symbol AND m.due >= p.t)
+@register("funding_accrual", with_views("trades", f"""WITH p AS (SELECT *, symbol AS account, sum(side * qty) OVER (PARTITION BY symbol ORDER BY t, seq ROWS UNBOUNDED
+    PRECEDING) AS position FROM trades), g AS (SELECT symbol, min(t) AS t0, max(t) AS t1 FROM trades GROUP BY 1), d AS (SELECT symbol, unnest(range(t0 + {8 * HOUR}, t1 +
+    1, {8 * HOUR})) AS due FROM g),
+  m AS (SELECT d.*, q.px AS mark FROM d ASOF LEFT JOIN trades q ON d.symbol = q.symbol AND d.due <= q.t), h AS (SELECT m.*, p.position FROM m ASOF LEFT JOIN p ON m.symbol
+    = p.symbol AND m.due >= p.t)
   SELECT symbol, due, round(position * mark * CASE WHEN symbol % 4 <> 0 THEN 1.0 + symbol ELSE 0 END / 10000, 6) + 0.0 AS payment, symbol % 4 = 0 AS no_rate FROM h"""))
 def funding_accrual(spark, sf):
     """Funding of each symbol's running position every eight hours."""
@@ -137,7 +155,9 @@ def funding_accrual(spark, sf):
     return lg.funding(pos, t, rates, 8 * HOUR, ["seq"], DAY).select("symbol", "due", r6("payment").alias("payment"), "no_rate")
 
 
-@register("next_minute", with_views("trades", f"""WITH s AS (SELECT DISTINCT symbol, t // {DAY} * {DAY} + {9 * HOUR} AS open, t // {DAY} * {DAY} + {16 * HOUR} AS close FROM trades), d AS (SELECT seq, symbol, (t // 60000000 + 1) * 60000000 AS m FROM trades) SELECT d.seq, greatest(d.m, s.open) AS minute FROM d ASOF LEFT JOIN s ON d.symbol = s.symbol AND d.m + 1 <= s.close""").replace("greatest(d.m, s.open) AS minute", "CASE WHEN s.open IS NOT NULL THEN greatest(d.m, s.open) END AS minute"))
+@register("next_minute", with_views("trades", f"""WITH s AS (SELECT DISTINCT symbol, t // {DAY} * {DAY} + {9 * HOUR} AS open, t // {DAY} * {DAY} + {16 * HOUR} AS close
+    FROM trades), d AS (SELECT seq, symbol, (t // 60000000 + 1) * 60000000 AS m FROM trades) SELECT d.seq, greatest(d.m, s.open) AS minute FROM d ASOF LEFT JOIN s ON
+    d.symbol = s.symbol AND d.m + 1 <= s.close""").replace("greatest(d.m, s.open) AS minute", "CASE WHEN s.open IS NOT NULL THEN greatest(d.m, s.open) END AS minute"))
 def next_minute(spark, sf):
     """The next minute of a session after each trade."""
     t = trades(spark, sf)
@@ -146,9 +166,13 @@ def next_minute(spark, sf):
     return lg.next_minute(t, s, ["symbol"], 60_000_000).select("seq", "minute")
 
 
-@register("equity_metrics", with_views("trades", """WITH e AS (SELECT symbol, t, seq, px, qty, 50 AS mid, sum(side * qty) OVER (PARTITION BY symbol ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS pos, 100000 + sum(CAST(side * qty AS DECIMAL(28, 4))) OVER (PARTITION BY symbol ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS equity FROM trades), p AS (SELECT *, greatest(100000, max(equity) OVER (PARTITION BY symbol ORDER BY t, seq ROWS UNBOUNDED PRECEDING)) AS peak FROM e)
-  SELECT symbol, CAST(arg_max(equity, (t, seq)) AS DOUBLE) AS final, round(CAST(arg_max(equity, (t, seq)) AS DOUBLE) / 100000 - 1, 6) + 0.0 AS net_return, round(max(CAST(peak - equity AS DOUBLE) / CAST(peak AS DOUBLE)), 6) + 0.0 AS max_drawdown,
-    round(avg(pos * px / CAST(equity AS DOUBLE)), 6) + 0.0 AS mean_exposure, round(sum(qty * px) / 100000, 6) + 0.0 AS turnover, round(avg((px - mid) * (px - mid)), 4) AS mse FROM p GROUP BY 1"""))
+@register("equity_metrics", with_views("trades", """WITH e AS (SELECT symbol, t, seq, px, qty, 50 AS mid, sum(side * qty) OVER (PARTITION BY symbol ORDER BY t, seq
+    ROWS UNBOUNDED PRECEDING) AS pos, 100000 + sum(CAST(side * qty AS DECIMAL(28, 4))) OVER (PARTITION BY symbol ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS equity FROM
+    trades), p AS (SELECT *, greatest(100000, max(equity) OVER (PARTITION BY symbol ORDER BY t, seq ROWS UNBOUNDED PRECEDING)) AS peak FROM e)
+  SELECT symbol, CAST(arg_max(equity, (t, seq)) AS DOUBLE) AS final, round(CAST(arg_max(equity, (t, seq)) AS DOUBLE) / 100000 - 1, 6) + 0.0 AS net_return,
+    round(max(CAST(peak - equity AS DOUBLE) / CAST(peak AS DOUBLE)), 6) + 0.0 AS max_drawdown,
+    round(avg(pos * px / CAST(equity AS DOUBLE)), 6) + 0.0 AS mean_exposure, round(sum(qty * px) / 100000, 6) + 0.0 AS turnover, round(avg((px - mid) * (px - mid)), 4) AS
+    mse FROM p GROUP BY 1"""))
 def equity_metrics(spark, sf):
     """End, return and largest drawdown of a curve for each symbol."""
     from pyspark.sql import Window
@@ -169,7 +193,9 @@ def step_returns(spark, sf):
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
 
-@register("ridge_fit", "WITH s AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS mx, stddev_pop(l_quantity) AS sx, avg(l_extendedprice) AS my, sum((l_quantity) * l_extendedprice) AS xy FROM lineitem GROUP BY 1) SELECT l_returnflag, n, round(my, 4) AS w0, round((xy - n * mx * my) / sx / (n + 1.0), 4) AS w1 FROM s")
+@register("ridge_fit", """WITH s AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS mx, stddev_pop(l_quantity) AS sx, avg(l_extendedprice) AS my,
+    sum((l_quantity) * l_extendedprice) AS xy FROM lineitem GROUP BY 1) SELECT l_returnflag, n, round(my, 4) AS w0, round((xy - n * mx * my) / sx / (n + 1.0), 4) AS w1
+    FROM s""")
 def ridge_fit(spark, sf):
     """A one-feature ridge for each group, which has a closed form in SQL."""
     out = md.ridge_fit(table(spark, sf, "lineitem"), ["l_returnflag"], ["l_quantity"], "l_extendedprice")
@@ -203,7 +229,8 @@ SUMS3, SCORE3 = ridge_sql(FEATURES, "l_extendedprice")
 
 
 @register("ridge_scores", f"""WITH m AS (SELECT l_returnflag AS f, {SUMS3} FROM lineitem GROUP BY 1),
-  p AS (SELECT l_returnflag, l_extendedprice AS y, {SCORE3} AS p FROM (SELECT l_returnflag, l_extendedprice, {", ".join(f"{x} AS q{i}" for i, x in enumerate(FEATURES))} FROM lineitem) l JOIN m ON f = l_returnflag)
+  p AS (SELECT l_returnflag, l_extendedprice AS y, {SCORE3} AS p FROM (SELECT l_returnflag, l_extendedprice, {", ".join(f"{x} AS q{i}" for i, x in enumerate(FEATURES))}
+    FROM lineitem) l JOIN m ON f = l_returnflag)
   SELECT l_returnflag, count(*) AS n, round(avg((p - y) ** 2), 2) AS mse FROM p GROUP BY 1""")
 def ridge_scores(spark, sf):
     """Three-feature ridge by group, scored on every row."""
@@ -235,7 +262,8 @@ def walk_sql(name: str, x: list[str]) -> str:
 
 
 @register("ridge_walk_forward", with_views("monthly", f"""WITH {LAGGED}, {walk_sql("w", ["y1", "y2"])}
-  SELECT l.series, l.m, w.n AS n_train, round(w.p, 2) + 0.0 AS prediction, CASE WHEN w.p IS NOT NULL THEN CAST(sign(w.p) AS DOUBLE) END AS position, round((w.p - l.value) ** 2 / 1e6, 0) + 0.0 AS squared_error
+  SELECT l.series, l.m, w.n AS n_train, round(w.p, 2) + 0.0 AS prediction, CASE WHEN w.p IS NOT NULL THEN CAST(sign(w.p) AS DOUBLE) END AS position, round((w.p - l.value)
+    ** 2 / 1e6, 0) + 0.0 AS squared_error
   FROM lagged l LEFT JOIN w ON w.series = l.series AND w.m = l.m"""))
 def ridge_walk_forward(spark, sf):
     """Walk-forward ridge of each series on its lags; squared errors in millions."""
@@ -257,19 +285,25 @@ def nested_models(spark, sf):
 HALF_X, HALF_Y = (ridge_sql(["y3"], y) for y in ("value", "y1"))
 
 
-@register("crossfit_residual", with_views("monthly", f"""WITH {LAGGED}, h AS (SELECT *, count(*) OVER (PARTITION BY series) AS k, row_number() OVER (PARTITION BY series ORDER BY m) AS i FROM lagged),
+@register("crossfit_residual", with_views("monthly", f"""WITH {LAGGED}, h AS (SELECT *, count(*) OVER (PARTITION BY series) AS k, row_number() OVER (PARTITION BY
+    series ORDER BY m) AS i FROM lagged),
   x AS (SELECT series, {HALF_X[0]} FROM h WHERE i <= k // 2 GROUP BY series), y AS (SELECT series, {HALF_Y[0]} FROM h WHERE i <= k // 2 GROUP BY series),
-  r AS (SELECT h.series, h.k, h.i, value - (SELECT {HALF_X[1]} FROM x WHERE x.series = h.series) AS rx, y1 - (SELECT {HALF_Y[1]} FROM y WHERE y.series = h.series) AS ry FROM (SELECT *, y3 AS q0 FROM h WHERE i > k // 2) h)
-  SELECT series, any_value(k) AS rows, CASE WHEN any_value(k) >= 16 THEN round(corr(rx, ry), 6) + 0.0 END AS residual_correlation, CASE WHEN any_value(k) >= 16 THEN 'completed' ELSE 'insufficient_data' END AS state FROM r GROUP BY series"""))
+  r AS (SELECT h.series, h.k, h.i, value - (SELECT {HALF_X[1]} FROM x WHERE x.series = h.series) AS rx, y1 - (SELECT {HALF_Y[1]} FROM y WHERE y.series = h.series) AS ry
+    FROM (SELECT *, y3 AS q0 FROM h WHERE i > k // 2) h)
+  SELECT series, any_value(k) AS rows, CASE WHEN any_value(k) >= 16 THEN round(corr(rx, ry), 6) + 0.0 END AS residual_correlation, CASE WHEN any_value(k) >= 16 THEN
+    'completed' ELSE 'insufficient_data' END AS state FROM r GROUP BY series"""))
 def crossfit_residual(spark, sf):
     """Held-out association of two lags of each series beyond a third."""
     out = md.crossfit_residuals(lagged_series(spark, sf), ["series"], ["m"], ["y3"], "value", "y1")
     return out.select("series", "rows", r6("residual_correlation").alias("residual_correlation"), "state")
 
 
-@register("vintage_forecast", with_views("versions", """WITH v AS (SELECT key % 100 AS key, period, id, value, reconstructed AS ready, id % 2 AS side FROM versions WHERE reconstructed IS NOT NULL), x AS (SELECT * FROM v WHERE side = 0), y AS (SELECT * FROM v WHERE side = 1),
-  l AS (SELECT key, period, arg_max(value, (ready, value)) AS value, max(ready) AS ready FROM y GROUP BY ALL), d AS (SELECT key, period AS "of", ready AS decision, lead(value) OVER w AS tv, lead(ready) OVER w AS tr FROM l WINDOW w AS (PARTITION BY key ORDER BY period)), e AS (SELECT * FROM d WHERE tr > decision),
-  kx AS (SELECT e.key, e.decision, e."of", arg_max(v.value, (v.period, v.ready, v.value)) AS x FROM e JOIN x v ON v.key = e.key AND v.ready <= e.decision GROUP BY ALL), ky AS (SELECT e.key, e.decision, e."of", arg_max(v.value, (v.period, v.ready, v.value)) AS y FROM e JOIN y v ON v.key = e.key AND v.ready <= e.decision GROUP BY ALL)
+@register("vintage_forecast", with_views("versions", """WITH v AS (SELECT key % 100 AS key, period, id, value, reconstructed AS ready, id % 2 AS side FROM versions
+    WHERE reconstructed IS NOT NULL), x AS (SELECT * FROM v WHERE side = 0), y AS (SELECT * FROM v WHERE side = 1),
+  l AS (SELECT key, period, arg_max(value, (ready, value)) AS value, max(ready) AS ready FROM y GROUP BY ALL), d AS (SELECT key, period AS "of", ready AS decision,
+    lead(value) OVER w AS tv, lead(ready) OVER w AS tr FROM l WINDOW w AS (PARTITION BY key ORDER BY period)), e AS (SELECT * FROM d WHERE tr > decision),
+  kx AS (SELECT e.key, e.decision, e."of", arg_max(v.value, (v.period, v.ready, v.value)) AS x FROM e JOIN x v ON v.key = e.key AND v.ready <= e.decision GROUP BY ALL),
+    ky AS (SELECT e.key, e.decision, e."of", arg_max(v.value, (v.period, v.ready, v.value)) AS y FROM e JOIN y v ON v.key = e.key AND v.ready <= e.decision GROUP BY ALL)
   SELECT e.key, e.decision, x, y, round(tv - y, 2) + 0.0 AS target, tr AS target_ready FROM e JOIN kx USING (key, decision, "of") JOIN ky USING (key, decision, "of")"""))
 def vintage_forecast(spark, sf):
     """At each release the values known then and the change to come."""
@@ -278,7 +312,9 @@ def vintage_forecast(spark, sf):
     return out.select("key", "decision", "x", "y", (F.round("target", 2) + F.lit(0.0)).alias("target"), "target_ready")
 
 
-@register("input_readiness", with_views("versions", "SELECT key, count(*) FILTER (WHERE value IS NOT NULL AND published IS NOT NULL AND reconstructed IS NOT NULL) AS rows, CASE WHEN count(*) FILTER (WHERE value IS NOT NULL AND published IS NOT NULL AND reconstructed IS NOT NULL) >= 8 THEN 'ready' ELSE 'insufficient_data' END AS state FROM versions GROUP BY 1"))
+@register("input_readiness", with_views("versions", """SELECT key, count(*) FILTER (WHERE value IS NOT NULL AND published IS NOT NULL AND reconstructed IS NOT NULL)
+    AS rows, CASE WHEN count(*) FILTER (WHERE value IS NOT NULL AND published IS NOT NULL AND reconstructed IS NOT NULL) >= 8 THEN 'ready' ELSE 'insufficient_data' END AS
+    state FROM versions GROUP BY 1"""))
 def input_readiness(spark, sf):
     """Whether a series has enough whole rows."""
     return md.readiness(versions(spark, sf), 8)
@@ -306,7 +342,8 @@ def factor_filter(spark, sf):
   s AS (SELECT *, m - min(m) OVER (PARTITION BY panel) + 1 AS released, row_number() OVER (PARTITION BY panel, series ORDER BY m) AS n FROM r),
   c AS (SELECT panel, series, count(*) AS k, avg(value) AS mean, stddev_pop(value) AS sd, max(released) AS until FROM s WHERE n <= 12 GROUP BY ALL),
   p AS (SELECT panel, max(until) AS cutoff, min(k) AS k, min(sd) AS low FROM c GROUP BY 1),
-  z AS (SELECT s.panel, s.series, s.released, (s.value - c.mean) / c.sd AS z FROM s JOIN c USING (panel, series) JOIN p USING (panel) WHERE n > 12 AND p.k = 12 AND low > 1e-12 AND released > cutoff)
+  z AS (SELECT s.panel, s.series, s.released, (s.value - c.mean) / c.sd AS z FROM s JOIN c USING (panel, series) JOIN p USING (panel) WHERE n > 12 AND p.k = 12 AND low >
+    1e-12 AND released > cutoff)
   SELECT panel, series, released, round(z, 6) + 0.0 AS z FROM z QUALIFY count(*) OVER (PARTITION BY panel) >= 12"""))
 def calibration(spark, sf):
     """Releases after each region's cutoff, scaled by the first twelve of their own series."""
@@ -314,28 +351,35 @@ def calibration(spark, sf):
     return releases.select("panel", "series", "released", r6("value").alias("z"))
 
 
-BARS = f"bars AS (SELECT symbol, t // {HOUR} * {HOUR} AS start, arg_min(px, (t, seq)) AS open, max(px) AS high, min(px) AS low, arg_max(px, (t, seq)) AS close, sum(qty) AS volume, t // {HOUR} * {HOUR} + {HOUR} AS \"end\", t // {HOUR} * {HOUR} + {HOUR} + symbol % 3 * 600000000 AS available FROM trades GROUP BY ALL)"
+BARS = f"""bars AS (SELECT symbol, t // {HOUR} * {HOUR} AS start, arg_min(px, (t, seq)) AS open, max(px) AS high, min(px) AS low, arg_max(px, (t, seq)) AS close,
+    sum(qty) AS volume, t // {HOUR} * {HOUR} + {HOUR} AS \"end\", t // {HOUR} * {HOUR} + {HOUR} + symbol % 3 * 600000000 AS available FROM trades GROUP BY ALL)"""
 
 
 def hourly(spark, sf):
     return br.from_prints(trades(spark, sf), HOUR, F.col("symbol") % 3 * 600_000_000)
 
 
-@register("bars_visible", with_views("trades", f"WITH {BARS}, s AS (SELECT *, greatest(\"end\", available + 60000000) AS seen FROM bars) SELECT t.seq, s.start, s.close FROM trades t ASOF LEFT JOIN s ON t.symbol = s.symbol AND t.t >= s.seen"))
+@register("bars_visible", with_views("trades", f"""WITH {BARS}, s AS (SELECT *, greatest(\"end\", available + 60000000) AS seen FROM bars) SELECT t.seq, s.start,
+    s.close FROM trades t ASOF LEFT JOIN s ON t.symbol = s.symbol AND t.t >= s.seen"""))
 def bars_visible(spark, sf):
     """The last hourly bar that a trade's time could see."""
     out = br.last_visible(trades(spark, sf), hourly(spark, sf), 60_000_000, DAY)
     return out.select("seq", F.col("bar_start").alias("start"), F.col("bar_close").alias("close"))
 
 
-@register("bar_momentum", with_views("trades", f"WITH {BARS}, r AS (SELECT *, (close - lag(close) OVER w) / lag(close) OVER w AS r FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY start)), m AS (SELECT symbol, start, \"end\", count(*) OVER n AS k, first(start) OVER n AS f, close / first(close) OVER n - 1 AS mom, stddev_pop(r) OVER p AS vol FROM r WINDOW n AS (PARTITION BY symbol ORDER BY start ROWS 30 PRECEDING), p AS (PARTITION BY symbol ORDER BY start ROWS 29 PRECEDING)) SELECT symbol, start, CASE WHEN k = 31 AND \"end\" - f <= {5 * DAY} THEN round(mom, 6) + 0.0 END AS momentum, CASE WHEN k = 31 AND \"end\" - f <= {5 * DAY} THEN round(vol, 6) END AS volatility FROM m"))
+@register("bar_momentum", with_views("trades", f"""WITH {BARS}, r AS (SELECT *, (close - lag(close) OVER w) / lag(close) OVER w AS r FROM bars WINDOW w AS (PARTITION
+    BY symbol ORDER BY start)), m AS (SELECT symbol, start, \"end\", count(*) OVER n AS k, first(start) OVER n AS f, close / first(close) OVER n - 1 AS mom, stddev_pop(r)
+    OVER p AS vol FROM r WINDOW n AS (PARTITION BY symbol ORDER BY start ROWS 30 PRECEDING), p AS (PARTITION BY symbol ORDER BY start ROWS 29 PRECEDING)) SELECT symbol,
+    start, CASE WHEN k = 31 AND \"end\" - f <= {5 * DAY} THEN round(mom, 6) + 0.0 END AS momentum, CASE WHEN k = 31 AND \"end\" - f <= {5 * DAY} THEN round(vol, 6) END AS
+    volatility FROM m"""))
 def bar_momentum(spark, sf):
     """Momentum and volatility over 31 bars that span at most five days."""
     return br.momentum(hourly(spark, sf), 31, 5 * DAY).select("symbol", "start", r6("momentum").alias("momentum"), r6("volatility").alias("volatility"))
 
 
 #: A dividend or split of a traded symbol for each part, within the month of the trades.
-TRADE_ACT = "acts AS (SELECT p_partkey AS id, p_partkey % 10 AS symbol, 1704067200000000 + p_partkey * 7919 % 2592000 * 1000000 AS effective, CASE WHEN p_size = 7 THEN 1 + p_partkey % 3 ELSE 1 END AS split_num, CASE WHEN p_size = 7 THEN 1 + p_partkey % 2 ELSE 1 END AS split_den, p_retailprice / 10000 AS dividend FROM part)"
+TRADE_ACT = """acts AS (SELECT p_partkey AS id, p_partkey % 10 AS symbol, 1704067200000000 + p_partkey * 7919 % 2592000 * 1000000 AS effective, CASE WHEN p_size = 7
+    THEN 1 + p_partkey % 3 ELSE 1 END AS split_num, CASE WHEN p_size = 7 THEN 1 + p_partkey % 2 ELSE 1 END AS split_den, p_retailprice / 10000 AS dividend FROM part)"""
 
 
 def trade_actions(spark, sf):
@@ -344,16 +388,19 @@ def trade_actions(spark, sf):
     return table(spark, sf, "part").select(key.alias("id"), (key % 10).alias("symbol"), (F.lit(1_704_067_200_000_000) + key * 7919 % 2_592_000 * 1_000_000).alias("effective"), split(3).alias("split_num"), split(2).alias("split_den"), (F.col("p_retailprice") / 10000).alias("dividend"))
 
 
-@register("relative_labels", with_views("trades", f"""WITH {BARS}, {TRADE_ACT}, d AS (SELECT DISTINCT symbol, t // {DAY} * {DAY} + {10 * HOUR} AS decision FROM trades),
+@register("relative_labels", with_views("trades", f"""WITH {BARS}, {TRADE_ACT}, d AS (SELECT DISTINCT symbol, t // {DAY} * {DAY} + {10 * HOUR} AS decision FROM
+    trades),
   e AS (SELECT *, lead(decision, 2) OVER (PARTITION BY symbol ORDER BY decision) AS x FROM d),
   b AS (SELECT symbol, decision, ((decision + 60000000) // {HOUR} + 1) * {HOUR} AS entry, ((x + 60000000) // {HOUR} + 1) * {HOUR} AS exit FROM e WHERE x IS NOT NULL),
-  sides AS (SELECT symbol, decision, symbol AS own, entry, exit FROM b UNION ALL SELECT symbol, decision, 0, entry, exit FROM b WHERE symbol <> 0 UNION ALL SELECT symbol, decision, -1, entry, exit FROM b WHERE symbol = 0),
+  sides AS (SELECT symbol, decision, symbol AS own, entry, exit FROM b UNION ALL SELECT symbol, decision, 0, entry, exit FROM b WHERE symbol <> 0 UNION ALL SELECT symbol,
+    decision, -1, entry, exit FROM b WHERE symbol = 0),
   priced AS (SELECT s.symbol, s.decision, s.own, s.entry, s.exit, p0.open AS p0, p1.open AS p1, p1.available FROM sides s
     JOIN bars p0 ON p0.symbol = greatest(own, 0) AND p0.start = entry JOIN bars p1 ON p1.symbol = greatest(own, 0) AND p1.start = exit),
   met AS (SELECT p.*, a.dividend, a.split_num * 1.0 / a.split_den AS k, row_number() OVER (PARTITION BY p.symbol, decision, own ORDER BY a.effective, a.id) AS r
     FROM priced p LEFT JOIN acts a ON a.symbol = greatest(own, 0) AND a.effective > p.entry AND a.effective <= p.exit),
   grown AS (SELECT *, coalesce(product(k) OVER (PARTITION BY symbol, decision, own ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS before FROM met),
-  returns AS (SELECT symbol, decision, own, (coalesce(product(k), 1) * any_value(p1) + coalesce(sum(before * dividend), 0)) / any_value(p0) - 1 AS r, any_value(available) AS available FROM grown GROUP BY ALL)
+  returns AS (SELECT symbol, decision, own, (coalesce(product(k), 1) * any_value(p1) + coalesce(sum(before * dividend), 0)) / any_value(p0) - 1 AS r, any_value(available)
+    AS available FROM grown GROUP BY ALL)
   SELECT a.symbol, a.decision, round(a.r - b.r, 6) + 0.0 AS label, greatest(a.available, b.available) + 5000000 AS label_ready
   FROM returns a JOIN returns b ON a.symbol = b.symbol AND a.decision = b.decision AND a.own = a.symbol AND b.own = CASE WHEN a.symbol = 0 THEN -1 ELSE 0 END"""))
 def relative_labels(spark, sf):
@@ -369,25 +416,31 @@ def forecast_sql() -> str:
     # the second fit has names of its own beside the first's
     fit = lambda name, x, parts: f"""{name} AS (SELECT key, i, any_value(target) AS target, {", ".join(f"any_value(q{k}) AS q{k}" for k in range(len(x)))}, {parts[0]} FROM train GROUP BY key, i HAVING count(*) >= 16),
   {name}_p AS (SELECT key, i, ({parts[1]} - target) ** 2 AS e FROM {name})"""
-    return f"""WITH v AS (SELECT key % 10 AS key, published // {30 * DAY} AS period, id, value, reconstructed AS ready, id % 2 AS side FROM versions WHERE reconstructed IS NOT NULL AND published IS NOT NULL),
+    return f"""WITH v AS (SELECT key % 10 AS key, published // {30 * DAY} AS period, id, value, reconstructed AS ready, id % 2 AS side FROM versions WHERE
+    reconstructed IS NOT NULL AND published IS NOT NULL),
   x AS (SELECT * FROM v WHERE side = 0), y AS (SELECT * FROM v WHERE side = 1),
   l AS (SELECT key, period, arg_max(value, (ready, value)) AS value, max(ready) AS ready FROM y GROUP BY ALL),
   d AS (SELECT key, period AS "of", ready AS decision, lead(value) OVER w AS tv, lead(ready) OVER w AS tr FROM l WINDOW w AS (PARTITION BY key ORDER BY period)),
   e AS (SELECT * FROM d WHERE tr > decision),
   kx AS (SELECT e.key, e.decision, arg_max(v.value, (v.period, v.ready, v.value)) AS x FROM e JOIN x v ON v.key = e.key AND v.ready <= e.decision GROUP BY ALL),
   ky AS (SELECT e.key, e.decision, arg_max(v.value, (v.period, v.ready, v.value)) AS y FROM e JOIN y v ON v.key = e.key AND v.ready <= e.decision GROUP BY ALL),
-  p AS (SELECT e.key, e.decision, x, y, tv - y AS target, tr, row_number() OVER (PARTITION BY e.key ORDER BY e.decision) AS i FROM e JOIN kx USING (key, decision) JOIN ky USING (key, decision)),
-  train AS (SELECT a.key, a.i, a.target, a.y AS q0, a.x AS q1, b.y AS t_y, b.x AS t_x, b.target AS t_target FROM p a JOIN p b ON b.key = a.key AND b.tr < a.decision AND b.decision < a.decision WHERE a.i > 20),
+  p AS (SELECT e.key, e.decision, x, y, tv - y AS target, tr, row_number() OVER (PARTITION BY e.key ORDER BY e.decision) AS i FROM e JOIN kx USING (key, decision) JOIN ky
+    USING (key, decision)),
+  train AS (SELECT a.key, a.i, a.target, a.y AS q0, a.x AS q1, b.y AS t_y, b.x AS t_x, b.target AS t_target FROM p a JOIN p b ON b.key = a.key AND b.tr < a.decision AND
+    b.decision < a.decision WHERE a.i > 20),
   {fit("base", ["y"], base)}, {fit("cand", ["y", "x"], candidate)},
-  g AS (SELECT b.key, b.e - c.e AS gain, row_number() OVER (PARTITION BY b.key ORDER BY b.i) - 1 AS i, count(*) OVER (PARTITION BY b.key) AS n FROM base_p b JOIN cand_p c USING (key, i)),
+  g AS (SELECT b.key, b.e - c.e AS gain, row_number() OVER (PARTITION BY b.key ORDER BY b.i) - 1 AS i, count(*) OVER (PARTITION BY b.key) AS n FROM base_p b JOIN cand_p c
+    USING (key, i)),
   s AS (SELECT key, any_value(n) AS n FROM g GROUP BY key HAVING any_value(n) >= 6),
   k AS (SELECT key, n, rep, unnest(range(CAST(ceil(n / 3) AS BIGINT))) AS k FROM s, (SELECT unnest(range(200)) AS rep)),
   o AS (SELECT key, rep, CAST('0x' || substr(md5(rep || ':' || k), 1, 15) AS BIGINT) % (n - 2) + o AS i FROM k, (SELECT unnest(range(3)) AS o) WHERE 3 * k + o < n),
   m AS (SELECT o.key, o.rep, avg(g.gain) AS m FROM o JOIN g ON g.key = o.key AND g.i = o.i GROUP BY ALL),
   r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY m, rep) - 1 AS r FROM m),
   b AS (SELECT key, max(m) FILTER (WHERE r = 5) AS low, max(m) FILTER (WHERE r = 195) AS high FROM r GROUP BY key)
-  SELECT g.key, count(*) AS scores, CASE WHEN count(*) >= 6 THEN round(avg(gain) / 1e6, 0) + 0.0 END AS gain, CASE WHEN count(*) >= 6 THEN round(any_value(low) / 1e6, 0) + 0.0 END AS low,
-    CASE WHEN count(*) >= 6 THEN round(any_value(high) / 1e6, 0) + 0.0 END AS high, CASE WHEN count(*) >= 6 THEN 'completed' ELSE 'insufficient_data' END AS state FROM g LEFT JOIN b ON b.key = g.key GROUP BY g.key"""
+  SELECT g.key, count(*) AS scores, CASE WHEN count(*) >= 6 THEN round(avg(gain) / 1e6, 0) + 0.0 END AS gain, CASE WHEN count(*) >= 6 THEN round(any_value(low) / 1e6, 0)
+    + 0.0 END AS low,
+    CASE WHEN count(*) >= 6 THEN round(any_value(high) / 1e6, 0) + 0.0 END AS high, CASE WHEN count(*) >= 6 THEN 'completed' ELSE 'insufficient_data' END AS state FROM g
+    LEFT JOIN b ON b.key = g.key GROUP BY g.key"""
 
 
 @register("release_forecast", with_views("versions", forecast_sql()))
@@ -398,7 +451,8 @@ def release_forecast(spark, sf):
     return out.select("key", "scores", *[(F.round(F.col(c) / 1e6, 0) + F.lit(0.0)).alias(c) for c in ("gain", "low", "high")], "state")
 
 
-@register("dataset_listing", "SELECT c_custkey AS dataset_id, n_name AS source, coalesce(n, 0) AS distributions FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE contains(lower(c_name), '13')")
+@register("dataset_listing", """SELECT c_custkey AS dataset_id, n_name AS source, coalesce(n, 0) AS distributions FROM customer JOIN nation ON c_nationkey =
+    n_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE contains(lower(c_name), '13')""")
 def dataset_listing(spark, sf):
     """Datasets by a part of their title, with source and distributions."""
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("dataset_id"), F.col("c_name").alias("title"), F.col("c_nationkey").alias("source_id"))
@@ -407,7 +461,9 @@ def dataset_listing(spark, sf):
     return br.dataset_listing(c, n, o, "13").select("dataset_id", "source", "distributions")
 
 
-@register("distribution_detail", "SELECT o_orderkey AS distribution_id, p.profile_rows, coalesce(n, 0) AS observations FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_quantity, l_shipdate) AS profile_rows FROM (SELECT l_orderkey, l_shipdate, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) GROUP BY 1) p ON p.l_orderkey = o_orderkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) k ON k.l_orderkey = o_orderkey")
+@register("distribution_detail", """SELECT o_orderkey AS distribution_id, p.profile_rows, coalesce(n, 0) AS observations FROM orders LEFT JOIN (SELECT l_orderkey,
+    arg_max(l_quantity, l_shipdate) AS profile_rows FROM (SELECT l_orderkey, l_shipdate, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) GROUP BY 1) p ON
+    p.l_orderkey = o_orderkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) k ON k.l_orderkey = o_orderkey""")
 def distribution_detail(spark, sf):
     """Orders as distributions, with the last day's largest line as profile and all lines as observations."""
     l = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "distribution_id")
@@ -416,7 +472,9 @@ def distribution_detail(spark, sf):
     return br.distribution_detail(o, p, l).select("distribution_id", "profile_rows", "observations")
 
 
-@register("event_dispatch", "SELECT event_type, count(*) AS n, sum(CASE WHEN event_type IN ('click', 'view') THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END) AS browse, sum(CASE WHEN event_type = 'purchase' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END) AS buys FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1")
+@register("event_dispatch", """SELECT event_type, count(*) AS n, sum(CASE WHEN event_type IN ('click', 'view') THEN CAST(json_extract_string(props, '$.k') AS BIGINT)
+    END) AS browse, sum(CASE WHEN event_type = 'purchase' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END) AS buys FROM events WHERE event_type IN ('click',
+    'view', 'purchase') GROUP BY 1""")
 def event_dispatch(spark, sf):
     """Typed payloads by kind of event; other kinds are set aside."""
     e = table(spark, sf, "events").withColumnRenamed("props", "payload")
