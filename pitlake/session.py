@@ -26,12 +26,12 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share: spark.checkpoint.dir, or, where that is unset in a local session, a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.pitlake.shared.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-pitlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.conf.set("spark.pitlake.shared.dir", root)
     return f"{root}/pitlake-{name}-{uuid.uuid4().hex}"
 
 
