@@ -77,7 +77,8 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     ends = running_sum(sources.select("rank", width.alias("width")), F.col("width"), [F.col("rank")], F.floor(F.col("rank") / 4096), "end")
     starts = ends.where("width > 0").select((F.col("end") - F.col("width")).alias("start"), "rank")
     dealt = asof_join(slots, starts, [], "at", "start", ["rank"], width=(1 << BITS) // max(16, ceil(sqrt(total / block))))
-    return number(dealt.select("slot", "rank"), [F.col("slot")], F.floor(F.col("slot") / 65536), "turn", by=["rank"])
+    # about as many buckets of slots as slots in one
+    return number(dealt.select("slot", "rank"), [F.col("slot")], F.floor(F.col("slot") / max(64, ceil(sqrt(total / block)))), "turn", by=["rank"])
 
 
 def lines(docs: DataFrame, sources: DataFrame) -> DataFrame:
