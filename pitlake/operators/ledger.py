@@ -31,7 +31,8 @@ def equity(positions: DataFrame, mark: Column) -> Column:
 def realised_pnl(fills: DataFrame, order: list[str]) -> DataFrame:
     """Average-cost profit of each (account, symbol): entry price weighted on adds, realised on reductions, reset on a flip.
 
-    A fold in order over rows that Spark has sorted by key and order: a task holds one state, not the fills of a key."""
+    A fold in order over rows that Spark has sorted by key and order: a task holds one state, not the fills of a key, but a key is one task;
+    average_cost() deals a busy key to many."""
     keys = ["account", "symbol"]
     rows = fills.select(*keys, *order, F.col("px").alias("__px"), F.col("qty").alias("__q"))
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, "__px", "__q")
@@ -68,6 +69,48 @@ def realised_pnl(fills: DataFrame, order: list[str]) -> DataFrame:
     return dealt.mapInArrow(folded, schema)
 
 
+def average_cost(fills: DataFrame, order: list[str], width: int) -> DataFrame:
+    """realised_pnl() for accounts of any number of fills, in windows by bucket of time.
+
+    One row a key: fills, position, average_price (0 without a position), realised. order begins with t; width: bucket of time, so that a busy account is
+    many windows. Quantities count to eight decimals. A fill without price or quantity is counted and changes nothing.
+
+    The cost of what is held (position x entry price) after a fill is a linear map of that before: an add adds its own cost, a reduction
+    multiplies by the share that stays, a close or flip forgets. Which of these a fill is follows from the running position. The maps of a bucket are
+    composed in a window, those of the buckets, one row each, in another. What was paid in all and is not in the cost of what is held was realised."""
+    keys = ["account", "symbol"]
+    bucket = F.floor(F.col("t") / width)
+    counts = F.col("px").isNotNull() & F.col("qty").isNotNull()
+    rows = fills.select(*dict.fromkeys([*keys, "t", *order, "px", "qty"])).withColumns({
+        "__q": F.when(counts, F.round(F.col("qty") * 1e8).cast("decimal(28,0)")).otherwise(F.lit(0).cast("decimal(28,0)")),
+        "__px": F.when(counts, F.col("px").cast("double")).otherwise(0.0),
+    })
+    rows = running_sums(rows, {"__after": F.col("__q"), "__n": F.lit(1)}, [F.col(c) for c in order], bucket, by=keys)
+    before, after, q = F.col("__after") - F.col("__q"), F.col("__after"), F.col("__q").cast("double") / 1e8
+    adds = (before == 0) | ((before > 0) == (F.col("__q") > 0))
+    stays = (after != 0) & ((after > 0) == (before > 0))
+    held = after.cast("double")
+    rows = rows.withColumns({
+        "__b": bucket,
+        "__paid": (q * F.col("__px")).cast("decimal(28,8)"),
+        "__times": F.when(before == 0, 0.0).when(adds, 1.0).when(stays, held / before.cast("double")).otherwise(0.0),
+        "__plus": F.when(adds, q * F.col("__px")).when(stays, 0.0).otherwise(held / 1e8 * F.col("__px")),
+    })
+    # what the fills after one of a bucket leave of its cost; then what the buckets after one leave
+    later = Window.partitionBy(*keys, "__b").orderBy(F.col("__n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__left", F.coalesce(F.product("__times").over(later), F.lit(1.0)))
+    parts = rows.groupBy(*keys, "__b").agg(
+        F.count("*").alias("n"), F.sum("__q").alias("q"), F.sum("__paid").alias("paid"), F.product("__times").alias("times"), F.sum(F.col("__plus") * F.col("__left")).alias("plus"),
+    )
+    later = Window.partitionBy(*keys).orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("left", F.coalesce(F.product("times").over(later), F.lit(1.0)))
+    held, cost = F.sum("q").cast("double") / 1e8, F.sum(F.col("plus") * F.col("left"))
+    return parts.groupBy(*keys).agg(
+        F.sum("n").alias("fills"), held.alias("position"), F.when(held != 0, cost / held).otherwise(0.0).alias("average_price"),
+        (cost - F.sum("paid").cast("double")).alias("realised"),
+    )
+
+
 def entitlements(fills: DataFrame, actions: DataFrame, order: list[str], width: int) -> DataFrame:
     """What each account is due from each corporate action by the shares it holds just before, earlier splits applied.
 

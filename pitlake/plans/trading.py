@@ -46,6 +46,23 @@ def realised_pnl(spark, sf):
     return out.select("account", "symbol", "fills", (F.round("position", 4) + F.lit(0.0)).alias("position"), (F.round("average_price", 4) + F.lit(0.0)).alias("average_price"), (F.round("realised", 2) + F.lit(0.0)).alias("realised"))
 
 
+@register("average_cost", with_views("ledger", f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY account, symbol ORDER BY {BY}) AS i FROM ledger),
+  f AS (SELECT account, symbol, 0::BIGINT AS i, 0.0::DOUBLE AS q, 0.0::DOUBLE AS a, 0.0::DOUBLE AS won, 0.0::DOUBLE AS lost
+      FROM (SELECT DISTINCT account, symbol FROM ledger)
+    UNION ALL SELECT account, symbol, i, q + d, CASE WHEN q * d >= 0 THEN (abs(q) * a + abs(d) * px) / (abs(q) + abs(d)) WHEN q + d = 0 THEN 0 WHEN q * (q + d) > 0 THEN a
+      ELSE px END, won + greatest(g, 0), lost + greatest(-g, 0)
+      FROM (SELECT f.* EXCLUDE (i), n.i, n.qty AS d, n.px, CASE WHEN f.q * n.qty >= 0 THEN 0 ELSE least(abs(f.q), abs(n.qty)) * (n.px - f.a) * sign(f.q) END AS g
+        FROM f JOIN n ON n.account = f.account AND n.symbol = f.symbol AND n.i = f.i + 1) s)
+  SELECT account, symbol, max(i) AS fills, CAST(CAST(arg_max(q, i) AS DECIMAL(28, 4)) AS DOUBLE) AS position,
+    CAST(round(CAST(arg_max(a, i) AS DECIMAL(28, 9)), 6) AS DOUBLE) + 0.0 AS average_price,
+    CAST(round(CAST(arg_max(won - lost, i) AS DECIMAL(28, 9)), 6) AS DOUBLE) + 0.0 AS realised FROM f GROUP BY ALL""").replace("WITH ledger", "WITH RECURSIVE ledger").replace(", RECURSIVE n AS", ", n AS"))
+def average_cost(spark, sf):
+    """Average cost and realised profit with busy accounts dealt to many windows. Halves are told by decimals, as sums in another order differ in the last bits."""
+    out = lg.average_cost(ledger(spark, sf), ORDER, 365 * DAY)
+    exact = lambda c: (F.round(F.col(c).cast("decimal(28,9)"), 6).cast("double") + F.lit(0.0)).alias(c)
+    return out.select("account", "symbol", "fills", "position", exact("average_price"), exact("realised"))
+
+
 ACT = f"""acts AS (SELECT p_partkey AS id, p_partkey % 20 AS symbol, 820000000000000 + p_partkey % 2000 * {DAY} AS effective, CASE WHEN p_size = 7 THEN 1 + p_partkey %
     3 ELSE 1 END AS split_num, CASE WHEN p_size = 7 THEN 1 + p_partkey % 2 ELSE 1 END AS split_den, p_retailprice / 1000 AS dividend, 820000000000000 + (p_partkey % 2000
     + 30) * {DAY} AS pay_at FROM part)"""

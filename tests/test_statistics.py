@@ -221,9 +221,9 @@ def test_filter_is_conditioning(spark):
 def test_average_cost(spark):
     fills = [(1, 10.0, 2.0), (2, 12.0, 2.0), (3, 13.0, -1.0), (4, 9.0, -5.0), (5, 8.0, 2.0), (6, 8.5, 3.0)]
     df = spark.createDataFrame([("a", "s", t, p, q, 0.0) for t, p, q in fills], "account string, symbol string, t int, px double, qty double, fee double")
-    r = lg.realised_pnl(df, ["t"]).first()
     # average 11; sell 1 at 13: +2; sell 5 at 9 closes 3: -6 and opens -2 at 9; buy 2 at 8: +2; buy 3 at 8.5
-    assert (r.position, r.average_price, r.realised) == (3.0, 8.5, -2.0)
+    for r in (lg.realised_pnl(df, ["t"]).first(), *(lg.average_cost(df, ["t"], width).first() for width in (1, 2, 100))):
+        assert (r.fills, r.position, r.average_price, r.realised) == (6, 3.0, 8.5, -2.0)
 
 
 def test_isotonic_and_batches(spark):
