@@ -14,11 +14,14 @@ shingles (prefix filtering), and each pair so met is verified, so that none is m
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ from pitlake.llm.common import WORD, cut
 #: Near copies: words of a shingle.
 SHINGLE = 5
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
 _ARROW = pa.schema([("bin_id", pa.int64()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32())])
 SCHEMA = "bin_id long, slot int, doc_id long, piece int, start long, length int"
 
@@ -70,13 +75,28 @@ def best_fit(items: list[tuple], capacity: int) -> list[tuple[int, int]]:
 
 
 class Shingles:
-    """Sets of 64-bit numbers for the shingles of texts, equal for equal words; one instance for all texts to compare.
+    """Sets of 64-bit numbers for the shingles of texts, equal for equal words.
+
+    A word (A-Z lower-cased) is told by a 64-bit hash, and the hashes of a shingle's words are mixed. Words are hashed `step` bytes of a text at a time,
+    so that a very long text takes few times its own size."""
+
+    def __init__(self, words: int = SHINGLE, step: int = 1 << 20):
+        self.words, self.step = words, step
+
+    def hashes(self, text: str) -> np.ndarray:
+        """The hash of each word of a text, in order."""
+        raw = text.encode("utf-8", "surrogatepass").lower()
 
-    Words (A-Z lower-cased) are numbered as they come, and the numbers of a shingle's words are mixed."""
+        def parts() -> Iterator[np.ndarray]:
+            start = 0
+            while start < len(raw):
+                space = _SPACE.search(raw, start + self.step)
+                end = space.start() if space else len(raw)
+                found = raw[start:end].split()
+                yield np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+                start = end
 
-    def __init__(self, words: int = SHINGLE):
-        numbers: dict[bytes, int] = {}
-        self.words, self.number = words, lambda w: numbers.setdefault(w, len(numbers) + 1)
+        return np.concatenate([np.zeros(0, np.uint64), *parts()])
 
     @staticmethod
     def mix(x: np.ndarray) -> np.ndarray:
@@ -87,10 +107,9 @@ class Shingles:
 
     def of(self, text: str) -> np.ndarray:
         """The sorted distinct shingles of a text; of fewer words, the whole sequence."""
-        found = text.encode("utf-8", "surrogatepass").lower().split()
-        if not found:
-            return np.zeros(0, np.uint64)
-        n = self.mix(np.fromiter(map(self.number, found), np.uint64, len(found)))
+        n = self.hashes(text)
+        if not len(n):
+            return n
         size = min(self.words, len(n))
         h = np.full(len(n) - size + 1, size, np.uint64)
         for k in range(size):
@@ -155,20 +174,25 @@ def exact_cluster(text: Column) -> Column:
     return F.when(text.rlike(WORD), F.md5(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " ")))
 
 
-def pack(docs: DataFrame, capacity: int = 2048, length: Column | None = None, source: Column | None = None, cluster: Column | None = None, chunk: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, length: Column | None = None, source: Column | None = None, cluster: Column | None = None, chunk: int = 4096, chunk_bytes: int = 64 << 20) -> DataFrame:
     """Pack every document of docs; returns one row for each piece: bin_id, slot, doc_id, piece, start, length.
 
     length: units of a document (words by default); source and cluster: what must not meet in a bin (the source
     column, and exact and near copies of the text, by default). A document longer than capacity is cut into pieces of capacity and a
-    rest; start is a piece's first unit. chunk: documents packed together on average, which bounds a task's memory.
+    rest; start is a piece's first unit. chunk, chunk_bytes: documents and bytes of text packed together on average, whichever are reached first; they bound a
+    task's memory but for a longer text, which is whole in its chunk.
     A document of length 0 or null fills nothing: it has a row with null bin_id. Repeated rows and rows without
     an id are packed each by itself; null sources and clusters conflict with nothing. Columns of docs beyond
     doc_id and those read by the three expressions are ignored."""
     length = word_count(F.col("text")) if length is None else length
     source = F.col("source") if source is None else source
-    near = F.col("text") if cluster is None else F.lit(None)
+    takes_texts = cluster is None
+    near = F.col("text") if takes_texts else F.lit(None)
     cluster = exact_cluster(F.col("text")) if cluster is None else cluster
-    chunks = max(1, -(-docs.count() // chunk))
+    # only near copies take the texts to the tasks
+    size = F.octet_length(F.col("text").cast("string")) if takes_texts else F.lit(0)
+    whole = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("bytes")).first()
+    chunks = max(1, -(-whole["n"] // chunk), -(-whole["bytes"] // chunk_bytes))
     # bit for bit equal rows of an id and its text would all be dealt alike: many of them are told apart by number
     deal = F.xxhash64("doc_id", F.col("text").cast("string")) if "text" in docs.columns else F.xxhash64("doc_id")
     rows = docs.select(

@@ -12,6 +12,7 @@ each prefix, so the state is its last piece. Both are the same traversal with an
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,16 +25,37 @@ from pyspark.sql import types as T
 from pitlake.llm.common import slices
 
 MARK = "▁"
+#: Letters from which a word is searched by itself, with its states in arrays.
+LONG = 4096
 _BREAK = "﷐"  # a non-character; a batch with one in a text is cut without it
 
 
+class _States:
+    """What encode_words() keeps of each prefix, for one long word: 8 bytes a letter, 16 with scores."""
+
+    def __init__(self, scored: bool):
+        self.start, self.piece, self.score = array("i", [0]), array("i", [-2]), array("d", [0.0]) if scored else None
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def __getitem__(self, i: int) -> tuple[int, int, float]:
+        return self.start[i], self.piece[i], 0.0 if self.score is None else self.score[i]
+
+    def append(self, start: int, piece: int, score: float) -> None:
+        self.start.append(start)
+        self.piece.append(piece)
+        if self.score is not None:
+            self.score.append(score)
+
+
 class Codec:
     """Encoder and decoder of one model: pieces with scores, byte pieces for what no piece spells."""
 
     def __init__(self, pieces: list[str], scores: list[float], special: set[int], byte_of: dict[int, int], unknown: int = 0, bpe: bool = True):
         self.pieces, self.unknown, self.bpe = pieces, unknown, bpe
         self.ids = {p: i for i, p in enumerate(pieces) if i not in special and i not in byte_of}
-        self.scores = scores
+        self.scores, self.costs = scores, [-x for x in scores]
         self.byte_of, self.byte_ids = byte_of, {b: i for i, b in byte_of.items()}
         self.longest = max(map(len, self.ids), default=1)
         self.special = special
@@ -96,18 +118,19 @@ class Codec:
     def merge(self, word: str) -> list[int]:
         """Merge neighbours by best score, the leftmost first on ties; what no piece spells stays single."""
         parts: list[str | None] = list(word)
-        left, right = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
-        heap: list[tuple[float, int, str]] = []
+        left, right = array("i", range(-1, len(parts) - 1)), array("i", range(1, len(parts)))
+        right.append(-1)
+        heap: list[tuple[float, int, int]] = []
 
         def offer(a: int, b: int) -> None:
             if a >= 0 and b >= 0 and (i := self.ids.get(parts[a] + parts[b])) is not None:
-                heapq.heappush(heap, (-self.scores[i], a, parts[a] + parts[b]))
+                heapq.heappush(heap, (self.costs[i], a, i))
 
         for a in range(len(parts) - 1):
             offer(a, a + 1)
         while heap:
-            _, a, whole = heapq.heappop(heap)
-            b = right[a]
+            _, a, i = heapq.heappop(heap)
+            b, whole = right[a], self.pieces[i]
             if parts[a] is None or b < 0 or parts[a] + parts[b] != whole:
                 continue
             parts[a], parts[b], right[a] = whole, None, right[b]
@@ -147,6 +170,9 @@ class Codec:
             if self.bpe and word.startswith(MARK + MARK):
                 out.append(self.merge(word))
                 continue
+            if len(word) >= LONG:
+                out.append(self._encode_long(word))
+                continue
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
@@ -172,6 +198,20 @@ class Codec:
             before = word
         return out
 
+    def _encode_long(self, word: str) -> array:
+        """encode_words() of one word that is too long to be worth sharing its prefixes."""
+        step, states, node = self._bpe_step if self.bpe else self._unigram_step, _States(not self.bpe), 0
+        for c in word:
+            node = self.move(node, c)
+            states.append(*step(len(states), self.ending[node], states))
+        back, at = array("i"), len(word)
+        while at > 0:
+            start, piece, _ = states[at]
+            back.extend((piece,) if piece >= 0 else reversed(self._spell(word[start:at])))
+            at = start
+        back.reverse()
+        return back
+
     def _bpe_step(self, end: int, ending: tuple, came: list) -> tuple[int, int, float]:
         known = self._fits
         for length, t in ending:

@@ -115,3 +115,23 @@ def test_shingles_against_sets_of_words():
     for i in range(200):
         for j in range(i):
             assert len(got[i] & got[j]) == len(want[i] & want[j])
+
+
+def test_long_texts_are_hashed_in_parts():
+    rng = random.Random(2)
+    for _ in range(30):
+        text = "".join(rng.choice("ab\u00e9\u3000 \t\n") for _ in range(rng.randint(0, 400)))
+        want = packing.Shingles().of(text).tolist()
+        for step in (1, 3, 50):
+            assert packing.Shingles(step=step).of(text).tolist() == want
+    assert len(packing.Shingles().hashes("word " * 3_000_000)) == 3_000_000
+    assert len(packing.Shingles().of("w" * 20_000_000)) == 1
+
+
+def test_chunks_are_bounded_by_bytes(spark):
+    docs = spark.range(200).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 2000) AS text", "concat('s', id) AS source")
+    per = {}
+    for r in packing.pack(docs, chunk_bytes=100_000).collect():
+        per.setdefault(r.bin_id >> 32, set()).add(r.doc_id)
+    assert len(per) >= 15 and sum(map(len, per.values())) == 200
+    assert len({r.bin_id >> 32 for r in packing.pack(docs, chunk_bytes=100_000, cluster=F.lit(None)).collect()}) == 1

@@ -11,6 +11,7 @@ ODD = [
     "", "hello world", "a  b", " x", "x ", "\n\n", "Ｆullｗidth é é", "a\xa0b", "日本語 <s> </s> <unk> <0x0A>", "a\x00b", "▁x",
     "tab\there", "    def f(x):\n        return  x", "   ", "﷐ a b", "naïve Grüße мир 你好世界 " + "a" * 500,
     "x" * 1000 + " " * 40 + "y", "the ▁▁ of", "aaaaaaaab bbbbaaa", "🎉🎉 ok", "w" * 50_000,
+    "naïve🎉Größe" * 1000 + " " + "ab" * 3000, "a" * 4094 + " " + "a" * 4095, " " * 5000 + "x",
 ]
 
 needs_model = pytest.mark.skipif(not os.path.exists(MODEL), reason="no model file")
@@ -52,6 +53,22 @@ def test_unigram_is_the_best_path():
     for word, ids in zip(words, codec.encode_words(words)):
         assert "".join(pieces[i] for i in ids) == word
         assert abs(sum(scores[i] for i in ids) - best(word)) < 1e-9
+        assert codec._encode_long(word).tolist() == list(ids)
+
+
+@needs_model
+def test_memory_of_a_long_word():
+    import tracemalloc
+
+    codec, rng = sc.Codec.load(MODEL), random.Random(5)
+    word = sc.MARK + "".join(rng.choice("abcdefghij") for _ in range(200_000))
+    codec.encode_words([word[:5000]])
+    tracemalloc.start()
+    ids = codec.encode_words([word])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "".join(codec.pieces[i] for i in ids) == word
+    assert peak < 80 * len(word)
 
 
 @needs_model
