@@ -11,6 +11,13 @@ SUPPRESSED = ("-", "(S)", "(NA)", "N", "S", "")
 SECRET_NAMES = ("key", "api_key", "apikey", "token", "secret", "password", "userid", "registrationkey")
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles by IEEE 754, without an error: over zero an infinity of a's sign, of zero NaN."""
+    a, b = a.cast("double"), b.cast("double")
+    over = F.when(F.isnan(a) | (a == 0), float("nan")).when(a > 0, float("inf")).when(a < 0, float("-inf"))
+    return F.when(b == 0, over).otherwise(F.try_divide(a, b))
+
+
 def mid(bid: Column, ask: Column) -> Column:
     """middle of the book."""
     return (bid + ask) / 2

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitlake.functions.scalars import quotient
 from pitlake.operators.asof import asof_join
 from pitlake.operators.ledger import action_factors, held_return
 from pitlake.session import kept
@@ -43,12 +44,12 @@ def last_visible(decisions: DataFrame, bars: DataFrame, delay: int, width: int |
 def momentum(bars: DataFrame, n: int = 31, longest: int | None = None, splits: DataFrame | None = None) -> DataFrame:
     """Over the last n bars of a symbol last/first - 1 and the population deviation of the n - 1 step returns.
 
-    Withheld (null) with fewer bars, where the window spans more than `longest`, and where a split (symbol, effective) falls in it."""
+    Withheld (null) with fewer bars, where the window spans more than `longest`, and where a split (symbol, effective) falls in it. A close of zero gives an infinite or undefined (NaN) step, as in IEEE 754."""
     w = Window.partitionBy("symbol").orderBy("start")
-    rows = bars.withColumn("__r", F.try_divide(F.col("close") - F.lag("close").over(w), F.lag("close").over(w)))
+    rows = bars.withColumn("__r", quotient(F.col("close") - F.lag("close").over(w), F.lag("close").over(w)))
     near, steps = w.rowsBetween(1 - n, 0), w.rowsBetween(2 - n, 0)
     rows = rows.withColumn("__n", F.count("*").over(near)).withColumn("first_start", F.first("start").over(near))
-    rows = rows.withColumn("momentum", F.col("close") / F.first("close").over(near) - 1).withColumn("volatility", F.stddev_pop("__r").over(steps))
+    rows = rows.withColumn("momentum", quotient(F.col("close"), F.first("close").over(near)) - 1).withColumn("volatility", F.stddev_pop("__r").over(steps))
     whole = F.col("__n") == n
     if longest is not None:
         whole &= F.col("end") - F.col("first_start") <= longest

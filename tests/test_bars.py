@@ -89,3 +89,10 @@ def test_replay_is_the_as_of_join(spark, tmp_path):
     q = spark.createDataFrame([r for x in quotes for r in x], "symbol string, seq long, t long, mid double")
     want = {(r.symbol, r.seq): (r.q_seq, r.q_mid) for r in asof_join(e, q, ["symbol"], "t", "t", ["seq", "mid"], ties=["seq"], prefix="q_").collect()}
     assert {k: v[:2] for k, v in got.items()} == want and len(want) == 36
+
+
+def test_momentum_over_a_close_of_zero(spark):
+    bars = spark.createDataFrame([("s", t, t + 10, float(c)) for t, c in ((0, 0), (10, 5), (20, 10), (30, 20), (40, 0), (50, 0))], "symbol string, start long, end long, close double")
+    got = [(r.momentum, r.volatility) for r in br.momentum(bars, 2).orderBy("start").collect()]
+    assert [str(m) for m, _ in got] == ["None", "inf", "1.0", "1.0", "-1.0", "nan"]
+    assert [str(v) for _, v in got] == ["None", "nan", "0.0", "0.0", "0.0", "nan"]
