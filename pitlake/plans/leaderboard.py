@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitlake.functions.scalars import quotient
 from pitlake.operators import evaluate as ev
 from pitlake.operators.asof import asof_join, lookahead_violations, trailing_values
 from pitlake.operators.numbering import even_buckets, number, running_max, running_sum, sampled
@@ -277,12 +278,12 @@ def trailing_window(spark, sf):
 @register("breakout_signal", sql("", """WITH s AS (SELECT seq, symbol, (px - lag(px, 5) OVER w) / lag(px, 5) OVER w * 10000 AS m FROM trades WINDOW w AS (PARTITION BY
     symbol ORDER BY t, seq)) SELECT seq, symbol, round(m, 6) + 0.0 AS momentum, CASE WHEN m > 500 THEN 'buy' WHEN m < -500 THEN 'sell' ELSE 'none' END AS signal FROM s"""))
 def breakout_signal(spark, sf):
-    """Momentum over five prints in bps against a threshold."""
+    """Momentum over five prints in bps against a threshold; from a price of zero infinite, or NaN if both are."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("symbol").orderBy("t", "seq")
     before = F.lag("px", 5).over(w)
-    m = (F.col("px") - before) / before * 10_000
+    m = quotient(F.col("px") - before, before) * 10_000
     return trades(spark, sf).withColumn("m", m).select("seq", "symbol", r6("m").alias("momentum"), F.when(F.col("m") > 500, "buy").when(F.col("m") < -500, "sell").otherwise("none").alias("signal"))
 
 

@@ -126,3 +126,13 @@ def test_slippage_grows_with_the_quantity_and_bars_stand_in(spark):
     bars = spark.createDataFrame([("a", 60, 80.0), ("a", 120, 90.0)], "symbol string, end long, close double")
     got = {r.id: (r.fill_px and round(r.fill_px, 6), r.fill_flag) for r in lg.market_fills(orders, quotes, 5, 10.0, 5.0, None, bars).collect()}
     assert got == {1: (101 * 1.01, None), 2: (99 * 0.999, None), 3: (80 * 1.002, "top_of_book_missing"), 4: (None, None)}
+
+
+def test_breakout_from_a_price_of_zero(spark, tmp_path):
+    from pitlake.plans.leaderboard import breakout_signal
+
+    rows = [(k, f"2024-01-01 00:00:0{k}", 10, "view", v, '{"k": 1}') for k, v in enumerate((0.0, 0.0, 4.0, 2.0, 2.0, 3.0, 0.0, 5.0, 1.0))]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    got = breakout_signal(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(str(r.momentum), r.signal) for r in got] == [("None", "none")] * 5 + [("inf", "buy"), ("nan", "buy"), ("2500.0", "buy"), ("-5000.0", "sell")]
