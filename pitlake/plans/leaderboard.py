@@ -164,8 +164,9 @@ def fold_heatmap(spark, sf):
     return b.select("fold", "policy", r6("lift").alias("lift"), r6(F.min("lift").over(whole)).alias("min_lift"), r6(F.max("lift").over(whole)).alias("max_lift"))
 
 
-LADDER = "".join(
-    f", r{k} AS (SELECT '{h}' AS horizon, {k} AS rung, t.*, t.side * (q.mid - t.px) / t.px * 10000 AS markout FROM trades t ASOF JOIN quotes q ON t.symbol = q.symbol AND t.t + {us} <= q.t)"
+#: As the query: of quotes at one time the first by seq; no markout without a positive price (F01), and none without a mid.
+LADDER = ", firsts AS (SELECT symbol, t, arg_min_null(mid, seq) AS mid FROM quotes GROUP BY ALL)" + "".join(
+    f", r{k} AS (SELECT '{h}' AS horizon, {k} AS rung, t.*, t.side * (q.mid - t.px) / t.px * 10000 AS markout FROM trades t ASOF JOIN firsts q ON t.symbol = q.symbol AND t.t + {us} <= q.t WHERE t.px > 0 AND q.mid IS NOT NULL)"
     for k, (h, us) in enumerate((("10m", HOUR // 6), ("1h", HOUR), ("1d", DAY)), 1)
 )
 

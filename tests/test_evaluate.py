@@ -136,3 +136,18 @@ def test_breakout_from_a_price_of_zero(spark, tmp_path):
     events.selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
     got = breakout_signal(spark, str(tmp_path)).orderBy("seq").collect()
     assert [(str(r.momentum), r.signal) for r in got] == [("None", "none")] * 5 + [("inf", "buy"), ("nan", "buy"), ("2500.0", "buy"), ("-5000.0", "sell")]
+
+
+def test_markout_ladder_agrees_with_its_sql_at_a_price_of_zero_and_tied_quotes(spark, tmp_path):
+    import duckdb
+
+    from pitlake.plans import leaderboard, registry
+
+    rows = [(k, f"2024-01-0{1 + k // 12} 0{k % 12 // 2}:00:00", 10 * (k % 3), "view" if k % 2 else "purchase", float(k * 7 % 5), '{"k": %d}' % (k % 4)) for k in range(48)]
+    events = spark.createDataFrame(rows + [(100 + r[0], *r[1:4], r[4] + 2, r[5]) for r in rows], "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in leaderboard.markout_ladder(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(registry.ORACLE_SQL["markout_ladder"]).fetchall())
+    assert len(want) == 24 and got == want
