@@ -45,20 +45,24 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     return found.select("__l.*", *[F.col(f"__n.__{i}").alias(prefix + c) for i, c in enumerate(take)])
 
 
-def trailing(by: list[str], time: str, width: int) -> Window:
-    """The rows of the key with time in [t - width, t]."""
-    return Window.partitionBy(*by).orderBy(time).rangeBetween(-width, 0)
-
-
 def trailing_values(df: DataFrame, by: list[str], time: str, width: int, values: dict[str, Column], bucket: int | None = None) -> DataFrame:
-    """Df with aggregates over the rows of its key with time in [t - width, t], both ends inclusive.
+    """Df with sums of the values, integers or decimals, over the rows of its key with time in [t - width, t], both ends inclusive; null where all are null.
 
-    Rows are dealt to buckets of time of at least `width`, each also to the bucket after its own, which it is seen from; so a busy key is many windows."""
-    size = max(width, bucket or width)
-    own = F.floor(F.col(time) / size)
-    dealt = df.withColumn("__own", own).withColumn("__b", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
-    window = trailing([*by, "__b"], time, width)
-    return dealt.withColumns({n: c.over(window) for n, c in values.items()}).where(F.col("__b") == F.col("__own")).drop("__own", "__b")
+    A row enters at its time and leaves just after width more, so a sum is the running one of what has entered and left: each row is added once and taken
+    away once, however many share its span. Rows are dealt to buckets of time of at least `width`; a row that is still in at a bucket's end enters the
+    next one too, so a busy key is many windows."""
+    size, own = max(width, bucket or width), [f"__v{i}" for i in range(len(values))]
+    at, leaves = F.col("__t"), F.col("__t") + width + 1
+    b, last = F.floor(at / size), F.floor(leaves / size)
+    event = lambda here, when, sign, row: F.struct(here.alias("b"), when.alias("at"), F.lit(sign).alias("sign"), row.alias("row"))
+    none = F.lit(None).cast(df.schema)
+    events = [event(b, at, 1, F.col("__row")), F.when(last > b, event(b + 1, at, 1, none)), F.when(last <= b + 1, event(last, leaves, -1, none))]
+    rows = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col(time).alias("__t"), F.struct(*df.columns).alias("__row"), *[c.alias(n) for n, c in zip(own, values.values(), strict=True)])
+    keys = [f"__k{i}" for i in range(len(by))]
+    moves = rows.select(*keys, *own, F.explode(F.array_compact(F.array(*events))).alias("__e"))
+    window = Window.partitionBy(*keys, "__e.b").orderBy("__e.at").rangeBetween(Window.unboundedPreceding, 0)
+    sums = [F.when(F.sum(F.when(F.col(v).isNotNull(), F.col("__e.sign"))).over(window) > 0, F.sum(F.col("__e.sign") * F.col(v)).over(window)).alias(n) for n, v in zip(values, own, strict=True)]
+    return moves.select("__e.row", *sums).where("row is not null").select("row.*", *values)
 
 
 def lookahead_violations(joined: DataFrame, taken: str) -> DataFrame:

@@ -272,7 +272,7 @@ def global_drawdown(spark, sf):
 @register("trailing_window", sql("", f"SELECT seq, symbol, count(*) OVER w AS n, round(sum(qty) OVER w, 6) AS qty FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY t RANGE BETWEEN {HOUR} PRECEDING AND CURRENT ROW)"))
 def trailing_window(spark, sf):
     """Trades of the symbol in the last hour, both ends inclusive."""
-    out = trailing_values(trades(spark, sf), ["symbol"], "t", HOUR, {"n": F.count("*"), "sum_qty": F.sum("qty")}, DAY)
+    out = trailing_values(trades(spark, sf), ["symbol"], "t", HOUR, {"n": F.lit(1).cast("long"), "sum_qty": F.col("qty")}, DAY)
     return out.select("seq", "symbol", "n", r6(F.col("sum_qty").cast("double")).alias("qty"))
 
 

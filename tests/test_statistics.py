@@ -263,3 +263,23 @@ def test_releases_that_do_not_fit_are_refused(spark):
     got = md.factor_filter(df, spark.createDataFrame([(1, 4), (2, 2)], "panel int, steps int"), 0.5, 0.75, 1.0, 3).orderBy("panel", "step").collect()
     assert [(r.panel, r.step, r.used, r.refused) for r in got] == [(1, 0, 0, 5), (1, 1, 1, 5), (1, 2, 0, 5), (1, 3, 0, 5), (2, 0, 0, 0), (2, 1, 0, 0)]
     assert got[-1].mean == 0 and abs(got[-1].variance - 1) < 1e-12
+
+
+def test_trailing_sums_run_over_entries_and_departures(spark):
+    import random
+
+    from pitlake.operators.asof import trailing_values
+
+    rng = random.Random(5)
+    rows = [(k, rng.choice("ab"), rng.randrange(-30, 90), rng.choice([None, 1, 2, 5])) for k in range(300)] + [(300, "a", None, 4), (301, "a", None, 5)]
+    df = spark.createDataFrame(rows, "id int, symbol string, t long, qty long")
+    for width, bucket in ((7, None), (7, 24), (0, 1), (40, 41)):
+        found = trailing_values(df, ["symbol"], "t", width, {"n": F.lit(1), "s": F.col("qty")}, bucket)
+        got = {r.id: (r.symbol, r.t, r.qty, r.n, r.s) for r in found.collect()}
+        for i, symbol, t, qty in rows:
+            seen = [q for _, s, u, q in rows if s == symbol and (u is None if t is None else u is not None and t - width <= u <= t)]
+            given = [q for q in seen if q is not None]
+            assert got[i] == (symbol, t, qty, len(seen), sum(given) if given else None)
+        # a frame that slides is summed up anew for each row
+        frames = found._jdf.queryExecution().optimizedPlan().toString().split("specifiedwindowframe(RangeFrame, ")[1:]
+        assert frames and all(f.startswith("unboundedpreceding") for f in frames) and len(got) == len(rows)
