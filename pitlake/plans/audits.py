@@ -140,7 +140,7 @@ def mutation_invariance(spark, sf):
     ahead is changed; nothing is seen before it is ready, no model has learned from a label of later, no fill precedes its order's arrival."""
     from pyspark.sql import Window
 
-    from pitlake.operators.asof import asof_join, trailing
+    from pitlake.operators.asof import asof_join, trailing_values
     from pitlake.plans.views import edges, quotes
 
     v, t, q, e = versions(spark, sf), trades(spark, sf), quotes(spark, sf), edges(spark, sf)
@@ -150,7 +150,7 @@ def mutation_invariance(spark, sf):
         "points": (v, after("observed", CUT, "value", 1), lambda df: df.where(F.col("observed") <= CUT).withColumn("n", latest).where("n = 1").select("id", "observed", "value"), F.col("observed") <= CUT),
         "leaky": (v, after("observed", CUT, "value", 1), lambda df: df.withColumn("value", F.lead("value").over(Window.partitionBy("key").orderBy("observed", "id"))).select("id", "observed", "value"), F.col("observed") <= CUT),
         "prices": (q, after("t", TRADE_CUT, "bid", 1), lambda df: asof_join(t, df, ["symbol"], "t", "t", ["bid"], ties=["seq"], width=DAY).select("seq", "t", "bid"), F.col("t") <= TRADE_CUT),
-        "volumes": (t, after("t", TRADE_CUT, "qty", 7), lambda df: df.select("seq", "t", F.sum("qty").over(trailing(["symbol"], "t", HOUR)).alias("v")), F.col("t") <= TRADE_CUT),
+        "volumes": (t, after("t", TRADE_CUT, "qty", 7), lambda df: trailing_values(df, ["symbol"], "t", HOUR, {"v": F.col("qty")}, DAY).select("seq", "t", "v"), F.col("t") <= TRADE_CUT),
         "sinks": (e, after("known", CUT, "weight", 1), lambda df: df.where(F.col("known") <= CUT).groupBy("b").agg(F.sum(F.col("weight").cast("decimal(18,2)")).alias("w")), F.lit(True)),
     }
     facts = v.select("id", "key", "period", "value", F.lit("active").alias("status"), F.col("generation").alias("revision"), (F.col("id") % 7).alias("source_id"), F.col("observed").alias("ready"))
