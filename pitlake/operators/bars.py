@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitlake.functions.scalars import quotient
 from pitlake.operators.asof import asof_join
-from pitlake.operators.ledger import action_factors, held_return
+from pitlake.operators.ledger import action_maps, held_return
 from pitlake.session import kept
 
 
@@ -65,7 +65,7 @@ def relative_labels(decisions: DataFrame, bars: DataFrame, benchmark, latency: i
     """From the bar at the first boundary after decision + latency to the one after the decision `ahead` sessions later: total return of
     the symbol less that of the benchmark, available when both last bars are, plus a delay.
 
-    decisions: symbol, decision. actions: splits and dividends, as ledger.action_factors() takes them; their buckets are action_width. A missing bar on either side gives no label: no later bar stands in."""
+    decisions: symbol, decision. actions: splits and dividends, as ledger.action_maps() takes them; their buckets are action_width. A missing bar on either side gives no label: no later bar stands in."""
     w = Window.partitionBy("symbol").orderBy("decision")
     boundary = lambda c: (F.floor((F.col(c) + latency) / width) + 1) * width
     rows = decisions.withColumn("__x", F.lead("decision", ahead).over(w)).where("__x is not null")
@@ -73,9 +73,9 @@ def relative_labels(decisions: DataFrame, bars: DataFrame, benchmark, latency: i
     for name, key, at in (("p0", F.col("symbol"), "entry"), ("p1", F.col("symbol"), "exit"), ("b0", F.lit(benchmark), "entry"), ("b1", F.lit(benchmark), "exit")):
         side = bars.select(F.col("symbol").alias("__s"), F.col("start").alias("__t"), F.col("open").alias(name), F.col("available").alias(f"__{name}"))
         rows = rows.join(side, (F.col("__s") == key) & (F.col("__t") == F.col(at))).drop("__s", "__t")
-    factors = action_factors(actions, action_width)
-    rows = kept(held_return(kept(rows), factors, action_width, "symbol", "p0", "p1", "__own"))
-    rows = held_return(rows.withColumn("__bench", F.lit(benchmark)), factors, action_width, "__bench", "b0", "b1", "__base")
+    maps = action_maps(actions, action_width)
+    rows = kept(held_return(kept(rows), maps, action_width, "symbol", "p0", "p1", "__own"))
+    rows = held_return(rows.withColumn("__bench", F.lit(benchmark)), maps, action_width, "__bench", "b0", "b1", "__base")
     label = F.col("__own") - F.col("__base")
     ready = F.greatest("__p1", "__b1") + delay
     return rows.select(*decisions.columns, "entry", "exit", label.alias("label"), ready.alias("label_ready"))
