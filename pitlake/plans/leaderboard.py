@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.functions.scalars import quotient
+from pitlake.functions.scalars import quotient, rounded
 from pitlake.operators import evaluate as ev
 from pitlake.operators.asof import asof_join, lookahead_violations, trailing_values
 from pitlake.operators.numbering import even_buckets, number, running_max, running_sum, sampled
@@ -285,7 +285,7 @@ def breakout_signal(spark, sf):
     w = Window.partitionBy("symbol").orderBy("t", "seq")
     before = F.lag("px", 5).over(w)
     m = quotient(F.col("px") - before, before) * 10_000
-    return trades(spark, sf).withColumn("m", m).select("seq", "symbol", r6("m").alias("momentum"), F.when(F.col("m") > 500, "buy").when(F.col("m") < -500, "sell").otherwise("none").alias("signal"))
+    return trades(spark, sf).withColumn("m", m).select("seq", "symbol", (rounded("m", 6) + F.lit(0.0)).alias("momentum"), F.when(F.col("m") > 500, "buy").when(F.col("m") < -500, "sell").otherwise("none").alias("signal"))
 
 
 @register("flow_imbalance", sql("", """WITH f AS (SELECT symbol, t // 3600000000 AS hour, sum(CASE WHEN side = 1 THEN qty ELSE 0 END) AS b, sum(CASE WHEN side = -1

@@ -138,6 +138,22 @@ def test_breakout_from_a_price_of_zero(spark, tmp_path):
     assert [(str(r.momentum), r.signal) for r in got] == [("None", "none")] * 5 + [("inf", "buy"), ("nan", "buy"), ("2500.0", "buy"), ("-5000.0", "sell")]
 
 
+def test_breakout_agrees_with_its_sql_next_to_halves(spark, tmp_path):
+    import duckdb
+
+    from pitlake.plans import leaderboard, registry
+
+    rng = random.Random(3)
+    rows = [(k, k, 10, "view", rng.choice([rng.uniform(0.001, 0.02), rng.randrange(1, 60_000) / 100 * (1 + rng.randrange(60) / 1000), 0.0]), '{"k": 1}') for k in range(40_000)]
+    events = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double, props string")
+    events.selectExpr("event_id", "cast(timestamp_seconds(1704067200 + s) as timestamp_ntz) as ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r.seq, r.symbol, repr(r.momentum), r.signal) for r in leaderboard.breakout_signal(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted((s, y, repr(m), g) for s, y, m, g in con.execute(registry.ORACLE_SQL["breakout_signal"]).fetchall())
+    assert len(want) == 40_000 and got == want
+
+
 def test_markout_ladder_agrees_with_its_sql_at_a_price_of_zero_and_tied_quotes(spark, tmp_path):
     import duckdb
 
